@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP4_SQL, op4_decontaminate
 from .line_dedup import OP5_SQL, op5_line_dedup
 
 
 def queries():
     return {
+        "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
     }
 
 
 def oracle_sql():
     return {
+        "op4_decontaminate": OP4_SQL,
         "op5_line_dedup": OP5_SQL,
     }
