@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import OP9_SQL, op9_chat_format
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .line_dedup import OP5_SQL, op5_line_dedup
 
@@ -10,6 +11,7 @@ def queries():
     return {
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
+        "op9_chat_format": op9_chat_format,
     }
 
 
@@ -17,4 +19,5 @@ def oracle_sql():
     return {
         "op4_decontaminate": OP4_SQL,
         "op5_line_dedup": OP5_SQL,
+        "op9_chat_format": OP9_SQL,
     }
