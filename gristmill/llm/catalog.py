@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_format
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .line_dedup import OP5_SQL, op5_line_dedup
 
 
@@ -11,6 +12,7 @@ def queries():
     return {
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
+        "op6_jaccard_join": op6_jaccard_join,
         "op9_chat_format": op9_chat_format,
     }
 
@@ -19,5 +21,6 @@ def oracle_sql():
     return {
         "op4_decontaminate": OP4_SQL,
         "op5_line_dedup": OP5_SQL,
+        "op6_jaccard_join": OP6_SQL,
         "op9_chat_format": OP9_SQL,
     }
