@@ -5,11 +5,13 @@ from __future__ import annotations
 from .chat_format import OP9_SQL, op9_chat_format
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .jaccard_join import OP6_SQL, op6_jaccard_join
+from .language_id import op3_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
 
 
 def queries():
     return {
+        "op3_language_id": op3_language_id,
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
         "op6_jaccard_join": op6_jaccard_join,
