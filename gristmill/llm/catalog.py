@@ -7,10 +7,12 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .language_id import op3_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
+from .packing import op1_best_fit_packing
 
 
 def queries():
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op3_language_id": op3_language_id,
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
