@@ -1,6 +1,66 @@
-STAGES = []
+"""A corpus pipeline: five of the training-data operators, one after another, over ``documents``."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.llm.common import Scratch, table
+from gristmill.llm.decontaminate import decontaminate
+from gristmill.llm.jaccard_join import keep_one
+from gristmill.llm.language_id import keep_known
+from gristmill.llm.line_dedup import dedup_lines
+from gristmill.llm.packing import pack_documents
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has no letter, or no language that it resembles, go."""
+    return keep_known(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one; n_chars follows the text."""
+    length = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return dedup_lines(docs).select(*(length if c == "n_chars" else c for c in docs.columns))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of test items go, and documents that are mostly such."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in which sequence."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Language ID and packing are beyond SQL; tests hold the rows against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's rows written and read again."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        before, docs = docs, scratch.write(out)
+        if i:
+            scratch.drop(before)
+    return docs

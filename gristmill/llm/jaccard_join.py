@@ -140,21 +140,22 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def members(docs: DataFrame, words: int, extra: bool = True) -> DataFrame:
-    """doc (null id: below all), n, node (null: no shingles), sketch."""
+    """doc (null id: below all), h (of the text), n, node (null: no shingles), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             n, node, counts = [], [], []
-            for text in as_bytes(batch.column(1)).to_pylist():
+            for text in as_bytes(batch.column(2)).to_pylist():
                 h = shingle(text)
                 n.append(len(h))
                 node.append(set_id(h) if len(h) else None)
                 counts.append(sketch(h) if extra and len(h) else None)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "n", "node", "sketch"])
+            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc", "h", "n", "node", "sketch"])
 
-    return docs.select(doc_key().alias("doc"), "text").mapInArrow(run, "doc long, n long, node long, sketch binary")
+    rows = docs.select(doc_key().alias("doc"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc long, h long, n long, node long, sketch binary")
 
 
 def _index(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -271,20 +272,8 @@ def _possible(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links.
-
-    A document's set holds the distinct shingles of ``words`` white-space words
-    after A-Z are lower-cased; a shorter text is one shingle. Two documents link
-    when 100 * intersection >= ``percent`` * union; component_id is the least
-    doc_id reachable by links. A null or blank text has no shingles, links with
-    nothing and is its own component. A null doc_id counts below all others.
-    Equal sets always link; rows that repeat a doc_id each get a row. ``n_links``
-    counts the links verified for the document's set plus its other copies: a
-    spanning part of all links, enough to join each component.
-    Hashes are 64 bits wide; two sets are taken as equal when theirs are.
-    """
-    scratch = Scratch(docs.sparkSession)
+def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Per row: doc, h, n, node, component (a node), component_doc, n_links; the last four null without shingles."""
     member = scratch.write(members(docs, words))
     reps = scratch.write(
         member.where("node IS NOT NULL")
@@ -334,11 +323,27 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     named = scratch.write(
         by_node.join(least, "component")
         .join(ends, "node", "left")
-        .select("node", "component_doc", (F.col("copies") - 1 + F.coalesce("ends", F.lit(0))).alias("n_links"))
+        .select("node", "component", "component_doc", (F.col("copies") - 1 + F.coalesce("ends", F.lit(0))).alias("n_links"))
     )
-    null = F.lit(-(2**63))
-    real = lambda c: F.when(F.col(c) != null, F.col(c))
-    return member.join(named, "node", "left").select(
+    return member.join(named, "node", "left")
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links.
+
+    A document's set holds the distinct shingles of ``words`` white-space words
+    after A-Z are lower-cased; a shorter text is one shingle. Two documents link
+    when 100 * intersection >= ``percent`` * union; component_id is the least
+    doc_id reachable by links. A null or blank text has no shingles, links with
+    nothing and is its own component. A null doc_id counts below all others.
+    Equal sets always link; rows that repeat a doc_id each get a row. ``n_links``
+    counts the links verified for the document's set plus its other copies: a
+    spanning part of all links, enough to join each component.
+    Hashes are 64 bits wide; two sets are taken as equal when theirs are.
+    """
+    rows = _classes(docs, words, percent, Scratch(docs.sparkSession))
+    real = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
+    return rows.select(
         real("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), real("doc")).otherwise(real("component_doc")).alias("component_id"),
@@ -346,6 +351,28 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     )
 
 
+def keep_one(docs: DataFrame, words: int = 4, percent: int = 85, most_sent: int = 1_000_000) -> DataFrame:
+    """``docs`` less all but one document of each component: the one of least doc_id. Columns stay.
+
+    Rows without shingles stay. Of rows with one doc_id and text one stays. At
+    most ``most_sent`` ids are broadcast; more are taken out by a shuffled join.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    rows = scratch.write(_classes(docs, words, percent, scratch).where("node IS NOT NULL").select("doc", "h", "component"))
+    kept = rows.groupBy("component").agg(F.min(F.struct("doc", "h")).alias("kept"))
+    gone = rows.join(kept, "component").where("kept <> struct(doc, h)").select("doc", "h").distinct()
+    again = rows.groupBy("doc", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "h")
+    gone, again = scratch.write(gone), scratch.write(again)
+    small = lambda df: F.broadcast(df) if df.count() <= most_sent else df
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_key().alias("doc"), F.xxhash64("text").alias("h"))
+    left = keyed.join(small(gone), ["doc", "h"], "left_anti")
+    if again.limit(1).count():
+        once = left.join(small(again), ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"])
+        left = left.join(small(again), ["doc", "h"], "left_anti").unionByName(once)
+    return left.select("row.*")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: its set's size and its component by links of 85 percent."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
