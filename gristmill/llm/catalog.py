@@ -7,6 +7,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .language_id import op3_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
+from .neighbours import op8_neighbours
 from .packing import op1_best_fit_packing
 
 
@@ -17,6 +18,7 @@ def queries():
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
         "op6_jaccard_join": op6_jaccard_join,
+        "op8_neighbours": op8_neighbours,
         "op9_chat_format": op9_chat_format,
     }
 
