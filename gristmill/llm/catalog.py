@@ -9,6 +9,7 @@ from .language_id import op3_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .neighbours import op8_neighbours
 from .packing import op1_best_fit_packing
+from .secrets import op10_secrets
 
 
 def queries():
@@ -20,6 +21,7 @@ def queries():
         "op6_jaccard_join": op6_jaccard_join,
         "op8_neighbours": op8_neighbours,
         "op9_chat_format": op9_chat_format,
+        "op10_secrets": op10_secrets,
     }
 
 
