@@ -9,6 +9,7 @@ from .language_id import op3_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .neighbours import op8_neighbours
 from .packing import op1_best_fit_packing
+from .quality import op7_quality
 from .secrets import op10_secrets
 
 
@@ -19,6 +20,7 @@ def queries():
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_quality": op7_quality,
         "op8_neighbours": op8_neighbours,
         "op9_chat_format": op9_chat_format,
         "op10_secrets": op10_secrets,
