@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Scratch, as_bytes, doc_key, table
 from .components import components
 
-BUCKETS = 64
+BUCKETS = 256
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _RATIO = 1.5
 
@@ -45,29 +45,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Words(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """The sorted distinct hashes of a text's shingles; word hashes are kept from text to text, within a bound."""
 
     def __init__(self, words: int, kept: int = 400_000):
-        self.words, self.kept, self.seen = words, kept, {}
+        self.words, self.kept, self.seen = words, kept, _Words()
+        self.by = [np.uint64(pow(int(_M2), i + 1, 1 << 64)) for i in range(words)]
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").translate(LOWER).split()
-        seen, n, k = self.seen, len(words), self.words
-        if not n:
+        if not words:
             return np.empty(0, np.uint64)
-        new = set(words).difference(seen)
-        if new:
-            if len(seen) + len(new) > self.kept:
-                seen.clear()
-                new = set(words)
-            seen.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        h = np.fromiter(map(seen.__getitem__, words), np.uint64, n)
-        width = min(n, k)
-        out = np.full(n - width + 1, np.uint64(width))
-        for i in range(width):
-            out = mix(out * _STEP + h[i : n - width + 1 + i])
-        return np.unique(out)
+        if len(self.seen) > self.kept:
+            self.seen.clear()
+        h = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+        width = min(len(h), self.words)
+        n = len(h) - width + 1
+        out = h[:n] * self.by[0]
+        for i in range(1, width):
+            out += h[i : n + i] * self.by[i]
+        out = mix(out + np.uint64(width))
+        out.sort()
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -139,23 +146,22 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def members(docs: DataFrame, words: int, extra: bool = True) -> DataFrame:
-    """doc (null id: below all), h (of the text), n, node (null: no shingles), sketch."""
+def members(docs: DataFrame, words: int) -> DataFrame:
+    """doc (null id: below all), h (of the text), n, node (null: no shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            n, node, counts = [], [], []
+            n, node = [], []
             for text in as_bytes(batch.column(2)).to_pylist():
                 h = shingle(text)
                 n.append(len(h))
                 node.append(set_id(h) if len(h) else None)
-                counts.append(sketch(h) if extra and len(h) else None)
-            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc", "h", "n", "node", "sketch"])
+            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc", "h", "n", "node"])
 
     rows = docs.select(doc_key().alias("doc"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc long, h long, n long, node long, sketch binary")
+    return rows.mapInArrow(run, "doc long, h long, n long, node long")
 
 
 def _index(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -207,16 +213,11 @@ def _stars(index: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "entry long, hub long, node long")
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``; the sets are made anew from the texts of the nodes that occur."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(node, h) of ``nodes``: their sets, made anew from the text of one document each."""
     wanted = scratch.write(reps.join(nodes, "node", "left_semi").select("doc", "node"))
-    n = wanted.count()
     texts = docs.select(doc_key().alias("doc"), "text")
-    if n <= 1_000_000:  # 16 bytes each
-        texts = texts.join(F.broadcast(wanted), "doc")
-    else:
-        texts = texts.join(wanted, "doc")
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted, "doc")  # 16 bytes each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -229,8 +230,25 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, pe
                     nodes.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
 
-    sets = scratch.write(texts.select("text", "node").mapInArrow(run, "node long, h array<long>"))
-    sets = sets.dropDuplicates(["node"])
+    return texts.select("text", "node").mapInArrow(run, "node long, h array<long>")
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, n, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.values.to_numpy().view(np.uint64) for x in batch.column(1)]
+            made = [pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["node", "n", "sketch"])
+
+    return sets.mapInArrow(run, "node long, n long, sketch binary")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = scratch.write(_sets(docs, reps, nodes, words, scratch)).dropDuplicates(["node"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, 256):
@@ -278,7 +296,7 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> Dat
     reps = scratch.write(
         member.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"))
     )
     star = scratch.write(_stars(_index(docs, words, percent)))
     # First each node with the hub that it shares most entries with.
@@ -305,10 +323,19 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> Dat
     # Last, within the entries whose nodes are in several components, the pairs across these.
     full = star.select("entry", "node").unionByName(star.select("entry", F.col("hub").alias("node")))
     full = of(full.distinct(), "node", "component")
-    split = full.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    split = scratch.write(split.where("lo <> hi AND size > 2").select("entry"))
+    split = full.groupBy("entry").agg(
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.count(F.lit(1)).alias("size"),
+        *(F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"f{i}") for i in (1, 2)),
+    )
+    # Of entries with the same nodes one is enough.
+    split = split.where("lo <> hi AND size > 2").groupBy("size", "f1", "f2").agg(F.min("entry").alias("entry"))
+    split = scratch.write(split.select("entry"))
     if split.count():
-        rest = full.join(split, "entry", "left_semi").join(reps.select("node", "n", "sketch"), "node")
+        rest = scratch.write(full.join(split, "entry", "left_semi"))
+        nodes = _sets(docs, reps, rest.select("node").distinct(), words, scratch)
+        rest = rest.join(scratch.write(_sketches(nodes).dropDuplicates(["node"])), "node")
         third = rest.groupBy("entry").applyInArrow(_possible(percent), "a long, b long").distinct()
         for known in [first, second] if second is not None else [first]:
             third = third.join(known.select("a", "b"), ["a", "b"], "left_anti")
