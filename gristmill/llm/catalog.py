@@ -11,11 +11,13 @@ from .neighbours import op8_neighbours
 from .packing import op1_best_fit_packing
 from .quality import op7_quality
 from .secrets import op10_secrets
+from .substring_dedup import op2_substring_dedup
 
 
 def queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
