@@ -56,7 +56,7 @@ class _Words(dict):
 class Shingler:
     """The sorted distinct hashes of a text's shingles; word hashes are kept from text to text, within a bound."""
 
-    def __init__(self, words: int, kept: int = 400_000):
+    def __init__(self, words: int, kept: int = 150_000):
         self.words, self.kept, self.seen = words, kept, _Words()
         self.by = [np.uint64(pow(int(_M2), i + 1, 1 << 64)) for i in range(words)]
 

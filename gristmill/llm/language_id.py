@@ -23,13 +23,13 @@ from pyspark.sql import types as T
 from .common import as_bytes, doc_key, map_columns, slices, table
 
 GRAMS = (2, 3, 4)
-_BITS = 22
+_BITS = 20
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANKS = re.compile(rb"[^a-z\x80-\xff]+")
 
 
 class Grams:
-    """Distinct n-grams of a text, as numbers under 2**22, for each n; letters only, blanks as one space."""
+    """Distinct n-grams of a text, as numbers under 2**20, for each n; letters only, blanks as one space."""
 
     def __init__(self):
         self.last = np.zeros(1 << _BITS, np.int32)
@@ -99,7 +99,7 @@ def train(sample: list[tuple[list[np.ndarray], str]], landmarks: int, ridge: flo
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
     features = np.concatenate(
-        [_kernel([g for g, _ in sample[i : i + 256]], columns, scaled) @ whiten for i in range(0, len(sample), 256)]
+        [_kernel([g for g, _ in sample[i : i + 64]], columns, scaled) @ whiten for i in range(0, len(sample), 64)]
     )
     target = np.array([[lang == own for lang in languages] for _, own in sample], float)
     weight = 1 / target.sum(0)[target.argmax(1)]  # each language counts the same
@@ -147,15 +147,16 @@ def fit(
     return train(sample, landmarks, ridge) if sample else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
     """``docs`` (text, anything else) with ``lang_pred`` string and ``score`` double, 0 to 1.
 
     The language of the greatest regression value, ties to the first by name;
     the score is that value, cut to 0..1. ``und`` and 0 where a text is null or
     has no letter, and for all where there was nothing to learn from. Columns of
-    those names are replaced.
+    those names (after ``prefix``) are replaced.
     """
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    lang_name, score_name = f"{prefix}lang_pred", f"{prefix}score"
+    fields = [T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -164,7 +165,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         def fn(texts: pa.Array) -> dict[str, pa.Array]:
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             start = 0
-            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 64):
                 at, found = [], []
                 for i, text in enumerate(part.column(0).to_pylist(), start):
                     if text is not None and m is not None and has_letter(text := text.decode()):
@@ -177,7 +178,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     score[at] = np.clip(values[np.arange(len(at)), best], 0, 1)
                     for i, b in zip(at, best, strict=True):
                         lang[i] = m.languages[b]
-            return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)}
+            return {lang_name: pa.array(lang, pa.string()), score_name: pa.array(score)}
 
         return fn
 
@@ -191,8 +192,8 @@ def held_out():
 
 def keep_known(docs: DataFrame, least: float = 0.1, **bounds) -> DataFrame:
     """The rows of ``docs`` whose text has a language: not ``und``, and a score of ``least`` or more. Columns stay."""
-    found = predict(docs.withColumn("__text", F.col("text")).select(F.struct(*docs.columns).alias("row"), F.col("__text").alias("text")), fit(docs, **bounds))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    found = predict(docs, fit(docs, **bounds), "__")
+    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).drop("__lang_pred", "__score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

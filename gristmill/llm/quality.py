@@ -31,7 +31,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 class Features:
     """Buckets of a text's words and neighbouring pairs; word hashes are kept within a bound."""
 
-    def __init__(self, buckets: int, kept: int = 400_000):
+    def __init__(self, buckets: int, kept: int = 150_000):
         self.buckets, self.kept, self.seen = np.uint64(buckets), kept, {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:
