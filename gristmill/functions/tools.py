@@ -8,12 +8,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fixed import KILOGRAMS, METRES, SCALES
 from .text import format_number
 
 MAX_EXPONENT = 64
-RESULT = "ok boolean, value string, error string"
 
 
 class ToolError(ValueError):
@@ -116,7 +116,12 @@ def safe_eval(expression: str) -> float:
     return value
 
 
-@F.pandas_udf("ok boolean, number double, error string")
+_EVALUATED = T.StructType(
+    [T.StructField("ok", T.BooleanType()), T.StructField("number", T.DoubleType()), T.StructField("error", T.StringType())]
+)
+
+
+@F.pandas_udf(_EVALUATED)
 def evaluated(expressions: pd.Series) -> pd.DataFrame:
     rows = []
     for e in expressions:

@@ -12,6 +12,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokenize
 from .sparse import top_k
@@ -22,12 +23,12 @@ def stable_hash(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big") >> 1
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def stable_hashes(tokens: pd.Series) -> pd.Series:
     return tokens.map(stable_hash)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def memory_slots(tokens: pd.Series) -> pd.Series:
     """Of 256, by the whole hash: the slots of conversational memory."""
     return tokens.map(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") % 256)

@@ -40,7 +40,7 @@ def guarded_rerank(
     """
     none = scores is None or not enabled
     if none:
-        reason = "rerank disabled" if not enabled else "reranker returned no scores"
+        reason = "guard disabled by config" if not enabled else "reranker returned no scores"
         extra = {"spearman": F.lit(0.0), "alpha_eff": F.lit(0.0), "applied": F.lit(False), "reason": F.lit(reason), "final_pos": F.col("pos")}
         return fused.withColumns(extra)
     rows = fused.join(scores, ["query_id", "pos"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
@@ -48,9 +48,9 @@ def guarded_rerank(
     alpha_eff = F.when(F.col("spearman") < 0, F.lit(0.0)).when(F.col("spearman") < floor, F.lit(alpha / 2)).otherwise(F.lit(alpha))
     text = F.format_string("%.3f", "spearman")
     reason = (
-        F.when(F.col("spearman") < 0, F.concat(F.lit("reranker anti-correlated (rho="), text, F.lit("); fused order kept")))
-        .when(F.col("spearman") < floor, F.concat(F.lit("weak correlation (rho="), text, F.lit("); blend weight halved")))
-        .otherwise(F.concat(F.lit("correlated (rho="), text, F.lit("); blended")))
+        F.when(F.col("spearman") < 0, F.concat(F.lit("reranker anti-correlated (rho="), text, F.lit("); ignored")))
+        .when(F.col("spearman") < floor, F.concat(F.lit("weak agreement (rho="), text, F.lit(f" < {floor}); alpha halved")))
+        .otherwise(F.concat(F.lit("reranker agrees with retriever (rho="), text, F.lit("); blended")))
     )
     rows = rows.join(rho, "query_id").withColumns({"alpha_eff": alpha_eff, "reason": reason})
     rows = rows.withColumns({"norm_f": minmax("score"), "norm_r": minmax("rerank_score")})

@@ -1,0 +1,53 @@
+"""Structured Streaming: continuous ingest and keyed conversation memory."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.memory import Transcript
+from ..plans.engine import Engine
+
+
+def continuous_ingest(docs: DataFrame, engine: Engine, checkpoint: str, **trigger) -> StreamingQuery:
+    """Each micro-batch of a stream (doc_id, text) goes into the engine, newer revisions in the place of older ones."""
+
+    def take(batch: DataFrame, _: int) -> None:
+        engine.ingest(batch.dropDuplicates(["doc_id"]))
+
+    return docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def conversation_memory(turns: DataFrame, budget: int = 1024) -> DataFrame:
+    """(conv_id, kept, evicted, tokens, summary) after each micro-batch of a stream (conv_id, turn, role, text)."""
+    state_schema = "roles array<string>, texts array<string>, summary string, evicted long"
+    out_schema = "conv_id long, kept long, evicted long, tokens long, summary string"
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory = Transcript(budget)
+        if state.exists:
+            roles, texts, memory.summary, evicted = state.get
+            for role, text in zip(roles, texts, strict=True):
+                memory.append(role, text)
+            memory.evicted = evicted
+        for frame in frames:
+            for row in frame.sort_values("turn").itertuples():
+                memory.append(row.role or "", row.text or "")
+        roles, texts = [r for r, _, _ in memory.turns], [t for _, t, _ in memory.turns]
+        state.update((roles, texts, memory.summary, memory.evicted))
+        yield pd.DataFrame(
+            [(key[0], len(roles), memory.evicted, memory.tokens(), memory.summary)], columns=["conv_id", "kept", "evicted", "tokens", "summary"]
+        )
+
+    return turns.groupBy("conv_id").applyInPandasWithState(update, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
+
+
+def windowed_latencies(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """(window, key, n, total) of timed events (ts, key, ms), closed once the watermark has passed."""
+    by = [F.window("ts", width), "key"]
+    return events.withWatermark("ts", late).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total"))
