@@ -1,11 +1,493 @@
-"""The engine's registered queries and their DuckDB oracles."""
+"""The engine's registered queries. Their DuckDB oracles are in ``oracles``.
+
+Documents stand in for chunks where a query is about retrieval: one chunk a
+document, ``chunk_id = doc_id#0``, and the benchmark items are the questions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import routing, text, tools
+from ..operators import chunking, dense, evaluate, expansion, fusion, grounding, memory, reader, rerank, sparse
+from ..sources.corpus import not_blank, replace_revisions
+from .engine import validate
+from .oracles import EXPANSION_QUESTIONS, MIXED_TEXTS, ORACLES, RAW_OUTPUTS, ROUTED
+
+K = 6
+_found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _found[fn.__name__] = fn
+    return fn
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_found)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"), "text")
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+
+
+def inline(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+
+
+def bm25(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
+    """Scores rounded to 6 digits before ranking, so that both engines rank alike."""
+    scored = sparse.scores(chunks(spark, sf), questions(spark, sf))
+    return sparse.top_k(scored.select("query_id", "chunk_id", F.round("score", 6).alias("score")).where("score > 0"), k)
+
+
+def overlaps(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
+    """A second ranked list: by the share of the question's distinct tokens that a chunk holds."""
+    q = sparse.query_terms(questions(spark, sf))
+    sizes = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = sparse.postings(chunks(spark, sf), q).join(q, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hit"))
+    scored = rows.join(sizes, "query_id").select("query_id", "chunk_id", F.round(F.col("hit") / F.col("n"), 6).alias("score"))
+    return sparse.top_k(scored, k)
+
+
+# -- text ------------------------------------------------------------------------------
+
+
+@query
+def tokenize_stats(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.get("t", F.lit(0)).alias("first_token"))
+
+
+@query
+def token_df(spark, sf):
+    rows = sparse.postings(chunks(spark, sf))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def tokenize_inline(spark, sf):
+    return inline(spark, MIXED_TEXTS).select("id", F.concat_ws("|", text.tokenize("text")).alias("tokens"))
+
+
+@query
+def sentence_split_counts(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", text.sentences("text").alias("s"))
+    size = F.aggregate("s", F.lit(0), lambda n, x: n + F.length(x))
+    return rows.select("doc_id", F.size("s").alias("n_sentences"), size.alias("n_chars"))
+
+
+@query
+def jaccard_pairs(spark, sf):
+    sets = read(spark, sf, "documents").select("doc_id", text.token_set("text").alias("a"))
+    other = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    rows = sets.join(other, "doc_id")
+    return rows.select(
+        "doc_id",
+        F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"),
+        F.round(text.overlap_coefficient(F.col("a"), F.col("b")), 6).alias("overlap"),
+    )
+
+
+@query
+def normalised_text(spark, sf):
+    flat = text.normalise_ws("text")
+    return read(spark, sf, "documents").select("doc_id", F.length(flat).alias("n"), F.md5(flat).alias("digest"))
+
+
+@query
+def content_token_counts(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", text.content_tokens(text.strip_citations("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_content"))
+
+
+@query
+def best_excerpts(spark, sf):
+    hits = bm25(spark, sf).where("rank = 1").join(chunks(spark, sf), "chunk_id")
+    asked = questions(spark, sf).select("query_id", F.col("text").alias("question"))
+    return hits.join(asked, "query_id").select("query_id", "chunk_id", text.best_excerpt("question", "text", 160).alias("excerpt"))
+
+
+@query
+def approx_token_counts(spark, sf):
+    rows = read(spark, sf, "conversations").groupBy("conv_id")
+    return rows.agg(F.sum(text.approx_tokens("text")).alias("tokens"))
+
+
+@query
+def stream_slices(spark, sf):
+    return questions(spark, sf).select("query_id", F.posexplode(text.slices("text", 24)).alias("at", "piece"))
+
+
+@query
+def pictograph_scan(spark, sf):
+    rows = inline(spark, MIXED_TEXTS).select(F.concat(F.lit("inline-"), F.col("id").cast("string")).alias("key"), "text")
+    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
+    pages = read(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("key"), F.col("html").alias("text"))
+    lines = rows.unionByName(docs).unionByName(pages).select("key", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("key", (F.col("line") + 1).alias("line"), text.pictographs("text").alias("n")).where("n > 0")
+
+
+@query
+def number_formats(spark, sf):
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 8).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", text.format_number("v").alias("shown"))
+
+
+# -- sparse index ------------------------------------------------------------------------
+
+
+@query
+def bm25_topk(spark, sf):
+    return bm25(spark, sf).select("query_id", "chunk_id", "score", "rank")
+
+
+@query
+def bm25_stats(spark, sf):
+    return sparse.corpus_stats(chunks(spark, sf)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query
+def bm25_idf(spark, sf):
+    df = sparse.term_stats(sparse.postings(chunks(spark, sf)))
+    rows = df.join(F.broadcast(sparse.corpus_stats(chunks(spark, sf))))
+    return rows.select("term", F.round(sparse.robertson_idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
+
+
+@query
+def posting_lists(spark, sf):
+    rows = sparse.postings(chunks(spark, sf))
+    return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
+
+
+# -- dense index -------------------------------------------------------------------------
+
+
+def _centroids(vectors: DataFrame) -> DataFrame:
+    rows = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = rows.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"])
+    return means.groupBy("label").agg(ordered.alias("vec")).select(F.col("label").cast("string").alias("query_id"), "vec")
+
+
+def _near(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    vectors = read(spark, sf, "embeddings")
+    rows = vectors.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return dense.knn(rows, _centroids(vectors), k, digits=6)
+
+
+@query
+def dense_topk(spark, sf):
+    return _near(spark, sf, K).select("query_id", "chunk_id", "score", "rank")
+
+
+@query
+def vector_memory_recall(spark, sf):
+    return _near(spark, sf, 3).select("query_id", "chunk_id", "rank")
+
+
+@query
+def cosine_to_label(spark, sf):
+    vectors = read(spark, sf, "embeddings")
+    rows = vectors.join(F.broadcast(_centroids(vectors)), F.col("label").cast("string") == F.col("query_id"))
+    return rows.select("vec_id", F.round(dense.cosine(F.col("embedding").cast("array<double>"), F.col("vec")), 6).alias("cosine"))
+
+
+@query
+def vector_upsert(spark, sf):
+    rows = read(spark, sf, "embeddings").select("vec_id", "label")
+    newer = rows.where("label = 3").withColumn("label", F.lit(30))
+    return dense.upsert(rows, newer, "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def hash_embed_norm(spark, sf):
+    docs = read(spark, sf, "documents")
+    norms = dense.hashed_vectors(docs, "doc_id").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))
+    return docs.select("doc_id").join(norms, "doc_id", "left").select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
+
+
+@query
+def hash_embed_search(spark, sf):
+    vectors = dense.hashed_vectors(chunks(spark, sf), "chunk_id")
+    return dense.search(vectors, dense.hashed_vectors(questions(spark, sf), "query_id"), K)
+
+
+# -- fusion and reranking ------------------------------------------------------------------
+
+
+def _fused(spark: SparkSession, sf: str, weights: dict[str, float] | None = None) -> DataFrame:
+    lists = [("dense", overlaps(spark, sf)), ("sparse", bm25(spark, sf))]
+    return fusion.reciprocal_rank_fusion(lists, weights=weights, top_k=2 * K)
+
+
+def _named(fused: DataFrame, *more: str) -> DataFrame:
+    listed = F.concat_ws(",", F.transform(F.array_sort(F.map_entries("ranks")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))))
+    return fused.select("query_id", "chunk_id", F.round("score", 6).alias("score"), listed.alias("ranks"), F.concat_ws(",", "sources").alias("sources"), *more)
+
+
+@query
+def rrf_fuse(spark, sf):
+    return _named(_fused(spark, sf), "pos")
+
+
+@query
+def rrf_weighted(spark, sf):
+    return _named(_fused(spark, sf, {"dense": 5.0, "sparse": 0.1}), "pos")
+
+
+@query
+def minmax_norm(spark, sf):
+    return bm25(spark, sf).select("query_id", "chunk_id", F.round(fusion.minmax("score"), 6).alias("norm"))
+
+
+def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    fused = _fused(spark, sf)
+    rows = fused.select("query_id", "chunk_id", "pos").join(chunks(spark, sf), "chunk_id")
+    scores = rerank.lexical_rerank(questions(spark, sf), rows.select("query_id", "pos", "text"))
+    return fused, scores.select("query_id", "pos", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query
+def lexical_rerank(spark, sf):
+    return _candidates(spark, sf)[1]
+
+
+@query
+def spearman_guard(spark, sf):
+    fused, scores = _candidates(spark, sf)
+    rows = fused.join(scores, ["query_id", "pos"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
+    return fusion.spearman(rows, "score", "rerank_score").select("query_id", "n", F.round("spearman", 6).alias("spearman"))
+
+
+@query
+def guarded_rerank(spark, sf):
+    fused, scores = _candidates(spark, sf)
+    rows = rerank.guarded_rerank(fused, scores)
+    return rows.select("query_id", "chunk_id", "pos", "final_pos", "alpha_eff", "applied", F.round("score", 6).alias("score"))
+
+
+@query
+def naive_rerank(spark, sf):
+    fused, scores = _candidates(spark, sf)
+    return rerank.naive_rerank(fused, scores).select("query_id", "chunk_id", "pos", "final_pos")
+
+
+@query
+def expand_queries(spark, sf):
+    rows = inline(spark, EXPANSION_QUESTIONS).select("id", expansion.expand(F.col("text")).alias("e"))
+    return rows.select("id", F.concat_ws("|", "e.terms").alias("terms"), F.concat_ws("|", "e.matched").alias("matched"), "e.query")
+
+
+# -- chunking --------------------------------------------------------------------------------
+
+
+@query
+def chunk_coverage(spark, sf):
+    """Chunks that are not blank cover all but white space: characters, first start and last end by document."""
+    rows = chunking.chunk_documents(read(spark, sf, "documents").select("doc_id", "text"))
+    out = rows.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.min("start").alias("first"), F.max("end").alias("last"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_chars", "first", "last")
+
+
+@query
+def chunk_table(spark, sf):
+    rows = chunking.chunk_documents(read(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("chunk_id", "ordinal", "start", "end", "heading", F.length("text").alias("n"))
+
+
+@query
+def chunk_gaps(spark, sf):
+    """Spans that don't begin where the one before ended: none."""
+    rows = chunking.chunk_documents(read(spark, sf, "documents").select("doc_id", "text"))
+    after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("ordinal"))
+    return rows.withColumn("next", after).where("next IS NOT NULL AND next <> `end`").select("chunk_id", "end", "next")
+
+
+@query
+def hard_windows(spark, sf):
+    return chunking.hard_windows(read(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def reingest_anti(spark, sf):
+    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    newer = docs.where("length(text) < 500").select("doc_id", F.concat(F.lit("new: "), "text").alias("text"))
+    merged = replace_revisions(docs, newer)
+    return merged.select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@query
+def blank_documents(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", F.when(F.length("text") < 200, F.lit(" \n\t ")).otherwise(F.col("text")).alias("text"))
+    return not_blank(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+
+
+# -- routing and tools -------------------------------------------------------------------------
+
+
+@query
+def route_kinds(spark, sf):
+    line = read(spark, sf, "lineitem").select(
+        F.concat(F.lit("calculate "), F.col("l_quantity").cast("int").cast("string"), F.lit(" * ("), F.col("l_linenumber").cast("string"), F.lit(" + 2)")).alias("text")
+    )
+    part = read(spark, sf, "part").select(F.concat(F.col("p_size").cast("string"), F.lit(" ft to cm")).alias("text"))
+    orders = read(spark, sf, "orders").select(
+        F.concat(F.lit("days between "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" and "), F.date_format(F.date_add("o_orderdate", 40), "yyyy/MM/dd")).alias("text")
+    )
+    items = read(spark, sf, "benchmark").select(F.regexp_replace("text", r"[0-9=]|to", "").alias("text"))
+    rows = line.unionByName(part).unionByName(orders).unionByName(items)
+    return rows.select(routing.route(F.col("text"))["kind"].alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def routes_inline(spark, sf):
+    rows = inline(spark, [q for q, _, _ in ROUTED]).select("id", routing.route(F.col("text")).alias("r"))
+    return rows.select("id", "r.kind", "r.payload")
+
+
+@query
+def calc_lineitem(spark, sf):
+    rows = read(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        tools.calculator(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("*("), F.col("l_linenumber").cast("string"), F.lit("+7)-2^3"))).alias("r"),
+    )
+    return rows.select("l_orderkey", "l_linenumber", "r.ok", "r.value")
+
+
+@query
+def unit_part(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", tools.unit_tool(F.concat(F.col("p_size").cast("string"), F.lit(" km m"))).alias("r"))
+    return rows.select("p_partkey", "r.ok", "r.value")
+
+
+@query
+def date_diff_orders(spark, sf):
+    rows = read(spark, sf, "orders").join(read(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    payload = F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("l_shipdate", "yyyy/MM/dd"))
+    rows = rows.select("l_orderkey", "l_linenumber", tools.date_tool(payload).alias("r"))
+    return rows.select("l_orderkey", "l_linenumber", "r.ok", "r.value")
+
+
+@query
+def query_validation(spark, sf):
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    return validate(rows).select("query_id", "valid")
+
+
+# -- reading and grounding ------------------------------------------------------------------------
+
+
+@query
+def grounding_support(spark, sf):
+    hits = bm25(spark, sf).where("rank <= 2").join(chunks(spark, sf), "chunk_id").select("query_id", "text")
+    rows = grounding.verify(questions(spark, sf), hits, 0.6)
+    return rows.select("query_id", "checked", "supported", F.round("support_rate", 6).alias("support_rate"))
+
+
+@query
+def extract_best_sentence(spark, sf):
+    pool = bm25(spark, sf).join(chunks(spark, sf), "chunk_id").select("query_id", F.col("rank").alias("place"), "chunk_id", "text")
+    best = reader.best_sentences(questions(spark, sf), pool)
+    return best.select("query_id", "chunk_id", "sentence", F.round("score", 6).alias("score"), reader.answer_text(F.col("sentence"), F.col("chunk_id")).alias("answer"))
+
+
+@query
+def evidence_blocks(spark, sf):
+    hits = bm25(spark, sf).join(chunks(spark, sf), "chunk_id").select("query_id", "rank", "chunk_id", "text")
+    return reader.render_evidence(hits).select("query_id", F.length("block").alias("n"), F.md5("block").alias("digest"))
+
+
+@query
+def parsed_outputs(spark, sf):
+    rows = inline(spark, [t for t, *_ in RAW_OUTPUTS])
+    action = reader.parse_action(F.col("text"))
+    return rows.select("id", action["tool"].alias("tool"), action["payload"].alias("payload"), reader.parse_final(F.col("text")).alias("final"))
+
+
+@query
+def ask_benchmark(spark, sf):
+    """The whole path over all documents: ingest, route, retrieve, read, ground."""
+    from .engine import Engine
+
+    engine = Engine(spark)
+    engine.ingest(read(spark, sf, "documents").select("doc_id", "text"))
+    rows = engine.ask(questions(spark, sf))
+    return rows.select("query_id", "route", "steps", "answer", F.size("citations").alias("n_citations"), F.round("support_rate", 6).alias("support_rate"))
+
+
+# -- memory ---------------------------------------------------------------------------------------
+
+
+@query
+def conversation_compaction(spark, sf):
+    rows = memory.compact(read(spark, sf, "conversations"), 256)
+    return rows.select("conv_id", "n_turns", "kept", "evicted", "tokens", F.md5("summary").alias("summary_digest"))
+
+
+# -- metrics ---------------------------------------------------------------------------------------
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that hold an item's text as it is; the items go to all documents (a stated set, a block at a time)."""
+    rows = chunks(spark, sf)
+    asked = questions(spark, sf).select("query_id", F.col("text").alias("item"))
+    n = asked.count()
+    parts = max(1, -(-n // 2000))
+    found = None
+    for i in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else asked
+        hits = rows.join(F.broadcast(own), F.contains(F.col("text"), F.col("item"))).select("query_id", F.col("chunk_id").alias("id"))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+@query
+def eval_ranking(spark, sf):
+    hits = bm25(spark, sf).select("query_id", F.col("chunk_id").alias("id"), "rank")
+    rows = evaluate.ranking_metrics(hits, _truth(spark, sf), questions(spark, sf), K)
+    return rows.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank", "ndcg")))
+
+
+@query
+def eval_documents(spark, sf):
+    hits = bm25(spark, sf).select("query_id", F.element_at(F.split("chunk_id", "#"), 1).alias("doc_id"), "rank")
+    docs = _truth(spark, sf).select("query_id", F.element_at(F.split("id", "#"), 1).alias("doc_id"))
+    rows = evaluate.document_metrics(hits, docs, questions(spark, sf), K)
+    return rows.select("query_id", "doc_hit", F.round("doc_rr", 6).alias("doc_rr"))
+
+
+@query
+def latency_percentiles(spark, sf):
+    rows = read(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.col("value").alias("ms"))
+    out = evaluate.latency_summary(rows)
+    return out.select("key", "n", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "max")))
+
 
-def queries():
-    return {}
+@query
+def counters(spark, sf):
+    rows = read(spark, sf, "events").select(F.col("event_type").alias("key"), F.lit(1).cast("double").alias("value"))
+    return evaluate.counters(rows)
 
 
-def oracle_sql():
-    return {}
+@query
+def corpus_counts(spark, sf):
+    docs = read(spark, sf, "documents")
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_distinct("lang").alias("n_langs"), F.sum(F.length("text")).alias("n_chars"))
