@@ -38,7 +38,7 @@ ROUTED = [
     ("5 kg to kg", "retrieve", ""),
     ("1500 m to km 换算成多少？", "unit", "1500 m km"),
     ("2026-01-01 到 2026-09-24 相差多少天？", "date", "2026-01-01 2026-09-24"),
-    ("2026-01-01 2026-09-24", "retrieve", ""),
+    ("2026-01-01 和 2026-09-24", "retrieve", ""),
 ]
 
 #: (text, tool, payload, final)
