@@ -72,54 +72,76 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def _p_values(body: Column, n: Column, name: str) -> list[Column]:
-    """Of the three tests of a token of ``n`` symbols against alphabet ``name``."""
-    alphabet, size = ENCODINGS[name], SYMBOLS[name]
-    text = F.translate(body, "-_", "+/")
-    symbols = alphabet[:size]
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is made once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _translate(text: Column, old: Column, new: Column) -> Column:
+    return F.call_function("translate", text, old, new)
+
+
+def _encoding(body: Column) -> Column:
+    """(name, symbols, size, halves): the first encoding whose alphabet holds all characters."""
+    out = None
+    for name, alphabet in ENCODINGS.items():
+        size = SYMBOLS[name]
+        halves = "0" * (size // 2) + "1" * (size - size // 2)
+        made = F.struct(F.lit(name).alias("name"), F.lit(alphabet[:size]).alias("symbols"), F.lit(size).alias("size"), F.lit(halves).alias("halves"))
+        fits = F.translate(body, alphabet, "") == ""
+        out = F.when(fits, made) if out is None else out.when(fits, made)
+    return out
+
+
+def _p_values(text: Column, n: Column, enc: Column) -> list[Column]:
+    """Of the three tests of a token of ``n`` symbols."""
     count = lambda s, part: (F.length(s) - F.length(F.replace(s, F.lit(part), F.lit("")))) / len(part)
+    symbols, size = enc["symbols"], enc["size"].cast("double")
     squares = F.aggregate(
-        F.array(*(F.lit(c) for c in symbols)),
-        F.lit(0.0),
-        lambda total, c: total + F.pow(F.length(text) - F.length(F.replace(text, c, F.lit(""))), 2),
+        F.split(symbols, ""), F.lit(0.0), lambda total, c: total + F.pow(n - F.length(F.replace(text, c, F.lit(""))), F.lit(2))
     )
-    df = size - 1
-    chi = squares * size / n - n
-    cube = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, 1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
-    bits = F.translate(text, symbols, "0" * (size // 2) + "1" * (size - size // 2))
-    ones = count(bits, "1")
-    zeros = n - ones
-    runs = 1 + count(bits, "01") + count(bits, "10")
-    mean = 1 + 2 * ones * zeros / n
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    run_p = F.when(var <= 0, F.lit(1e-12)).otherwise(2 * _tail(F.abs((runs - mean) / F.sqrt(F.greatest(var, F.lit(1e-9))))))
-    x = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(symbols), c).cast("double"))
-    fold = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
-    mid, spread = (size + 1) / 2, (size * size - 1) / 12
-    length = F.length(text)
-    lagged = F.zip_with(F.slice(x, 1, length - 1), F.slice(x, 2, length - 1), lambda a, b: (a - mid) * (b - mid))
-    serial = fold(lagged, lambda v: v) / spread / F.sqrt(n - 1)
-    return [_tail(cube), run_p, 2 * _tail(F.abs(serial))]
+    spread = 2 / (9 * (size - 1))
+    chi = _let(squares * size / n - n, lambda x: (F.pow(F.greatest(x, F.lit(1e-9)) / (size - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+
+    def runs(bits: Column) -> Column:
+        ones = count(bits, "1")
+        mean = 1 + 2 * ones * (n - ones) / n
+        found = 1 + count(bits, "01") + count(bits, "10")
+        return _let(
+            F.struct(mean.alias("mean"), found.alias("found")),
+            lambda r: _let(
+                (r["mean"] - 1) * (r["mean"] - 2) / (n - 1),
+                lambda var: F.when(var <= 0, F.lit(1e-12)).otherwise(2 * _tail(F.abs((r["found"] - r["mean"]) / F.sqrt(F.greatest(var, F.lit(1e-9)))))),
+            ),
+        )
+
+    def serial(x: Column) -> Column:
+        pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: a * b)
+        return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / ((size * size - 1) / 12) / F.sqrt(n - 1)
+
+    x = F.transform(F.split(text, ""), lambda c: F.instr(symbols, c) - (size + 1) / 2)
+    return [
+        _let(chi, _tail),
+        _let(_translate(text, symbols, enc["halves"]), runs),
+        _let(_let(x, serial), lambda z: 2 * _tail(F.abs(z))),
+    ]
 
 
 def _tested(token: Column) -> Column:
     """(stratum, bin): encoding and length band, and -10 log10 of the combined p-value, rounded down."""
-    body = F.regexp_replace(token, "=+$", "")
-    n = F.length(body).cast("double")
-    within = {name: F.translate(body, alphabet, "") == "" for name, alphabet in ENCODINGS.items()}
-    band = reduce(lambda a, b: a + b, ((n >= x).cast("int") for x in LENGTHS))
-
-    def combined(name: str) -> Column:
-        half = reduce(lambda a, b: a + b, (-F.log(F.greatest(p, F.lit(1e-30))) for p in _p_values(body, n, name)))
-        p = F.exp(-half) * (1 + half + half * half / 2)
+
+    def combined(body: Column, enc: Column) -> Column:
+        n = F.length(body).cast("double")
+        band = reduce(lambda a, b: a + b, ((n >= x).cast("int") for x in LENGTHS))
+        logs = F.transform(F.array(*_p_values(F.translate(body, "-_", "+/"), n, enc)), lambda p: -F.log(F.greatest(p, F.lit(1e-30))))
+        half = F.aggregate(logs, F.lit(0.0), lambda s, v: s + v)
+        p = _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
         level = F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-40)))).cast("int")
-        return F.struct(F.concat(F.lit(f"{name}:"), band.cast("string")).alias("stratum"), F.least(F.lit(TOP_BIN), F.greatest(F.lit(0), level)).alias("bin"))
+        return F.struct(
+            F.concat(enc["name"], F.lit(":"), band.cast("string")).alias("stratum"), F.least(F.lit(TOP_BIN), F.greatest(F.lit(0), level)).alias("bin")
+        )
 
-    names = list(ENCODINGS)
-    out = F.when(within[names[0]], combined(names[0]))
-    for name in names[1:]:
-        out = out.when(within[name], combined(name))
-    return out
+    return _let(F.regexp_replace(token, "=+$", ""), lambda body: _let(_encoding(body), lambda enc: combined(body, enc)))
 
 
 def _not_random(tested: DataFrame, level: float) -> DataFrame:
