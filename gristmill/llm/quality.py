@@ -47,21 +47,26 @@ class Features:
         return (np.concatenate([h, pairs ^ (pairs >> np.uint64(29))]) % self.buckets).astype(np.int64)
 
 
-def _counts(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Counts by bucket over all rows: one array a task, added up bucket by bucket."""
+def _counts(docs: DataFrame, good: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by bucket over the good rows, and over all: one pair of arrays a task, added up bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total = Features(buckets), np.zeros(buckets, np.int64)
+        features, total = Features(buckets), np.zeros((2, buckets), np.int64)
         for batch in batches:
-            for text in as_bytes(batch.column(0)).to_pylist():
-                total += np.bincount(features(text), minlength=buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-    out = np.zeros(buckets, np.int64)
-    for r in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
-    return out
+            for text, own in zip(as_bytes(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = np.bincount(features(text), minlength=buckets)
+                total[1] += n
+                if own:
+                    total[0] += n
+        at = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], ["bucket", "good", "n"])
+
+    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("good", F.lit(True))), "doc_id", "left")
+    rows = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(run, "bucket long, good long, n long")
+    out = np.zeros((2, buckets), np.int64)
+    for r in rows.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect():
+        out[:, r.bucket] = r.good, r.n
+    return out[0], out[1]
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
@@ -76,7 +81,12 @@ def _gumbel():
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, fraction: float | None = None, sharpness: float = 40.0, buckets: int = 1 << 15
+    docs: DataFrame,
+    labels: DataFrame,
+    fraction: float | None = None,
+    sharpness: float = 40.0,
+    buckets: int = 1 << 15,
+    most_labels: int = 500_000,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_grams, log_weight, sampling_key, selected.
 
@@ -86,7 +96,9 @@ def resample(
     rows that have a weight, rounded; unless given, that is the share of good ones
     among the labels, so that as much is kept as is thought good. Where keys tie at the
     cut, smaller ids go first. Without good labels all ratios are 0 and the sample
-    is uniform. Repeated rows have one key, and each counts.
+    is uniform. Repeated rows have one key, and each counts. The target is learned
+    from ``most_labels`` good documents at most, by a hash of the id; the raw model
+    from all documents.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -95,8 +107,11 @@ def resample(
     shares = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good")).first()
     if fraction is None:
         fraction = shares.good / shares.n if shares.good else 1.0
-    good = docs.join(judged.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    ratio = spark.sparkContext.broadcast(log_ratio(_counts(good, buckets), _counts(docs, buckets)) if shares.good else np.zeros(buckets))
+    good = judged.where("quality = 1").select("doc_id")
+    if shares.good > most_labels:
+        good = good.orderBy(F.xxhash64(F.lit("target"), "doc_id"), "doc_id").limit(most_labels)
+    target, raw = _counts(docs, good, buckets)
+    ratio = spark.sparkContext.broadcast(log_ratio(target, raw) if shares.good else np.zeros(buckets))
     fields = [T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())]
 
     def make():
