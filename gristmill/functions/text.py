@@ -116,7 +116,10 @@ def is_claim(sentence: Column | str) -> Column:
 
 
 def format_number(value: Column | str) -> Column:
-    """Whole numbers (within 1e-9) without a point, others with ten significant digits and no idle zeros."""
+    """Whole numbers (within 1e-9) without a point, others with ten significant digits and no idle zeros.
+
+    Whole numbers are exact to seventeen digits.
+    """
     v = _col(value)
     whole = F.abs(v - F.rint(v)) < 1e-9
     exponent = F.floor(F.log10(F.abs(F.when(whole, F.lit(1.0)).otherwise(v))))

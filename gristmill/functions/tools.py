@@ -117,19 +117,24 @@ def safe_eval(expression: str) -> float:
 
 
 _EVALUATED = T.StructType(
-    [T.StructField("ok", T.BooleanType()), T.StructField("number", T.DoubleType()), T.StructField("error", T.StringType())]
+    [T.StructField("ok", T.BooleanType()), T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]
 )
 
 
+def shown(value: float) -> str:
+    """As ``format_number``, for whole numbers of any size."""
+    return str(round(value)) if abs(value - round(value)) < 1e-9 else f"{value:.10g}"
+
+
 @F.pandas_udf(_EVALUATED)
 def evaluated(expressions: pd.Series) -> pd.DataFrame:
     rows = []
     for e in expressions:
         try:
-            rows.append((True, safe_eval(e), ""))
+            rows.append((True, shown(safe_eval(e)), ""))
         except (ToolError, RecursionError) as error:
-            rows.append((False, None, str(error)))
-    return pd.DataFrame(rows, columns=["ok", "number", "error"])
+            rows.append((False, "", str(error)))
+    return pd.DataFrame(rows, columns=["ok", "value", "error"])
 
 
 def _result(ok: Column, value: Column, error: Column) -> Column:
@@ -140,8 +145,7 @@ def _result(ok: Column, value: Column, error: Column) -> Column:
 
 
 def calculator(payload: Column) -> Column:
-    r = evaluated(payload)
-    return _result(r["ok"], format_number(r["number"]), r["error"])
+    return evaluated(payload)
 
 
 def _lookup(table: dict, key: Column) -> Column:

@@ -19,6 +19,7 @@ from ..operators import chunking, dense, evaluate, fusion, grounding, reader, re
 from ..operators.expansion import expand
 from ..schemas import DOCUMENT, Settings
 from ..sources.corpus import from_mapping, not_blank, read_texts, replace_revisions
+from .steps import Steps
 
 
 
@@ -28,7 +29,7 @@ class Engine:
     def __init__(self, spark: SparkSession, settings: Settings | None = None, rerank_with: rerank.Reranker | None = None):
         self.spark, self.settings = spark, settings or Settings.from_conf(spark)
         self.rerank_with = rerank_with
-        self.documents = self.chunks = self.vectors = None
+        self._tables, self._steps = None, Steps(spark)
         self.reset()
 
     # -- corpus ---------------------------------------------------------------
@@ -51,14 +52,16 @@ class Engine:
         return self.stats()
 
     def _build(self, docs: DataFrame) -> None:
-        s, before = self.settings, [self.documents, self.chunks, self.vectors]
-        self.documents = docs.persist()
-        self.chunks = chunking.chunk_documents(self.documents, s.chunk_size, s.overlap).persist()
-        self.vectors = dense.hashed_vectors(self.chunks, "chunk_id", s.dim).persist()
-        if before[0] is not None:
-            self.documents.count()  # before the revision that it was made from goes
-            for df in before:
-                df.unpersist()
+        s, before, self._tables = self.settings, self._tables, Steps(self.spark)
+        self.documents = self._tables.cut(docs)
+        self.chunks = self._tables.cut(chunking.chunk_documents(self.documents, s.chunk_size, s.overlap))
+        self.vectors = self._tables.cut(dense.hashed_vectors(self.chunks, "chunk_id", s.dim))
+        if before:
+            before.drop()
+
+    def release(self) -> None:
+        """Drops the tables that answers so far were made from; results not yet read go with them."""
+        self._steps.drop()
 
     def stats(self) -> dict:
         row = self.chunks.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
@@ -69,15 +72,17 @@ class Engine:
         """(query_id, rank, chunk_id, score, ranks, sources, spearman, alpha_eff, applied, reason, text, doc_id)."""
         s = self.settings
         k = max(1, k or s.top_k)
+        queries = self._steps.cut(queries.select("query_id", "text"))
         near = dense.search(self.vectors, dense.hashed_vectors(queries, "query_id", s.dim), k)
         widened = queries.select("query_id", expand(F.col("text"), s.max_expansions)["query"].alias("text"))
         found = sparse.search(self.chunks, widened, k, s.k1, s.b)
-        fused = fusion.reciprocal_rank_fusion([("dense", near), ("sparse", found)], s.rrf_k, top_k=2 * k)
+        fused = self._steps.cut(fusion.reciprocal_rank_fusion([("dense", near), ("sparse", found)], s.rrf_k, top_k=2 * k))
         texts = self.chunks.select("chunk_id", "doc_id", "text")
         candidates = fused.join(texts, "chunk_id", "left").select("query_id", "pos", F.coalesce("text", F.lit("")).alias("text"))
         scores = None
         if s.rerank:
             scores = self.rerank_with(queries, candidates) if self.rerank_with else rerank.lexical_rerank(queries, candidates, s.rerank_cut)
+            scores = self._steps.cut(scores)
         ranked = rerank.guarded_rerank(fused, scores, s.guard_alpha, s.spearman_floor, s.rerank)
         top = ranked.where(F.col("final_pos") <= k).withColumnRenamed("final_pos", "rank").drop("pos")
         return top.join(texts, "chunk_id")
@@ -86,9 +91,8 @@ class Engine:
     def ask(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, question, answer, citations, route, steps, trace, support_rate, checked, supported, unsupported)."""
         s = self.settings
-        routed = queries.select("query_id", "text", route(F.col("text"), s.deterministic).alias("r")).select("query_id", "text", "r.*")
-        # The UDF would run once for each field taken from it: so one row of results first.
-        tools = routed.where("kind <> 'retrieve'").withColumn("result", invoke(F.col("tool"), F.col("payload")))
+        routed = self._steps.cut(queries.select("query_id", "text", route(F.col("text"), s.deterministic).alias("r"))).select("query_id", "text", "r.*")
+        tools = self._steps.cut(routed.where("kind <> 'retrieve'").withColumn("result", invoke(F.col("tool"), F.col("payload"))))
         ok, value, error = (F.col(f"result.{c}") for c in ("ok", "value", "error"))
         asked = F.regexp_replace(strip("text"), "[？?]+$", "")
         note = F.when(ok, F.concat(F.lit("deterministic route: "), "tool", F.lit("["), "payload", F.lit("] -> "), value))
@@ -111,17 +115,18 @@ class Engine:
 
     def _read(self, queries: DataFrame, k: int | None) -> DataFrame:
         s = self.settings
-        hits = self.retrieve(queries, k).persist()
+        hits = self._steps.cut(self.retrieve(queries, k))
         pool = hits.select("query_id", F.col("rank").alias("place"), "chunk_id", "text")
-        first = reader.best_sentences(queries, pool).persist()
+        first = self._steps.cut(reader.best_sentences(queries, pool))
         done = first.where(F.col("score") >= s.min_overlap)
         # One more search for the rest, whose excerpts join the pool behind the evidence.
-        rest = queries.join(done.select("query_id"), "query_id", "left_anti")
+        rest = self._steps.cut(queries.join(done.select("query_id"), "query_id", "left_anti"))
         more = self.retrieve(rest, 3).join(rest.select("query_id", F.col("text").alias("question")), "query_id")
         line = F.concat(F.lit("["), F.col("chunk_id"), F.lit("] "), best_excerpt("question", "text", 160))
         observed = more.groupBy("query_id").agg(
             F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda r: r["line"])).alias("observed")
         )
+        observed = self._steps.cut(observed)
         excerpts = observed.select("query_id", F.posexplode(reader.observations(F.col("observed"))).alias("at", "o"))
         excerpts = excerpts.where("o.excerpt <> ''").select("query_id", (F.col("at") + 1_000_000).alias("place"), "o.chunk_id", F.col("o.excerpt").alias("text"))
         second = reader.best_sentences(rest, pool.join(rest.select("query_id"), "query_id", "left_semi").unionByName(excerpts))
@@ -129,7 +134,7 @@ class Engine:
             rest.select("query_id")
             .join(observed.select("query_id", F.lit(True).alias("seen")), "query_id", "left")
             .join(second.select("query_id", "sentence", "chunk_id"), "query_id", "left")
-            .select("query_id", F.when("seen", F.col("sentence")).alias("sentence"), "chunk_id", F.when("seen", 2).otherwise(s.max_steps).alias("steps"))
+            .select("query_id", F.when(F.col("seen"), F.col("sentence")).alias("sentence"), "chunk_id", F.when(F.col("seen"), 2).otherwise(s.max_steps).alias("steps"))
         )
         top = hits.where("rank = 1").select("query_id", F.col("chunk_id").alias("head"), F.col("text").alias("head_text"))
         cited = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda r: r["chunk_id"]).alias("citations"))
@@ -138,7 +143,7 @@ class Engine:
         spent = F.when((F.col("steps") == s.max_steps) & F.col("head").isNull(), F.lit(f"step budget of {s.max_steps} exhausted"))
         text = F.when(F.col("sentence").isNotNull(), reader.answer_text(F.col("sentence"), F.col("chunk_id")))
         text = text.when(spent.isNotNull(), reader.fallback(F.col("head"), F.col("head_text"))).otherwise(F.lit(NO_ANSWER))
-        answers = found.select(
+        answers = self._steps.cut(found.select(
             "query_id",
             F.col("text").alias("question"),
             text.alias("answer"),
@@ -146,7 +151,7 @@ class Engine:
             F.lit("retrieve").alias("route"),
             "steps",
             F.array_compact(F.array(searched, spent)).alias("trace"),
-        )
+        ))
         report = grounding.verify(answers.select("query_id", F.col("answer").alias("text")), hits.select("query_id", "text"), s.grounding_floor)
         return answers.join(report, "query_id")
 
@@ -162,7 +167,7 @@ class Engine:
         queries = cases.select("query_id", F.col("question").alias("text"))
         docs = cases.select("query_id", F.explode("relevant_docs").alias("doc_id"))
         relevant = docs.join(self.chunks.select("doc_id", F.col("chunk_id").alias("id")), "doc_id").select("query_id", "id")
-        answers = self.ask(queries).persist()
+        answers = self._steps.cut(self.ask(queries))
         hits = answers.select("query_id", F.posexplode("citations").alias("at", "id"))
         hits = hits.select("query_id", "id", (F.col("at") + 1).alias("rank")).join(self.chunks.select("doc_id", F.col("chunk_id").alias("id")), "id")
         return (
