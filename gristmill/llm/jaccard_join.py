@@ -266,26 +266,30 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, pe
 
 
 def _possible(percent: int):
-    """Pairs (a, b), a < b, across components of each entry's members that the length and sketch bounds let pass."""
+    """(a, others): of an entry's members the pairs across components that the length and sketch bounds let pass.
+
+    A pair stands with its smaller set, so it reads alike in every entry.
+    """
 
     def run(part):
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        found, others = [], []
         order = np.lexsort((part["node"].to_numpy(), part["n"].to_numpy()))
         node, n, comp = (part[c].to_numpy()[order] for c in ("node", "n", "component"))
         counts = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, BUCKETS)[order]
         for i in range(len(node)):
             end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+            own = []
             for start in range(i + 1, end, 4096):
                 j = slice(start, min(end, start + 4096))
                 d = (counts[j] - counts[i]).astype(np.uint8)
                 apart = np.minimum(d, -d).sum(axis=1, dtype=np.int64)
                 total = n[i] + n[j]
                 most = total - 2 * -(-percent * total // (100 + percent))
-                ok = (comp[j] != comp[i]) & (apart <= most)
-                if ok.any():
-                    low, high = np.minimum(node[i], node[j][ok]), np.maximum(node[i], node[j][ok])
-                    found.append((low, high))
-        return pa.table({c: np.concatenate(x) for c, x in zip("ab", zip(*found, strict=True), strict=True)})
+                own.append(node[j][(comp[j] != comp[i]) & (apart <= most)])
+            if own and any(map(len, own)):
+                found.append(node[i])
+                others.append(np.concatenate(own))
+        return pa.table({"a": pa.array(found, pa.int64()), "others": pa.array(others, pa.list_(pa.int64()))})
 
     return run
 
@@ -336,7 +340,10 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> Dat
         rest = scratch.write(full.join(split, "entry", "left_semi"))
         nodes = _sets(docs, reps, rest.select("node").distinct(), words, scratch)
         rest = rest.join(scratch.write(_sketches(nodes).dropDuplicates(["node"])), "node")
-        third = rest.groupBy("entry").applyInArrow(_possible(percent), "a long, b long").distinct()
+        listed = rest.groupBy("entry").applyInArrow(_possible(percent), "a long, others array<long>")
+        listed = listed.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+        pairs = scratch.write(listed).select("a", F.explode("others").alias("b"))
+        third = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         for known in [first, second] if second is not None else [first]:
             third = third.join(known.select("a", "b"), ["a", "b"], "left_anti")
         third = scratch.write(third)
