@@ -141,7 +141,7 @@ def nearest(
     dim = sizes.dim
     key = F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")).alias("point")
     rows = good.where(F.size("v") == dim).select("vec_id", key, "v")
-    least = F.row_number().over(Window.partitionBy("point").orderBy("vec_id"))
+    least = F.dense_rank().over(Window.partitionBy("point").orderBy("vec_id"))
     ids = rows.select("point", "vec_id").withColumn("r", least).where(F.col("r") <= k + 1).select("point", "vec_id")
     ids = scratch.write(ids.distinct())
     points = scratch.write(rows.groupBy("point").agg(F.first("v").alias("v"), F.min("vec_id").alias("least")))
