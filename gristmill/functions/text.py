@@ -21,9 +21,17 @@ def is_cjk(ch: Column | str) -> Column:
     return _col(ch).rlike(rf"^[{CJK}]$")
 
 
+def _ascii(text: Column) -> Column:
+    """Cheap to see, and most text needs no look for CJK then."""
+    return F.octet_length(text) == F.length(text)
+
+
 def latin_runs(text: Column | str) -> Column:
     """Lower-cased runs of letters, digits and ``_ - + # .`` outside CJK."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(_col(text)), rf"[{CJK}]", " "), F.lit(r"[\p{L}\p{N}_\-+#.]+"), F.lit(0))
+    text = _col(text)
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_\-+#.]+"), F.lit(0))
+    other = F.regexp_extract_all(F.regexp_replace(F.lower(text), rf"[{CJK}]", " "), F.lit(r"[\p{L}\p{N}_\-+#.]+"), F.lit(0))
+    return F.when(_ascii(text), plain).otherwise(other)
 
 
 def cjk_bigrams(text: Column | str) -> Column:
@@ -33,7 +41,9 @@ def cjk_bigrams(text: Column | str) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - 1))
         return F.transform(starts, lambda i: F.substr(run, i, F.lit(2)))
 
-    return F.flatten(F.transform(F.regexp_extract_all(_col(text), F.lit(rf"[{CJK}]+"), F.lit(0)), pairs))
+    text = _col(text)
+    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(rf"[{CJK}]+"), F.lit(0)), pairs))
+    return F.when(_ascii(text), F.array().cast("array<string>")).otherwise(found)
 
 
 def tokenize(text: Column | str) -> Column:

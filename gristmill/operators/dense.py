@@ -8,8 +8,11 @@ token, not once for each occurrence.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,11 +59,52 @@ def memory_vectors(texts: DataFrame, key: str) -> DataFrame:
     return counts.join(slots, "term").groupBy(key, "slot").agg(F.sum("tf").alias("weight"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by inner product of sparse rows; only positive scores."""
-    q = queries.select("query_id", "slot", F.col("weight").alias("qw"))
-    dots = vectors.join(q, "slot").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 12).alias("score"))
-    return top_k(dots.where("score > 0"), k)
+def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by inner product of sparse rows (id, slot, weight); only positive scores.
+
+    A block of queries at a time is sent out as a dense matrix, of bounded size;
+    chunks meet it in Arrow batches, of which each query's ``k`` best leave.
+    """
+    ids = queries.select("query_id").distinct()
+    parts = max(1, -(-ids.count() // block))
+    rows = vectors.groupBy("chunk_id").agg(F.collect_list(F.struct("slot", "weight")).alias("v"))
+    rows = rows.select("chunk_id", F.col("v.slot").alias("slots"), F.col("v.weight").alias("weights"))
+    found = None
+    for i in range(parts):
+        own = queries.select("query_id", "slot", "weight")
+        own = own if parts == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        best = rows.mapInArrow(_product(own.collect(), k), "query_id string, chunk_id string, score double")
+        found = best if found is None else found.unionByName(best)
+    return top_k(found, k)
+
+
+def _product(asked: list, k: int):
+    names = sorted({r.query_id for r in asked})
+    matrix = np.zeros((1 + max((r.slot for r in asked), default=0), len(names)))
+    at = {q: i for i, q in enumerate(names)}
+    for r in asked:
+        matrix[r.slot, at[r.query_id]] += r.weight
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not names:
+                continue
+            ids = np.array(batch.column(0).to_pylist(), object)
+            slots, weights = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+            row = np.repeat(np.arange(len(ids)), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            known = slots < len(matrix)
+            dense = np.zeros((len(ids), len(matrix)))
+            np.add.at(dense, (row[known], slots[known]), weights[known])
+            scores = np.round(dense @ matrix, 12)
+            out = []
+            for q in range(len(names)):
+                s = scores[:, q]
+                good = np.flatnonzero((s > 0) & (s >= (np.partition(s, -k)[-k] if len(s) > k else -1)))
+                out.append((np.full(len(good), names[q], object), ids[good], s[good]))
+            arrays = [pa.array(np.concatenate(c).tolist(), t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def dot(a: Column, b: Column) -> Column:

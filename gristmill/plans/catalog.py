@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import routing, text, tools
 from ..operators import chunking, dense, evaluate, expansion, fusion, grounding, memory, reader, rerank, sparse
-from ..sources.corpus import not_blank, replace_revisions
+from ..sources.corpus import not_blank, replace_revisions, spread
 from .engine import validate
 from .oracles import EXPANSION_QUESTIONS, MIXED_TEXTS, ORACLES, RAW_OUTPUTS, ROUTED
+from .steps import Steps
 
 K = 6
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +40,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents")
+    docs = spread(read(spark, sf, "documents").select("doc_id", "text"))
     return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"), "text")
 
 
@@ -54,7 +55,7 @@ def inline(spark: SparkSession, rows: list[str]) -> DataFrame:
 def bm25(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
     """Scores rounded to 6 digits before ranking, so that both engines rank alike."""
     scored = sparse.scores(chunks(spark, sf), questions(spark, sf))
-    return sparse.top_k(scored.select("query_id", "chunk_id", F.round("score", 6).alias("score")).where("score > 0"), k)
+    return Steps(spark).cut(sparse.top_k(scored.select("query_id", "chunk_id", F.round("score", 6).alias("score")).where("score > 0"), k))
 
 
 def overlaps(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
@@ -234,7 +235,7 @@ def hash_embed_search(spark, sf):
 
 def _fused(spark: SparkSession, sf: str, weights: dict[str, float] | None = None) -> DataFrame:
     lists = [("dense", overlaps(spark, sf)), ("sparse", bm25(spark, sf))]
-    return fusion.reciprocal_rank_fusion(lists, weights=weights, top_k=2 * K)
+    return Steps(spark).cut(fusion.reciprocal_rank_fusion(lists, weights=weights, top_k=2 * K))
 
 
 def _named(fused: DataFrame, *more: str) -> DataFrame:
@@ -259,9 +260,9 @@ def minmax_norm(spark, sf):
 
 def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     fused = _fused(spark, sf)
-    rows = fused.select("query_id", "chunk_id", "pos").join(chunks(spark, sf), "chunk_id")
+    rows = Steps(spark).cut(fused.select("query_id", "chunk_id", "pos").join(chunks(spark, sf), "chunk_id"))
     scores = rerank.lexical_rerank(questions(spark, sf), rows.select("query_id", "pos", "text"))
-    return fused, scores.select("query_id", "pos", F.round("rerank_score", 6).alias("rerank_score"))
+    return fused, Steps(spark).cut(scores.select("query_id", "pos", F.round("rerank_score", 6).alias("rerank_score")))
 
 
 @query
@@ -301,21 +302,21 @@ def expand_queries(spark, sf):
 @query
 def chunk_coverage(spark, sf):
     """Chunks that are not blank cover all but white space: characters, first start and last end by document."""
-    rows = chunking.chunk_documents(read(spark, sf, "documents").select("doc_id", "text"))
+    rows = chunking.chunk_documents(spread(read(spark, sf, "documents").select("doc_id", "text")))
     out = rows.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.min("start").alias("first"), F.max("end").alias("last"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_chars", "first", "last")
 
 
 @query
 def chunk_table(spark, sf):
-    rows = chunking.chunk_documents(read(spark, sf, "documents").select("doc_id", "text"))
+    rows = chunking.chunk_documents(spread(read(spark, sf, "documents").select("doc_id", "text")))
     return rows.select("chunk_id", "ordinal", "start", "end", "heading", F.length("text").alias("n"))
 
 
 @query
 def chunk_gaps(spark, sf):
     """Spans that don't begin where the one before ended: none."""
-    rows = chunking.chunk_documents(read(spark, sf, "documents").select("doc_id", "text"))
+    rows = chunking.chunk_documents(spread(read(spark, sf, "documents").select("doc_id", "text")))
     after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("ordinal"))
     return rows.withColumn("next", after).where("next IS NOT NULL AND next <> `end`").select("chunk_id", "end", "next")
 
@@ -428,7 +429,7 @@ def ask_benchmark(spark, sf):
     from .engine import Engine
 
     engine = Engine(spark)
-    engine.ingest(read(spark, sf, "documents").select("doc_id", "text"))
+    engine.ingest(spread(read(spark, sf, "documents").select("doc_id", "text")))
     rows = engine.ask(questions(spark, sf))
     return rows.select("query_id", "route", "steps", "answer", F.size("citations").alias("n_citations"), F.round("support_rate", 6).alias("support_rate"))
 

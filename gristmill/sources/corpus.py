@@ -58,6 +58,13 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few splits over all cores; one with splits enough as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
 def not_blank(docs: DataFrame) -> DataFrame:
     """Documents with text; a null one counts as blank."""
     return docs.where(strip(F.coalesce(F.col("text"), F.lit(""))) != "")
