@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: rows here hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one, set by us, only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -38,6 +45,7 @@ class Scratch:
     """Tables in the shared folder that cut lineage; ``drop`` removes one that no later plan reads."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -74,6 +82,7 @@ def map_columns(
     ``make()`` runs once a task and gives a function from the arrays of ``reads``
     to a dict of arrays by field name. Strings in ``reads`` come as binary.
     """
+    small_batches(df.sparkSession)
     schema = with_fields(df.schema, *fields)
     names = [f.name for f in schema.fields]
     made = {f.name.lower(): f.name for f in fields}
