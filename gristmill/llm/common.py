@@ -17,6 +17,11 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 WORDS = bytes(
     c if (c := LOWER[b]) >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for b in range(256)
 )
+#: Settings of the session: Spark's default and ours.
+_BATCHES = [
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"),
+]
 #: The six ASCII white-space characters, as bytes.split() and strip() see them.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -26,10 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: rows here hold whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    """Arrow batches of 1,000 rows and 4 MB, where the session has Spark's defaults: rows here hold whole texts."""
+    for name, default, value in _BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:

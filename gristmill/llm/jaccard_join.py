@@ -385,7 +385,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     )
 
 
-def keep_one(docs: DataFrame, words: int = 4, percent: int = 85, most_sent: int = 1_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, most_sent: int = 1_000_000) -> DataFrame:
     """``docs`` less all but one document of each component: the one of least doc_id. Columns stay.
 
     Rows without shingles stay. Of rows with one doc_id and text one stays. At

@@ -196,7 +196,7 @@ def test_jaccard_components(spark, seed):
     out = jaccard_join.jaccard_components(docs(spark, rows).withColumn("node", F.lit("clash")))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == plain_components(rows)
     kept = jaccard_join.keep_one(docs(spark, rows).withColumn("row", F.lit(1)))
-    groups = plain_components(rows)
+    groups = plain_components(rows, 5, 80)
     assert kept.columns == ["doc_id", "text", "row"]
     assert kept.count() == sum(n == 0 for _, n, _ in groups) + len({c for _, n, c in groups if n})
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
@@ -210,8 +210,9 @@ def test_entries_never_miss_a_link():
             gone, new = (int(rng.integers(0, max(1, n // 8) + 1)) for _ in range(2))
             b = np.unique(np.concatenate([rng.permutation(a)[: len(a) - gone], rng.integers(0, 2**64, new, dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if both and 100 * both >= 85 * (len(a) + len(b) - both):
-                assert len(np.intersect1d(jaccard_join.entries(a, 85), jaccard_join.entries(b, 85)))
+            for percent in (80, 85):
+                if both and 100 * both >= percent * (len(a) + len(b) - both):
+                    assert len(np.intersect1d(jaccard_join.entries(a, percent), jaccard_join.entries(b, percent)))
 
 
 def test_components(spark):
