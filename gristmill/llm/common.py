@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,9 +63,16 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        self._delete(df._scratch_path for df in frames)
+
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Drops every table but these."""
+        kept = {df._scratch_path for df in frames}
+        self._delete(path for i in range(self.n) if (path := f"{self.root}/{i + 1}") not in kept)
+
+    def _delete(self, paths: Iterable[str]) -> None:
         jvm = self.spark.sparkContext._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -245,10 +245,38 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "node long, n long, sketch binary")
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = scratch.write(_sets(docs, reps, nodes, words, scratch)).dropDuplicates(["node"])
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) less those that the length and sketch bounds rule out: no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        for batch in _parts(batches):
+            a, b = batch.columns[:2]
+            n, m = (batch.column(i).to_numpy() for i in (2, 4))
+            d = counts(batch.column(3)) - counts(batch.column(5))
+            apart = np.minimum(d, -d).sum(axis=1, dtype=np.int64)
+            total = n + m
+            most = total - 2 * -(-percent * total // (100 + percent))
+            keep = pa.array((apart <= most) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    for name, n, counts in (("a", "n", "c"), ("b", "m", "d")):
+        own = sketches.select(F.col("node").alias(name), F.col("n").alias(n), F.col("sketch").alias(counts))
+        pairs = pairs.join(own, name)
+    return pairs.select("a", "b", "n", "c", "m", "d").mapInArrow(run, "a long, b long")
+
+
+def _verified(
+    docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch, bound: bool = False
+) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``; ``bound``: less those that their sketches rule out, whose sets need not travel."""
+    ends = lambda df: df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
+    made = scratch.write(_sets(docs, reps, ends(pairs), words, scratch))
+    sets = made
+    if bound:
+        pairs = scratch.write(_near(pairs.select("a", "b"), _sketches(made).dropDuplicates(["node"]), percent))
+        sets = made.join(ends(pairs), "node", "left_semi")
+    sets = sets.dropDuplicates(["node"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, 256):
@@ -262,7 +290,9 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, pe
 
     joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
-    return scratch.write(joined.mapInArrow(check, "a long, b long, linked boolean"))
+    checked = scratch.write(joined.mapInArrow(check, "a long, b long, linked boolean"))
+    scratch.drop(made)
+    return checked
 
 
 def _possible(percent: int):
@@ -321,7 +351,7 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> Dat
     crossing = scratch.write(crossing.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     second = None
     if crossing.count():
-        second = _verified(docs, reps, crossing, words, percent, scratch)
+        second = _verified(docs, reps, crossing, words, percent, scratch, bound=True)
         links = links.unionByName(second.where("linked").select("a", "b"))
         comps = components(links, scratch)
     # Last, within the entries whose nodes are in several components, the pairs across these.
@@ -398,6 +428,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, most_sent: int
     gone = rows.join(kept, "component").where("kept <> struct(doc, h)").select("doc", "h").distinct()
     again = rows.groupBy("doc", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "h")
     gone, again = scratch.write(gone), scratch.write(again)
+    scratch.drop_but(gone, again)
     small = lambda df: F.broadcast(df) if df.count() <= most_sent else df
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_key().alias("doc"), F.xxhash64("text").alias("h"))
     left = keyed.join(small(gone), ["doc", "h"], "left_anti")
