@@ -430,6 +430,17 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_passage_of_common_phrases(spark):
+    rng = random.Random(16)
+    fresh = lambda n: ["w" + str(rng.randrange(10**9)) for _ in range(n)]
+    passages = [fresh(60) for _ in range(12)]
+    rows = [fresh(30) + p + fresh(30) for p in passages for _ in range(2)]
+    rows += [fresh(20) + p[i : i + 9] + fresh(20) for p in passages for i in range(0, 52, 2) for _ in range(12)]  # each seed also in many others
+    out = substring_dedup.repeated_passages(docs(spark, [(d, " ".join(w)) for d, w in enumerate(rows)])).collect()
+    assert {(r.doc_id, r.partner_id) for r in out} == {(d, d ^ 1) for d in range(24)}
+    assert all(r.start <= 30 and r.end >= 90 and r.end - r.start < 70 for r in out)
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 
