@@ -441,6 +441,33 @@ def test_passage_of_common_phrases(spark):
     assert all(r.start <= 30 and r.end >= 90 and r.end - r.start < 70 for r in out)
 
 
+def test_exact_part_of_a_poor_chain(spark):
+    rng = random.Random(17)
+    fresh = lambda n: ["w" + str(rng.randrange(10**9)) for _ in range(n)]
+    rows = []
+    for gap in (20, 20, 26, 20, 23, 20) * 4:  # 51 equal words, others, 12 equal words: under 0.8 as a whole
+        kept, phrase = fresh(51), fresh(12)
+        rows += [fresh(30) + kept + fresh(gap) + phrase + fresh(30), fresh(10) + kept + fresh(20) + phrase + fresh(30)]
+    out = substring_dedup.repeated_passages(docs(spark, [(d, " ".join(w)) for d, w in enumerate(rows)])).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in out) == [(d, s, s + 51) for d in range(48) for s in [10 if d % 2 else 30]]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_parts_against_every_stretch(seed):
+    rng = np.random.default_rng(seed)
+    n = 120
+    equal = rng.random(n) < np.repeat(rng.choice([0.2, 0.7, 0.95], 12), 10)
+    want, got = np.zeros(n, bool), np.zeros(n, bool)
+    for i in np.flatnonzero(equal):
+        for j in np.flatnonzero(equal) + 1:
+            if j - i >= 20 and equal[i:j].sum() >= 0.8 * (j - i):
+                want[i:j] = True
+    for s, e, t, f in substring_dedup.parts(np.arange(n), np.arange(n) + 5, equal, 20, 0.8):
+        assert (t, f) == (s + 5, e + 5)
+        got[s:e] = True
+    assert (got == want).all()
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 
