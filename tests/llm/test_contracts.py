@@ -468,6 +468,16 @@ def test_parts_against_every_stretch(seed):
     assert (got == want).all()
 
 
+def test_passage_twice_in_a_document(spark):
+    rng = random.Random(18)
+    fresh = lambda n: ["w" + str(rng.randrange(10**9)) for _ in range(n)]
+    twice, early = fresh(60), fresh(60)
+    rows = [fresh(30) + twice + fresh(30) + twice + fresh(30), fresh(10) + twice + fresh(10)]
+    rows += [early[:8] + fresh(5) + early[20:28] + fresh(70) + early + fresh(9), fresh(50) + early + fresh(5) + early[40:50]]  # seeds that also stand alone
+    out = substring_dedup.repeated_passages(docs(spark, [(d, " ".join(w)) for d, w in enumerate(rows)])).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in out) == [(0, 30, 90), (0, 120, 180), (1, 10, 70), (2, 91, 151), (3, 50, 110)]
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 
