@@ -478,6 +478,23 @@ def test_passage_twice_in_a_document(spark):
     assert sorted((r.doc_id, r.start, r.end) for r in out) == [(0, 30, 90), (0, 120, 180), (1, 10, 70), (2, 91, 151), (3, 50, 110)]
 
 
+def test_recall_at_the_similarity(spark):
+    rng = random.Random(19)
+    fresh = lambda n: ["w" + str(rng.randrange(10**9)) for _ in range(n)]
+    rows = []
+    for k in range(120):
+        p = fresh((52, 60, 82)[k % 3])
+        n = len(p) - 2  # first and last word stay; a fifth of the others at most goes, by chance or each fifth
+        gone = {*rng.sample(range(1, n), n // 5)} if k % 2 else {*range(2, n, 5)}
+        rows += [fresh(30) + p + fresh(30), fresh(20) + [fresh(1)[0] if i in gone else w for i, w in enumerate(p)] + fresh(40)]
+    rows += [["same"] * 500 + fresh(30), fresh(40) + ["same"] * 300 + fresh(40)]
+    out = substring_dedup.repeated_passages(docs(spark, [(d, " ".join(w)) for d, w in enumerate(rows)])).collect()
+    found = {r.doc_id for r in out}
+    print("found", len(found & {*range(0, 240, 2)}), "of 120")
+    assert {(r.doc_id, r.start, r.end) for r in out if r.doc_id >= 240} == {(240, 0, 500), (241, 40, 340)}
+    assert all(r.partner_id == r.doc_id ^ 1 for r in out) and len(found & {*range(0, 240, 2)}) >= 114
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 
