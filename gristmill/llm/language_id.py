@@ -76,6 +76,15 @@ def _kernel(grams: list[list[np.ndarray]], columns: list[np.ndarray], marks: lis
     return total / len(GRAMS)
 
 
+def _reach(grams: list[list[np.ndarray]], sizes: list[np.ndarray]) -> np.ndarray:
+    """Texts: the greatest kernel with landmarks of these sizes that a text's own size permits, on average."""
+    total = np.zeros(len(grams))
+    for k, size in enumerate(sizes):
+        own = np.array([max(1, len(g[k])) for g in grams])[:, None]
+        total += np.sqrt(np.minimum(own, size) / np.maximum(own, size)).mean(1)
+    return total / len(sizes)
+
+
 def train(sample: list[tuple[list[np.ndarray], str]], landmarks: int, ridge: float) -> Model:
     """From (distinct n-grams, language) rows in an order of their own; landmarks go round the languages."""
     languages = sorted({lang for _, lang in sample})
@@ -147,12 +156,13 @@ def fit(
     return train(sample, landmarks, ridge) if sample else None
 
 
-def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, prefix: str = "", relative: bool = False) -> DataFrame:
     """``docs`` (text, anything else) with ``lang_pred`` string and ``score`` double, 0 to 1.
 
     The language of the greatest regression value, ties to the first by name;
     the score is that value, cut to 0..1. ``und`` and 0 where a text is null or
-    has no letter, and for all where there was nothing to learn from. Columns of
+    has no letter, and for all where there was nothing to learn from. ``relative``:
+    the value is first taken over what a text of that length can reach. Columns of
     those names (after ``prefix``) are replaced.
     """
     lang_name, score_name = f"{prefix}lang_pred", f"{prefix}score"
@@ -161,6 +171,7 @@ def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame
 
     def make():
         m, grams = sent.value, Grams()
+        sizes = [1 / np.maximum(marks.max(0), 1e-6) ** 2 for marks in m.landmarks] if m is not None and relative else []
 
         def fn(texts: pa.Array) -> dict[str, pa.Array]:
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -174,6 +185,8 @@ def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame
                 start += part.num_rows
                 if at:
                     values = _kernel(found, m.vocabulary, m.landmarks) @ m.weights
+                    if relative:
+                        values = values / _reach(found, sizes)[:, None]
                     best = values.argmax(1)
                     score[at] = np.clip(values[np.arange(len(at)), best], 0, 1)
                     for i, b in zip(at, best, strict=True):
@@ -191,8 +204,8 @@ def held_out():
 
 
 def keep_known(docs: DataFrame, least: float = 0.1, **bounds) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: not ``und``, and a score of ``least`` or more. Columns stay."""
-    found = predict(docs, fit(docs, **bounds), "__")
+    """The rows of ``docs`` whose text has a language: not ``und``, and a score of ``least`` or more for its length. Columns stay."""
+    found = predict(docs, fit(docs, **bounds), "__", relative=True)
     return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).drop("__lang_pred", "__score")
 
 

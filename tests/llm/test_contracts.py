@@ -306,6 +306,18 @@ def test_language_id(spark):
     assert language_id.keep_known(df.unionByName(odd.selectExpr("doc_id", "text", "NULL AS lang", "'' AS score"))).where("text IS NULL OR text IN ('', '123 !!')").count() == 0
 
 
+def test_clean_short_texts_stay(spark):
+    rng = random.Random(20)
+    rows, words = [], {}
+    for k, letters in {"xx": "aeiostnr", "yy": "udlcmphg", "zz": "bfvwkjyq"}.items():
+        words[k] = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(300)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words[k]) for _ in range(300)), k) for i in range(60)]
+    short = [(1000 + i, w + ".", None) for i, w in enumerate(w for k in words for w in words[k][:40])]
+    junk = [(2000, "\u044a\u044b\u0449 \u0436\u0449\u0446", None), (2001, "77 !!", None), (2002, "\u4e00\u4e01", None)]
+    kept = {r.doc_id for r in language_id.keep_known(docs(spark, rows + short + junk, "doc_id long, text string, lang string")).collect()}
+    assert kept == {d for d, *_ in rows + short}
+
+
 # -- 8 ------------------------------------------------------------------------------------
 
 
