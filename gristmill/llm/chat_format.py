@@ -8,8 +8,8 @@ took back. A second rendering, with a mark in place of the text, shows where the
 text stands inside the span; that part of an assistant turn is under the loss
 mask.
 
-Turns of a conversation stream through one task in order; what is held of it is
-the last ``context`` turns, whatever its length.
+Turns of a conversation stream through one task in order. Prefixes are whole;
+for templates in ``LOCAL``, which take each turn by itself, the last 64 turns do.
 """
 
 from __future__ import annotations
@@ -54,6 +54,10 @@ def chatml(messages: list[dict]) -> str:
     return "".join(f"{START}{_role(m['role'])}\n{escape(m['content'])}{END}\n" for m in messages)
 
 
+#: Templates whose output for a turn depends on that turn alone.
+LOCAL = {chatml}
+
+
 def _common(a: str, b: str) -> int:
     if b.startswith(a):
         return len(a)
@@ -64,11 +68,11 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def spans(messages: Iterator[dict], template: Template, context: int) -> Iterator[tuple[str, int, int, int]]:
+def spans(messages: Iterator[dict], template: Template, context: int | None = None) -> Iterator[tuple[str, int, int, int]]:
     """Of each turn: what it adds, the characters it takes back, and the text's place in what it adds (-1, -1 if none)."""
     held: list[dict] = []
     for m in messages:
-        held = held[-context:]
+        held = held if context is None else held[-context:]
         before, after = template(held), template([*held, m])
         same = _common(before, after)
         piece = after[same:]
@@ -80,7 +84,7 @@ def spans(messages: Iterator[dict], template: Template, context: int) -> Iterato
         held.append(m)
 
 
-def format_turns(convs: DataFrame, template: Template = chatml, context: int = 64, trained: tuple = ("assistant",)) -> DataFrame:
+def format_turns(convs: DataFrame, template: Template = chatml, context: int | None = None, trained: tuple = ("assistant",)) -> DataFrame:
     """One row a turn, in order within its partition: conv_id, turn_no (from 0), role, piece, start, rewound, text_start, text_end, trained.
 
     ``convs``: conv_id, turn, role, text. Turns go by turn (null first), then
@@ -89,8 +93,8 @@ def format_turns(convs: DataFrame, template: Template = chatml, context: int = 6
     take ``rewound`` characters off the end, then add ``piece``, which begins at
     ``start``. Text [text_start, text_end) of that output is under the loss mask
     where ``trained`` is true. ``context``: a turn is rendered after so many turns
-    before it at most; give more than the longest conversation has to a template
-    that looks back further. Other columns are dropped; no rows give no rows.
+    before it at most; by default after all, or after 64 for a template in
+    ``LOCAL``. Other columns are dropped; no rows give no rows.
     """
     ordered = (
         convs.select(
@@ -104,6 +108,9 @@ def format_turns(convs: DataFrame, template: Template = chatml, context: int = 6
         .select("conv_id", "role", "text")
     )
 
+    if context is None and template in LOCAL:
+        context = 64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, step, box, no, size = object(), None, [], 0, 0
 

@@ -149,6 +149,20 @@ def test_template_that_rewrites_history(spark):
     assert out == last_only(turns) and rewound[3] > 0 and not any(rewound[:3])
 
 
+def test_template_that_looks_far_back(spark):
+    def first_and_last(messages):  # needs the system turn; drops all assistant texts but the last
+        assert not messages or messages[0]["role"] == "system"
+        last = max((i for i, m in enumerate(messages) if m["role"] == "assistant"), default=-1)
+        return "".join(f"[{m['role']}]{m['content'] if m['role'] != 'assistant' or i == last else ''}." for i, m in enumerate(messages))
+
+    turns = [("system", "s"), ("user", "q"), ("assistant", "early"), *(("user", f"u{i}") for i in range(90)), ("assistant", "late")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    out = ""
+    for r in chat_format.format_turns(df, first_and_last).collect():
+        out = out[: len(out) - r.rewound] + r.piece
+    assert out == first_and_last([{"role": r, "content": t} for r, t in turns])
+
+
 # -- 6 ------------------------------------------------------------------------------------
 
 
