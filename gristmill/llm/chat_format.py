@@ -8,8 +8,9 @@ took back. A second rendering, with a mark in place of the text, shows where the
 text stands inside the span; that part of an assistant turn is under the loss
 mask.
 
-Turns of a conversation stream through one task in order. Prefixes are whole;
-for templates in ``LOCAL``, which take each turn by itself, the last 64 turns do.
+Turns of a conversation stream through one task in order. Prefixes are whole. Of
+conversations of more than 512 turns a template in ``LOCAL``, which takes each turn
+by itself, is given the last 64 turns, and the whole prefix at each doubling, as a check.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ Template = Callable[[list[dict]], str]
 START, END = "<|im_start|>", "<|im_end|>"
 _PLAIN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + "\n", re.S)
-_MARK = ""
 
 
 def escape(text: str) -> str:
@@ -68,20 +68,54 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def spans(messages: Iterator[dict], template: Template, context: int | None = None) -> Iterator[tuple[str, int, int, int]]:
-    """Of each turn: what it adds, the characters it takes back, and the text's place in what it adds (-1, -1 if none)."""
+def _mark(*texts: str) -> str:
+    """A short text of private-use characters that none of ``texts`` holds."""
+    n = 0
+    while any((mark := f"\ue000{n}\ue001") in t for t in texts):
+        n += 1
+    return mark
+
+
+def spans(
+    messages: Iterator[dict], template: Template, context: int | None = None, whole: int = 512
+) -> Iterator[tuple[str, int, int, int]]:
+    """Of each turn: what it adds, the characters it takes back, and the text's place in what it adds (-1, -1 if none).
+
+    Every prefix is rendered whole, which costs the square of a conversation's
+    length. With ``context``, for a template that takes each turn by itself,
+    prefixes of more than ``whole`` turns are rendered from their last ``context``
+    turns, and whole at each doubling; a ValueError tells that the template isn't such.
+    """
     held: list[dict] = []
-    for m in messages:
-        held = held if context is None else held[-context:]
-        before, after = template(held), template([*held, m])
+    before, check = template(held), 2 * whole
+    added = [before]  # pieces of the output so far
+    for no, m in enumerate(messages, 1):
+        near = held
+        if context is not None and no > whole:
+            near = held[-context:] if context else []
+            before = template(near)
+        after = template([*near, m])
         same = _common(before, after)
-        piece = after[same:]
-        probe = template([*held, m | {"content": _MARK}])
-        at = probe.find(_MARK)
-        first, last = at - same, len(piece) - (len(probe) - at - len(_MARK))
+        piece, back = after[same:], len(before) - same
+        mark = _mark(after)
+        probe = template([*near, m | {"content": mark}])
+        at = probe.find(mark)
+        first, last = at - same, len(piece) - (len(probe) - at - len(mark))
         inside = at >= 0 and 0 <= first <= last <= len(piece) and probe[:at] == after[:at]
-        yield piece, len(before) - same, *((first, last) if inside else (-1, -1))
+        yield piece, back, *((first, last) if inside else (-1, -1))
         held.append(m)
+        before = after
+        if context is not None:
+            while back:
+                cut = min(back, len(added[-1]))
+                added[-1], back = added[-1][: len(added[-1]) - cut], back - cut
+                if not added[-1]:
+                    added.pop()
+            added.append(piece)
+            if no == check:
+                check *= 2
+                if template(held) != "".join(added):
+                    raise ValueError("the template's output for a turn depends on turns far before it: leave context unset")
 
 
 def format_turns(convs: DataFrame, template: Template = chatml, context: int | None = None, trained: tuple = ("assistant",)) -> DataFrame:
@@ -92,9 +126,10 @@ def format_turns(convs: DataFrame, template: Template = chatml, context: int | N
     conversation. A conversation's output is made by going through its pieces:
     take ``rewound`` characters off the end, then add ``piece``, which begins at
     ``start``. Text [text_start, text_end) of that output is under the loss mask
-    where ``trained`` is true. ``context``: a turn is rendered after so many turns
-    before it at most; by default after all, or after 64 for a template in
-    ``LOCAL``. Other columns are dropped; no rows give no rows.
+    where ``trained`` is true. Every prefix is rendered whole, at the cost of the
+    square of a conversation's length; ``context``, by default 64 for a template in
+    ``LOCAL`` and None for others, bounds that beyond 512 turns, see ``spans``.
+    Other columns are dropped; no rows give no rows.
     """
     ordered = (
         convs.select(

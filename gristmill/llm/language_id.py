@@ -24,7 +24,7 @@ from .common import as_bytes, doc_key, map_columns, slices, table
 
 GRAMS = (2, 3, 4)
 _BITS = 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERLIKE = re.compile(r"[^\W\d_]")  # letters, and numbers that are no decimal digits
 _BLANKS = re.compile(rb"[^a-z\x80-\xff]+")
 
 
@@ -61,7 +61,7 @@ class Model:
 
 
 def has_letter(text: str) -> bool:
-    return bool(_LETTER.search(text))
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
 
 
 def _kernel(grams: list[list[np.ndarray]], columns: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
@@ -118,12 +118,16 @@ def train(sample: list[tuple[list[np.ndarray], str]], landmarks: int, ridge: flo
     return Model(languages, columns, scaled, weights.astype(np.float32))
 
 
-def _sample(labelled: DataFrame, per_language: int, most: int) -> list[tuple[list[np.ndarray], str]]:
-    """At most ``most`` labelled rows, ``per_language`` of each language, by a hash of the id."""
-    h = F.xxhash64(F.lit("language-id"), "doc")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc"))
-    ids = labelled.select("doc", "lang").withColumn("r", rank).where(F.col("r") <= per_language)
-    ids = ids.orderBy("r", h, "doc").limit(most).select("doc").distinct()
+def _sample(labelled: DataFrame, per_language: int, most: int, salts: int = 64) -> list[tuple[list[np.ndarray], str]]:
+    """At most ``most`` labelled rows, ``per_language`` of each language, by a hash of id and text; equal rows are one."""
+    keyed = labelled.withColumn("h", F.xxhash64(F.lit("language-id"), "doc", "text"))
+    order = ["h", "doc"]
+    # Dealt to salts first, so that no task gets all rows of a language.
+    first = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ids = keyed.select("doc", "lang", "h").withColumn("r", first).where(F.col("r") <= per_language)
+    ids = ids.select("doc", "lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_language)
+    ids = ids.orderBy("r", *order, "lang").limit(most).select("doc", "lang", "h")
     schema = "doc long, lang string, grams array<array<int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +142,10 @@ def _sample(labelled: DataFrame, per_language: int, most: int) -> list[tuple[lis
             arrays = [pa.array(docs, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "lang", "grams"])
 
-    picked = labelled.join(F.broadcast(ids), "doc", "left_semi").select("doc", "lang", "text")
-    rows = picked.mapInArrow(run, schema).collect()
+    picked = keyed.join(F.broadcast(ids), ["doc", "lang", "h"], "left_semi").dropDuplicates(["doc", "lang", "h"])
+    rows = picked.select("doc", "lang", "text").mapInArrow(run, schema).collect()
     rows.sort(key=lambda r: (r.doc, r.lang, r.grams))
-    return [([np.array(g, np.int64) for g in r.grams], r.lang) for r in rows][: 2 * most]
+    return [([np.array(g, np.int64) for g in r.grams], r.lang) for r in rows]
 
 
 def fit(

@@ -11,6 +11,7 @@ length that holds its contents, and the floor of the least total cost wins.
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 
@@ -26,6 +27,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary cuts text before merges: a fixed value of that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTHS = (1024, 2048, 4096, 8192)
+#: White space as that pattern sees it (Unicode's property), in runs too long for the encoder's search, which goes back step by step.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def step_cost(length: int) -> float:
@@ -71,11 +74,30 @@ def pack(
     return best[1], best[2], best[3]
 
 
-def _encoding(lines: bytes):
+def _encoder(lines: bytes) -> Callable[[str], list[int]]:
+    """Token ids of a text of any length, as the vocabulary's own pattern cuts it.
+
+    Very long runs of white space are cut off first: such a run is one piece of
+    its own, but for its last character, which belongs with what follows.
+    """
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    whole = tiktoken.Encoding("blank", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(text: str) -> list[int]:
+        if len(text) < 4096:
+            return encode(text)
+        out, start = [], 0
+        for run in _LONG_BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += encode(text[start : run.start()])
+            out += whole(text[run.start() : end])
+            start = end
+        return out + encode(text[start:]) if start else encode(text)
+
+    return ids
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -88,7 +110,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        encode = _encoding(sent.value).encode_ordinary
+        encode = _encoder(sent.value)
 
         def fn(texts: pa.Array) -> dict[str, pa.Array]:
             n = [1 + (len(encode(t.decode())) if t else 0) for t in texts.to_pylist()]
@@ -158,7 +180,7 @@ def sequences(docs: DataFrame, placements: DataFrame, tokenizer: str = TOKENIZER
     field = T.StructField("tokens", T.ArrayType(T.IntegerType()))
 
     def make():
-        encode = _encoding(sent.value).encode_ordinary
+        encode = _encoder(sent.value)
 
         def fn(texts: pa.Array) -> dict[str, pa.Array]:
             ids = [[*(encode(t.decode()) if t else ()), end] for t in texts.to_pylist()]
