@@ -4,18 +4,20 @@ A document is the set of its word shingles, hashed to 64 bits; equal sets are on
 node. For pairs of sets of which the smaller falls in size band b, the universe of
 hashes is cut into m_b = H_b + 1 segments, where H_b bounds the symmetric
 difference of any such pair that links. Some segment must then be equal in both.
-Each set indexes the hash of every segment that is worth it. A segment with at
-most one shingle is not: too many sets share it. The budget that it leaves goes
-to one-deletion neighbourhoods of the cheapest other segments: with w such weak
-segments in a set, the first 2 w segments also index each of their hashes less
-one shingle. (If no worthwhile segment is equal, the differences left over are
-fewer than the weak segments of the pair, so among the first 2 w segments one
-differs by a single shingle and keeps something in common.)
-
-Sets that share an index entry are candidates. A star from the least set of each
-entry's group is verified first. Groups that this leaves in several components
-are taken up again: their pairs across components that pass the exact length and
-count-sketch bounds are verified too. So no link that can join two components is
+Each set indexes the hash of every segment that is worth it. An empty segment is
+not, nor is one whose only shingle is frequent: too many sets share it. What w such
+weak segments leave open goes to one-deletion neighbourhoods: of the segments up to
+the w-th that has three shingles or more, each also indexes its hashes less one
+shingle. (If no worthwhile segment is equal, at most w segments are, and every other
+one differs; so fewer differences are left over than there are such segments, and one
+of them differs by a single shingle and keeps two or more in common.) Which shingles
+count as frequent, found on a share of the sets, decides the cost only.
+
+Sets that share an index entry are candidates, less the pairs whose sizes or count
+sketches rule a link out. A star from the least set of each entry's group is
+verified first. Groups that this leaves in several components are taken up again:
+their pairs across components that pass the same bounds are verified too, large
+groups in cells of two parts each. So no link that can join two components is
 lost, and pairs inside a component are not spelled out.
 """
 
@@ -31,10 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_bytes, doc_key, table
+from .common import LOWER, Scratch, as_bytes, doc_key, slices, table
 from .components import components
 
-BUCKETS = 256
+#: A sketch has at least so many buckets, and about one for four to eight shingles.
+BUCKETS = 64
+#: Nodes of an index entry that meet in one cell, about, are twice as many.
+CELL = 1024
+#: Of one in so many sets the shingles are counted; those of so many of these are frequent; so many at most are sent out.
+COUNTED_SHARE, FREQUENT, MOST_FREQUENT = 50, 4, 200_000
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _RATIO = 1.5
 
@@ -78,8 +85,44 @@ class Shingler:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Counts by bucket, modulo 256; their circular L1 distance never exceeds the symmetric difference."""
-    return np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint8).tobytes()
+    """Counts by bucket, modulo 16, two a byte; their circular L1 distance never exceeds the symmetric difference."""
+    size = max(BUCKETS, 1 << max(0, (len(h) // 4).bit_length() - 1))
+    counts = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 15
+    return (counts[::2] << 4 | counts[1::2]).tobytes()
+
+
+class Sketches:
+    """Sketches of a batch, unpacked; those of twice the size are folded where a pair needs it."""
+
+    def __init__(self, packed: list[bytes]):
+        sizes = np.array([2 * len(x) for x in packed], np.int64)
+        self.size, self.row, self.counts = sizes, {}, {}
+        own = {}
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            two = np.frombuffer(b"".join([packed[i] for i in at.tolist()]), np.uint8).reshape(len(at), size // 2)
+            own[size] = at, np.stack([two >> 4, two & 15], axis=2).reshape(len(at), size)
+        for size, (at, counts) in own.items():
+            more, larger = own.get(2 * size, (at[:0], np.empty((0, 2 * size), np.uint8)))
+            row = np.full(len(packed), -1)
+            row[np.concatenate([at, more])] = np.arange(len(at) + len(more))
+            self.row[size] = row
+            self.counts[size] = np.concatenate([counts, (larger[:, :size] + larger[:, size:]) & 15])
+
+    def near(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Whether pairs (i, j) of sets of ``n`` shingles may link, by their sizes and sketches."""
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        total = small + large
+        most = total - 2 * -(-percent * total // (100 + percent))
+        out = 100 * small >= percent * large
+        least, wide = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        for size in np.unique(least[out]).tolist():
+            at = np.flatnonzero(out & (least == size) & (wide <= 2 * size))
+            row, counts = self.row[size], self.counts[size]
+            for part in np.array_split(at, 1 + len(at) * size // (4 << 20)):
+                d = (counts[row[i[part]]] - counts[row[j[part]]]) & 15
+                out[part] = np.minimum(d, 16 - d).sum(axis=1, dtype=np.int64) <= most[part]
+        return out
 
 
 def set_id(h: np.ndarray) -> int:
@@ -106,13 +149,19 @@ def _bounds(m: int) -> np.ndarray:
     return np.array([(i << 64) // m for i in range(1, m)], np.uint64)
 
 
-def entries(h: np.ndarray, percent: int) -> np.ndarray:
-    """The index entries of a set (sorted distinct hashes): hashes of (band, segment, shingles)."""
+_NONE = np.empty(0, np.uint64)
+
+
+def entries(h: np.ndarray, percent: int, frequent: np.ndarray = _NONE) -> np.ndarray:
+    """The index entries of a set (sorted distinct hashes): hashes of (band, segment, shingles); ``frequent`` is sorted."""
     n = len(h)
     if not n:
-        return np.empty(0, np.uint64)
+        return _NONE
     uppers, segments = bands(percent)
     own = int(np.searchsorted(uppers, n))
+    common = np.zeros(n, bool)
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
     out = []
     # As the smaller set of a pair, and as the larger one of a pair whose smaller set is in a lower band.
     for band in range(int(np.searchsorted(uppers, -(-percent * n // 100))), own + 1):
@@ -123,67 +172,75 @@ def entries(h: np.ndarray, percent: int) -> np.ndarray:
         total = np.concatenate(([np.uint64(0)], np.cumsum(tagged, dtype=np.uint64)))
         sums = total[ends[1:]] - total[ends[:-1]]
         label = mix(np.arange(1, m + 1, dtype=np.uint64) * _M2 + np.uint64(band))
-        strong = sizes >= (2 if m > 1 else 1)
-        weak = int((~strong).sum())
-        if 2 * weak > m:  # too few are left to make up for these: plain pigeonhole, empty segments and all
-            strong[:] = True
-        out.append(mix(sums[strong] + label[strong]))
-        if weak:
-            # The sum of a segment less one shingle equals the full sum of a set without it. A single shingle
-            # left over is a worthwhile match only here, so full sums of single shingles are entries here too.
-            first = np.flatnonzero(sizes[: 2 * weak] >= 1)
-            many = first[sizes[first] >= 2]
-            one = first[sizes[first] == 1]
-            seg = np.repeat(many, sizes[many])
-            at = np.concatenate([np.arange(ends[s], ends[s + 1]) for s in many]) if len(many) else np.empty(0, np.int64)
-            out += [mix(sums[seg] - tagged[at] + label[seg]), mix(sums[one] + label[one])]
+        weak = (sizes == 0) | (sizes == 1) & common[np.minimum(ends[:-1], n - 1)]
+        need = int(weak.sum())
+        solid = np.cumsum(sizes >= 3)
+        upto = int(np.searchsorted(solid, need)) + 1 if need else 0
+        if need and solid[-1] < need:  # too few to make up for the weak: plain pigeonhole, empty segments and all
+            weak[:], upto = False, m
+        out.append(mix(sums[~weak] + label[~weak]))
+        if upto:
+            # The sum of a segment less one shingle equals the full sum of a set without it.
+            seg = np.flatnonzero(sizes[:upto] >= 2)
+            if len(seg):
+                at = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in seg])
+                seg = np.repeat(seg, sizes[seg])
+                out.append(mix(sums[seg] - tagged[at] + label[seg]))
     return np.unique(np.concatenate(out))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def members(docs: DataFrame, words: int) -> DataFrame:
-    """doc (null id: below all), h (of the text), n, node (null: no shingles)."""
+    """doc (null id: below all), h (of the text), n, node (null: no shingles), sketch (of a node's first row in a batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            n, node = [], []
+            n, node, drawn, done = [], [], [], set()
             for text in as_bytes(batch.column(2)).to_pylist():
                 h = shingle(text)
+                own = set_id(h) if len(h) else None
                 n.append(len(h))
-                node.append(set_id(h) if len(h) else None)
-            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc", "h", "n", "node"])
+                node.append(own)
+                drawn.append(None if own is None or own in done else sketch(h))
+                done.add(own)
+            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(drawn, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc", "h", "n", "node", "sketch"])
 
     rows = docs.select(doc_key().alias("doc"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc long, h long, n long, node long")
+    return rows.mapInArrow(run, "doc long, h long, n long, node long, sketch binary")
+
+
+def _frequent(docs: DataFrame, reps: DataFrame, words: int, scratch: Scratch) -> np.ndarray:
+    """Shingles that many of a share of the sets hold, sorted; a bounded number of them, the most frequent first."""
+    some = reps.select("node").where(F.pmod(F.xxhash64(F.lit("share"), "node"), F.lit(COUNTED_SHARE)) == 0)
+    sets = _sets(docs, reps, some, words, scratch).dropDuplicates(["node"])
+    counted = sets.select(F.explode("h").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    most = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
+    return np.sort(np.array([r.shingle for r in most.select("shingle").collect()], np.int64).view(np.uint64))
 
 
-def _index(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _index(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(entry, node), each set once a task."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, done = Shingler(words), set()
-        for batch in _parts(batches):
-            keys, nodes = [], []
-            for text in as_bytes(batch.column(0)).to_pylist():
-                h = shingle(text)
-                node = set_id(h) if len(h) else None
-                if node is None or node in done:
-                    continue
-                if len(done) > 1_000_000:
-                    done.clear()
-                done.add(node)
-                keys.append(e := entries(h, percent))
-                nodes.append(np.full(len(e), node, np.int64))
-            if keys:
-                arrays = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))]
-                yield pa.RecordBatch.from_arrays(arrays, ["entry", "node"])
+        shingle, done, common = Shingler(words), set(), sent.value
+        for batch in batches:
+            for part in slices(batch, 256, 1 << 20):
+                keys, nodes = [], []
+                for text in as_bytes(part.column(0)).to_pylist():
+                    h = shingle(text)
+                    node = set_id(h) if len(h) else None
+                    if node is None or node in done:
+                        continue
+                    if len(done) > 200_000:
+                        done.clear()
+                    done.add(node)
+                    keys.append(e := entries(h, percent, common))
+                    nodes.append(np.full(len(e), node, np.int64))
+                if keys:
+                    arrays = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["entry", "node"])
 
     return docs.select("text").mapInArrow(run, "entry long, node long")
 
@@ -217,69 +274,48 @@ def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int, scratc
     """(node, h) of ``nodes``: their sets, made anew from the text of one document each."""
     wanted = scratch.write(reps.join(nodes, "node", "left_semi").select("doc", "node"))
     texts = docs.select(doc_key().alias("doc"), "text")
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted, "doc")  # 16 bytes each
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, "doc")  # 16 bytes each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for batch in _parts(batches, 256):
-            sets, nodes = [], []
-            for text, node in zip(as_bytes(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingle(text)
-                if len(h) and set_id(h) == node:  # a doc_id may stand on several rows
-                    sets.append(h.view(np.int64))
-                    nodes.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
+        for batch in batches:
+            for part in slices(batch, 128, 1 << 20):
+                sets, nodes = [], []
+                for text, node in zip(as_bytes(part.column(0)).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    h = shingle(text)
+                    if len(h) and set_id(h) == node:  # a doc_id may stand on several rows
+                        sets.append(h.view(np.int64))
+                        nodes.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
 
     return texts.select("text", "node").mapInArrow(run, "node long, h array<long>")
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """(node, n, sketch)."""
+def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, shared) less those that the length and sketch bounds rule out: no link is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x.values.to_numpy().view(np.uint64) for x in batch.column(1)]
-            made = [pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["node", "n", "sketch"])
-
-    return sets.mapInArrow(run, "node long, n long, sketch binary")
-
-
-def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) less those that the length and sketch bounds rule out: no link is lost."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BUCKETS)
-        for batch in _parts(batches):
-            a, b = batch.columns[:2]
-            n, m = (batch.column(i).to_numpy() for i in (2, 4))
-            d = counts(batch.column(3)) - counts(batch.column(5))
-            apart = np.minimum(d, -d).sum(axis=1, dtype=np.int64)
-            total = n + m
-            most = total - 2 * -(-percent * total // (100 + percent))
-            keep = pa.array((apart <= most) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
-
-    for name, n, counts in (("a", "n", "c"), ("b", "m", "d")):
-        own = sketches.select(F.col("node").alias(name), F.col("n").alias(n), F.col("sketch").alias(counts))
+            for part in slices(batch, 4096, 1 << 20):
+                rows = part.num_rows
+                drawn = Sketches([*part.column(4).to_pylist(), *part.column(6).to_pylist()])
+                n = np.concatenate([part.column(3).to_numpy(), part.column(5).to_numpy()])
+                keep = pa.array(drawn.near(np.arange(rows), np.arange(rows, 2 * rows), n, percent))
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in range(3)], ["a", "b", "shared"])
+
+    for name, n, drawn in (("a", "n", "c"), ("b", "m", "d")):
+        own = reps.select(F.col("node").alias(name), F.col("n").alias(n), F.col("sketch").alias(drawn))
         pairs = pairs.join(own, name)
-    return pairs.select("a", "b", "n", "c", "m", "d").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "shared", "n", "c", "m", "d").mapInArrow(run, "a long, b long, shared long")
 
 
-def _verified(
-    docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch, bound: bool = False
-) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``; ``bound``: less those that their sketches rule out, whose sets need not travel."""
-    ends = lambda df: df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
-    made = scratch.write(_sets(docs, reps, ends(pairs), words, scratch))
-    sets = made
-    if bound:
-        pairs = scratch.write(_near(pairs.select("a", "b"), _sketches(made).dropDuplicates(["node"]), percent))
-        sets = made.join(ends(pairs), "node", "left_semi")
-    sets = sets.dropDuplicates(["node"])
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = scratch.write(_sets(docs, reps, ends, words, scratch).dropDuplicates(["node"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 256):
+        for batch in batches:
             a, b, x, y = batch.columns
             linked = []
             for i in range(batch.num_rows):
@@ -291,53 +327,80 @@ def _verified(
     joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
     checked = scratch.write(joined.mapInArrow(check, "a long, b long, linked boolean"))
-    scratch.drop(made)
+    scratch.drop(sets)
     return checked
 
 
-def _possible(percent: int):
-    """(a, others): of an entry's members the pairs across components that the length and sketch bounds let pass.
+def _cells(rest: DataFrame, cell: int) -> DataFrame:
+    """``rest`` (entry, node, size, anything else) dealt to cells (entry, lo, hi) of two parts of an entry's nodes each, with ``part``.
 
-    A pair stands with its smaller set, so it reads alike in every entry.
+    Each pair of parts has a cell, so each pair of nodes meets; an entry of up to
+    ``cell`` nodes is one cell.
     """
+    parts = F.ceil(F.col("size") / cell).cast("int")
+    part = F.pmod(F.xxhash64(F.lit("part"), "node"), parts).cast("int")
+    dealt = rest.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other")
+
+
+def _possible(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each cell the pairs across components that the length and sketch bounds let pass, a < b. Streams through sorted rows."""
+    names = ["entry", "lo", "hi", "part", "node", "component", "n", "sketch"]
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        entry, lo, hi, part, node, comp, n = (rows[c].to_numpy() for c in names[:7])
+        drawn = Sketches(rows["sketch"].to_pylist())
+        new = (entry[1:] != entry[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        group = np.concatenate(([0], np.cumsum(new)))
+        found, here, held, k = [], np.arange(len(node) - 1), [], 1
+        while len(here):  # rows k apart of one cell; these are sorted by n
+            here = here[here + k < len(node)]
+            here = here[(group[here] == group[here + k]) & (100 * n[here] >= percent * n[here + k])]
+            take = here[(comp[here] != comp[here + k]) & ((lo[here] == hi[here]) | (part[here] != part[here + k]))]
+            held.append((take, take + k))
+            k += 1
+            if sum(len(x) for x, _ in held) > 100_000 or not len(here):
+                i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                keep = drawn.near(i, j, n, percent)
+                found.append(np.stack([node[i[keep]], node[j[keep]]]))
+                held = []
+        a, b = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows < 2048:
+                continue
+            keys = [rows[c].to_numpy() for c in names[:3]]
+            other = np.flatnonzero(np.any([x != x[-1] for x in keys], axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on
+            if cut:
+                yield pairs(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks().to_batches()
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            yield pairs(rows)
+
+    dealt = cells.select(*names).repartition(F.col("entry"), F.col("lo"), F.col("hi")).sortWithinPartitions("entry", "lo", "hi", "n")
+    return dealt.mapInArrow(run, "a long, b long")
 
-    def run(part):
-        found, others = [], []
-        order = np.lexsort((part["node"].to_numpy(), part["n"].to_numpy()))
-        node, n, comp = (part[c].to_numpy()[order] for c in ("node", "n", "component"))
-        counts = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, BUCKETS)[order]
-        for i in range(len(node)):
-            end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            own = []
-            for start in range(i + 1, end, 4096):
-                j = slice(start, min(end, start + 4096))
-                d = (counts[j] - counts[i]).astype(np.uint8)
-                apart = np.minimum(d, -d).sum(axis=1, dtype=np.int64)
-                total = n[i] + n[j]
-                most = total - 2 * -(-percent * total // (100 + percent))
-                own.append(node[j][(comp[j] != comp[i]) & (apart <= most)])
-            if own and any(map(len, own)):
-                found.append(node[i])
-                others.append(np.concatenate(own))
-        return pa.table({"a": pa.array(found, pa.int64()), "others": pa.array(others, pa.list_(pa.int64()))})
-
-    return run
-
-
-def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+
+def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch, cell: int = CELL) -> DataFrame:
     """Per row: doc, h, n, node, component (a node), component_doc, n_links; the last four null without shingles."""
     member = scratch.write(members(docs, words))
     reps = scratch.write(
         member.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.max("sketch").alias("sketch"))
     )
-    star = scratch.write(_stars(_index(docs, words, percent)))
-    # First each node with the hub that it shares most entries with.
+    star = scratch.write(_stars(_index(docs, words, percent, _frequent(docs, reps, words, scratch))))
     shared = star.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    shared = scratch.write(shared)
-    best = shared.groupBy("b").agg(F.max_by("a", F.struct("shared", F.negative(F.col("a").cast("decimal(20,0)")))).alias("a"))
-    first = _verified(docs, reps, best.select("a", "b"), words, percent, scratch)
+    near = scratch.write(_near(shared, reps, percent))
+    # First each node with the hub that it shares most entries with.
+    best = near.groupBy("b").agg(F.max_by("a", F.struct("shared", F.negative(F.col("a").cast("decimal(20,0)")))).alias("a"))
+    first = _verified(docs, reps, scratch.write(best.select("a", "b")), words, percent, scratch)
     links = first.where("linked").select("a", "b")
     comps = components(links, scratch)
 
@@ -347,16 +410,15 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> Dat
         return df.join(named, name, "left").withColumn(to, F.coalesce("__c", name)).drop("__c")
 
     # Then all hubs and nodes that are still in different components.
-    crossing = of(of(shared.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    crossing = of(of(near.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     crossing = scratch.write(crossing.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    second = None
     if crossing.count():
-        second = _verified(docs, reps, crossing, words, percent, scratch, bound=True)
+        second = _verified(docs, reps, crossing, words, percent, scratch)
         links = links.unionByName(second.where("linked").select("a", "b"))
         comps = components(links, scratch)
     # Last, within the entries whose nodes are in several components, the pairs across these.
-    full = star.select("entry", "node").unionByName(star.select("entry", F.col("hub").alias("node")))
-    full = of(full.distinct(), "node", "component")
+    full = star.select("entry", "node").unionByName(star.select("entry", F.col("hub").alias("node")).distinct())
+    full = of(full, "node", "component")
     split = full.groupBy("entry").agg(
         F.min("component").alias("lo"),
         F.max("component").alias("hi"),
@@ -365,23 +427,17 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> Dat
     )
     # Of entries with the same nodes one is enough.
     split = split.where("lo <> hi AND size > 2").groupBy("size", "f1", "f2").agg(F.min("entry").alias("entry"))
-    split = scratch.write(split.select("entry"))
+    split = scratch.write(split.select("entry", "size"))
     if split.count():
-        rest = scratch.write(full.join(split, "entry", "left_semi"))
-        nodes = _sets(docs, reps, rest.select("node").distinct(), words, scratch)
-        rest = rest.join(scratch.write(_sketches(nodes).dropDuplicates(["node"])), "node")
-        listed = rest.groupBy("entry").applyInArrow(_possible(percent), "a long, others array<long>")
-        listed = listed.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-        pairs = scratch.write(listed).select("a", F.explode("others").alias("b"))
-        third = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        for known in [first, second] if second is not None else [first]:
-            third = third.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        third = scratch.write(third)
+        rest = full.join(split, "entry").join(reps.select("node", "n", "sketch"), "node")
+        third = scratch.write(_possible(_cells(rest, cell), percent).distinct())
+        # Hubs with their nodes have been looked at.
+        third = scratch.write(third.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         if third.count():
             done = _verified(docs, reps, third, words, percent, scratch)
             links = links.unionByName(done.where("linked").select("a", "b"))
             comps = components(links, scratch)
-    by_node = of(reps, "node", "component")
+    by_node = of(reps.select("node", "doc", "copies"), "node", "component")
     least = by_node.groupBy("component").agg(F.min("doc").alias("component_doc"))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("ends"))
     named = scratch.write(
@@ -389,7 +445,7 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> Dat
         .join(ends, "node", "left")
         .select("node", "component", "component_doc", (F.col("copies") - 1 + F.coalesce("ends", F.lit(0))).alias("n_links"))
     )
-    return member.join(named, "node", "left")
+    return member.drop("sketch").join(named, "node", "left")
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:

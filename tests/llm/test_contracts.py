@@ -227,6 +227,46 @@ def test_entries_never_miss_a_link():
             for percent in (80, 85):
                 if both and 100 * both >= percent * (len(a) + len(b) - both):
                     assert len(np.intersect1d(jaccard_join.entries(a, percent), jaccard_join.entries(b, percent)))
+                    frequent = np.sort(rng.permutation(np.union1d(a, b))[: int(rng.integers(1, 2 * n + 2))])
+                    assert len(np.intersect1d(jaccard_join.entries(a, percent, frequent), jaccard_join.entries(b, percent, frequent)))
+                    drawn = jaccard_join.Sketches([jaccard_join.sketch(a), jaccard_join.sketch(b)])
+                    assert drawn.near(np.array([0]), np.array([1]), np.array([len(a), len(b)]), percent).all()
+
+
+def test_entries_of_small_sets_exhaustively():
+    """Every pair of subsets of a few shingles that links has an entry in common, whatever is frequent."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(21)
+    for trial in range(6):
+        pool = np.sort(rng.integers(0, 2**64, 9, dtype=np.uint64))
+        frequent = pool[rng.random(9) < (0, 0.3, 1)[trial % 3]]
+        sets = [np.array(c, np.uint64) for k in range(1, 10) for c in combinations(pool, k)]
+        for percent in (60, 80):
+            index = [set(jaccard_join.entries(x, percent, frequent).tolist()) for x in sets]
+            for i, x in enumerate(sets):
+                for j in range(i):
+                    both = len(np.intersect1d(x, sets[j]))
+                    if both and 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                        assert index[i] & index[j]
+
+
+def test_cells_give_every_possible_pair(spark):
+    rng = np.random.default_rng(22)
+    base = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(340, 400))], rng.integers(0, 2**64, int(rng.integers(0, 40)), dtype=np.uint64)])) for _ in range(150)]
+    rows = [(entry, i, i % 40, len(h), bytearray(jaccard_join.sketch(h)), 150 if entry < 2 else 60) for entry in range(3) for i, h in enumerate(sets[: 150 if entry < 2 else 60])]
+    rest = spark.createDataFrame(rows, "entry long, node long, component long, n long, sketch binary, size long")
+    want = set()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            n = np.array([len(x), len(sets[j])])
+            drawn = jaccard_join.Sketches([jaccard_join.sketch(x), jaccard_join.sketch(sets[j])])
+            if i % 40 != j % 40 and drawn.near(np.array([0]), np.array([1]), n, 80)[0]:
+                want.add((j, i))
+    for cell in (16, 1024):
+        got = {(r.a, r.b) for r in jaccard_join._possible(jaccard_join._cells(rest, cell), 80).collect()}
+        assert got == want and want
 
 
 def test_components(spark):
