@@ -139,47 +139,49 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(items: DataFrame, block_bytes: int):
-    """The items as lists of (id, text) of about ``block_bytes`` each, read one at a time."""
+def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items (id, text) in blocks of about ``block_bytes`` each."""
     rows = items.select(F.col("item_id").cast("string").alias("id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-total // block_bytes)
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        yield [(r.id, r.text.encode()) for r in part.toLocalIterator()]
+    n = max(1, -(-total // block_bytes))
+    return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
 def find_hits(
-    docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 4 << 20, prefix: str = ""
+    docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 4 << 20, prefix: str = "", cut: bool = False
 ) -> DataFrame:
     """``docs`` (text, anything else) with ``n_words`` long, ``hit_spans`` array<array<long>> and ``hit_items`` array<string>.
 
     ``items``: item_id, text. Spans are [first, end) of words, merged where they
     touch or overlap; items are sorted as strings. A null or empty text has no
     words; items of null id, null text or no words are not looked for; items
-    that repeat count once. Columns of those three names (after ``prefix``) are replaced.
+    that repeat count once. Columns of those three names (after ``prefix``) are
+    replaced. ``cut``: ``text`` loses the words of its spans.
     """
     n_words, hit_spans, hit_items = (prefix + c for c in ("n_words", "hit_spans", "hit_items"))
     scratch = Scratch(docs.sparkSession)
     spans, names = T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())
     fields = [T.StructField(n_words, T.LongType()), T.StructField(hit_spans, spans), T.StructField(hit_items, names)]
-    out, done, held = docs, 0, None
-    for block in _blocks(items, block_bytes):
-        if done:  # one automaton a task at a time
+    out, held = docs, None
+    blocks = _blocks(items, block_bytes)
+    for no, block in enumerate(blocks):
+        if no:  # one automaton a task at a time
             kept, held = held, scratch.write(out)
             if kept is not None:
                 scratch.drop(kept)
             out = held
-        sent, token, first = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, not done
+        # A block is of bounded size.
+        sent = docs.sparkSession.sparkContext.broadcast([(r.id, r.text.encode()) for r in block.toLocalIterator()])
+        token, first, last = uuid.uuid4().hex, not no, no == len(blocks) - 1
 
-        def make(sent=sent, token=token, first=first):
+        def make(sent=sent, token=token, first=first, last=last):
             if token not in _built:
                 _built.clear()
                 _built[token] = Automaton([(i, words_of(t)) for i, t in sent.value], window)
             scan = _built[token].scan
 
             def fn(texts: pa.Array, *before: pa.Array) -> dict[str, pa.Array]:
-                n, found, met = [], [], []
+                n, found, met, left = [], [], [], []
                 old = zip(*(c.to_pylist() for c in before), strict=True) if before else (((), ()) for _ in range(len(texts)))
                 for text, (s0, m0) in zip(texts.to_pylist(), old, strict=True):
                     words = words_of(text)
@@ -187,30 +189,19 @@ def find_hits(
                     n.append(len(words))
                     found.append(s if first else _merge([*s0, *s]))
                     met.append(sorted(m.union(x if isinstance(x, str) else x.decode() for x in m0)))
+                    if cut and last:
+                        left.append(cut_spans(text, found[-1]))
                 return {
                     n_words: pa.array(n, pa.int64()),
                     hit_spans: pa.array(found, pa.list_(pa.list_(pa.int64()))),
                     hit_items: pa.array(met, pa.list_(pa.string())),
+                    **({"text": as_text(left)} if cut and last else {}),
                 }
 
             return fn
 
-        out = map_columns(out, ["text"] if first else ["text", hit_spans, hit_items], fields, make)
-        done += 1
-    if not done:
-
-        def plain():
-            def fn(texts: pa.Array) -> dict[str, pa.Array]:
-                rows = len(texts)
-                return {
-                    n_words: pa.array([len(words_of(t)) for t in texts.to_pylist()], pa.int64()),
-                    hit_spans: pa.array([[]] * rows, pa.list_(pa.list_(pa.int64()))),
-                    hit_items: pa.array([[]] * rows, pa.list_(pa.string())),
-                }
-
-            return fn
-
-        out = map_columns(out, ["text"], fields, plain)
+        made = [*fields, T.StructField("text", T.StringType())] if cut and last else fields
+        out = map_columns(out, ["text"] if first else ["text", hit_spans, hit_items], made, make)
     return out
 
 
@@ -238,22 +229,17 @@ def decontaminate(
     A span is every word inside an occurrence of ``window`` consecutive item
     words (or of a whole shorter item). A document of which more than
     ``max_coverage`` of the words are hit goes; the others lose their spans. The
-    columns are those of ``docs``; n_chars, where there is one, follows the text.
+    columns are those of ``docs``, whatever their names, and only text and n_chars,
+    where there is one, change: n_chars follows the text.
     """
-    found = find_hits(docs, items, window, block_bytes, prefix="__")
-    kept = found.where(n_hit("__") <= max_coverage * F.col("__n_words"))
-
-    def make():
-        def fn(texts: pa.Array, spans: pa.Array) -> dict[str, pa.Array]:
-            rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
-            return {"text": as_text([cut_spans(t, s) for t, s in rows])}
-
-        return fn
-
-    out = map_columns(kept, ["text", "__hit_spans"], [T.StructField("text", T.StringType())], make)
-    own = docs.columns
+    own, clash = docs.columns, {c.lower() for c in docs.columns}
+    prefix = "__"
+    while any((prefix + c) in clash for c in ("n_words", "hit_spans", "hit_items")):
+        prefix += "_"
+    found = find_hits(docs, items, window, block_bytes, prefix, cut=True)
+    kept = found.where(n_hit(prefix) <= max_coverage * F.col(prefix + "n_words"))
     length = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in own else {}
-    return out.select(*(length.get(c, F.col(f"`{c}`")) for c in own))
+    return kept.select(*(length.get(c, F.col(f"`{c}`")) for c in own))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

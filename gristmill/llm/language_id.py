@@ -209,8 +209,12 @@ def held_out():
 
 def keep_known(docs: DataFrame, least: float = 0.1, **bounds) -> DataFrame:
     """The rows of ``docs`` whose text has a language: not ``und``, and a score of ``least`` or more for its length. Columns stay."""
-    found = predict(docs, fit(docs, **bounds), "__", relative=True)
-    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).drop("__lang_pred", "__score")
+    prefix, own = "__", {c.lower() for c in docs.columns}
+    while f"{prefix}lang_pred" in own or f"{prefix}score" in own:
+        prefix += "_"
+    found = predict(docs, fit(docs, **bounds), prefix, relative=True)
+    kept = found.where((F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}score") >= least))
+    return kept.drop(f"{prefix}lang_pred", f"{prefix}score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,12 +108,14 @@ def test_decontaminated_texts(spark):
     item = "one two three four five six seven eight nine ten eleven"
     df = docs(spark, [(1, f"Before. {item}! After it all comes this and that and more of the same, on and on."), (2, item), (3, "clean"), (4, None)])
     df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("__n_words", F.lit("x"))
-    out = decontaminate.decontaminate(df.drop("__n_words"), spark.createDataFrame([(7, item)], "item_id long, text string"))
-    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {
-        1: ("Before. ! After it all comes this and that and more of the same, on and on.", 75),
-        3: ("clean", 5),
-        4: (None, None),
-    }
+    for block in (4 << 20, 20):
+        out = decontaminate.decontaminate(df, spark.createDataFrame([(7, item), (8, "no such words")], "item_id long, text string"), block_bytes=block)
+        assert out.columns == df.columns
+        assert {r.doc_id: (r.text, r.n_chars, r["__n_words"]) for r in out.collect()} == {
+            1: ("Before. ! After it all comes this and that and more of the same, on and on.", 75, "x"),
+            3: ("clean", 5, "x"),
+            4: (None, None, "x"),
+        }
     assert decontaminate.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).count() == 4
 
 
