@@ -2,13 +2,12 @@
 
 Two generative models of hashed word unigrams and bigrams: the target's, from the
 documents that are labelled good, and the raw one, from all documents. A text's
-log importance is the sum of the log ratios of its n-grams, per n-gram and scaled,
-so that long texts do not win by length. Gumbel noise, a function of the document
-alone, is added, and the k greatest are the sample: k draws without replacement in
-proportion to the weights.
+log importance is the sum of the log ratios of its n-grams. Gumbel noise, a function
+of the document alone, is added, and the k greatest are the sample: k draws without
+replacement in proportion to the weights.
 
-The cut between k-th and next is found on counts by rounded key, then exactly
-within the one bin that holds it; nothing is sorted as a whole.
+The cut between k-th and next is found on counts in a bounded number of bins, again
+and again within the bin that holds it; nothing is sorted as a whole.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,15 +83,16 @@ def resample(
     docs: DataFrame,
     labels: DataFrame,
     fraction: float | None = None,
-    sharpness: float = 40.0,
+    per_gram: float | None = None,
     buckets: int = 1 << 15,
     most_labels: int = 500_000,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_grams, log_weight, sampling_key, selected.
 
-    ``labels``: doc_id, quality (1 good, 0 bad). ``log_weight`` is ``sharpness``
-    times the mean log ratio of the text's n-grams; a null or blank text has none
-    and gets null, and is never selected. The sample holds ``fraction`` of the
+    ``labels``: doc_id, quality (1 good, 0 bad). ``log_weight`` is the
+    sum of the log ratios of the text's n-grams, or, with ``per_gram``, so many times
+    their mean, which is another law: one by which length does not count. A null or
+    blank text has none and gets null, and is never selected. The sample holds ``fraction`` of the
     rows that have a weight, rounded; unless given, that is the share of good ones
     among the labels, so that as much is kept as is thought good. Where keys tie at the
     cut, smaller ids go first. Without good labels all ratios are 0 and the sample
@@ -122,7 +122,8 @@ def resample(
             for text in texts.to_pylist():
                 at = features(text)
                 n.append(len(at))
-                weight.append(sharpness * float(table_[at].mean()) if len(at) else None)
+                own = table_[at]
+                weight.append(float(own.sum() if per_gram is None else per_gram * own.mean()) if len(at) else None)
             return {"n_grams": pa.array(n, pa.int64()), "log_weight": pa.array(weight, pa.float64())}
 
         return fn
@@ -130,30 +131,45 @@ def resample(
     noisy = docs.select("doc_id", "text", _gumbel().alias("noise"))
     scored = map_columns(noisy, ["text"], fields, make)
     scored = scratch.write(scored.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") + F.col("noise")).alias("sampling_key")))
+    scratch.drop(judged)
     k = round(fraction * scored.where("log_weight IS NOT NULL").count())
-    # Bins of a 64th; at most a few thousand of them, as weights are bounded by the smoothing.
-    bin_ = F.floor(F.col("sampling_key") * 64)
-    bins = scored.where("sampling_key IS NOT NULL").groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    left, edge = k, None
-    for r in bins.orderBy(F.desc("bin")).toLocalIterator():
-        if r.n > left:
-            edge = r.bin
-            break
-        left -= r.n
-    if edge is None:
-        return scored.withColumn("selected", F.col("sampling_key").isNotNull())
-    # Within the bin of the cut: keys in order, each with how often it comes.
-    inside = scored.where(bin_ == edge).groupBy("sampling_key", doc_key().alias("doc")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.desc("sampling_key"), "doc")
-    inside = inside.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= left)
-    last = inside.orderBy(F.desc("upto")).select("sampling_key", "doc").first()
-    above = bin_ > edge
-    if last is not None:
-        key = F.col("sampling_key")
-        above = above | (bin_ == edge) & ((key > last.sampling_key) | (key == last.sampling_key) & (doc_key() <= last.doc))
+    key, lesser = F.col("sampling_key"), -doc_key().cast("decimal(20,0)")
+    weighed = scored.where(key.isNotNull())
+    if k <= 0:
+        return scored.withColumn("selected", F.lit(False))
+    edge, left, tied = _kth(weighed, key, k)
+    above = key > edge
+    if left == tied:
+        above = key >= edge
+    else:  # the least ids of those that tie at the cut, as long as all rows of an id have room
+        last, left, tied = _kth(weighed.where(key == edge), lesser, left)
+        inside = lesser >= F.lit(last) if left == tied else lesser > F.lit(last)
+        above = above | (key == edge) & inside
     return scored.withColumn("selected", F.coalesce(above, F.lit(False)))
 
 
+def _kth(rows: DataFrame, value, k: int, bins: int = 4096):
+    """The k-th greatest value (of ``k`` or more rows), how many rows of it are among the k greatest, and how many there are.
+
+    Values are doubles, or decimals without a fraction.
+    """
+    rows = rows.select(value.alias("v"))
+    low, high, total = rows.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    while low != high:
+        if isinstance(low, float):
+            at = F.floor((F.col("v") - low) / (high - low) * bins)
+        else:
+            at = F.floor((F.col("v") - F.lit(low)) / F.lit((high - low) // bins + 1))
+        inside = rows.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))).groupBy(at.alias("bin"))
+        counts = inside.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(counts, key=lambda r: r.high, reverse=True):  # at most bins + 1 of them
+            if r.n >= k:
+                break
+            k -= r.n
+        low, high, total = r.low, r.high, r.n
+    return low, k, total
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: its importance for the good labelled text, and whether the sample holds it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
