@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokenize
+from ..sources.corpus import last_of_each
 from .sparse import top_k
 
 
@@ -39,9 +40,14 @@ def memory_slots(tokens: pd.Series) -> pd.Series:
 
 def hashed_vectors(texts: DataFrame, key: str, dim: int = 512) -> DataFrame:
     """(key, slot, weight): 1 + ln tf by slot, signed by bit 20, of unit length. Texts without tokens have no rows."""
+    counts = texts.select(key, F.explode(tokenize("text")).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return hashed_counts(counts, key, dim)
+
+
+def hashed_counts(counts: DataFrame, key: str, dim: int = 512) -> DataFrame:
+    """``hashed_vectors`` of texts whose terms are counted already (key, term, tf)."""
     if dim < 8:
         raise ValueError("dim must be at least 8")
-    counts = texts.select(key, F.explode(tokenize("text")).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     h = F.col("h")
     vocabulary = counts.select("term").distinct().select("term", stable_hashes("term").alias("h"))
     sign = F.when(h.bitwiseAND(1 << 20) != 0, 1.0).otherwise(-1.0)
@@ -59,50 +65,61 @@ def memory_vectors(texts: DataFrame, key: str) -> DataFrame:
     return counts.join(slots, "term").groupBy(key, "slot").agg(F.sum("tf").alias("weight"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+def as_arrays(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, slots, weights) of sparse rows (key, slot, weight); what has slots already stays as it is."""
+    if "slots" in vectors.columns:
+        return vectors
+    rows = vectors.groupBy(key).agg(F.collect_list(F.struct("slot", "weight")).alias("v"))
+    return rows.select(key, F.col("v.slot").alias("slots"), F.col("v.weight").alias("weights"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, sent: int = 8192, block: int = 512) -> DataFrame:
     """(query_id, chunk_id, score, rank) by inner product of sparse rows (id, slot, weight); only positive scores.
 
-    A block of queries at a time is sent out as a dense matrix, of bounded size;
-    chunks meet it in Arrow batches, of which each query's ``k`` best leave.
+    ``sent`` queries at a time are sent out, so that a broadcast stays within a few
+    megabytes; chunks meet them in Arrow batches, as products of matrices of ``block``
+    queries, of which each query's ``k`` best leave.
     """
-    ids = queries.select("query_id").distinct()
-    parts = max(1, -(-ids.count() // block))
-    rows = vectors.groupBy("chunk_id").agg(F.collect_list(F.struct("slot", "weight")).alias("v"))
-    rows = rows.select("chunk_id", F.col("v.slot").alias("slots"), F.col("v.weight").alias("weights"))
-    found = None
+    asked = as_arrays(queries, "query_id")
+    parts = max(1, -(-asked.count() // sent))
+    rows, found = as_arrays(vectors), None
     for i in range(parts):
-        own = queries.select("query_id", "slot", "weight")
-        own = own if parts == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        best = rows.mapInArrow(_product(own.collect(), k), "query_id string, chunk_id string, score double")
+        own = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        best = rows.mapInArrow(_product(own.collect(), k, block), "query_id string, chunk_id string, score double")
         found = best if found is None else found.unionByName(best)
     return top_k(found, k)
 
 
-def _product(asked: list, k: int):
-    names = sorted({r.query_id for r in asked})
-    matrix = np.zeros((1 + max((r.slot for r in asked), default=0), len(names)))
-    at = {q: i for i, q in enumerate(names)}
-    for r in asked:
-        matrix[r.slot, at[r.query_id]] += r.weight
+def _matrix(slots: np.ndarray, lengths: np.ndarray, weights: np.ndarray, dim: int) -> np.ndarray:
+    out = np.zeros((len(lengths), dim))
+    row, known = np.repeat(np.arange(len(lengths)), lengths), slots < dim
+    np.add.at(out, (row[known], slots[known]), weights[known])
+    return out
+
+
+def _product(asked: list, k: int, block: int):
+    asked = sorted(asked, key=lambda r: r.query_id)
+    names = [r.query_id for r in asked]
+    dim = 1 + max((s for r in asked for s in r.slots), default=0)
+    slots, weights = (np.array([x for r in asked for x in getattr(r, c)]) for c in ("slots", "weights"))
+    ends = np.concatenate(([0], np.cumsum([len(r.slots) for r in asked]))).astype(int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows or not names:
                 continue
             ids = np.array(batch.column(0).to_pylist(), object)
-            slots, weights = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
-            row = np.repeat(np.arange(len(ids)), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            known = slots < len(matrix)
-            dense = np.zeros((len(ids), len(matrix)))
-            np.add.at(dense, (row[known], slots[known]), weights[known])
-            scores = np.round(dense @ matrix, 12)
-            out = []
-            for q in range(len(names)):
-                s = scores[:, q]
-                good = np.flatnonzero((s > 0) & (s >= (np.partition(s, -k)[-k] if len(s) > k else -1)))
-                out.append((np.full(len(good), names[q], object), ids[good], s[good]))
-            arrays = [pa.array(np.concatenate(c).tolist(), t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["query_id", "chunk_id", "score"])
+            own, w = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+            dense = _matrix(own, batch.column(1).value_lengths().to_numpy(zero_copy_only=False), w, dim)
+            for start in range(0, len(names), block):
+                end = min(start + block, len(names))
+                part = slice(ends[start], ends[end])
+                matrix = _matrix(slots[part], np.diff(ends[start : end + 1]), weights[part], dim)
+                scores = np.round(dense @ matrix.T, 12)
+                floor = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else np.full(end - start, -1.0)
+                i, q = np.nonzero((scores > 0) & (scores >= floor))
+                arrays = [pa.array([names[start + x] for x in q], pa.string()), pa.array(ids[i].tolist(), pa.string()), pa.array(scores[i, q])]
+                yield pa.RecordBatch.from_arrays(arrays, ["query_id", "chunk_id", "score"])
 
     return run
 
@@ -118,23 +135,47 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in the place of those with their key."""
+    """``old`` with the rows of ``new`` in the place of those with their key; of rows of ``new`` with one key the last stays."""
+    new = last_of_each(new, key)
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, measure=cosine, digits: int = 12, block: int = 256) -> DataFrame:
-    """(query_id, chunk_id, score, rank): exact nearest of ``vectors`` (chunk_id, vec) to ``queries`` (query_id, vec).
+def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 12, block: int = 4096) -> DataFrame:
+    """(query_id, chunk_id, score, rank): exact nearest of ``vectors`` (chunk_id, vec) to ``queries`` (query_id, vec) by cosine.
 
-    The stated queries are held against all rows a block at a time, so that what
-    is broadcast stays within ``block`` vectors; scores that are not positive go.
+    ``block`` queries at a time are sent out; vectors meet them in Arrow batches, as a
+    product of matrices, of which each query's ``k`` best and those that tie with them
+    leave. Scores that are not positive go, and so do vectors of another length.
     """
-    n = queries.count()
-    parts = max(1, -(-n // block))
+    parts = max(1, -(-queries.count() // block))
     found = None
     for i in range(parts):
-        own = queries.select("query_id", F.col("vec").alias("q"))
-        own = own if parts == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        scored = vectors.join(F.broadcast(own)).select("query_id", "chunk_id", F.round(measure(F.col("vec"), F.col("q")), digits).alias("score"))
-        best = top_k(scored.where("score > 0"), k)
+        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        best = vectors.select("chunk_id", "vec").mapInArrow(_cosines(own.select("query_id", "vec").collect(), k, digits), "query_id string, chunk_id string, score double")
         found = best if found is None else found.unionByName(best)
-    return found
+    return top_k(found, k)
+
+
+def _cosines(asked: list, k: int, digits: int):
+    names, q = [r.query_id for r in asked], [np.array(r.vec, float) for r in asked]
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(rows, axis=1, keepdims=True)
+        return rows / np.where(norm == 0, 1, norm)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim in sorted({len(x) for x in q if len(x)}):
+                own = [i for i, x in enumerate(q) if len(x) == dim]
+                fits = batch.filter(pa.array([n == dim for n in batch.column(1).value_lengths().to_pylist()], pa.bool_()))
+                if not fits.num_rows:
+                    continue
+                ids = np.array(fits.column(0).to_pylist(), object)
+                rows = fits.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                scores = np.round(unit(rows) @ unit(np.stack([q[i] for i in own])).T, digits)
+                floor = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else np.full(len(own), -2.0)
+                i, j = np.nonzero((scores > 0) & (scores >= floor))
+                arrays = [pa.array([names[own[x]] for x in j], pa.string()), pa.array(ids[i].tolist(), pa.string()), pa.array(scores[i, j])]
+                yield pa.RecordBatch.from_arrays(arrays, ["query_id", "chunk_id", "score"])
+
+    return run

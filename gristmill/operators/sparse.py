@@ -18,7 +18,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def tokens(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", tokenize("text").alias("tokens"))
+    """(chunk_id, tokens) of chunks (chunk_id, text); what has tokens already stays as it is, so that they can be kept."""
+    return chunks if "tokens" in chunks.columns else chunks.select("chunk_id", tokenize("text").alias("tokens"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -49,16 +50,20 @@ def robertson_idf(n: Column, df: Column) -> Column:
     return F.when(n <= 0, F.lit(0.0)).otherwise(F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
-def scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score) of each chunk that shares a term with a query; rounded to 12 digits."""
-    q = query_terms(queries)
-    rows = postings(chunks, q)
-    idf = term_stats(rows).join(F.broadcast(corpus_stats(chunks))).select("term", robertson_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+def score_postings(rows: DataFrame, stats: DataFrame, q: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, score) from all postings of the terms in ``q`` (query_id, term, qtf); rounded to 12 digits."""
+    idf = term_stats(rows).join(F.broadcast(stats)).select("term", robertson_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     return rows.join(idf, "term").join(q, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 12).alias("score"))
 
 
+def scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, score) of each chunk that shares a term with a query."""
+    q = query_terms(queries)
+    return score_postings(postings(chunks, q), corpus_stats(chunks), q, k1, b)
+
+
 def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
     """The ``k`` best of each query, ranked from 1: greatest score, then chunk_id."""
     order = Window.partitionBy(*(by or ("query_id",))).orderBy(F.desc("score"), "chunk_id")

@@ -52,17 +52,22 @@ def inline(spark: SparkSession, rows: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
 
 
-def bm25(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
+def tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(chunk_id, tokens) of all documents, made once for what reads them several times."""
+    return Steps(spark).cut(sparse.tokens(chunks(spark, sf)))
+
+
+def bm25(spark: SparkSession, sf: str, k: int = K, kept: DataFrame | None = None) -> DataFrame:
     """Scores rounded to 6 digits before ranking, so that both engines rank alike."""
-    scored = sparse.scores(chunks(spark, sf), questions(spark, sf))
+    scored = sparse.scores(tokens(spark, sf) if kept is None else kept, questions(spark, sf))
     return Steps(spark).cut(sparse.top_k(scored.select("query_id", "chunk_id", F.round("score", 6).alias("score")).where("score > 0"), k))
 
 
-def overlaps(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
+def overlaps(spark: SparkSession, sf: str, k: int = K, kept: DataFrame | None = None) -> DataFrame:
     """A second ranked list: by the share of the question's distinct tokens that a chunk holds."""
     q = sparse.query_terms(questions(spark, sf))
     sizes = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = sparse.postings(chunks(spark, sf), q).join(q, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hit"))
+    rows = sparse.postings(chunks(spark, sf) if kept is None else kept, q).join(q, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hit"))
     scored = rows.join(sizes, "query_id").select("query_id", "chunk_id", F.round(F.col("hit") / F.col("n"), 6).alias("score"))
     return sparse.top_k(scored, k)
 
@@ -190,7 +195,7 @@ def _centroids(vectors: DataFrame) -> DataFrame:
 def _near(spark: SparkSession, sf: str, k: int) -> DataFrame:
     vectors = read(spark, sf, "embeddings")
     rows = vectors.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return dense.knn(rows, _centroids(vectors), k, digits=6)
+    return dense.knn(rows, _centroids(vectors), k, 6)
 
 
 @query
@@ -234,7 +239,8 @@ def hash_embed_search(spark, sf):
 
 
 def _fused(spark: SparkSession, sf: str, weights: dict[str, float] | None = None) -> DataFrame:
-    lists = [("dense", overlaps(spark, sf)), ("sparse", bm25(spark, sf))]
+    kept = tokens(spark, sf)
+    lists = [("dense", overlaps(spark, sf, kept=kept)), ("sparse", bm25(spark, sf, kept=kept))]
     return Steps(spark).cut(fusion.reciprocal_rank_fusion(lists, weights=weights, top_k=2 * K))
 
 

@@ -6,9 +6,10 @@ corpus side is never collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import time
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import NO_ANSWER
@@ -18,17 +19,37 @@ from ..functions.tools import invoke
 from ..operators import chunking, dense, evaluate, fusion, grounding, reader, rerank, sparse
 from ..operators.expansion import expand
 from ..schemas import DOCUMENT, Settings
-from ..sources.corpus import from_mapping, not_blank, read_texts, replace_revisions
+from ..sources.corpus import from_mapping, last_of_each, not_blank, read_texts
 from .steps import Steps
 
+#: (texts (key, text), name of the key) to sparse unit vectors (key, slot, weight).
+Encoder = Callable[[DataFrame, str], DataFrame]
+#: Questions (query_id, text) and a pool (query_id, place, chunk_id, text) to (query_id, sentence, chunk_id, score).
+Reader = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class Engine:
-    """A corpus and its indexes. ``rerank_with`` takes the place of the lexical reranker."""
+    """A corpus and its indexes, made once at ingest and kept in step with changed documents.
 
-    def __init__(self, spark: SparkSession, settings: Settings | None = None, rerank_with: rerank.Reranker | None = None):
+    ``rerank_with`` takes the place of the lexical reranker, ``embed_with`` of the
+    hashed vectors, ``read_with`` of the sentence reader; ``tools`` (name to a function
+    from payload to a column ok, value, error) are found before the built-in ones.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        settings: Settings | None = None,
+        rerank_with: rerank.Reranker | None = None,
+        embed_with: Encoder | None = None,
+        read_with: Reader | None = None,
+        tools: Mapping[str, Callable[[Column], Column]] | None = None,
+    ):
         self.spark, self.settings = spark, settings or Settings.from_conf(spark)
-        self.rerank_with = rerank_with
+        self.rerank_with, self.tools = rerank_with, dict(tools or {})
+        self.embed_with = embed_with or (lambda texts, key: dense.hashed_vectors(texts, key, self.settings.dim))
+        self.own_vectors = embed_with is None
+        self.read_with = read_with or reader.best_sentences
         self._tables, self._steps = None, Steps(spark)
         self.reset()
 
@@ -37,25 +58,69 @@ class Engine:
         self._build(self.spark.createDataFrame([], DOCUMENT))
 
     def ingest(self, docs: DataFrame | Mapping[str, str] | Iterable[tuple[str, str]], replace: bool = False) -> dict:
-        """Adds documents, or puts them in the place of those with their ids; ``replace`` drops all others first."""
+        """Adds documents, or puts them in the place of those with their ids; ``replace`` drops all others first.
+
+        Of documents with one id the last counts: of the greatest ``revision``, where
+        there is such a column. Only what changes is chunked and indexed.
+        """
         if not isinstance(docs, DataFrame):
             docs = from_mapping(self.spark, docs)
-        docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-        self._build(not_blank(docs) if replace else replace_revisions(self.documents, docs))
+        more = ["revision"] if "revision" in docs.columns else []
+        docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more)
+        docs = last_of_each(not_blank(docs), "doc_id").select("doc_id", "text")
+        if replace:
+            self._build(docs)
+        else:
+            self._update(docs)
         return self.stats()
 
     def ingest_paths(self, *paths: str) -> dict:
         return self.ingest(read_texts(self.spark, *paths))
 
+    def ingest_chunks(self, chunks: DataFrame) -> dict:
+        """Takes over a saved chunk table; the documents are then what the chunks of each say, in order."""
+        own = Steps(self.spark)
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda c: c["text"])
+        docs = own.cut(chunks.groupBy("doc_id").agg(F.concat_ws("\n", texts).alias("text")))
+        self._take(own, docs, own.cut(chunks), self._indexed(own, chunks))
+        return self.stats()
+
     def rebuild(self) -> dict:
         self._build(self.documents)
         return self.stats()
 
+    def _indexed(self, tables: Steps, chunks: DataFrame) -> dict[str, DataFrame]:
+        """The indexes of some chunks: lengths, postings, vectors."""
+        tokens = tables.cut(sparse.tokens(chunks))
+        postings = tables.cut(sparse.postings(tokens))
+        vectors = dense.hashed_counts(postings, "chunk_id", self.settings.dim) if self.own_vectors else self.embed_with(chunks, "chunk_id")
+        return {"lengths": sparse.lengths(tokens), "postings": postings, "vectors": dense.as_arrays(vectors)}
+
     def _build(self, docs: DataFrame) -> None:
-        s, before, self._tables = self.settings, self._tables, Steps(self.spark)
-        self.documents = self._tables.cut(docs)
-        self.chunks = self._tables.cut(chunking.chunk_documents(self.documents, s.chunk_size, s.overlap))
-        self.vectors = self._tables.cut(dense.hashed_vectors(self.chunks, "chunk_id", s.dim))
+        tables, s = Steps(self.spark), self.settings
+        docs = tables.cut(docs)
+        chunks = tables.cut(chunking.chunk_documents(docs, s.chunk_size, s.overlap))
+        self._take(tables, docs, chunks, self._indexed(tables, chunks))
+
+    def _update(self, new: DataFrame) -> None:
+        tables, s = Steps(self.spark), self.settings
+        new = tables.cut(new)
+        made = tables.cut(chunking.chunk_documents(new, s.chunk_size, s.overlap))
+        ids = new.select("doc_id")
+        gone = tables.cut(self.chunks.join(ids, "doc_id", "left_semi").select("chunk_id"))
+        indexes = {name: getattr(self, name).join(gone, "chunk_id", "left_anti").unionByName(rows) for name, rows in self._indexed(tables, made).items()}
+        chunks = self.chunks.join(ids, "doc_id", "left_anti").unionByName(made)
+        self._take(tables, self.documents.join(ids, "doc_id", "left_anti").unionByName(new), chunks, indexes)
+
+    def _take(self, tables: Steps, docs: DataFrame, chunks: DataFrame, indexes: dict[str, DataFrame]) -> None:
+        before, kept = self._tables, Steps(self.spark)
+        # Postings lie by term, so that a search reads the files of its terms' neighbourhood only.
+        indexes["postings"] = indexes["postings"].repartitionByRange(F.col("term")).sortWithinPartitions("term")
+        self.documents, self.chunks = kept.cut(docs), kept.cut(chunks)
+        self.lengths, self.postings, self.vectors = (kept.cut(indexes[name]) for name in ("lengths", "postings", "vectors"))
+        stats = self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+        self.corpus_stats, self._tables = kept.cut(stats), kept
+        tables.drop()
         if before:
             before.drop()
 
@@ -73,9 +138,11 @@ class Engine:
         s = self.settings
         k = max(1, k or s.top_k)
         queries = self._steps.cut(queries.select("query_id", "text"))
-        near = dense.search(self.vectors, dense.hashed_vectors(queries, "query_id", s.dim), k)
+        near = dense.search(self.vectors, self.embed_with(queries, "query_id"), k)
         widened = queries.select("query_id", expand(F.col("text"), s.max_expansions)["query"].alias("text"))
-        found = sparse.search(self.chunks, widened, k, s.k1, s.b)
+        terms = self._steps.cut(sparse.query_terms(widened))
+        rows = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        found = sparse.top_k(sparse.score_postings(rows, self.corpus_stats, terms, s.k1, s.b).where("score > 0"), k)
         fused = self._steps.cut(fusion.reciprocal_rank_fusion([("dense", near), ("sparse", found)], s.rrf_k, top_k=2 * k))
         texts = self.chunks.select("chunk_id", "doc_id", "text")
         candidates = fused.join(texts, "chunk_id", "left").select("query_id", "pos", F.coalesce("text", F.lit("")).alias("text"))
@@ -92,7 +159,7 @@ class Engine:
         """(query_id, question, answer, citations, route, steps, trace, support_rate, checked, supported, unsupported)."""
         s = self.settings
         routed = self._steps.cut(queries.select("query_id", "text", route(F.col("text"), s.deterministic).alias("r"))).select("query_id", "text", "r.*")
-        tools = self._steps.cut(routed.where("kind <> 'retrieve'").withColumn("result", invoke(F.col("tool"), F.col("payload"))))
+        tools = self._steps.cut(routed.where("kind <> 'retrieve'").withColumn("result", self.invoke(F.col("tool"), F.col("payload"))))
         ok, value, error = (F.col(f"result.{c}") for c in ("ok", "value", "error"))
         asked = F.regexp_replace(strip("text"), "[？?]+$", "")
         note = F.when(ok, F.concat(F.lit("deterministic route: "), "tool", F.lit("["), "payload", F.lit("] -> "), value))
@@ -113,11 +180,18 @@ class Engine:
         )
         return computed.unionByName(self._read(routed.where("kind = 'retrieve'").select("query_id", "text"), k))
 
+    def invoke(self, tool: Column, payload: Column) -> Column:
+        """(ok, value, error) of the engine's own tools, then of the built-in ones."""
+        found = invoke(tool, payload)
+        for name, fn in self.tools.items():
+            found = F.when(tool == name, fn(payload)).otherwise(found)
+        return found
+
     def _read(self, queries: DataFrame, k: int | None) -> DataFrame:
         s = self.settings
         hits = self._steps.cut(self.retrieve(queries, k))
         pool = hits.select("query_id", F.col("rank").alias("place"), "chunk_id", "text")
-        first = self._steps.cut(reader.best_sentences(queries, pool))
+        first = self._steps.cut(self.read_with(queries, pool))
         done = first.where(F.col("score") >= s.min_overlap)
         # One more search for the rest, whose excerpts join the pool behind the evidence.
         rest = self._steps.cut(queries.join(done.select("query_id"), "query_id", "left_anti"))
@@ -129,7 +203,7 @@ class Engine:
         observed = self._steps.cut(observed)
         excerpts = observed.select("query_id", F.posexplode(reader.observations(F.col("observed"))).alias("at", "o"))
         excerpts = excerpts.where("o.excerpt <> ''").select("query_id", (F.col("at") + 1_000_000).alias("place"), "o.chunk_id", F.col("o.excerpt").alias("text"))
-        second = reader.best_sentences(rest, pool.join(rest.select("query_id"), "query_id", "left_semi").unionByName(excerpts))
+        second = self.read_with(rest, pool.join(rest.select("query_id"), "query_id", "left_semi").unionByName(excerpts))
         best = done.select("query_id", "sentence", "chunk_id", F.lit(1).alias("steps")).unionByName(
             rest.select("query_id")
             .join(observed.select("query_id", F.lit(True).alias("seen")), "query_id", "left")
@@ -161,13 +235,18 @@ class Engine:
 
     # -- evaluation -----------------------------------------------------------------
     def evaluate_cases(self, cases: DataFrame, k: int | None = None) -> DataFrame:
-        """One row per case (query_id, question, relevant_docs, expected_route) with its metrics."""
+        """One row per case (query_id, question, relevant_docs, expected_route) with its metrics.
+
+        Cases are answered together; ``latency_ms`` is each one's share of the time that took.
+        """
         s = self.settings
         k = k or s.top_k
         queries = cases.select("query_id", F.col("question").alias("text"))
         docs = cases.select("query_id", F.explode("relevant_docs").alias("doc_id"))
         relevant = docs.join(self.chunks.select("doc_id", F.col("chunk_id").alias("id")), "doc_id").select("query_id", "id")
+        began = time.monotonic()
         answers = self._steps.cut(self.ask(queries))
+        spent = (time.monotonic() - began) * 1000 / max(1, answers.count())
         hits = answers.select("query_id", F.posexplode("citations").alias("at", "id"))
         hits = hits.select("query_id", "id", (F.col("at") + 1).alias("rank")).join(self.chunks.select("doc_id", F.col("chunk_id").alias("id")), "id")
         return (
@@ -175,7 +254,7 @@ class Engine:
             .join(evaluate.ranking_metrics(hits, relevant, queries, k), "query_id")
             .join(evaluate.document_metrics(hits, docs, queries, k), "query_id")
             .join(answers.select("query_id", "route", F.col("support_rate").alias("grounded")), "query_id")
-            .withColumn("latency_ms", F.lit(0.0))
+            .withColumn("latency_ms", F.lit(spent))
         )
 
     def evaluate(self, cases: DataFrame, k: int | None = None) -> dict:
@@ -216,9 +295,10 @@ class Engine:
         chunks = self.chunks.count()
         indexed = self.vectors.select("chunk_id").distinct().count()
         wordy = sparse.tokens(self.chunks).where(F.size("tokens") > 0).count()
+        held = self.postings.agg(F.count_distinct("chunk_id")).first()[0]
         checks = {
             "dense_index": indexed == wordy,
-            "sparse_index": sparse.lengths(self.chunks).count() == chunks,
+            "sparse_index": self.lengths.count() == chunks and held == wordy,
             "guard": self.guard_probe()["guarded_preserves_top1"],
             "deterministic": self.deterministic_probe()["passed"],
         }

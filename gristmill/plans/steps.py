@@ -14,6 +14,8 @@ class Steps:
     def __init__(self, spark: SparkSession):
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
             folder = tempfile.mkdtemp(prefix="gristmill-")
             spark.conf.set("spark.checkpoint.dir", folder)
         self.spark, self.root, self.n = spark, f"{folder.rstrip('/')}/steps-{uuid.uuid4().hex}", 0

@@ -70,9 +70,17 @@ def not_blank(docs: DataFrame) -> DataFrame:
     return docs.where(strip(F.coalesce(F.col("text"), F.lit(""))) != "")
 
 
+def last_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with one key the last: of the greatest ``revision``, where there is such a column, and then in reading order."""
+    by = [F.desc("revision")] if "revision" in rows.columns else []
+    order = Window.partitionBy(key).orderBy(*by, F.desc("__at"))
+    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
+    return numbered.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__at", "__n")
+
+
 def replace_revisions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``old`` with every document of ``new`` put in its place; blank ones of ``new`` replace nothing."""
-    new = not_blank(new)
+    """``old`` with every document of ``new`` put in its place, the last revision of each; blank ones of ``new`` replace nothing."""
+    new = last_of_each(not_blank(new), "doc_id")
     return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
 
 

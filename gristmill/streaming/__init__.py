@@ -18,7 +18,7 @@ def continuous_ingest(docs: DataFrame, engine: Engine, checkpoint: str, **trigge
     """Each micro-batch of a stream (doc_id, text) goes into the engine, newer revisions in the place of older ones."""
 
     def take(batch: DataFrame, _: int) -> None:
-        engine.ingest(batch.dropDuplicates(["doc_id"]))
+        engine.ingest(batch)
 
     return docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -35,9 +35,9 @@ def conversation_memory(turns: DataFrame, budget: int = 1024) -> DataFrame:
             for role, text in zip(roles, texts, strict=True):
                 memory.append(role, text)
             memory.evicted = evicted
-        for frame in frames:
-            for row in frame.sort_values("turn").itertuples():
-                memory.append(row.role or "", row.text or "")
+        # A group comes in several frames, in no order; its turns of this micro-batch are put in order as a whole.
+        for row in pd.concat([*frames]).sort_values("turn", kind="stable").itertuples():
+            memory.append(row.role or "", row.text or "")
         roles, texts = [r for r, _, _ in memory.turns], [t for _, t, _ in memory.turns]
         state.update((roles, texts, memory.summary, memory.evicted))
         yield pd.DataFrame(
