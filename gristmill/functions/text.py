@@ -150,3 +150,12 @@ def slices(text: Column | str, width: int = 24) -> Column:
 def pictographs(text: Column | str) -> Column:
     """How many pictograph code points a text holds."""
     return F.regexp_count(_col(text), F.lit(rf"[{PICTOGRAPHS}]"))
+
+
+def pictograph_places(text: Column | str) -> Column:
+    """(column, code) of each pictograph of a line: the column counts code points from 1, the code reads U+XXXX."""
+    text = _col(text)
+    one = F.lit(rf"[{PICTOGRAPHS}]")
+    points = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c, i: F.struct((i + 1).alias("column"), c.alias("c")))
+    found = F.transform(F.filter(points, lambda p: F.rlike(p["c"], one)), lambda p: F.struct(p["column"].alias("column"), F.format_string("U+%04X", F.ascii(p["c"])).alias("code")))
+    return F.when(F.rlike(text, one), found).otherwise(F.array().cast("array<struct<column: int, code: string>>"))

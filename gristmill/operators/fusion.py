@@ -27,7 +27,7 @@ def reciprocal_rank_fusion(
         F.round(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))), 12).alias("score"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "rank")))).alias("ranks"),
         F.sort_array(F.collect_set("source")).alias("sources"),
-        F.min(F.col("list") * 100000 + F.col("rank")).alias("seen"),
+        F.min(F.struct("list", "rank")).alias("seen"),
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seen", "chunk_id")
     fused = fused.withColumn("pos", F.row_number().over(order)).drop("seen")

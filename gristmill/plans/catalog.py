@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import routing, text, tools
 from ..operators import chunking, dense, evaluate, expansion, fusion, grounding, memory, reader, rerank, sparse
 from ..sources.corpus import not_blank, replace_revisions, spread
-from .engine import validate
-from .oracles import EXPANSION_QUESTIONS, MIXED_TEXTS, ORACLES, RAW_OUTPUTS, ROUTED
+from .engine import probe_rows, validate
+from .oracles import EXPANSION_QUESTIONS, MIXED_TEXTS, ORACLES, RAW_OUTPUTS, REMEMBERED, ROUTED, TOOL_CALLS
 from .steps import Steps
 
 K = 6
@@ -147,7 +147,8 @@ def pictograph_scan(spark, sf):
     docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
     pages = read(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("key"), F.col("html").alias("text"))
     lines = rows.unionByName(docs).unionByName(pages).select("key", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.select("key", (F.col("line") + 1).alias("line"), text.pictographs("text").alias("n")).where("n > 0")
+    places = lines.select("key", (F.col("line") + 1).alias("line"), F.explode(text.pictograph_places("text")).alias("p"))
+    return places.select("key", "line", "p.column", "p.code")
 
 
 @query
@@ -229,6 +230,21 @@ def hash_embed_norm(spark, sf):
     return docs.select("doc_id").join(norms, "doc_id", "left").select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
+@query
+def hash_embed_slots(spark, sf):
+    rows = inline(spark, REMEMBERED + MIXED_TEXTS)
+    return dense.hashed_vectors(rows, "id").select("id", "slot", F.round("weight", 9).alias("weight"))
+
+
+@query
+def memory_recall(spark, sf):
+    """Remembered texts nearest to each other one, by the hashed counts of conversational memory."""
+    rows = inline(spark, REMEMBERED)
+    asked = rows.select(F.col("id").cast("string").alias("query_id"), "text")
+    found = memory.recall(rows.select(F.col("id").cast("string").alias("key"), "text"), asked, 3)
+    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
 @query
 def hash_embed_search(spark, sf):
     vectors = dense.hashed_vectors(chunks(spark, sf), "chunk_id")
@@ -319,14 +335,6 @@ def chunk_table(spark, sf):
     return rows.select("chunk_id", "ordinal", "start", "end", "heading", F.length("text").alias("n"))
 
 
-@query
-def chunk_gaps(spark, sf):
-    """Spans that don't begin where the one before ended: none."""
-    rows = chunking.chunk_documents(spread(read(spark, sf, "documents").select("doc_id", "text")))
-    after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("ordinal"))
-    return rows.withColumn("next", after).where("next IS NOT NULL AND next <> `end`").select("chunk_id", "end", "next")
-
-
 @query
 def hard_windows(spark, sf):
     return chunking.hard_windows(read(spark, sf, "documents").select("doc_id", "text"))
@@ -393,6 +401,19 @@ def date_diff_orders(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "r.ok", "r.value")
 
 
+@query
+def tool_dispatch(spark, sf):
+    rows = spark.createDataFrame([(i, t, p) for i, (t, p, *_) in enumerate(TOOL_CALLS)], "id int, tool string, payload string")
+    return rows.select("id", tools.invoke(F.col("tool"), F.col("payload")).alias("r")).select("id", "r.ok", "r.value", "r.error")
+
+
+@query
+def guard_probe(spark, sf):
+    rows, scores = probe_rows(spark)
+    guarded = rerank.guarded_rerank(rows, scores).select("chunk_id", "pos", F.col("final_pos").alias("guarded_pos"), "alpha_eff", "spearman")
+    return guarded.join(rerank.naive_rerank(rows, scores).select("chunk_id", F.col("final_pos").alias("naive_pos")), "chunk_id")
+
+
 @query
 def query_validation(spark, sf):
     rows = read(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
@@ -449,21 +470,38 @@ def conversation_compaction(spark, sf):
     return rows.select("conv_id", "n_turns", "kept", "evicted", "tokens", F.md5("summary").alias("summary_digest"))
 
 
+@query
+def conversation_context(spark, sf):
+    turns = read(spark, sf, "conversations")
+    rows = memory.context(memory.compact(turns, 256), turns)
+    return rows.select("conv_id", "at", "role", F.md5("text").alias("digest"))
+
+
 # -- metrics ---------------------------------------------------------------------------------------
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks that hold an item's text as it is; the items go to all documents (a stated set, a block at a time)."""
-    rows = chunks(spark, sf)
+    """Chunks that hold an item's text as it is.
+
+    A chunk that does holds every token that stands inside the item as a token of its
+    own, so it is looked for among the postings of the rarest of these; items of no such
+    token (under three words) go to all chunks, a block at a time.
+    """
+    kept, rows = tokens(spark, sf), chunks(spark, sf)
     asked = questions(spark, sf).select("query_id", F.col("text").alias("item"))
-    n = asked.count()
-    parts = max(1, -(-n // 2000))
-    found = None
+    runs = text.latin_runs("item")
+    inner = asked.select("query_id", F.explode(F.array_distinct(F.slice(runs, 2, F.greatest(F.lit(0), F.size(runs) - 2)))).alias("term"))
+    found = sparse.postings(kept, inner).select("chunk_id", "term")
+    rarest = inner.join(sparse.term_stats(found), "term", "left").groupBy("query_id").agg(F.min_by("term", F.coalesce("df", F.lit(0))).alias("term"))
+    rarest = Steps(spark).cut(rarest)
+    near = rarest.join(found, "term").join(asked, "query_id").join(rows, "chunk_id")
+    hits = near.where(F.contains(F.col("text"), F.col("item"))).select("query_id", F.col("chunk_id").alias("id"))
+    short = Steps(spark).cut(asked.join(rarest, "query_id", "left_anti"))
+    parts = -(-short.count() // 2000)
     for i in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else asked
-        hits = rows.join(F.broadcast(own), F.contains(F.col("text"), F.col("item"))).select("query_id", F.col("chunk_id").alias("id"))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        own = short.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        hits = hits.unionByName(rows.join(F.broadcast(own), F.contains(F.col("text"), F.col("item"))).select("query_id", F.col("chunk_id").alias("id")))
+    return Steps(spark).cut(hits)
 
 
 @query

@@ -263,15 +263,7 @@ class Engine:
     # -- probes ------------------------------------------------------------------------
     def guard_probe(self) -> dict:
         """Five hits under a reranker that turns them round: the guard keeps the first, the naive order doesn't."""
-        rows = self.spark.range(5).select(
-            F.lit("probe").alias("query_id"),
-            F.format_string("probe#%d", "id").alias("chunk_id"),
-            (10.0 - F.col("id")).alias("score"),
-            F.create_map(F.lit("dense"), (F.col("id") + 1).cast("int")).alias("ranks"),
-            F.array(F.lit("dense")).alias("sources"),
-            (F.col("id") + 1).cast("int").alias("pos"),
-        )
-        scores = rows.select("query_id", "pos", F.col("pos").cast("double").alias("rerank_score"))
+        rows, scores = probe_rows(self.spark)
         guarded = rerank.guarded_rerank(rows, scores, self.settings.guard_alpha, self.settings.spearman_floor).where("final_pos = 1").first()
         naive = rerank.naive_rerank(rows, scores).where("final_pos = 1").first()
         return {
@@ -305,6 +297,19 @@ class Engine:
         return checks | {"passed": all(checks.values())}
 
 
+def probe_rows(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Five hits in order, and the scores of a reranker that turns them round."""
+    rows = spark.range(5).select(
+        F.lit("probe").alias("query_id"),
+        F.format_string("probe#%d", "id").alias("chunk_id"),
+        (10.0 - F.col("id")).alias("score"),
+        F.create_map(F.lit("dense"), (F.col("id") + 1).cast("int")).alias("ranks"),
+        F.array(F.lit("dense")).alias("sources"),
+        (F.col("id") + 1).cast("int").alias("pos"),
+    )
+    return rows, rows.select("query_id", "pos", F.col("pos").cast("double").alias("rerank_score"))
+
+
 def validate(queries: DataFrame, longest: int = 4000) -> DataFrame:
     """``queries`` with ``valid``: a text of 1 to ``longest`` characters."""
     n = F.length(F.coalesce(F.col("text"), F.lit("")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 MIXED_TEXTS = [
     "混合检索 Hybrid Retrieval",
     "猫",
@@ -52,6 +55,38 @@ RAW_OUTPUTS = [
 ]
 
 
+#: (tool, payload, ok, value, error)
+TOOL_CALLS = [
+    ("calculator", "12*(3+4)+18/3", True, "90", ""),
+    ("calculator", "1/0", False, "", "division by zero"),
+    ("unit_convert", "1500 m km", True, "1.5 km", ""),
+    ("unit_convert", "0 C F", True, "32 f", ""),
+    ("unit_convert", "5 kg m", False, "", "no conversion from kg to m"),
+    ("date_diff", "2026-01-01 2026-09-24", True, "266 天", ""),
+    ("date_diff", "2026-01-01", False, "", "expected '<date-a> <date-b>'"),
+    ("no_such", "x", False, "", "unknown tool: no_such"),
+]
+REMEMBERED = ["the user likes green tea", "green tea is best in the morning", "meetings are on monday morning", "检索 融合 检索", "融合 tea tea tea"]
+
+
+def _hashes(slots: int | None) -> str:
+    """(term, h, slot) of the tokens of the inline texts: the hash is none that SQL has."""
+    words = {w for t in REMEMBERED for w in re.findall(r"[a-z]+", t)} | {"检索", "融合"} | {w for row in _MIXED_TOKENS for w in row.split("|") if w}
+    rows = []
+    for w in sorted(words):
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+        rows.append((w, h % 256 if slots else (h >> 1) % 512, 1 if slots else (1 if h >> 1 & 1 << 20 else -1)))
+    return _values(rows, "term, slot, sign")
+
+
+def _remembered(more: bool) -> str:
+    """(id, term, tf) of the inline texts; CJK there comes in words of two characters."""
+    rows = [(i, w) for i, t in enumerate(REMEMBERED) for w in t.split()]
+    if more:
+        rows += [(len(REMEMBERED) + i, w) for i, row in enumerate(_MIXED_TOKENS) for w in row.split("|") if w]
+    return f"SELECT id, term, count(*) AS tf FROM ({_values(rows, 'id, term')}) GROUP BY ALL"
+
+
 def _text(value: str | None) -> str:
     if value is None:
         return "CAST(NULL AS VARCHAR)"
@@ -59,7 +94,7 @@ def _text(value: str | None) -> str:
 
 
 def _values(rows: list[tuple], names: str) -> str:
-    lines = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else _text(v) for v in row) + ")" for row in rows)
+    lines = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"{v}::DOUBLE" if isinstance(v, float) else _text(v) for v in row) + ")" for row in rows)
     return f"SELECT * FROM (VALUES {lines}) AS t({names})"
 
 
@@ -131,6 +166,17 @@ lx AS (SELECT query_id, pos, round(round(coalesce(s, 0), 12), 6) AS rerank_score
 _GUARD = """g0 AS (SELECT f.query_id, f.chunk_id, f.pos, f.score, coalesce(lx.rerank_score, 0) AS s FROM f LEFT JOIN lx USING (query_id, pos)),
 g1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS rb FROM g0),
 sp AS (SELECT query_id, count(*) AS n, CASE WHEN count(*) < 2 OR min(score) = max(score) OR min(s) = max(s) THEN 0 ELSE corr(ra, rb) END AS rho FROM g1 GROUP BY ALL)"""
+_APPROX = "(len(regexp_extract_all({0}, '[\\x{{3400}}-\\x{{9FFF}}]')) + (length({0}) - len(regexp_extract_all({0}, '[\\x{{3400}}-\\x{{9FFF}}]'))) // 4 + 1)"
+#: After each step a conversation either has one more turn, or has put its two oldest ones into the summary.
+_COMPACT = f"""RECURSIVE cv AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS t, list(role ORDER BY turn) AS r, list(turn ORDER BY turn) AS places, count(*) AS n FROM conversations GROUP BY conv_id),
+ca AS (SELECT *, list_transform(t, lambda x: {_APPROX.format('x')}) AS a FROM cv),
+cs_ AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS ev, 0::BIGINT AS held, '' AS summary FROM ca
+  UNION ALL
+  SELECT conv_id, CASE WHEN o THEN i ELSE i + 1 END, CASE WHEN o THEN least(ev + 2, i) ELSE ev END,
+         CASE WHEN o THEN held - list_sum(a[ev + 1:least(ev + 2, i)])::BIGINT ELSE held + a[i + 1] END,
+         CASE WHEN o THEN {_STRIP.format("right(summary || ' ' || array_to_string(t[ev + 1:least(ev + 2, i)], ' '), 64)")} ELSE summary END
+  FROM (SELECT *, ev < i AND {_APPROX.format('summary')} + held > 256 AS o FROM cs_ JOIN ca USING (conv_id)) WHERE o OR i < n),
+done AS (SELECT *, {_APPROX.format('summary')} + held AS tokens FROM cs_ JOIN ca USING (conv_id) WHERE i = n AND NOT (ev < i AND {_APPROX.format('summary')} + held > 256))"""
 _PREFIX = f"WITH {_BM25}, {_OVERLAP}, {_fused()}, {_LEXICAL}, {_GUARD}"
 _TRUTH = "truth AS (SELECT q.query_id, c.chunk_id AS id FROM q JOIN c ON contains(c.text, q.text))"
 
@@ -160,11 +206,24 @@ FROM s x JOIN s y ON y.doc_id = x.doc_id + 1""",
     "best_excerpts": f"""WITH {_BM25}, e AS (SELECT bm.query_id, bm.chunk_id, list_distinct(q.t) AS qt, {_sentences(_FLAT.format('c.text'))} AS s FROM bm JOIN c USING (chunk_id) JOIN q USING (query_id) WHERE rank = 1),
 x AS (SELECT query_id, chunk_id, qt, unnest(s) AS p, unnest(range(1, len(s) + 1)) AS i FROM e)
 SELECT query_id, chunk_id, left(arg_max(p, len(list_intersect(qt, list_distinct({_tokens('p')}))) * 1000000 - i), 160) AS excerpt FROM x GROUP BY ALL""",
+    "conversation_compaction": f"WITH {_COMPACT} SELECT conv_id, n AS n_turns, i - ev AS kept, ev AS evicted, CAST(tokens AS BIGINT) AS tokens, md5(summary) AS summary_digest FROM done",
+    "conversation_context": f"""WITH {_COMPACT} SELECT conv_id, -1::BIGINT AS "at", 'system' AS role, md5('Earlier conversation summary: ' || summary) AS digest FROM done WHERE summary <> ''
+UNION ALL SELECT conv_id, CAST(places[j] AS BIGINT), r[j], md5(t[j]) FROM (SELECT *, unnest(range(ev + 1, n + 1)) AS j FROM done)""",
+    "tool_dispatch": _values([(i, *row[2:]) for i, row in enumerate(TOOL_CALLS)], "id, ok, value, error"),
+    "guard_probe": _values([(f"probe#{i}", i + 1, i + 1, 0.0, -1.0, 5 - i) for i in range(5)], "chunk_id, pos, guarded_pos, alpha_eff, spearman, naive_pos"),
+    "hash_embed_slots": f"""WITH tf AS ({_remembered(True)}), w AS (SELECT id, slot, sum(sign * (1 + ln(tf))) AS w FROM tf JOIN ({_hashes(None)}) USING (term) GROUP BY ALL),
+nn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL)
+SELECT id, slot, round(w / norm, 9) AS weight FROM w JOIN nn USING (id) WHERE w <> 0""",
+    "memory_recall": f"""WITH tf AS ({_remembered(False)}), w AS (SELECT id, slot, sum(tf)::DOUBLE AS w FROM tf JOIN ({_hashes(256)}) USING (term) GROUP BY ALL),
+u AS (SELECT id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+s AS (SELECT CAST(a.id AS VARCHAR) AS query_id, CAST(b.id AS VARCHAR) AS chunk_id, round(sum(a.w * b.w), 12) AS score FROM u a JOIN u b USING (slot) GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 3""",
     "approx_token_counts": "SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '[\\x{3400}-\\x{9FFF}]')) + (length(text) - len(regexp_extract_all(text, '[\\x{3400}-\\x{9FFF}]'))) // 4 + 1) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id",
     "stream_slices": "SELECT query_id, CAST(i AS INT) AS at, substring(text, CAST(i * 24 + 1 AS INT), 24) AS piece FROM (SELECT CAST(item_id AS VARCHAR) AS query_id, text, unnest(range(0, (length(text) + 23) // 24)) AS i FROM benchmark)",
     "pictograph_scan": f"""WITH r AS (SELECT 'inline-' || id AS key, text FROM ({_values(list(enumerate(MIXED_TEXTS)), 'id, text')}) UNION ALL SELECT CAST(doc_id AS VARCHAR), text FROM documents UNION ALL SELECT 'page-' || page_id, html FROM pages),
 l AS (SELECT key, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM r)
-SELECT key, CAST(line AS INT) AS line, CAST(n AS INT) AS n FROM (SELECT key, line, len(regexp_extract_all(t, '[\\x{{2600}}-\\x{{27BF}}\\x{{2B00}}-\\x{{2BFF}}\\x{{FE00}}-\\x{{FE0F}}\\x{{1F000}}-\\x{{1F02F}}\\x{{1F0A0}}-\\x{{1F0FF}}\\x{{1F100}}-\\x{{1F5FF}}\\x{{1F600}}-\\x{{1F64F}}\\x{{1F680}}-\\x{{1F6FF}}\\x{{1F900}}-\\x{{1F9FF}}\\x{{1FA00}}-\\x{{1FAFF}}\\x{{200D}}\\x{{20E3}}\\x{{E0020}}-\\x{{E007F}}]')) AS n FROM l) WHERE n > 0""",
+SELECT key, CAST(line AS INT) AS line, CAST(j AS INT) AS "column", 'U+' || CASE WHEN length(printf('%X', unicode(ch))) < 4 THEN lpad(printf('%X', unicode(ch)), 4, '0') ELSE printf('%X', unicode(ch)) END AS code
+FROM (SELECT key, line, j, t[j] AS ch FROM (SELECT key, line, t, unnest(range(1, length(t) + 1)) AS j FROM l)) WHERE regexp_matches(ch, '[\\x{{2600}}-\\x{{27BF}}\\x{{2B00}}-\\x{{2BFF}}\\x{{FE00}}-\\x{{FE0F}}\\x{{1F000}}-\\x{{1F02F}}\\x{{1F0A0}}-\\x{{1F0FF}}\\x{{1F100}}-\\x{{1F5FF}}\\x{{1F600}}-\\x{{1F64F}}\\x{{1F680}}-\\x{{1F6FF}}\\x{{1F900}}-\\x{{1F9FF}}\\x{{1FA00}}-\\x{{1FAFF}}\\x{{200D}}\\x{{20E3}}\\x{{E0020}}-\\x{{E007F}}]')""",
     "number_formats": "SELECT l_orderkey, l_linenumber, CASE WHEN v = round(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS shown FROM (SELECT *, l_quantity / 8 AS v FROM lineitem)",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm",
     "bm25_stats": f"WITH {_CHUNKS} SELECT count(*) AS n_docs, round(avg(greatest(1, len(t))), 6) AS avgdl FROM c",
@@ -187,7 +246,6 @@ SELECT query_id, chunk_id, pos, CAST(row_number() OVER (PARTITION BY query_id OR
     "naive_rerank": f"{_PREFIX} SELECT query_id, chunk_id, pos, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS INT) AS final_pos FROM g0",
     "expand_queries": _values([(i, "|".join(t), "|".join(m), " ".join([q, *t])) for i, (q, (t, m)) in enumerate(zip(EXPANSION_QUESTIONS, _EXPANDED, strict=True))], "id, terms, matched, query"),
     "chunk_coverage": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, 0 AS first, CAST(length(text) AS INT) AS last FROM documents WHERE length(text) > 0",
-    "chunk_gaps": "SELECT CAST(NULL AS VARCHAR) AS chunk_id, CAST(NULL AS INT) AS \"end\", CAST(NULL AS INT) AS next WHERE false",
     "hard_windows": "SELECT doc_id, CAST(s AS INT) AS start, CAST(least(s + 680, n) AS INT) AS \"end\" FROM (SELECT doc_id, length(text) AS n, unnest(range(0, greatest(1, length(text)), 680)) AS s FROM documents)",
     "reingest_anti": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(t) AS INT) AS n, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN length(text) < 500 THEN 'new: ' || text ELSE text END AS t FROM documents)",
     "blank_documents": "SELECT count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents WHERE length(text) >= 200",
