@@ -2,15 +2,13 @@
 
 Two Bloom filters find the suspects. Every task reads its documents and sends
 only 64-bit hashes of the lines of a document, summed within a batch to "once"
-or "more than once". The task that owns a slice of hashes streams them through
-a once-seen and a twice-seen filter; what the second takes in is suspected. The
-suspected hashes make one small filter whose size is checked before it is sent
-out. Only lines that pass it shuffle, as (digest, doc_id), for the exact count
-of documents and the choice of the one that keeps them.
-
-Should the filter or the table of confirmed lines outgrow its limit, the same
-result is made without the broadcast: every line counts as suspected, and the
-confirmed lines come to their documents by joins.
+or "more than once". The task that owns a slice of hashes, of which there are as
+many as the counted lines need, streams them through a once-seen and a twice-seen
+filter; what the second takes in is suspected. The suspected hashes make one small
+filter whose size is checked before it is sent out; where it would be too large,
+lines come to the suspected hashes by a join instead. Only suspected lines go on to
+the exact count of documents, as (digest, doc_id), and to the choice of the one that
+keeps them. The confirmed lines are sent out, or come to their documents by joins.
 """
 
 from __future__ import annotations
@@ -76,7 +74,9 @@ def _digest(key: bytes) -> bytes:
 
 
 def _suspects(docs: DataFrame, min_chars: int, slice_slots: int) -> DataFrame:
-    """Hashes that the once-seen filter knew already when they came again."""
+    """Hashes that the once-seen filter knew already when they came again, each once or a little oftener."""
+    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-16 * lines // slice_slots))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h64 = xxhash.xxh3_64_intdigest
@@ -101,7 +101,7 @@ def _suspects(docs: DataFrame, min_chars: int, slice_slots: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64))], ["h"])
 
     hashed = docs.select("text").mapInArrow(hashes, "h long, again boolean")
-    return hashed.repartition(F.col("h")).mapInArrow(stream, "h long")
+    return hashed.repartition(int(parts), F.col("h")).mapInArrow(stream, "h long")
 
 
 def _merged(spark: SparkSession, suspects: DataFrame, slots: int) -> bytes:
@@ -123,7 +123,7 @@ def dedup_lines(
     docs: DataFrame,
     min_docs: int = 3,
     min_chars: int = 20,
-    max_filter_bytes: int = 16 << 20,
+    max_filter_bytes: int = 32 << 20,
     max_table_rows: int = 300_000,
     slice_slots: int = 1 << 24,
 ) -> DataFrame:
@@ -145,8 +145,8 @@ def dedup_lines(
     scratch = Scratch(spark)
     suspects = scratch.write(_suspects(docs, min_chars, slice_slots))
     slots = slots_for(suspects.count())
-    bits = spark.sparkContext.broadcast(_merged(spark, suspects, slots)) if slots // 8 <= max_filter_bytes else None
-    scratch.drop(suspects)
+    small = slots // 8 <= max_filter_bytes
+    bits = spark.sparkContext.broadcast(_merged(spark, suspects, slots)) if small else None
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h64, bloom = xxhash.xxh3_64_intdigest, bits and Bloom(0 + slots, bits.value)
@@ -159,14 +159,19 @@ def dedup_lines(
                 own = {k for k in line_keys(text, min_chars)[1] if k is not None}
                 keys += own
                 owner += [doc] * len(own)
-            keep = bloom.has(np.array([h64(k) for k in keys], np.uint64)) if bloom else np.ones(len(keys), bool)
+            h = np.array([h64(k) for k in keys], np.uint64)
+            keep = bloom.has(h) if bloom else np.ones(len(keys), bool)
             for i in np.flatnonzero(keep):
                 digests.append(_digest(keys[i]))
                 ids.append(owner[i])
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64())], ["digest", "doc"])
+            arrays = [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(h[keep].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["digest", "doc", "h"])
 
-    found = docs.select(doc_key().alias("doc"), "text").mapInArrow(candidates, "digest binary, doc long")
-    found = scratch.write(found)
+    found = docs.select(doc_key().alias("doc"), "text").mapInArrow(candidates, "digest binary, doc long, h long")
+    if not small:
+        found = found.join(suspects.distinct(), "h", "left_semi")
+    found = scratch.write(found.select("digest", "doc"))
+    scratch.drop(suspects)
     confirmed = scratch.write(
         found.distinct()
         .groupBy("digest")
@@ -207,13 +212,14 @@ def dedup_lines(
 
         return map_columns(docs, ["doc_id", "text"], fields, make)
 
-    gone = (
-        found.join(confirmed, "digest")
-        .where("doc <> keeper")
-        .groupBy("doc")
-        .agg(F.collect_set("digest").alias("__gone"))
-    )
-    marked = docs.withColumn("__doc", doc_key()).join(gone, F.col("__doc") == F.col("doc"), "left").drop("__doc", "doc")
+    gone = found.join(confirmed, "digest").where("doc <> keeper").groupBy("doc").agg(F.collect_set("digest").alias("gone"))
+    # Columns of the input keep out of the way: their names may be any.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    marked = docs.select(row, doc_key().alias("doc")).join(gone, "doc", "left")
+    clash, name = {c.lower() for c in docs.columns}, "__gone"
+    while name in clash:
+        name += "_"
+    marked = marked.select("row.*", F.col("gone").alias(name))
 
     def make_joined():
         def fn(digests: pa.Array, texts: pa.Array) -> dict[str, pa.Array]:
@@ -222,7 +228,7 @@ def dedup_lines(
 
         return fn
 
-    return map_columns(marked, ["__gone", "text"], fields, make_joined).drop("__gone")
+    return map_columns(marked, [name, "text"], fields, make_joined).drop(name)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

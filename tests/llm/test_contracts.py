@@ -63,8 +63,10 @@ LINES = [
 @pytest.mark.parametrize("limits", [{}, {"max_filter_bytes": 0}, {"max_table_rows": 0}, {"slice_slots": 16}])
 def test_lines(spark, limits):
     df = docs(spark, LINES).withColumn("n_lines", F.lit("clash")).withColumn("other", F.lit(1))
+    for name in ("doc", "__doc", "__gone", "gone", "digest", "row"):
+        df = df.withColumn(name, F.lit(name))
     out = line_dedup.dedup_lines(df, **limits)
-    assert out.columns == ["doc_id", "text", "n_lines", "other", "n_dropped"]
+    assert out.columns == [*df.columns, "n_dropped"] and {tuple(r) for r in out.select("doc", "__doc", "__gone", "gone", "digest", "row").collect()} == {("doc", "__doc", "__gone", "gone", "digest", "row")}
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=repr) == plain_lines(LINES)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
