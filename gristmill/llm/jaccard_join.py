@@ -16,9 +16,11 @@ count as frequent, found on a share of the sets, decides the cost only.
 Sets that share an index entry are candidates, less the pairs whose sizes or count
 sketches rule a link out. A star from the least set of each entry's group is
 verified first. Groups that this leaves in several components are taken up again:
-their pairs across components that pass the same bounds are verified too, large
-groups in cells of two parts each. So no link that can join two components is
-lost, and pairs inside a component are not spelled out.
+of their pairs across components that pass the same bounds a spanning forest is
+kept, and within each tree of all these forests the pairs that pass are verified on
+the sets themselves, until the tree is one component or all are done. Large groups
+meet in cells of two parts each. So no link that can join two components is lost, and
+pairs are never listed.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, Scratch, as_bytes, doc_key, slices, table
 from .components import components
 
-#: A sketch has at least so many buckets, and about one for four to eight shingles.
-BUCKETS = 64
-#: Nodes of an index entry that meet in one cell, about, are twice as many.
-CELL = 1024
+#: A sketch has at least so many buckets, and of large sets one for two to four shingles.
+BUCKETS = 256
+#: Nodes that meet in one cell, about, are twice as many: by their sketches, and by their sets.
+CELL, SET_CELL = 1024, 256
 #: Of one in so many sets the shingles are counted; those of so many of these are frequent; so many at most are sent out.
 COUNTED_SHARE, FREQUENT, MOST_FREQUENT = 50, 4, 200_000
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +88,7 @@ class Shingler:
 
 def sketch(h: np.ndarray) -> bytes:
     """Counts by bucket, modulo 16, two a byte; their circular L1 distance never exceeds the symmetric difference."""
-    size = max(BUCKETS, 1 << max(0, (len(h) // 4).bit_length() - 1))
+    size = max(BUCKETS, 1 << max(0, (len(h) // 2).bit_length() - 1))
     counts = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 15
     return (counts[::2] << 4 | counts[1::2]).tobytes()
 
@@ -319,9 +321,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, pe
             a, b, x, y = batch.columns
             linked = []
             for i in range(batch.num_rows):
-                h, g = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = len(np.intersect1d(h, g, assume_unique=True))
-                linked.append(100 * both >= percent * (len(h) + len(g) - both))
+                linked.append(_linked(x[i].values.to_numpy(), y[i].values.to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a")
@@ -343,51 +343,97 @@ def _cells(rest: DataFrame, cell: int) -> DataFrame:
     return dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other")
 
 
-def _possible(cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of each cell the pairs across components that the length and sketch bounds let pass, a < b. Streams through sorted rows."""
-    names = ["entry", "lo", "hi", "part", "node", "component", "n", "sketch"]
+def _by_cell(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows sorted by (entry, lo, hi) as tables of whole cells, of ``least`` rows or more where there are as many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        if rows.num_rows < least:
+            continue
+        keys = [rows[c].to_numpy() for c in ("entry", "lo", "hi")]
+        other = np.flatnonzero(np.any([x != x[-1] for x in keys], axis=0))
+        if len(other):  # the last cell may go on
+            cut = int(other[-1]) + 1
+            yield rows.slice(0, cut)
+            held = rows.slice(cut).combine_chunks().to_batches()
+    if held and (rows := pa.Table.from_batches(held)).num_rows:
+        yield rows
+
+
+class _Joined:
+    """Union-find over rows that begin in components."""
+
+    def __init__(self, component: np.ndarray):
+        self.up = np.unique(component, return_inverse=True)[1].tolist()
+        self.own = self.up[:]
+        self.up = list(range(max(self.own, default=-1) + 1))
+
+    def root(self, i: int) -> int:
+        i = self.own[i]
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _forest(cells: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """(a, b): of each cell pairs across components, as few as join what all of them join. Streams through sorted rows.
+
+    A pair counts that the length and sketch bounds let pass or, if ``exact``, one whose
+    sets (``h``) are near enough; then what is in a component is joined from the start.
+    """
+    names = ["entry", "lo", "hi", "part", "node", "component", "n", "sketch", *(["h"] if exact else [])]
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
+    def pairs(rows: pa.Table) -> tuple[list[int], list[int]]:
         entry, lo, hi, part, node, comp, n = (rows[c].to_numpy() for c in names[:7])
         drawn = Sketches(rows["sketch"].to_pylist())
+        sets = rows["h"].combine_chunks() if exact else None
         new = (entry[1:] != entry[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         group = np.concatenate(([0], np.cumsum(new)))
-        found, here, held, k = [], np.arange(len(node) - 1), [], 1
+        # A possible pair says nothing of others in the same components; a link does, within the cell.
+        joined = _Joined(np.unique(np.stack([group, comp]), axis=1, return_inverse=True)[1].ravel() if exact else np.arange(len(node)))
+        a, b, held, k, here = [], [], [], 1, np.arange(len(node) - 1)
         while len(here):  # rows k apart of one cell; these are sorted by n
             here = here[here + k < len(node)]
             here = here[(group[here] == group[here + k]) & (100 * n[here] >= percent * n[here + k])]
             take = here[(comp[here] != comp[here + k]) & ((lo[here] == hi[here]) | (part[here] != part[here + k]))]
             held.append((take, take + k))
             k += 1
-            if sum(len(x) for x, _ in held) > 100_000 or not len(here):
+            if sum(len(x) for x, _ in held) > 50_000 or not len(here):
                 i, j = (np.concatenate(x) for x in zip(*held, strict=True))
                 keep = drawn.near(i, j, n, percent)
-                found.append(np.stack([node[i[keep]], node[j[keep]]]))
+                for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                    if joined.root(x) == joined.root(y):
+                        continue
+                    if exact and not _linked(sets[x].values.to_numpy(), sets[y].values.to_numpy(), percent):
+                        continue
+                    joined.join(x, y)
+                    a.append(min(node[x], node[y]))
+                    b.append(max(node[x], node[y]))
                 held = []
-        a, b = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            if rows.num_rows < 2048:
-                continue
-            keys = [rows[c].to_numpy() for c in names[:3]]
-            other = np.flatnonzero(np.any([x != x[-1] for x in keys], axis=0))
-            cut = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on
-            if cut:
-                yield pairs(rows.slice(0, cut))
-                held = rows.slice(cut).combine_chunks().to_batches()
-        if held and (rows := pa.Table.from_batches(held)).num_rows:
-            yield pairs(rows)
-
-    dealt = cells.select(*names).repartition(F.col("entry"), F.col("lo"), F.col("hi")).sortWithinPartitions("entry", "lo", "hi", "n")
+        for rows in _by_cell(batches, 256 if exact else 2048):
+            a, b = pairs(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = cells.select(*names).repartition(F.col("entry"), F.col("lo"), F.col("hi")).sortWithinPartitions("entry", "lo", "hi", "n", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch, cell: int = CELL) -> DataFrame:
+def _linked(h: np.ndarray, g: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(h, g, assume_unique=True))
+    return 100 * both >= percent * (len(h) + len(g) - both)
+
+
+def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch, cell: int = CELL, set_cell: int = SET_CELL) -> DataFrame:
     """Per row: doc, h, n, node, component (a node), component_doc, n_links; the last four null without shingles."""
     member = scratch.write(members(docs, words))
     reps = scratch.write(
@@ -429,13 +475,17 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch, cell:
     split = split.where("lo <> hi AND size > 2").groupBy("size", "f1", "f2").agg(F.min("entry").alias("entry"))
     split = scratch.write(split.select("entry", "size"))
     if split.count():
-        rest = full.join(split, "entry").join(reps.select("node", "n", "sketch"), "node")
-        third = scratch.write(_possible(_cells(rest, cell), percent).distinct())
-        # Hubs with their nodes have been looked at.
-        third = scratch.write(third.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if third.count():
-            done = _verified(docs, reps, third, words, percent, scratch)
-            links = links.unionByName(done.where("linked").select("a", "b"))
+        drawn = reps.select("node", "n", "sketch")
+        rest = full.join(split, "entry").join(drawn, "node")
+        trees = components(_forest(_cells(rest, cell), percent, False), scratch).withColumnRenamed("component", "entry")
+        trees = scratch.write(trees.union(trees.select("entry", "entry").distinct()))
+        if trees.count():
+            sizes = trees.groupBy("entry").agg(F.count(F.lit(1)).alias("size"))
+            sets = scratch.write(_sets(docs, reps, trees.select("node"), words, scratch).dropDuplicates(["node"]))
+            rest = of(trees.join(sizes, "entry").join(drawn, "node"), "node", "component").join(sets, "node")
+            third = scratch.write(_forest(_cells(rest, set_cell), percent, True))
+            scratch.drop(sets)
+            links = links.unionByName(third.distinct())
             comps = components(links, scratch)
     by_node = of(reps.select("node", "doc", "copies"), "node", "component")
     least = by_node.groupBy("component").agg(F.min("doc").alias("component_doc"))

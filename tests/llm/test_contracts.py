@@ -255,22 +255,40 @@ def test_entries_of_small_sets_exhaustively():
                         assert index[i] & index[j]
 
 
-def test_cells_give_every_possible_pair(spark):
+@pytest.mark.parametrize("exact", [False, True])
+def test_cells_join_what_any_pair_joins(spark, exact):
     rng = np.random.default_rng(22)
-    base = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
-    sets = [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(340, 400))], rng.integers(0, 2**64, int(rng.integers(0, 40)), dtype=np.uint64)])) for _ in range(150)]
-    rows = [(entry, i, i % 40, len(h), bytearray(jaccard_join.sketch(h)), 150 if entry < 2 else 60) for entry in range(3) for i, h in enumerate(sets[: 150 if entry < 2 else 60])]
-    rest = spark.createDataFrame(rows, "entry long, node long, component long, n long, sketch binary, size long")
-    want = set()
-    for i, x in enumerate(sets):
+    sets = []
+    for _ in range(6):
+        base = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+        sets += [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(340, 400))], rng.integers(0, 2**64, int(rng.integers(0, 40)), dtype=np.uint64)])) for _ in range(30)]
+    comp = lambda i: i - i % 2 if i % 3 else i  # noqa: E731  some begin in one component
+    own = comp if exact else lambda i: i
+    schema = "entry long, node long, component long, n long, sketch binary, size long, h array<long>"
+    rows = [(entry, i, comp(i), len(h), bytearray(jaccard_join.sketch(h)), 180, h.view(np.int64).tolist()) for entry in range(2) for i, h in enumerate(sets)]
+    rest = spark.createDataFrame(rows, schema)
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    drawn, n = jaccard_join.Sketches([jaccard_join.sketch(h) for h in sets]), np.array([len(h) for h in sets])
+    for i in range(len(sets)):
+        find(own(i))
         for j in range(i):
-            n = np.array([len(x), len(sets[j])])
-            drawn = jaccard_join.Sketches([jaccard_join.sketch(x), jaccard_join.sketch(sets[j])])
-            if i % 40 != j % 40 and drawn.near(np.array([0]), np.array([1]), n, 80)[0]:
-                want.add((j, i))
+            if comp(i) != comp(j) and (jaccard_join._linked(sets[i], sets[j], 80) if exact else drawn.near(np.array([i]), np.array([j]), n, 80)[0]):
+                root[find(own(i))] = find(own(j))
+    want = defaultdict(set)
+    for i in range(len(sets)):
+        want[find(own(i))].add(i)
     for cell in (16, 1024):
-        got = {(r.a, r.b) for r in jaccard_join._possible(jaccard_join._cells(rest, cell), 80).collect()}
-        assert got == want and want
+        links = [(r.a, r.b) for r in jaccard_join._forest(jaccard_join._cells(rest, cell), 80, exact).collect()]
+        root = {}
+        for a, b in links:
+            assert not exact or jaccard_join._linked(sets[a], sets[b], 80)
+            root[find(own(a))] = find(own(b))
+        got = defaultdict(set)
+        for i in range(len(sets)):
+            got[find(own(i))].add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        assert cell < 1024 or len(links) <= 2 * (len(sets) - 1)
 
 
 def test_components(spark):
