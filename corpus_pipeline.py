@@ -22,8 +22,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one; n_chars follows the text."""
-    length = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return dedup_lines(docs).select(*(length if c == "n_chars" else c for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # other columns keep out of the operator's way
+    out = dedup_lines(docs.select("doc_id", "text", row))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
