@@ -42,21 +42,34 @@ LENGTHS = (20, 24, 32, 48, 64, 128)
 TOP_BIN = 400
 
 
+BLOCK = 64
+
+
 def located(text: Column, pattern: str, fits=None) -> Column:
-    """Leftmost matches of ``pattern`` that do not overlap, as (start, end, match) in code points; ``fits`` filters."""
+    """Leftmost matches of ``pattern`` that do not overlap, as (start, end, match) in code points; ``fits`` filters.
+
+    Where a match stands is the sum of all gaps and matches before it: of whole blocks
+    of these, and of the rest of its own block, so that many matches cost little each.
+    """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    kind = "array<struct<start: int, end: int, match: string>>"
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
-        end = start + F.length(pair["m"])
-        found = F.struct(start.alias("start"), end.alias("end"), pair["m"].alias("match"))
-        ok = pair["m"].isNotNull() & (fits(pair["m"]) if fits else F.lit(True))
-        more = F.when(ok, F.concat(state["found"], F.array(found))).otherwise(state["found"])
-        return F.struct(F.coalesce(end, start).alias("at"), more.alias("found"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-    return F.aggregate(pairs, zero, step, lambda s: s["found"])
+    add = lambda a, b: a + b
+    total = lambda lengths, first, n: F.aggregate(F.slice(lengths, first, n), F.lit(0), add)
+
+    def spans(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0)))
+        return _let(lengths, lambda own: _let(blocks(own), lambda before: F.transform(p, lambda x, i: span(x, i, own, before))))
+
+    def blocks(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(own) - 1), F.lit(BLOCK))
+        return _let(F.transform(starts, lambda s: total(own, s + 1, F.lit(BLOCK))), lambda sums: F.transform(sums, lambda _, b: total(sums, F.lit(1), b)))
+
+    def span(x: Column, i: Column, own: Column, before: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        start = F.get(before, block) + total(own, block * BLOCK + 1, i - block * BLOCK) + x["gap"]
+        return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("match"))
+
+    real = F.filter(pairs, lambda x: x["m"].isNotNull())  # the last gap has no match
+    return F.filter(_let(real, spans), lambda s: fits(s["match"]) if fits else F.lit(True))
 
 
 def _gated(gate: Column, value: Column) -> Column:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat_format, language_id, packing
+from gristmill.llm import chat_format, language_id, packing, secrets
 
 DOCS = "doc_id long, text string"
 
@@ -91,3 +91,10 @@ def test_template_wrongly_said_to_be_local():
 
     with pytest.raises(ValueError):
         list(chat_format.spans(iter([{"role": "user", "content": "t"}] * 1100), counted, 64))
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é token=abcdefgh1 " * 3000
+    df = spark.createDataFrame([(1, text)], DOCS)
+    (r,) = secrets.scan_secrets(df).collect()
+    assert [(s.start, s.end) for s in r.found if s.kind == "assign"] == [(18 * i + 2, 18 * i + 17) for i in range(3000)]
