@@ -118,16 +118,16 @@ def train(sample: list[tuple[list[np.ndarray], str]], landmarks: int, ridge: flo
     return Model(languages, columns, scaled, weights.astype(np.float32))
 
 
-def _sample(labelled: DataFrame, per_language: int, most: int, salts: int = 64) -> list[tuple[list[np.ndarray], str]]:
+def _sample(labelled: DataFrame, per_language: int, most: int) -> list[tuple[list[np.ndarray], str]]:
     """At most ``most`` labelled rows, ``per_language`` of each language, by a hash of id and text; equal rows are one."""
     keyed = labelled.withColumn("h", F.xxhash64(F.lit("language-id"), "doc", "text"))
-    order = ["h", "doc"]
-    # Dealt to salts first, so that no task gets all rows of a language.
-    first = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy(*order))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    ids = keyed.select("doc", "lang", "h").withColumn("r", first).where(F.col("r") <= per_language)
-    ids = ids.select("doc", "lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_language)
-    ids = ids.orderBy("r", *order, "lang").limit(most).select("doc", "lang", "h")
+    # Of each language about eight times the rows wanted have hashes low enough to be looked at, whatever its size.
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    low = keyed.select("doc", "lang", "h").join(F.broadcast(sizes), "lang").where(place <= 8.0 * per_language / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc"))
+    ids = low.select("doc", "lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_language)
+    ids = ids.orderBy("r", "h", "doc", "lang").limit(most).select("doc", "lang", "h")
     schema = "doc long, lang string, grams array<array<int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
