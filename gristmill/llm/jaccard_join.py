@@ -65,7 +65,7 @@ class _Words(dict):
 class Shingler:
     """The sorted distinct hashes of a text's shingles; word hashes are kept from text to text, within a bound."""
 
-    def __init__(self, words: int, kept: int = 150_000):
+    def __init__(self, words: int, kept: int = 60_000):
         self.words, self.kept, self.seen = words, kept, _Words()
         self.by = [np.uint64(pow(int(_M2), i + 1, 1 << 64)) for i in range(words)]
 
@@ -235,7 +235,7 @@ def _index(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> D
                     node = set_id(h) if len(h) else None
                     if node is None or node in done:
                         continue
-                    if len(done) > 200_000:
+                    if len(done) > 50_000:
                         done.clear()
                     done.add(node)
                     keys.append(e := entries(h, percent, common))
