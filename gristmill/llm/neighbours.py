@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.grid import Side, blocked, cells, over_cells
 from .common import Scratch, table
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -114,17 +115,19 @@ def nearest(
     fit_rows: int = 2_000,
     block: int = 50_000,
     seed: int = 20,
+    hashed_dims: int = 16,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest of the candidates found.
 
     ``vectors``: vec_id, embedding; ``queries``: a part of its rows. Nearness is
     the cosine in double precision, ties to the smaller vec_id; a query is no
     candidate of its own. Null and zero vectors, those that hold null or
-    non-finite numbers, and rows of null id take no part; nor do vectors of
-    another length than most have. Rows that repeat one id and vector count once.
-    The hashes are fitted to ``fit_rows`` rows; every point is indexed. A query
-    that finds fewer than ``k`` candidates though there are more is compared with
-    all points, in blocks. ``block``: points that meet in one task, about.
+    non-finite numbers, and rows of null id take no part. Vectors of different
+    lengths are no neighbours; those of each of the ``hashed_dims`` commonest lengths have
+    hashes of their own, fitted to ``fit_rows`` rows, and every point is indexed. Rows of
+    other lengths, and queries that find fewer than ``k`` candidates though there are
+    more, are compared with all points of their length, in blocks. Rows that repeat one
+    id and vector count once. ``block``: points that meet in one task, and visits, about.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -134,26 +137,48 @@ def nearest(
         rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), column.alias("v"))
         return rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
 
-    good = clean(vectors)
-    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes.dim
     key = F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")).alias("point")
-    rows = good.where(F.size("v") == dim).select("vec_id", key, "v")
+    rows = clean(vectors).select("vec_id", key, "v")
     least = F.dense_rank().over(Window.partitionBy("point").orderBy("vec_id"))
     ids = rows.select("point", "vec_id").withColumn("r", least).where(F.col("r") <= k + 1).select("point", "vec_id")
     ids = scratch.write(ids.distinct())
-    points = scratch.write(rows.groupBy("point").agg(F.first("v").alias("v"), F.min("vec_id").alias("least")))
-    n = points.count()
-    asked = clean(queries).where(F.size("v") == dim).select(F.col("vec_id").alias("query_id"), key)
-    asked = scratch.write(asked.distinct())
-    asked_points = points.join(asked.select("point"), "point", "left_semi").select("point", "v")
+    points = rows.groupBy("point").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("copies"))
+    points = scratch.write(points.withColumn("dim", F.size("v")))
+    asked = scratch.write(clean(queries).select(F.col("vec_id").alias("query_id"), key).distinct())
+    asked_points = scratch.write(points.join(asked.select("point"), "point", "left_semi").select("point", "v", "dim"))
+    dims = points.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(hashed_dims).collect()
+    if not dims:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    met = _scanned(*(df.where(~F.col("dim").isin([r.dim for r in dims])) for df in (points, asked_points)), k)
+    for r in dims:
+        own, tried = (df.where(F.col("dim") == r.dim) for df in (points, asked_points))
+        sample = own.orderBy(F.xxhash64(F.lit(seed), "least")).limit(fit_rows).select("v").collect()
+        hashes = fit(_unit(np.array([x.v for x in sample])), tables, probes, recall, k, seed)
+        met = met.unionByName(_hashed(scratch, own, tried, hashes, probes, k, block))
+    out = scratch.write(_named(_ranked(met, points, asked_points, k), asked, ids, k))
+    # Queries that found too few though there are more.
+    sizes = F.broadcast(points.groupBy("dim").agg(F.sum("copies").alias("total")))  # a row a length
+    of = asked.join(asked_points.select("point", "dim"), "point").join(sizes, "dim")
+    short = of.join(out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    short = short.where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), F.col("total") - 1))
+    short = scratch.write(short.select("query_id", "point"))
+    if not short.count():
+        return out
+    missing = asked_points.join(short.select("point"), "point", "left_semi")
+    extra = _named(_ranked(_scanned(points, missing, k), points, missing, k), short, ids, k)
+    return out.join(short, "query_id", "left_anti").unionByName(extra)
+
+
+_POINT = "struct<a: bigint, b: bigint>"
 
-    sample = points.orderBy(F.xxhash64(F.lit(seed), "least")).limit(fit_rows).select("v").collect()
-    hashes = fit(_unit(np.array([r.v for r in sample])), tables, probes, recall, k, seed)
-    parts = max(1, round(n * tables / block))
-    salts = max(1, n // (4 * block))  # a bucket of any size is dealt to so many tasks
+
+def _hashed(scratch: Scratch, points: DataFrame, asked: DataFrame, hashes: Hashes, probes: int, k: int, block: int) -> DataFrame:
+    """asked, point, score: of the points in the buckets that each asked one visits its best ones, by bucket.
+
+    Buckets of more than ``block`` points or visits are cut into parts of both, which meet
+    as a grid; others go to tasks together.
+    """
+    dim, tables = hashes.a.shape[0], hashes.tables
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,42 +198,41 @@ def nearest(
                 arrays = [pa.array(np.concatenate(found)), part.column(0).take(at), part.column(1).take(at)]
                 yield pa.RecordBatch.from_arrays(arrays, ["bucket", "asked", "q"])
 
-    point = "struct<a: bigint, b: bigint>"
-    stored = points.select("point", "v").mapInArrow(index, f"bucket long, point {point}, v array<double>")
-    tried = asked_points.mapInArrow(visit, f"bucket long, asked {point}, q array<double>")
-    salt = F.pmod(F.xxhash64(F.lit(3), "point"), F.lit(salts)).cast("int")
-    part = F.pmod(F.xxhash64("bucket", "salt"), F.lit(parts)).alias("part")
-    stored = stored.withColumn("salt", salt).select(part, "salt", "bucket", "point", "v")
-    tried = tried.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(part, "salt", "bucket", "asked", "q")
-
-    def meet(left, right):
+    stored = scratch.write(points.select("point", "v").mapInArrow(index, f"bucket long, point {_POINT}, v array<double>"))
+    tried = scratch.write(asked.select("point", "v").mapInArrow(visit, f"bucket long, asked {_POINT}, q array<double>"))
+    counts = stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(tried.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket")
+    cuts = {c: F.ceil(F.col(c) / block).cast("int").alias(f"{c}_cuts") for c in ("n", "m")}
+    # Buckets larger than a block: at most as many as there are blocks of all entries.
+    large = scratch.write(counts.where((F.col("n") > block) | (F.col("m") > block)).select("bucket", *cuts.values()))
+    small = max(1, round((stored.count() + tried.count()) / block))
+    few = large.count() <= 100_000
+
+    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        df = df.join(F.broadcast(large) if few else large, "bucket", "left")
+        mine = F.pmod(F.xxhash64(F.lit(3), name), F.coalesce(own, F.lit(1))).cast("int")
+        df = df.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        place = (F.col("bucket"), F.col("mine"), F.col("theirs")) if own == "n_cuts" else (F.col("bucket"), F.col("theirs"), F.col("mine"))
+        part = F.when(F.col("n_cuts").isNull(), F.pmod(F.xxhash64("bucket"), F.lit(small))).otherwise(F.xxhash64(*place))
+        return df.withColumn("part", part).withColumn("cell", F.xxhash64(*place)).drop("mine", "theirs", "n_cuts", "m_cuts")
+
+    def meet(right: pa.Table, left: pa.Table) -> pa.Table:
         found = _Best(k)
         if left.num_rows and right.num_rows:
-            left, right = (x.sort_by([("bucket", "ascending"), ("salt", "ascending")]).combine_chunks() for x in (left, right))
+            left, right = (x.sort_by("cell").combine_chunks() for x in (left, right))
             v, q = (_unit(_matrix(x[c].chunk(0), dim)) for x, c in ((left, "v"), (right, "q")))
-            lb, rb = (np.stack([x["bucket"].to_numpy(), x["salt"].to_numpy()], 1) for x in (left, right))
-            edges = np.flatnonzero(np.concatenate(([True], (rb[1:] != rb[:-1]).any(1), [True])))
-            held = {tuple(lb[i]): i for i in np.flatnonzero(np.concatenate(([True], (lb[1:] != lb[:-1]).any(1))))[::-1].tolist()}
-            starts = np.append(np.sort(np.fromiter(held.values(), np.int64, len(held))), len(lb))
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                at = held.get(tuple(rb[i]))
-                if at is not None:
-                    end = starts[np.searchsorted(starts, at) + 1]
-                    found.add(q[i:j] @ v[at:end].T, i, at)
+            cell, own = np.unique(right["cell"].to_numpy(), return_index=True)
+            held = left["cell"].to_numpy()
+            for c, i, j in zip(cell, own, np.append(own[1:], right.num_rows), strict=True):
+                a, b = np.searchsorted(held, c, "left"), np.searchsorted(held, c, "right")
+                for at in range(i, j, 256):  # products of a few megabytes
+                    for start in range(a, b, 8_192):
+                        found.add(q[at : min(at + 256, j)] @ v[start : min(start + 8_192, b)].T, at, start)
+                found.settle(i)
         return found.table(right, left)
 
-    schema = f"asked {point}, point {point}, score double"
-    met = tried.groupBy("part").cogroup(stored.groupBy("part")).applyInArrow(lambda x, y: meet(y, x), schema)
-    out = scratch.write(_named(_ranked(met, points, asked_points, k), asked, ids, k))
-    # Queries that found too few: against all points, a block of queries at a time.
-    total = rows.select("vec_id").distinct().count()
-    short = asked.join(out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
-    short = scratch.write(short.where(F.coalesce("n", F.lit(0)) < min(k, max(0, total - 1))).select("query_id", "point"))
-    if not short.count():
-        return out
-    missing = asked_points.join(short.select("point"), "point", "left_semi")
-    extra = _named(_ranked(_scanned(points, missing, k, dim), points, missing, k), short, ids, k)
-    return out.join(short, "query_id", "left_anti").unionByName(extra)
+    stored = dealt(stored, "point", "n_cuts", "m_cuts").select("part", "cell", "point", "v")
+    tried = dealt(tried, "asked", "m_cuts", "n_cuts").select("part", "cell", "asked", "q")
+    return tried.groupBy("part").cogroup(stored.groupBy("part")).applyInArrow(meet, f"asked {_POINT}, point {_POINT}, score double")
 
 
 class _Best:
@@ -216,6 +240,7 @@ class _Best:
 
     def __init__(self, k: int):
         self.k, self.q, self.p, self.s = k, [], [], []
+        self.settled = 0
 
     def add(self, near: np.ndarray, first_q: int, first_p: int) -> None:
         m = min(self.k + 1, near.shape[1])
@@ -225,6 +250,19 @@ class _Best:
         self.p.append(j + first_p)
         self.s.append(near[i, j])
 
+    def settle(self, first_q: int) -> None:
+        """Of what was added since for rows from ``first_q`` on, keeps each row's best only."""
+        if len(self.q) - self.settled > 1:
+            q, p, s = (np.concatenate(x[self.settled :]) for x in (self.q, self.p, self.s))
+            order = np.lexsort((-s, q))
+            q, p, s = q[order], p[order], s[order]
+            first = np.searchsorted(q, q)
+            last = np.minimum(first + self.k, np.searchsorted(q, q, "right") - 1)
+            keep = s >= s[last] - 1e-12
+            for x, new in ((self.q, q), (self.p, p), (self.s, s)):
+                x[self.settled :] = [new[keep]]
+        self.settled = len(self.q)
+
     def table(self, asked: pa.Table, points: pa.Table) -> pa.Table:
         q, p, s = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((self.q, int), (self.p, int), (self.s, float)))
         return pa.table([asked["asked"].take(pa.array(q)), points["point"].take(pa.array(p)), pa.array(s)], ["asked", "point", "score"])
@@ -284,30 +322,16 @@ def _named(top: DataFrame, asked: DataFrame, ids: DataFrame, k: int) -> DataFram
     return rows.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _scanned(points: DataFrame, missing: DataFrame, k: int, dim: int, block: int = 2_000) -> DataFrame:
-    """Every point against the asked ones, of which a block at a time is sent out: asked, point, score."""
-    parts = max(1, -(-missing.count() // block))
-    s = "struct<a: bigint, b: bigint>"
-    out = points.select(F.col("point").alias("asked"), "point", F.lit(0.0).alias("score")).limit(0)
-    for b in range(parts):
-        own = missing.where(F.pmod(F.xxhash64("point"), F.lit(parts)) == b).select("point", "v").collect()
-        if not own:
-            continue
-        keys = [(r.point.a, r.point.b) for r in own]
-        matrix = _unit(np.array([r.v for r in own]))
-
-        def scan(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            columns = [pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)]
-            asked = pa.table([pa.StructArray.from_arrays(columns, ["a", "b"])], ["asked"])
-            for batch in batches:
-                for start in range(0, batch.num_rows, 4_096):
-                    part = pa.Table.from_batches([batch.slice(start, 4_096)])
-                    found = _Best(k)
-                    found.add(matrix @ _unit(_matrix(part["v"].chunk(0), dim)).T, 0, 0)
-                    yield from found.table(asked, part).combine_chunks().to_batches()
-
-        out = out.unionByName(points.select("point", "v").mapInArrow(scan, f"asked {s}, point {s}, score double"))
-    return out
+def _scanned(points: DataFrame, missing: DataFrame, k: int) -> DataFrame:
+    """Every point against the asked ones of its length, blocks by blocks: asked, point, score."""
+
+    def scan(p: Side, q: Side) -> pa.RecordBatch:
+        found = _Best(k)
+        found.add(_unit(q.matrix) @ _unit(p.matrix).T, 0, 0)
+        return found.table(pa.table([q.field("point")], ["asked"]), pa.table([p.field("point")], ["point"])).combine_chunks().to_batches()[0]
+
+    met = cells(blocked(points.select("point", "v"), "v", "point"), blocked(missing.select("point", "v"), "v", "query", most=256))
+    return over_cells(met, f"asked {_POINT}, point {_POINT}, score double", scan, "v")
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
