@@ -86,6 +86,18 @@ CITATION_ID = r"\[[A-Za-z0-9_.\-]+#\d+\]"
 HEDGES = ["证据不足", "无法", "根据已有资料，最相关"]
 NO_ANSWER = "证据不足，无法回答该问题。"
 
+#: Notes in traces, answers of tools, marks of observations, and probe questions. Fixed values.
+STEP_NOTE = "step {}: "
+UNPARSABLE_NOTE = "step {}: unparsable model output, stopping"
+BUDGET_NOTE = "step budget of {} exhausted"
+ERROR_MARK = "ERROR: "
+NO_MATCH = "no documents matched the search"
+ROUTE_NOTE = "deterministic route: "
+ROUTE_FAILED_NOTE = "deterministic route failed: "
+NO_RESULT = "无法计算结果："
+SEARCH_THOUGHT = "Thought: 现有证据不足，先扩展检索。"
+PROBES = ["12*(3+4)+18/3", "计算 12*(3+4)+18/3 等于多少？", "(128+64)/8-100", "2^10"]
+
 #: Pictograph ranges, as the inside of a regular-expression class. Fixed values.
 PICTOGRAPHS = (
     r"\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE00}-\x{FE0F}\x{1F000}-\x{1F02F}\x{1F0A0}-\x{1F0FF}"

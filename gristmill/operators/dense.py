@@ -8,17 +8,18 @@ token, not once for each occurrence.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokenize
 from ..sources.corpus import last_of_each
+from .grid import Side, best, blocked, blocked_by, cells, over_cells
 from .sparse import top_k
 
 
@@ -73,55 +74,41 @@ def as_arrays(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     return rows.select(key, F.col("v.slot").alias("slots"), F.col("v.weight").alias("weights"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, sent: int = 8192, block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank) by inner product of sparse rows (id, slot, weight); only positive scores.
 
-    ``sent`` queries at a time are sent out, so that a broadcast stays within a few
-    megabytes; chunks meet them in Arrow batches, as products of matrices of ``block``
-    queries, of which each query's ``k`` best leave.
+    Blocks of queries meet blocks of chunks in a grid; of each cell's product every
+    query's ``k`` best leave, and those are cut to ``k`` in each task before they meet.
     """
-    asked = as_arrays(queries, "query_id")
-    parts = max(1, -(-asked.count() // sent))
-    rows, found = as_arrays(vectors), None
-    for i in range(parts):
-        own = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        best = rows.mapInArrow(_product(own.collect(), k, block), "query_id string, chunk_id string, score double")
-        found = best if found is None else found.unionByName(best)
-    return top_k(found, k)
+    points = blocked_by(as_arrays(vectors).withColumn("dim", F.lit(0)), ["dim"], "point", 2_048)
+    asked = blocked_by(as_arrays(queries, "query_id").withColumn("dim", F.lit(0)), ["dim"], "query", 512)
 
+    def product(p: Side, q: Side) -> pa.RecordBatch:
+        dim = 1 + max(int(x.field("slots").flatten().to_numpy().max(initial=0)) for x in (p, q))
+        a, b = (as_matrix(x.field("slots"), x.field("weights"), dim) for x in (p, q))
+        return named_best(p, q, np.round(b @ a.T, 12), k)
+
+    return top_k(over_cells(cells(points, asked), SCORED, product, None), k)
 
-def _matrix(slots: np.ndarray, lengths: np.ndarray, weights: np.ndarray, dim: int) -> np.ndarray:
-    out = np.zeros((len(lengths), dim))
-    row, known = np.repeat(np.arange(len(lengths)), lengths), slots < dim
-    np.add.at(out, (row[known], slots[known]), weights[known])
-    return out
 
+SCORED = "query_id string, chunk_id string, score double"
 
-def _product(asked: list, k: int, block: int):
-    asked = sorted(asked, key=lambda r: r.query_id)
-    names = [r.query_id for r in asked]
-    dim = 1 + max((s for r in asked for s in r.slots), default=0)
-    slots, weights = (np.array([x for r in asked for x in getattr(r, c)]) for c in ("slots", "weights"))
-    ends = np.concatenate(([0], np.cumsum([len(r.slots) for r in asked]))).astype(int)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            ids = np.array(batch.column(0).to_pylist(), object)
-            own, w = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
-            dense = _matrix(own, batch.column(1).value_lengths().to_numpy(zero_copy_only=False), w, dim)
-            for start in range(0, len(names), block):
-                end = min(start + block, len(names))
-                part = slice(ends[start], ends[end])
-                matrix = _matrix(slots[part], np.diff(ends[start : end + 1]), weights[part], dim)
-                scores = np.round(dense @ matrix.T, 12)
-                floor = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else np.full(end - start, -1.0)
-                i, q = np.nonzero((scores > 0) & (scores >= floor))
-                arrays = [pa.array([names[start + x] for x in q], pa.string()), pa.array(ids[i].tolist(), pa.string()), pa.array(scores[i, q])]
-                yield pa.RecordBatch.from_arrays(arrays, ["query_id", "chunk_id", "score"])
-
-    return run
+
+def named_best(p: Side, q: Side, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """Each query's ``k`` best positive scores, of ties the least ids."""
+    order = pc.sort_indices(p.field("chunk_id").cast(pa.string())).to_numpy()
+    scores = scores[:, order]
+    i, j = best(scores, k, scores > 0)
+    arrays = [q.field("query_id").cast(pa.string()).take(pa.array(i)), p.field("chunk_id").cast(pa.string()).take(pa.array(order[j])), pa.array(scores[i, j])]
+    return pa.RecordBatch.from_arrays(arrays, ["query_id", "chunk_id", "score"])
+
+
+def as_matrix(slots: pa.Array, weights: pa.Array, dim: int) -> np.ndarray:
+    """Rows of sparse vectors, of at least ``dim`` columns and as many as the slots need."""
+    at, n = slots.flatten().to_numpy(zero_copy_only=False), slots.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(n), max(dim, 1 + int(at.max(initial=0)))))
+    np.add.at(out, (np.repeat(np.arange(len(n)), n), at), weights.flatten().to_numpy(zero_copy_only=False))
+    return out
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -140,42 +127,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 12, block: int = 4096) -> DataFrame:
+def unit(rows: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norm == 0, 1, norm)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 12) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact nearest of ``vectors`` (chunk_id, vec) to ``queries`` (query_id, vec) by cosine.
 
-    ``block`` queries at a time are sent out; vectors meet them in Arrow batches, as a
-    product of matrices, of which each query's ``k`` best and those that tie with them
-    leave. Scores that are not positive go, and so do vectors of another length.
+    A grid as in ``search``. Scores that are not positive go, and vectors of different lengths don't meet.
     """
-    parts = max(1, -(-queries.count() // block))
-    found = None
-    for i in range(parts):
-        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        best = vectors.select("chunk_id", "vec").mapInArrow(_cosines(own.select("query_id", "vec").collect(), k, digits), "query_id string, chunk_id string, score double")
-        found = best if found is None else found.unionByName(best)
+    points = blocked(vectors.select("chunk_id", "vec"), "vec", "point")
+    asked = blocked(queries.select("query_id", "vec"), "vec", "query", most=512)
+    found = over_cells(cells(points, asked), SCORED, lambda p, q: named_best(p, q, np.round(unit(q.matrix) @ unit(p.matrix).T, digits), k))
     return top_k(found, k)
-
-
-def _cosines(asked: list, k: int, digits: int):
-    names, q = [r.query_id for r in asked], [np.array(r.vec, float) for r in asked]
-
-    def unit(rows: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        return rows / np.where(norm == 0, 1, norm)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim in sorted({len(x) for x in q if len(x)}):
-                own = [i for i, x in enumerate(q) if len(x) == dim]
-                fits = batch.filter(pa.array([n == dim for n in batch.column(1).value_lengths().to_pylist()], pa.bool_()))
-                if not fits.num_rows:
-                    continue
-                ids = np.array(fits.column(0).to_pylist(), object)
-                rows = fits.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-                scores = np.round(unit(rows) @ unit(np.stack([q[i] for i in own])).T, digits)
-                floor = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else np.full(len(own), -2.0)
-                i, j = np.nonzero((scores > 0) & (scores >= floor))
-                arrays = [pa.array([names[own[x]] for x in j], pa.string()), pa.array(ids[i].tolist(), pa.string()), pa.array(scores[i, j])]
-                yield pa.RecordBatch.from_arrays(arrays, ["query_id", "chunk_id", "score"])
-
-    return run

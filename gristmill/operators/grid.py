@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,31 +21,42 @@ def blocked(rows: DataFrame, vec: str, name: str, size: int = 2 << 20, most: int
     A block has about ``size`` bytes of numbers, or ``most`` rows. ``vec``: the column
     that is the vector, an array. Rows should differ, as equal ones meet in one block.
     """
-    rows = rows.withColumn("dim", F.size(vec))
-    counts = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
     per = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(size) / (8 * F.greatest("dim", F.lit(1))))))
-    counts = counts.select("dim", F.ceil(F.col("n") / per).cast("long").alias("n_blocks"))
-    # As many rows as vectors have different lengths.
-    rows = rows.join(F.broadcast(counts), "dim")
-    kept = [c for c in rows.columns if c not in ("dim", "n_blocks")]
+    return blocked_by(rows.withColumn("dim", F.size(vec)), ["dim"], name, per)
+
+
+def blocked_by(rows: DataFrame, by: list[str], name: str, per: Column | int) -> DataFrame:
+    """(``by``, ``name``, ``name``_rows): ``rows`` in blocks of about ``per`` with the same ``by``, of which there are few values."""
+    per = F.lit(per) if isinstance(per, int) else per
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*by, F.ceil(F.col("n") / per).cast("long").alias("n_blocks"))
+    # A row for each value of ``by``: lengths of vectors, or cells of an index.
+    rows = rows.join(F.broadcast(counts), by)
+    kept = [c for c in rows.columns if c not in (*by, "n_blocks")]
     number = F.pmod(F.xxhash64(F.lit(name), *kept), F.col("n_blocks")).alias(name)
-    return rows.groupBy("dim", number).agg(F.collect_list(F.struct(*kept)).alias(f"{name}_rows"))
+    out = rows.groupBy(*by, number).agg(F.collect_list(F.struct(*kept)).alias(f"{name}_rows"))
+    out._counts = counts
+    return out
 
 
-def cells(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """(dim, point, query, point_rows, query_rows): every block of points with every block of queries of its dimension."""
-    places = points.select("dim", "point").groupBy("dim").agg(F.collect_list("point").alias("points"))
-    sent = queries.join(F.broadcast(places), "dim").withColumn("point", F.explode("points")).drop("points")
-    return points.join(sent, ["dim", "point"])
+def cells(points: DataFrame, queries: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(``by``, point, query, point_rows, query_rows): every block of points with every block of queries of the same ``by``."""
+    by = by or ["dim"]
+    counts = getattr(points, "_counts", None)  # blocks that are a table by now are read instead: their numbers only
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("point")
+    places = points.select(*by, "point") if counts is None else counts.select(*by, numbers)
+    sent = places.join(queries, by).select(*by, "point", *(c for c in queries.columns if c not in by))
+    return points.join(sent, [*by, "point"])
 
 
 class Side:
     """One side of a cell: its rows' fields as arrays, its vectors as a matrix."""
 
-    def __init__(self, rows: pa.Array, vec: str = "vec", dtype=np.float64):
+    def __init__(self, rows: pa.Array, vec: str | None = "vec", dtype=np.float64):
         self.rows = rows.flatten() if isinstance(rows, pa.ListArray) else rows
-        flat = self.rows.field(vec).flatten().to_numpy(zero_copy_only=False)
-        self.matrix = flat.astype(dtype, copy=False).reshape(len(self.rows), -1)
+        if vec:
+            flat = self.rows.field(vec).flatten().to_numpy(zero_copy_only=False)
+            self.matrix = flat.astype(dtype, copy=False).reshape(len(self.rows), -1)
 
     def __len__(self) -> int:
         return len(self.rows)
@@ -57,7 +68,7 @@ class Side:
         return self.rows.field(name).to_numpy(zero_copy_only=False)
 
 
-def over_cells(met: DataFrame, schema: str, work: Callable[[Side, Side], pa.RecordBatch], vec: str = "vec", dtype=np.float64) -> DataFrame:
+def over_cells(met: DataFrame, schema: str, work: Callable[[Side, Side], pa.RecordBatch], vec: str | None = "vec", dtype=np.float64) -> DataFrame:
     """``work(points, queries)`` of every cell, as rows of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

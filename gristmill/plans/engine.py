@@ -12,14 +12,15 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import NO_ANSWER
+from ..functions.fixed import NO_MATCH, NO_RESULT, PROBES, ROUTE_FAILED_NOTE, ROUTE_NOTE, SEARCH_THOUGHT
 from ..functions.routing import route
 from ..functions.text import best_excerpt, slices, strip
 from ..functions.tools import invoke
-from ..operators import chunking, dense, evaluate, fusion, grounding, reader, rerank, sparse
+from ..operators import chunking, dense, evaluate, fusion, grounding, ivf, loop, reader, rerank, sparse
 from ..operators.expansion import expand
-from ..schemas import DOCUMENT, Settings
+from ..schemas import Settings
 from ..sources.corpus import from_mapping, last_of_each, not_blank, read_texts
+from .segments import Segments
 from .steps import Steps
 
 #: (texts (key, text), name of the key) to sparse unit vectors (key, slot, weight).
@@ -32,7 +33,9 @@ class Engine:
     """A corpus and its indexes, made once at ingest and kept in step with changed documents.
 
     ``rerank_with`` takes the place of the lexical reranker, ``embed_with`` of the
-    hashed vectors, ``read_with`` of the sentence reader; ``tools`` (name to a function
+    hashed vectors, ``read_with`` of the sentence reader, ``complete_with`` of the reader's
+    whole part in the loop (it gets a ``prompt``); ``index`` is an inverted file for the
+    vectors, which are compared block by block without one; ``tools`` (name to a function
     from payload to a column ok, value, error) are found before the built-in ones.
     """
 
@@ -44,34 +47,55 @@ class Engine:
         embed_with: Encoder | None = None,
         read_with: Reader | None = None,
         tools: Mapping[str, Callable[[Column], Column]] | None = None,
+        index: ivf.InvertedFile | None = None,
+        complete_with: loop.Completer | None = None,
+        most_segments: int = 8,
     ):
         self.spark, self.settings = spark, settings or Settings.from_conf(spark)
         self.rerank_with, self.tools = rerank_with, dict(tools or {})
         self.embed_with = embed_with or (lambda texts, key: dense.hashed_vectors(texts, key, self.settings.dim))
         self.own_vectors = embed_with is None
         self.read_with = read_with or reader.best_sentences
-        self._tables, self._steps = None, Steps(spark)
+        self.index, self.complete_with, self.most_segments = index, complete_with, most_segments
+        self._store, self._steps = None, Steps(spark)
         self.reset()
 
     # -- corpus ---------------------------------------------------------------
+    documents = property(lambda self: self._store.table("documents"))
+    chunks = property(lambda self: self._store.table("chunks"))
+    lengths = property(lambda self: self._store.table("lengths"))
+    postings = property(lambda self: self._store.table("postings"))
+    vectors = property(lambda self: self._store.table("vectors"))
+
+    @property
+    def corpus_stats(self) -> DataFrame:
+        """One row: n_docs (chunks), avgdl (1 of an empty corpus)."""
+        mean = F.coalesce(F.try_divide("dl", "n_chunks"), F.lit(1.0))
+        return self._store.counts().select(F.col("n_chunks").alias("n_docs"), mean.alias("avgdl"))
+
     def reset(self) -> None:
-        self._build(self.spark.createDataFrame([], DOCUMENT))
+        before, self._store = self._store, Segments(self.spark)
+        if before:
+            before.drop()
 
     def ingest(self, docs: DataFrame | Mapping[str, str] | Iterable[tuple[str, str]], replace: bool = False) -> dict:
         """Adds documents, or puts them in the place of those with their ids; ``replace`` drops all others first.
 
         Of documents with one id the last counts: of the greatest ``revision``, where
-        there is such a column. Only what changes is chunked and indexed.
+        there is such a column. What changes goes to a segment of its own, and nothing else
+        is written; from ``most_segments`` segments on they are merged into one.
         """
         if not isinstance(docs, DataFrame):
             docs = from_mapping(self.spark, docs)
         more = ["revision"] if "revision" in docs.columns else []
         docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more)
         docs = last_of_each(not_blank(docs), "doc_id").select("doc_id", "text")
-        if replace:
+        if replace or self._store.last < 0:
             self._build(docs)
         else:
-            self._update(docs)
+            self._add(self._store, docs, True)
+            if self._store.last + 1 >= self.most_segments:
+                self.compact()
         return self.stats()
 
     def ingest_paths(self, *paths: str) -> dict:
@@ -79,48 +103,65 @@ class Engine:
 
     def ingest_chunks(self, chunks: DataFrame) -> dict:
         """Takes over a saved chunk table; the documents are then what the chunks of each say, in order."""
-        own = Steps(self.spark)
         texts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda c: c["text"])
-        docs = own.cut(chunks.groupBy("doc_id").agg(F.concat_ws("\n", texts).alias("text")))
-        self._take(own, docs, own.cut(chunks), self._indexed(own, chunks))
+        store = Segments(self.spark)
+        chunks = store.write("chunks", chunks)
+        docs = store.write("documents", chunks.groupBy("doc_id").agg(F.concat_ws("\n", texts).alias("text")))
+        store.commit({"documents": docs, "chunks": chunks, **self._indexed(store, chunks, True)})
+        self._swap(store)
         return self.stats()
 
     def rebuild(self) -> dict:
         self._build(self.documents)
         return self.stats()
 
-    def _indexed(self, tables: Steps, chunks: DataFrame) -> dict[str, DataFrame]:
-        """The indexes of some chunks: lengths, postings, vectors."""
-        tokens = tables.cut(sparse.tokens(chunks))
-        postings = tables.cut(sparse.postings(tokens))
-        vectors = dense.hashed_counts(postings, "chunk_id", self.settings.dim) if self.own_vectors else self.embed_with(chunks, "chunk_id")
-        return {"lengths": sparse.lengths(tokens), "postings": postings, "vectors": dense.as_arrays(vectors)}
+    def compact(self) -> None:
+        """All segments as one. The quantiser of an index is trained anew."""
+        self._swap(self._store.compact(lambda store, chunks: self._indexed(store, chunks, True)))
+
+    def _indexed(self, store: Segments, chunks: DataFrame, anew: bool) -> dict[str, DataFrame]:
+        """The indexes of some chunks, written: lengths, postings, vectors."""
+        own = Steps(self.spark)
+        tokens = own.cut(sparse.tokens(chunks))
+        made = {"lengths": store.write("lengths", sparse.lengths(tokens)), "postings": store.write("postings", sparse.postings(tokens))}
+        vectors = dense.hashed_counts(made["postings"], "chunk_id", self.settings.dim) if self.own_vectors else self.embed_with(chunks, "chunk_id")
+        vectors = dense.as_arrays(vectors)
+        if self.index:
+            vectors = own.cut(vectors)
+            if anew or store.quantiser is None:
+                store.quantiser = self.index.train(vectors)
+            vectors = ivf.assigned(vectors, store.quantiser)
+        else:
+            vectors = vectors.withColumns({"cell": F.lit(0), "apart": F.lit(0.0)})
+        made["vectors"] = store.write("vectors", vectors)
+        if self.index:
+            for cell, radius in ivf.radii(made["vectors"]).items():
+                store.radii[cell] = max(radius, store.radii.get(cell, 0.0))
+        own.drop()
+        return made
 
     def _build(self, docs: DataFrame) -> None:
-        tables, s = Steps(self.spark), self.settings
-        docs = tables.cut(docs)
-        chunks = tables.cut(chunking.chunk_documents(docs, s.chunk_size, s.overlap))
-        self._take(tables, docs, chunks, self._indexed(tables, chunks))
-
-    def _update(self, new: DataFrame) -> None:
-        tables, s = Steps(self.spark), self.settings
-        new = tables.cut(new)
-        made = tables.cut(chunking.chunk_documents(new, s.chunk_size, s.overlap))
-        ids = new.select("doc_id")
-        gone = tables.cut(self.chunks.join(ids, "doc_id", "left_semi").select("chunk_id"))
-        indexes = {name: getattr(self, name).join(gone, "chunk_id", "left_anti").unionByName(rows) for name, rows in self._indexed(tables, made).items()}
-        chunks = self.chunks.join(ids, "doc_id", "left_anti").unionByName(made)
-        self._take(tables, self.documents.join(ids, "doc_id", "left_anti").unionByName(new), chunks, indexes)
-
-    def _take(self, tables: Steps, docs: DataFrame, chunks: DataFrame, indexes: dict[str, DataFrame]) -> None:
-        before, kept = self._tables, Steps(self.spark)
-        # Postings lie by term, so that a search reads the files of its terms' neighbourhood only.
-        indexes["postings"] = indexes["postings"].repartitionByRange(F.col("term")).sortWithinPartitions("term")
-        self.documents, self.chunks = kept.cut(docs), kept.cut(chunks)
-        self.lengths, self.postings, self.vectors = (kept.cut(indexes[name]) for name in ("lengths", "postings", "vectors"))
-        stats = self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-        self.corpus_stats, self._tables = kept.cut(stats), kept
-        tables.drop()
+        store = Segments(self.spark)
+        self._add(store, docs, False)
+        self._swap(store)
+
+    def _add(self, store: Segments, docs: DataFrame, replacing: bool) -> None:
+        """A segment of new documents, in the place of older ones of their ids."""
+        s, own = self.settings, Steps(self.spark)
+        docs = store.write("documents", docs)
+        made = store.write("chunks", chunking.chunk_documents(docs, s.chunk_size, s.overlap))
+        gone = None
+        if replacing:
+            ids = docs.select("doc_id")
+            old = store.table("chunks").select("doc_id", "chunk_id").join(ids, "doc_id", "left_semi")
+            old = store.table("documents").select("doc_id").join(ids, "doc_id", "left_semi").join(own.cut(old), "doc_id", "left")
+            gone = own.cut(old.join(store.table("lengths"), "chunk_id", "left"))
+            gone = gone if gone.limit(1).count() else None
+        store.commit({"documents": docs, "chunks": made, **self._indexed(store, made, False)}, gone)
+        own.drop()
+
+    def _swap(self, store: Segments) -> None:
+        before, self._store = self._store, store
         if before:
             before.drop()
 
@@ -129,8 +170,15 @@ class Engine:
         self._steps.drop()
 
     def stats(self) -> dict:
-        row = self.chunks.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
-        return {"documents": self.documents.count(), "documents_with_chunks": row.d, "chunks": row.n, "dim": self.settings.dim}
+        row = self._store.counts().first()
+        return {"documents": row.n_docs, "documents_with_chunks": row.n_with_chunks, "chunks": row.n_chunks, "dim": self.settings.dim}
+
+    def nearest(self, vectors: DataFrame, k: int) -> DataFrame:
+        """(query_id, chunk_id, score, rank) of query vectors (query_id, slot, weight): through the index, where there is one."""
+        if not self.index or not self._store.quantiser:
+            return dense.search(self.vectors, vectors, k)
+        queries = dense.as_arrays(vectors, "query_id")
+        return ivf.search(self.vectors, self._store.quantiser, self._store.radii, queries, k, self.index.exact, cut=self._steps.cut)
 
     # -- retrieval --------------------------------------------------------------
     def retrieve(self, queries: DataFrame, k: int | None = None) -> DataFrame:
@@ -138,7 +186,7 @@ class Engine:
         s = self.settings
         k = max(1, k or s.top_k)
         queries = self._steps.cut(queries.select("query_id", "text"))
-        near = dense.search(self.vectors, self.embed_with(queries, "query_id"), k)
+        near = self.nearest(self.embed_with(queries, "query_id"), k)
         widened = queries.select("query_id", expand(F.col("text"), s.max_expansions)["query"].alias("text"))
         terms = self._steps.cut(sparse.query_terms(widened))
         rows = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
@@ -162,13 +210,13 @@ class Engine:
         tools = self._steps.cut(routed.where("kind <> 'retrieve'").withColumn("result", self.invoke(F.col("tool"), F.col("payload"))))
         ok, value, error = (F.col(f"result.{c}") for c in ("ok", "value", "error"))
         asked = F.regexp_replace(strip("text"), "[？?]+$", "")
-        note = F.when(ok, F.concat(F.lit("deterministic route: "), "tool", F.lit("["), "payload", F.lit("] -> "), value))
-        note = note.otherwise(F.concat(F.lit("deterministic route failed: "), "tool", F.lit(" -> "), error))
+        note = F.when(ok, F.concat(F.lit(ROUTE_NOTE), "tool", F.lit("["), "payload", F.lit("] -> "), value))
+        note = note.otherwise(F.concat(F.lit(ROUTE_FAILED_NOTE), "tool", F.lit(" -> "), error))
         one = F.when(ok, F.lit(1)).otherwise(0)
         computed = tools.select(
             "query_id",
             F.col("text").alias("question"),
-            F.when(ok, F.concat(asked, F.lit(" = "), value)).otherwise(F.concat(F.lit("无法计算结果："), error)).alias("answer"),
+            F.when(ok, F.concat(asked, F.lit(" = "), value)).otherwise(F.concat(F.lit(NO_RESULT), error)).alias("answer"),
             F.array().cast("array<string>").alias("citations"),
             F.col("kind").alias("route"),
             F.lit(0).alias("steps"),
@@ -187,44 +235,63 @@ class Engine:
             found = F.when(tool == name, fn(payload)).otherwise(found)
         return found
 
+    def _called(self, calls: DataFrame) -> DataFrame:
+        """(query_id, ok, value, error) of calls (query_id, tool, payload); ``search`` looks for three chunks."""
+        calls = self._steps.cut(calls)
+        kinds = calls.agg(F.count_if(F.col("tool") == "search").alias("n"), F.count(F.lit(1)).alias("all")).first()
+        out = calls.where("tool <> 'search'").select("query_id", self.invoke(F.col("tool"), F.col("payload")).alias("r")).select("query_id", "r.*")
+        if not kinds.n:
+            return out
+        asked = calls.where("tool = 'search'").select("query_id", F.col("payload").alias("text"))
+        hits = self.retrieve(asked, 3).join(asked.select("query_id", F.col("text").alias("question")), "query_id")
+        line = F.concat(F.lit("["), F.col("chunk_id"), F.lit("] "), best_excerpt("question", "text", 160))
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda r: r["line"])
+        seen = asked.select("query_id").join(hits.groupBy("query_id").agg(F.concat_ws(" | ", lines).alias("value")), "query_id", "left")
+        seen = seen.select("query_id", F.col("value").isNotNull().alias("ok"), F.coalesce("value", F.lit("")).alias("value"), F.lit(NO_MATCH).alias("error"))
+        return seen if kinds.n == kinds["all"] else out.unionByName(seen)
+
+    def _extractive(self, frontier: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
+        """What the sentence reader says: its best sentence, or, where that is poor and nothing was searched yet, a search."""
+        lines = F.filter(F.split("scratchpad", "\n"), lambda x: x.startswith("Observation:"))
+        notes = F.flatten(F.transform(lines, lambda x: reader.observations(F.substring(x, 13, 1 << 30))))
+        frontier = frontier.withColumn("notes", notes)
+        excerpts = frontier.select("query_id", F.posexplode("notes").alias("at", "o"))
+        # Behind the evidence, whose places end with k.
+        excerpts = excerpts.select("query_id", (F.col("at") + k + 1).alias("place"), "o.chunk_id", F.col("o.excerpt").alias("text"))
+        pool = evidence.join(frontier.select("query_id"), "query_id", "left_semi").unionByName(excerpts)
+        best = self.read_with(frontier.select("query_id", "text"), pool)
+        rows = frontier.join(best.select("query_id", "sentence", "chunk_id", "score"), "query_id", "left")
+        enough = (F.coalesce("score", F.lit(0.0)) >= self.settings.min_overlap) | (F.size("notes") > 0)
+        answer = F.concat(F.lit("Final Answer: "), reader.answer_text(F.col("sentence"), F.col("chunk_id")))
+        search = F.concat(F.lit(SEARCH_THOUGHT + "\nAction: search["), "text", F.lit("]"))
+        return rows.select("query_id", F.when(enough, answer).otherwise(search).alias("output"))
+
     def _read(self, queries: DataFrame, k: int | None) -> DataFrame:
         s = self.settings
+        k = max(1, k or s.top_k)
         hits = self._steps.cut(self.retrieve(queries, k))
-        pool = hits.select("query_id", F.col("rank").alias("place"), "chunk_id", "text")
-        first = self._steps.cut(self.read_with(queries, pool))
-        done = first.where(F.col("score") >= s.min_overlap)
-        # One more search for the rest, whose excerpts join the pool behind the evidence.
-        rest = self._steps.cut(queries.join(done.select("query_id"), "query_id", "left_anti"))
-        more = self.retrieve(rest, 3).join(rest.select("query_id", F.col("text").alias("question")), "query_id")
-        line = F.concat(F.lit("["), F.col("chunk_id"), F.lit("] "), best_excerpt("question", "text", 160))
-        observed = more.groupBy("query_id").agg(
-            F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda r: r["line"])).alias("observed")
-        )
-        observed = self._steps.cut(observed)
-        excerpts = observed.select("query_id", F.posexplode(reader.observations(F.col("observed"))).alias("at", "o"))
-        excerpts = excerpts.where("o.excerpt <> ''").select("query_id", (F.col("at") + 1_000_000).alias("place"), "o.chunk_id", F.col("o.excerpt").alias("text"))
-        second = self.read_with(rest, pool.join(rest.select("query_id"), "query_id", "left_semi").unionByName(excerpts))
-        best = done.select("query_id", "sentence", "chunk_id", F.lit(1).alias("steps")).unionByName(
-            rest.select("query_id")
-            .join(observed.select("query_id", F.lit(True).alias("seen")), "query_id", "left")
-            .join(second.select("query_id", "sentence", "chunk_id"), "query_id", "left")
-            .select("query_id", F.when(F.col("seen"), F.col("sentence")).alias("sentence"), "chunk_id", F.when(F.col("seen"), 2).otherwise(s.max_steps).alias("steps"))
-        )
+        evidence = hits.select("query_id", F.col("rank").alias("place"), "chunk_id", "text")
+
+        def complete(frontier: DataFrame) -> DataFrame:
+            if not self.complete_with:
+                return self._extractive(frontier, evidence, k)
+            blocks = reader.render_evidence(hits.select("query_id", "rank", "chunk_id", "text"))
+            rows = frontier.join(blocks, "query_id", "left")
+            return self.complete_with(rows.withColumn("prompt", reader.build_prompt(F.col("text"), F.col("block"), F.col("scratchpad"))))
+
+        read = loop.run_loop(queries, complete, self._called, s.max_steps, self._steps.cut)
         top = hits.where("rank = 1").select("query_id", F.col("chunk_id").alias("head"), F.col("text").alias("head_text"))
         cited = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda r: r["chunk_id"]).alias("citations"))
-        found = queries.join(best, "query_id").join(top, "query_id", "left").join(cited, "query_id", "left")
-        searched = F.when(F.col("steps") >= 2, F.concat(F.lit("step 1: search["), "text", F.lit("]")))
-        spent = F.when((F.col("steps") == s.max_steps) & F.col("head").isNull(), F.lit(f"step budget of {s.max_steps} exhausted"))
-        text = F.when(F.col("sentence").isNotNull(), reader.answer_text(F.col("sentence"), F.col("chunk_id")))
-        text = text.when(spent.isNotNull(), reader.fallback(F.col("head"), F.col("head_text"))).otherwise(F.lit(NO_ANSWER))
+        found = queries.join(read, "query_id").join(top, "query_id", "left").join(cited, "query_id", "left")
+        answer = F.coalesce(F.when(F.col("final") != "", F.col("final")), reader.fallback(F.col("head"), F.col("head_text")))
         answers = self._steps.cut(found.select(
             "query_id",
             F.col("text").alias("question"),
-            text.alias("answer"),
+            answer.alias("answer"),
             F.coalesce("citations", F.array().cast("array<string>")).alias("citations"),
             F.lit("retrieve").alias("route"),
             "steps",
-            F.array_compact(F.array(searched, spent)).alias("trace"),
+            "trace",
         ))
         report = grounding.verify(answers.select("query_id", F.col("answer").alias("text")), hits.select("query_id", "text"), s.grounding_floor)
         return answers.join(report, "query_id")
@@ -276,7 +343,7 @@ class Engine:
         }
 
     def deterministic_probe(self) -> dict:
-        samples = ["12*(3+4)+18/3", "计算 12*(3+4)+18/3 等于多少？", "(128+64)/8-100", "2^10"]
+        samples = PROBES
         rows = self.spark.createDataFrame([(str(i), q) for i, q in enumerate(samples)], "query_id string, text string")
         found = rows.select(route(F.col("text")).alias("r")).select("r.*", invoke(F.col("r.tool"), F.col("r.payload"))["ok"].alias("ok"))
         right = found.where("kind = 'arithmetic' AND ok").count()
