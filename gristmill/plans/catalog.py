@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import routing, text, tools
-from ..operators import chunking, dense, evaluate, expansion, fusion, grounding, memory, reader, rerank, sparse
+from ..operators import blockmax, chunking, dense, evaluate, expansion, fusion, grounding, ivf, loop, memory, reader, rerank, sparse
 from ..sources.corpus import not_blank, replace_revisions, spread
 from .engine import probe_rows, validate
 from .oracles import EXPANSION_QUESTIONS, MIXED_TEXTS, ORACLES, RAW_OUTPUTS, REMEMBERED, ROUTED, TOOL_CALLS
@@ -183,6 +183,33 @@ def posting_lists(spark, sf):
     return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
 
 
+@query
+def bm25_blockmax(spark, sf):
+    """The rows of ``bm25_topk``, from blocks of postings of which the hopeless ones stay shut."""
+    kept, cut = tokens(spark, sf), Steps(spark).cut
+    stats = sparse.corpus_stats(kept)
+    index = cut(blockmax.blocks(sparse.postings(kept), stats.first().n_docs))
+    return blockmax.search(index, stats, sparse.query_terms(questions(spark, sf)), K, digits=6, cut=cut)
+
+
+@query
+def upsert_bm25(spark, sf):
+    """BM25 after an upsert of every tenth document: a second segment, merged with the first as it is read."""
+    from .engine import Engine
+
+    engine = Engine(spark, chunk_with=_one_chunk)
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    engine.ingest(spread(docs))
+    engine.ingest(docs.where("doc_id % 10 = 3").select("doc_id", F.concat(F.lit("revised "), F.left("text", F.lit(200))).alias("text")))
+    return engine.keyword(questions(spark, sf), K, 6).select("query_id", "chunk_id", "score", "rank")
+
+
+def _one_chunk(docs: DataFrame) -> DataFrame:
+    """A chunk for each document."""
+    none = F.lit(None).cast("map<string,string>").alias("meta")
+    return docs.select(F.concat("doc_id", F.lit("#0")).alias("chunk_id"), "doc_id", "text", F.lit(0).alias("ordinal"), F.lit("").alias("heading"), none)
+
+
 # -- dense index -------------------------------------------------------------------------
 
 
@@ -204,6 +231,33 @@ def dense_topk(spark, sf):
     return _near(spark, sf, K).select("query_id", "chunk_id", "score", "rank")
 
 
+def _filed(spark: SparkSession, sf: str, index: ivf.InvertedFile, k: int) -> DataFrame:
+    """The k nearest, by an inverted file on disk, of the vectors whose id 50 divides."""
+    steps = Steps(spark)
+    vectors = ivf.from_arrays(read(spark, sf, "embeddings"), "vec_id", "embedding", "chunk_id")
+    quantiser = index.train(vectors)
+    ivf.write(ivf.assigned(vectors, quantiser), f"{steps.root}/cells")
+    filed = spark.read.parquet(f"{steps.root}/cells")
+    asked = ivf.from_arrays(read(spark, sf, "embeddings").where("vec_id % 50 = 0"), "vec_id", "embedding", "query_id")
+    return ivf.search(filed, quantiser, ivf.radii(filed), asked, k, index.exact, 6, steps.cut)
+
+
+@query
+def ivf_exact_topk(spark, sf):
+    """Through the cells of an inverted file, and on to those that may hold something nearer."""
+    return _filed(spark, sf, ivf.InvertedFile(exact=True), K).select("query_id", "chunk_id", "score", "rank")
+
+
+@query
+def ivf_recall(spark, sf):
+    """Of what all cells hold, how much the probed ones find: at least nine tenths."""
+    cut = Steps(spark).cut
+    found, near = (cut(_filed(spark, sf, ivf.InvertedFile(exact=exact), K).select("query_id", "chunk_id")) for exact in (False, True))
+    both = found.join(near, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")).join(both, "query_id", "left")
+    return rows.agg(F.count(F.lit(1)).alias("n_queries"), (F.sum("n") >= 0.9 * F.sum("m")).alias("enough"))
+
+
 @query
 def vector_memory_recall(spark, sf):
     return _near(spark, sf, 3).select("query_id", "chunk_id", "rank")
@@ -450,6 +504,24 @@ def parsed_outputs(spark, sf):
     return rows.select("id", action["tool"].alias("tool"), action["payload"].alias("payload"), reader.parse_final(F.col("text")).alias("final"))
 
 
+@query
+def loop_traces(spark, sf):
+    """The reading loop with a reader of stated habits: one to four rounds of the calculator, some questions lost on the way."""
+    n, step = F.length("text"), F.col("step")
+
+    def complete(frontier: DataFrame) -> DataFrame:
+        lost, over = (n % 7 == 6) & (step == 2), step >= n % 6 + 1
+        call = F.format_string("Thought: more\nAction: calculator[%d*%d]", n, step)
+        output = F.when(lost, F.lit("hm\nhm")).when(over, F.format_string("Final Answer: after %d\n\n  rounds", step)).otherwise(call)
+        return frontier.select("query_id", output.alias("output"))
+
+    def invoke(calls: DataFrame) -> DataFrame:
+        return calls.select("query_id", tools.invoke(F.col("tool"), F.col("payload")).alias("r")).select("query_id", "r.*")
+
+    rows = loop.run_loop(questions(spark, sf), complete, invoke, 4, Steps(spark).cut)
+    return rows.select("query_id", "final", "steps", F.concat_ws("|", "trace").alias("trace"), F.md5("scratchpad").alias("digest"))
+
+
 @query
 def ask_benchmark(spark, sf):
     """The whole path over all documents: ingest, route, retrieve, read, ground."""

@@ -49,6 +49,7 @@ class Engine:
         tools: Mapping[str, Callable[[Column], Column]] | None = None,
         index: ivf.InvertedFile | None = None,
         complete_with: loop.Completer | None = None,
+        chunk_with: Callable[[DataFrame], DataFrame] | None = None,
         most_segments: int = 8,
     ):
         self.spark, self.settings = spark, settings or Settings.from_conf(spark)
@@ -57,6 +58,7 @@ class Engine:
         self.own_vectors = embed_with is None
         self.read_with = read_with or reader.best_sentences
         self.index, self.complete_with, self.most_segments = index, complete_with, most_segments
+        self.chunk_with = chunk_with or (lambda docs: chunking.chunk_documents(docs, self.settings.chunk_size, self.settings.overlap))
         self._store, self._steps = None, Steps(spark)
         self.reset()
 
@@ -147,9 +149,9 @@ class Engine:
 
     def _add(self, store: Segments, docs: DataFrame, replacing: bool) -> None:
         """A segment of new documents, in the place of older ones of their ids."""
-        s, own = self.settings, Steps(self.spark)
+        own = Steps(self.spark)
         docs = store.write("documents", docs)
-        made = store.write("chunks", chunking.chunk_documents(docs, s.chunk_size, s.overlap))
+        made = store.write("chunks", self.chunk_with(docs))
         gone = None
         if replacing:
             ids = docs.select("doc_id")
@@ -188,9 +190,7 @@ class Engine:
         queries = self._steps.cut(queries.select("query_id", "text"))
         near = self.nearest(self.embed_with(queries, "query_id"), k)
         widened = queries.select("query_id", expand(F.col("text"), s.max_expansions)["query"].alias("text"))
-        terms = self._steps.cut(sparse.query_terms(widened))
-        rows = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        found = sparse.top_k(sparse.score_postings(rows, self.corpus_stats, terms, s.k1, s.b).where("score > 0"), k)
+        found = self.keyword(widened, k)
         fused = self._steps.cut(fusion.reciprocal_rank_fusion([("dense", near), ("sparse", found)], s.rrf_k, top_k=2 * k))
         texts = self.chunks.select("chunk_id", "doc_id", "text")
         candidates = fused.join(texts, "chunk_id", "left").select("query_id", "pos", F.coalesce("text", F.lit("")).alias("text"))
@@ -202,6 +202,13 @@ class Engine:
         top = ranked.where(F.col("final_pos") <= k).withColumnRenamed("final_pos", "rank").drop("pos")
         return top.join(texts, "chunk_id")
 
+    def keyword(self, queries: DataFrame, k: int, digits: int = 12) -> DataFrame:
+        """(query_id, chunk_id, score, rank): BM25 over the postings of the queries' terms."""
+        terms = self._steps.cut(sparse.query_terms(queries))
+        rows = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        scored = sparse.score_postings(rows, self.corpus_stats, terms, self.settings.k1, self.settings.b)
+        return sparse.top_k(scored.withColumn("score", F.round("score", digits)).where("score > 0"), k)
+
     # -- answers ------------------------------------------------------------------
     def ask(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, question, answer, citations, route, steps, trace, support_rate, checked, supported, unsupported)."""

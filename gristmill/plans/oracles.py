@@ -226,6 +226,22 @@ SELECT key, CAST(line AS INT) AS line, CAST(j AS INT) AS "column", 'U+' || CASE
 FROM (SELECT key, line, j, t[j] AS ch FROM (SELECT key, line, t, unnest(range(1, length(t) + 1)) AS j FROM l)) WHERE regexp_matches(ch, '[\\x{{2600}}-\\x{{27BF}}\\x{{2B00}}-\\x{{2BFF}}\\x{{FE00}}-\\x{{FE0F}}\\x{{1F000}}-\\x{{1F02F}}\\x{{1F0A0}}-\\x{{1F0FF}}\\x{{1F100}}-\\x{{1F5FF}}\\x{{1F600}}-\\x{{1F64F}}\\x{{1F680}}-\\x{{1F6FF}}\\x{{1F900}}-\\x{{1F9FF}}\\x{{1FA00}}-\\x{{1FAFF}}\\x{{200D}}\\x{{20E3}}\\x{{E0020}}-\\x{{E007F}}]')""",
     "number_formats": "SELECT l_orderkey, l_linenumber, CASE WHEN v = round(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS shown FROM (SELECT *, l_quantity / 8 AS v FROM lineitem)",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm",
+    "bm25_blockmax": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm",
+    "upsert_bm25": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm".replace(
+        "FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'revised ' || left(text, 200) ELSE text END AS text FROM documents))", 1
+    ),
+    "ivf_exact_topk": """WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id % 50 = 0 AS asked, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.id AS query_id, v.id AS chunk_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v q, v WHERE q.asked)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 6""",
+    "ivf_recall": "SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
+    "loop_traces": """WITH b AS (SELECT CAST(item_id AS VARCHAR) AS query_id, length(text) AS n FROM benchmark),
+s AS (SELECT *, n % 6 + 1 AS need, n % 7 = 6 AND n % 6 > 0 AS lost FROM b),
+e AS (SELECT *, CASE WHEN lost THEN 2 ELSE least(4, need) END AS steps, CASE WHEN lost THEN 1 WHEN need <= 4 THEN need - 1 ELSE 4 END AS calls FROM s)
+SELECT query_id, CASE WHEN NOT lost AND need <= 4 THEN 'after ' || steps || chr(10) || 'rounds' END AS final, CAST(steps AS INT) AS steps,
+       array_to_string(list_concat(list_transform(range(1, calls + 1), lambda i: 'step ' || i || ': calculator[' || n || '*' || i || '] -> ' || (n * i)),
+         CASE WHEN lost THEN ['step 2: unparsable model output, stopping'] WHEN need > 4 THEN ['step budget of 4 exhausted'] ELSE []::VARCHAR[] END), '|') AS trace,
+       md5(coalesce(array_to_string(list_transform(range(1, calls + 1), lambda i: 'Thought: Thought: more' || chr(10) || 'Action: calculator[' || n || '*' || i || ']' || chr(10) || 'Observation: ' || (n * i) || chr(10)), ''), '')) AS digest
+FROM e""",
     "bm25_stats": f"WITH {_CHUNKS} SELECT count(*) AS n_docs, round(avg(greatest(1, len(t))), 6) AS avgdl FROM c",
     "bm25_idf": f"WITH {_CHUNKS}, d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM c) GROUP BY term), n AS (SELECT count(*) AS n FROM c) SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, n",
     "posting_lists": f"WITH {_CHUNKS}, p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM c) GROUP BY ALL) SELECT chunk_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, max(tf) AS max_tf FROM p GROUP BY chunk_id",
