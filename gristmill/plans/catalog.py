@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import routing, text, tools
+from ..functions.fixed import THESAURUS
 from ..operators import blockmax, chunking, dense, evaluate, expansion, fusion, grounding, ivf, loop, memory, reader, rerank, sparse
 from ..sources.corpus import not_blank, replace_revisions, spread
 from .engine import probe_rows, validate
@@ -157,6 +158,17 @@ def number_formats(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", text.format_number("v").alias("shown"))
 
 
+@query
+def tokenize_mixed(spark, sf):
+    """All documents with their vowels turned into CJK characters: pairs of these, then the runs of the rest."""
+    mixed = read(spark, sf, "documents").select("doc_id", text.tokenize(_mixed(F.col("text"))).alias("t"))
+    return mixed.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.concat_ws("|", "t")).alias("digest"))
+
+
+def _mixed(column):
+    return F.translate(column, "aeiou", "猫检索融合")
+
+
 # -- sparse index ------------------------------------------------------------------------
 
 
@@ -305,6 +317,38 @@ def hash_embed_search(spark, sf):
     return dense.search(vectors, dense.hashed_vectors(questions(spark, sf), "query_id"), K)
 
 
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    """(key, text) of all parts: their names and types, twice where the size is even."""
+    rows = read(spark, sf, "part")
+    text = F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_name")))
+    return rows.select(F.col("p_partkey").cast("string").alias("key"), text.alias("text"))
+
+
+def _every_hundredth(parts: DataFrame) -> DataFrame:
+    return parts.where(F.col("key").cast("int") % 100 == 0).withColumnRenamed("key", "query_id")
+
+
+@query
+def hash_embed_parts(spark, sf):
+    return dense.hashed_vectors(_parts(spark, sf), "key").select("key", "slot", F.round("weight", 9).alias("weight"))
+
+
+@query
+def hash_search_parts(spark, sf):
+    """Nearest parts of every hundredth one, by hashed vectors."""
+    parts = _parts(spark, sf)
+    found = dense.search(dense.hashed_vectors(parts, "key").withColumnRenamed("key", "chunk_id"), dense.hashed_vectors(_every_hundredth(parts), "query_id"), K)
+    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query
+def memory_recall_parts(spark, sf):
+    """Nearest parts of every hundredth one, by the hashed counts of conversational memory."""
+    parts = _parts(spark, sf)
+    found = memory.recall(parts, _every_hundredth(parts), 3)
+    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
 # -- fusion and reranking ------------------------------------------------------------------
 
 
@@ -366,6 +410,26 @@ def naive_rerank(spark, sf):
     return rerank.naive_rerank(fused, scores).select("query_id", "chunk_id", "pos", "final_pos")
 
 
+@query
+def guard_on_reversed(spark, sf):
+    """Every item's six hits under a reranker that turns them round: the guard keeps their order."""
+    hits = bm25(spark, sf)
+    fused = hits.select("query_id", "chunk_id", "score", F.create_map(F.lit("sparse"), "rank").alias("ranks"), F.array(F.lit("sparse")).alias("sources"), F.col("rank").alias("pos"))
+    scores = hits.select("query_id", F.col("rank").alias("pos"), F.col("rank").cast("double").alias("rerank_score"))
+    guarded = rerank.guarded_rerank(fused, scores).select("query_id", "pos", F.col("final_pos").alias("guarded_pos"), "alpha_eff", F.round("spearman", 6).alias("spearman"))
+    return guarded.join(rerank.naive_rerank(fused, scores).select("query_id", "pos", F.col("final_pos").alias("naive_pos")), ["query_id", "pos"])
+
+
+@query
+def expand_documents(spark, sf):
+    """All documents, each with up to five keys of the thesaurus after its text."""
+    keys = F.array(*(F.lit(k) for k in THESAURUS))
+    at = lambda i: F.get(keys, F.pmod(F.col("doc_id") * i + i, F.lit(len(THESAURUS))).cast("int"))
+    asked = F.concat_ws(" ", "text", *(F.when(F.col("doc_id") % 6 > i, at(i + 1)) for i in range(5)))
+    rows = read(spark, sf, "documents").select("doc_id", expansion.expand(asked).alias("e"))
+    return rows.select("doc_id", F.concat_ws("|", "e.terms").alias("terms"), F.concat_ws("|", "e.matched").alias("matched"), F.md5("e.query").alias("digest"))
+
+
 @query
 def expand_queries(spark, sf):
     rows = inline(spark, EXPANSION_QUESTIONS).select("id", expansion.expand(F.col("text")).alias("e"))
@@ -389,6 +453,17 @@ def chunk_table(spark, sf):
     return rows.select("chunk_id", "ordinal", "start", "end", "heading", F.length("text").alias("n"))
 
 
+@query
+def chunk_customers(spark, sf):
+    """A document for each customer, cut into chunks: a heading, a line of 100 characters for each order, and one of 1,500."""
+    line = F.rpad(F.concat(F.lit("order "), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(" of "), F.col("o_orderpriority")), 100, ".")
+    lines = F.concat_ws("\n", F.array_sort(F.collect_list(line)), F.lit("x" * 1500))
+    docs = read(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("doc_id")).agg(lines.alias("lines"))
+    docs = docs.select("doc_id", F.concat(F.lit("# Customer "), "doc_id", F.lit("\n\n"), "lines").alias("text"))
+    rows = chunking.chunk_documents(docs)
+    return rows.select("chunk_id", "ordinal", "start", "end", "heading", F.md5("text").alias("digest"))
+
+
 @query
 def hard_windows(spark, sf):
     return chunking.hard_windows(read(spark, sf, "documents").select("doc_id", "text"))
@@ -425,6 +500,24 @@ def route_kinds(spark, sf):
     return rows.select(routing.route(F.col("text"))["kind"].alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def route_texts(spark, sf):
+    """Every document's and item's text as it is, and every order line's as sums, lengths and dates, to its route."""
+    n, k, d = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    made = (
+        F.when(k == 1, F.concat(F.lit("What is "), n, F.lit(" * (2 + 3)? ")))
+        .when(k == 2, F.concat(n, F.lit(" ft to cm")))
+        .when(k == 3, F.concat(F.lit("how many days between "), d, F.lit(" and 2000/01/02")))
+        .when(k == 4, F.concat(n, F.lit(" kg to KG")))
+        .when(k == 5, F.concat(F.lit("("), n, F.lit(" + 1)) - 2")))
+        .otherwise(F.concat(d, F.lit(" / "), n))
+    )
+    rows = read(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), "text")
+    rows = rows.unionByName(read(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("key"), "text"))
+    rows = rows.unionByName(read(spark, sf, "lineitem").select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), k).alias("key"), made.alias("text")))
+    return rows.select("key", routing.route(F.col("text")).alias("r")).select("key", "r.kind", "r.payload")
+
+
 @query
 def routes_inline(spark, sf):
     rows = inline(spark, [q for q, _, _ in ROUTED]).select("id", routing.route(F.col("text")).alias("r"))
@@ -461,6 +554,17 @@ def tool_dispatch(spark, sf):
     return rows.select("id", tools.invoke(F.col("tool"), F.col("payload")).alias("r")).select("id", "r.ok", "r.value", "r.error")
 
 
+@query
+def tool_lines(spark, sf):
+    """Every order line as a call of a tool, wrong calls too."""
+    n, k, d = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    tool = F.when(k <= 2, "calculator").when(k <= 4, "unit_convert").when(k <= 6, "date_diff").otherwise("no_such")
+    payload = F.when(k == 1, F.concat(n, F.lit("*2-1"))).when(k == 2, F.concat(n, F.lit("/0"))).when(k == 3, F.concat(n, F.lit(" km m"))).when(k == 4, F.concat(n, F.lit(" kg m")))
+    payload = payload.when(k == 5, F.concat(d, F.lit(" 2000-01-01"))).otherwise(d)
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", tools.invoke(tool, payload).alias("r"))
+    return rows.select("l_orderkey", "l_linenumber", "r.ok", "r.value", "r.error")
+
+
 @query
 def guard_probe(spark, sf):
     rows, scores = probe_rows(spark)
@@ -504,6 +608,23 @@ def parsed_outputs(spark, sf):
     return rows.select("id", action["tool"].alias("tool"), action["payload"].alias("payload"), reader.parse_final(F.col("text")).alias("final"))
 
 
+@query
+def parsed_turns(spark, sf):
+    """Every turn of the conversations as a model's output, in five forms, read for its action and its answer."""
+    t, k = F.coalesce("text", F.lit("")), F.col("turn") % 5
+    first = F.get(F.split(t, "\n"), 0)
+    said = (
+        F.when(k == 0, F.concat(F.lit("Thought: so\nACTION: search["), F.replace(first, F.lit("]"), F.lit(")")), F.lit("]")))
+        .when(k == 1, F.concat(F.lit("hm\nfinal answer: "), t))
+        .when(k == 2, F.concat(F.lit("  "), first))
+        .when(k == 3, F.concat(F.lit("a\n"), first))
+        .otherwise(F.concat(F.lit("Observation: "), first))
+    )
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", said.alias("text"))
+    action = reader.parse_action(F.col("text"))
+    return rows.select("conv_id", "turn", action["tool"].alias("tool"), F.md5(action["payload"]).alias("payload"), F.md5(reader.parse_final(F.col("text"))).alias("final"))
+
+
 @query
 def loop_traces(spark, sf):
     """The reading loop with a reader of stated habits: one to four rounds of the calculator, some questions lost on the way."""

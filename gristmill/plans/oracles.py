@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from ..functions.fixed import CJK, DATE_QUESTION, DATE_WORDS, MATH_TRIM, MATH_WORDS, THESAURUS, UNIT_QUESTION, UNIT_WORDS
+
 MIXED_TEXTS = [
     "混合检索 Hybrid Retrieval",
     "猫",
@@ -192,6 +194,53 @@ def _near(k: int, columns: str) -> str:
 SELECT {columns} FROM r"""
 
 
+#: The words that parts' names and types are made of.
+PART_WORDS = "anvil blue bolt cold economy gear gizmo hot large medium new old plate promo red ring rod small standard widget".split()
+
+
+def _part_vectors(slots: int | None) -> str:
+    """CTEs tf (id, term, tf) of the parts' texts and hs (term, slot, sign) of their words."""
+    rows = []
+    for w in PART_WORDS:
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+        rows.append((w, h % slots if slots else (h >> 1) % 512, 1 if slots or h >> 1 & 1 << 20 else -1))
+    return f"""tf AS (SELECT id, term, count(*) AS tf FROM (SELECT CAST(p_partkey AS VARCHAR) AS id,
+  unnest({_tokens("concat_ws(' ', p_name, p_type, CASE WHEN p_size % 2 = 0 THEN p_name END)")}) AS term FROM part) GROUP BY ALL), hs AS ({_values(rows, 'term, slot, sign')})"""
+
+
+def _mixed_tokens(column: str) -> str:
+    """Pairs of neighbours in runs of CJK, then the runs of the rest."""
+    pairs = f"list_transform(regexp_extract_all({column}, '[{CJK}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)"
+    rest = f"regexp_extract_all(regexp_replace(lower({column}), '[{CJK}]', ' ', 'g'), '[\\p{{L}}\\p{{N}}_\\-+#.]+')"
+    return f"list_concat(flatten({pairs}), {rest})"
+
+
+_SYNONYMS = _values([(i, k, j, t) for i, (k, ts) in enumerate(sorted(THESAURUS.items(), key=lambda e: -len(e[0]))) for j, t in enumerate(ts)], "ki, key, ti, term")
+_KEYS = "['" + "','".join(THESAURUS) + "']"
+
+
+def _has(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _nested(text: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+_GLYPHS = [("℃", "deg"), ("℉", "deg"), ("°C", "degC"), ("°F", "degF"), ("°c", "degC"), ("°f", "degF"), ("°", "deg")]
+_ROUTES = f"""x AS (SELECT key, {_nested('text', _GLYPHS)} AS t FROM r),
+y AS (SELECT key, t, lower(t) AS low, {_STRIP.format("trim(" + _STRIP.format(_nested('lower(t)', [(w, ' ') for w in MATH_WORDS])) + ", '" + MATH_TRIM + "')")} AS e FROM x),
+z AS (SELECT *, regexp_extract(t, '{UNIT_QUESTION}', 1) AS v, regexp_extract(t, '{UNIT_QUESTION}', 2) AS a, regexp_extract(t, '{UNIT_QUESTION}', 3) AS b,
+  list_transform(regexp_extract_all(t, '{DATE_QUESTION}'), lambda d: replace(d, '/', '-')) AS d FROM y),
+k AS (SELECT *, CASE WHEN length(e) <= 200 AND regexp_full_match(e, '[0-9+\\-*/%^(). \\t]+') AND regexp_matches(e, '[0-9]') AND regexp_matches(e, '[-+*/%^]')
+    AND length(replace(e, '(', '')) = length(replace(e, ')', '')) THEN 'arithmetic'
+  WHEN v <> '' AND {_has('low', UNIT_WORDS)} AND lower(a) <> lower(b) THEN 'unit'
+  WHEN len(d) >= 2 AND {_has('low', DATE_WORDS)} THEN 'date' ELSE 'retrieve' END AS kind FROM z)
+SELECT key, kind, CASE kind WHEN 'arithmetic' THEN e WHEN 'unit' THEN concat_ws(' ', v, a, b) WHEN 'date' THEN d[1] || ' ' || d[2] ELSE '' END AS payload FROM k"""
+
+
 ORACLES: dict[str, str] = {
     "tokenize_stats": f"SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, CAST(len(list_distinct(t)) AS INT) AS n_distinct, t[1] AS first_token FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
     "token_df": f"WITH {_CHUNKS}, p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM c) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term",
@@ -226,6 +275,52 @@ SELECT key, CAST(line AS INT) AS line, CAST(j AS INT) AS "column", 'U+' || CASE
 FROM (SELECT key, line, j, t[j] AS ch FROM (SELECT key, line, t, unnest(range(1, length(t) + 1)) AS j FROM l)) WHERE regexp_matches(ch, '[\\x{{2600}}-\\x{{27BF}}\\x{{2B00}}-\\x{{2BFF}}\\x{{FE00}}-\\x{{FE0F}}\\x{{1F000}}-\\x{{1F02F}}\\x{{1F0A0}}-\\x{{1F0FF}}\\x{{1F100}}-\\x{{1F5FF}}\\x{{1F600}}-\\x{{1F64F}}\\x{{1F680}}-\\x{{1F6FF}}\\x{{1F900}}-\\x{{1F9FF}}\\x{{1FA00}}-\\x{{1FAFF}}\\x{{200D}}\\x{{20E3}}\\x{{E0020}}-\\x{{E007F}}]')""",
     "number_formats": "SELECT l_orderkey, l_linenumber, CASE WHEN v = round(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS shown FROM (SELECT *, l_quantity / 8 AS v FROM lineitem)",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm",
+    "tokenize_mixed": f"""SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, md5(array_to_string(t, '|')) AS digest
+FROM (SELECT doc_id, {_mixed_tokens('m')} AS t FROM (SELECT doc_id, translate(text, 'aeiou', '猫检索融合') AS m FROM documents))""",
+    "hash_embed_parts": f"""WITH {_part_vectors(None)}, w AS (SELECT id, slot, sum(sign * (1 + ln(tf))) AS w FROM tf JOIN hs USING (term) GROUP BY ALL)
+SELECT id AS key, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 9) AS weight FROM w WHERE w <> 0""",
+    "hash_search_parts": f"""WITH {_part_vectors(None)}, w AS (SELECT id, slot, sum(sign * (1 + ln(tf))) AS w FROM tf JOIN hs USING (term) GROUP BY ALL),
+u AS (SELECT id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w WHERE w <> 0),
+s AS (SELECT a.id AS query_id, b.id AS chunk_id, round(sum(a.w * b.w), 12) AS score FROM u a JOIN u b USING (slot) WHERE CAST(a.id AS INT) % 100 = 0 GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 6""",
+    "memory_recall_parts": f"""WITH {_part_vectors(256)}, w AS (SELECT id, slot, sum(tf)::DOUBLE AS w FROM tf JOIN hs USING (term) GROUP BY ALL),
+u AS (SELECT id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+s AS (SELECT a.id AS query_id, b.id AS chunk_id, round(sum(a.w * b.w), 12) AS score FROM u a JOIN u b USING (slot) WHERE CAST(a.id AS INT) % 100 = 0 GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 3""",
+    "guard_on_reversed": f"""WITH {_BM25}, g1 AS (SELECT query_id, rank AS pos, score, CAST(rank AS DOUBLE) AS s,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, rank) AS rb FROM bm),
+sp AS (SELECT query_id, CASE WHEN count(*) < 2 OR min(score) = max(score) THEN 0 ELSE round(corr(ra, rb), 12) END AS rho FROM g1 GROUP BY ALL),
+g2 AS (SELECT g1.*, rho, CASE WHEN rho < 0 THEN 0.0 WHEN rho < 0.2 THEN 0.25 ELSE 0.5 END::DOUBLE AS alpha_eff,
+  min(score) OVER w AS lo, max(score) OVER w AS hi, min(s) OVER w AS slo, max(s) OVER w AS shi FROM g1 JOIN sp USING (query_id) WINDOW w AS (PARTITION BY g1.query_id)),
+g3 AS (SELECT *, round((1 - alpha_eff) * CASE WHEN hi - lo < 1e-12 THEN 1 ELSE (score - lo) / (hi - lo) END + alpha_eff * CASE WHEN shi - slo < 1e-12 THEN 1 ELSE (s - slo) / (shi - slo) END, 12) AS blended FROM g2)
+SELECT query_id, pos, CAST(row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, pos) AS INT) AS guarded_pos, alpha_eff, round(rho, 6) AS spearman, CAST(rb AS INT) AS naive_pos FROM g3""",
+    "expand_documents": f"""WITH ks AS (SELECT {_KEYS} AS k), sy AS ({_SYNONYMS}),
+d AS (SELECT doc_id, concat_ws(' ', text, {', '.join(f"CASE WHEN doc_id % 6 > {i} THEN k[(doc_id * {i + 1} + {i + 1}) % {len(THESAURUS)} + 1] END" for i in range(5))}) AS q FROM documents, ks),
+h AS (SELECT doc_id, q, ki, key, ti, term, NOT contains(lower(q), lower(term)) AS new FROM d JOIN sy ON contains(q, key)),
+f AS (SELECT doc_id, ki, ti, term FROM h WHERE new QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY ki, ti) = 1),
+t AS (SELECT doc_id, string_agg(term, '|' ORDER BY ki, ti) AS terms, string_agg(term, ' ' ORDER BY ki, ti) AS spaced
+      FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ki, ti) <= 12) GROUP BY doc_id),
+m AS (SELECT doc_id, string_agg(key, '|' ORDER BY ki) AS matched FROM (SELECT DISTINCT doc_id, ki, key FROM h) g
+      WHERE (SELECT count(*) FROM f WHERE f.doc_id = g.doc_id AND f.ki < g.ki) < 12 GROUP BY doc_id)
+SELECT doc_id, coalesce(terms, '') AS terms, coalesce(matched, '') AS matched, md5(q || coalesce(' ' || spaced, '')) AS digest FROM d LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "chunk_customers": f"""WITH o AS (SELECT o_custkey, rpad('order ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || ' of ' || o_orderpriority, 100, '.') AS line FROM orders),
+d AS (SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS m, 13 + length(CAST(o_custkey AS VARCHAR)) AS h, string_agg(line, chr(10) ORDER BY line) || chr(10) || repeat('x', 1500) AS body FROM o GROUP BY o_custkey),
+e AS (SELECT id, '# Customer ' || id || chr(10) || chr(10) || body AS text, list_concat(list_transform(range(0, (m + 5) // 6), lambda i: h + 606 * i), [h + 101 * m, h + 101 * m + 680, h + 101 * m + 1360]) AS s FROM d),
+c AS (SELECT id, text, i - 1 AS n, CASE WHEN i = 1 THEN 0 ELSE s[i] END AS a, coalesce(s[i + 1], length(text)) AS z FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM e))
+SELECT id || '#' || n AS chunk_id, CAST(n AS INT) AS ordinal, CAST(a AS INT) AS start, CAST(z AS INT) AS "end", 'Customer ' || id AS heading,
+       md5({_STRIP.format("substring(text, CAST(greatest(0, a - 120) + 1 AS INT), CAST(z - greatest(0, a - 120) AS INT))")}) AS digest FROM c""",
+    "route_texts": f"""WITH l AS (SELECT *, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS n, strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS dt FROM lineitem),
+r AS (SELECT 'd' || doc_id AS key, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark UNION ALL
+  SELECT 'l' || l_orderkey || '-' || l_linenumber, CASE l_linenumber WHEN 1 THEN 'What is ' || n || ' * (2 + 3)? ' WHEN 2 THEN n || ' ft to cm'
+    WHEN 3 THEN 'how many days between ' || dt || ' and 2000/01/02' WHEN 4 THEN n || ' kg to KG' WHEN 5 THEN '(' || n || ' + 1)) - 2' ELSE dt || ' / ' || n END FROM l), {_ROUTES}""",
+    "tool_lines": """WITH l AS (SELECT *, CAST(l_quantity AS INT) AS n, l_linenumber AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, k IN (1, 3, 5) AS ok, CASE k WHEN 1 THEN CAST(n * 2 - 1 AS VARCHAR) WHEN 3 THEN (n * 1000) || ' m'
+    WHEN 5 THEN abs(date_diff('day', CAST(l_shipdate AS DATE), DATE '2000-01-01')) || ' 天' ELSE '' END AS value,
+  CASE WHEN k IN (1, 3, 5) THEN '' WHEN k = 2 THEN 'division by zero' WHEN k = 4 THEN 'no conversion from kg to m' WHEN k = 6 THEN 'expected ''<date-a> <date-b>''' ELSE 'unknown tool: no_such' END AS error FROM l""",
+    "parsed_turns": f"""WITH c AS (SELECT conv_id, turn, turn % 5 AS k, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations),
+f AS (SELECT *, {_STRIP.format("l[1]")} AS one, {_STRIP.format("array_to_string(list_concat([trim(l[1])], list_filter(list_transform(l[2:], lambda x: " + _STRIP.format('x') + "), lambda x: x <> '')), chr(10))")} AS whole FROM c)
+SELECT conv_id, turn, CASE WHEN k = 0 THEN 'search' END AS tool, CASE WHEN k = 0 THEN md5(trim(replace(l[1], ']', ')'))) END AS payload,
+       CASE WHEN k = 1 THEN md5(whole) WHEN k = 2 AND one <> '' AND NOT regexp_matches(lower(one), '^(action|thought|observation):') THEN md5(one) END AS final FROM f""",
     "bm25_blockmax": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm",
     "upsert_bm25": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm".replace(
         "FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'revised ' || left(text, 200) ELSE text END AS text FROM documents))", 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,18 +29,24 @@ def _last_of_stem(df: DataFrame) -> DataFrame:
 def read_texts(spark: SparkSession, *paths: str, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """(doc_id, text) of whole files: folders with all below, by suffix in either case; doc_id is the file's stem.
 
-    A pattern that matches no file is passed over.
+    A path may be a pattern. What it matches is read, files of any suffix; one that
+    matches nothing gives a warning.
     """
     pattern = rf"(?i)\.({'|'.join(suffixes)})$"
-    rows = None
+    files, folders = [], []
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for p in paths:
         path = hadoop(p)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        if not len(found):
+            warnings.warn(f"no file at {p}", stacklevel=2)
+        for status in found:
+            (folders if status.isDirectory() else files).append(status.getPath().toString())
+    rows = None
+    for own, folder in ((files, False), (folders, True)):
+        if not own:
             continue
-        folder = fs.getFileStatus(path).isDirectory()
-        df = spark.read.text(p, wholetext=True, recursiveFileLookup=folder)
+        df = spark.read.text([re.sub(r"([][{}*?\\])", r"\\\1", p) for p in own], wholetext=True, recursiveFileLookup=folder)
         df = df.select(_stem().alias("doc_id"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
         df = df.where(F.col("path").rlike(pattern)) if folder else df
         rows = df if rows is None else rows.unionByName(df)
@@ -71,11 +79,24 @@ def not_blank(docs: DataFrame) -> DataFrame:
 
 
 def last_of_each(rows: DataFrame, key: str) -> DataFrame:
-    """Of rows with one key the last: of the greatest ``revision``, where there is such a column, and then in reading order."""
+    """Of rows with one key the last: of the greatest ``revision``, where there is such a column, and then in reading order.
+
+    Reading order is that of the splits of ``rows`` as they are now; after a shuffle
+    it says nothing, so rows that were shuffled need revisions.
+    """
+    at, n = (_free(name, rows.columns) for name in ("at", "n"))
     by = [F.desc("revision")] if "revision" in rows.columns else []
-    order = Window.partitionBy(key).orderBy(*by, F.desc("__at"))
-    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
-    return numbered.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__at", "__n")
+    order = Window.partitionBy(key).orderBy(*by, F.desc(at))
+    numbered = rows.withColumn(at, F.monotonically_increasing_id())
+    return numbered.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(at, n)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores as it takes to be none of ``columns``."""
+    held = {c.lower() for c in columns}
+    while name in held:
+        name += "_"
+    return name
 
 
 def replace_revisions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -90,8 +111,9 @@ def write_chunks(chunks: DataFrame, path: str, kind: str = "json") -> int:
 
 
 def read_chunks(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
-    """Chunks as written; none where there is no such path."""
+    """Chunks as written; none, and a warning, where there is no such path."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        warnings.warn(f"no file at {path}", stacklevel=2)
         return spark.createDataFrame([], CHUNK)
     return spark.read.schema(CHUNK).format(kind).load(path).where("chunk_id IS NOT NULL")

@@ -30,3 +30,23 @@ def test_revisions(spark):
     old = corpus.from_mapping(spark, {"a": "1", "b": "2"})
     new = corpus.from_mapping(spark, {"b": "3", "a": "　 ", "c": "4"})
     assert {r.doc_id: r.text for r in corpus.replace_revisions(old, new).collect()} == {"a": "1", "b": "3", "c": "4"}
+
+
+def test_patterns_and_missing_paths(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "notes [1]").mkdir()
+    for name in ("a.md", "b.md", "c.log"):
+        (tmp_path / "notes [1]" / name).write_text(name)
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "d.txt").write_text("d")
+    with pytest.warns(UserWarning, match="none"):
+        rows = corpus.read_texts(spark, f"{tmp_path}/notes*/*.md", f"{tmp_path}/mo*", f"{tmp_path}/none*").collect()
+    assert {r.doc_id: r.text for r in rows} == {"a": "a.md", "b": "b.md", "d": "d"}
+    with pytest.warns(UserWarning):
+        assert corpus.read_texts(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_helper_columns_never_clash(spark):
+    rows = spark.createDataFrame([("k", 1, "x", "y"), ("k", 2, "p", "q")], "doc_id string, revision int, at string, N string")
+    assert [tuple(r) for r in corpus.last_of_each(rows, "doc_id").collect()] == [("k", 2, "p", "q")]
