@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 
 def reciprocal_rank_fusion(
-    lists: list[tuple[str, DataFrame]], k: int = 60, weights: dict[str, float] | None = None, top_k: int | None = None
+    lists: list[tuple[str, DataFrame]], k: int | str = 60, weights: dict[str, float] | None = None, top_k: int | None = None
 ) -> DataFrame:
     """(query_id, chunk_id, score, ranks, sources, pos): the lists (query_id, chunk_id, rank) fused.
 
     A hit's score is the sum of weight / (k + rank) over its lists. Equal scores
-    go by first appearance: list, then rank.
+    go by first appearance: list, then rank. ``k`` may be a column of the lists.
     """
-    if k < 1:
+    if isinstance(k, int) and k < 1:
         raise ValueError("k must be at least 1")
+    smooth = F.lit(k) if isinstance(k, int) else F.col(k)
     rows = None
     for i, (source, hits) in enumerate(lists):
         weight = float((weights or {}).get(source, 1.0))
         own = hits.select(
-            "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit(source).alias("source"), F.lit(weight).alias("weight"), F.lit(i).alias("list")
+            "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit(source).alias("source"), F.lit(weight).alias("weight"), F.lit(i).alias("list"), smooth.alias("k")
         )
         rows = own if rows is None else rows.unionByName(own)
     fused = rows.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))), 12).alias("score"),
+        F.round(F.sum(F.col("weight") / (F.col("k") + F.col("rank"))), 12).alias("score"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "rank")))).alias("ranks"),
         F.sort_array(F.collect_set("source")).alias("sources"),
         F.min(F.struct("list", "rank")).alias("seen"),

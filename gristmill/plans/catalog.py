@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import routing, text, tools
 from ..functions.fixed import THESAURUS
-from ..operators import blockmax, chunking, dense, evaluate, expansion, fusion, grounding, ivf, loop, memory, reader, rerank, sparse
+from ..operators import blockmax, chunking, dense, evaluate, expansion, fusion, grounding, ivf, loop, memory, reader, rerank, sparse, sweep, thesaurus
 from ..sources.corpus import not_blank, replace_revisions, spread
 from .engine import probe_rows, validate
-from .oracles import EXPANSION_QUESTIONS, MIXED_TEXTS, ORACLES, RAW_OUTPUTS, REMEMBERED, ROUTED, TOOL_CALLS
+from .oracles import EXPANSION_QUESTIONS, MIXED_TEXTS, ORACLES, RAW_OUTPUTS, REMEMBERED, ROUTED, SETTINGS, TOOL_CALLS
 from .steps import Steps
 
 K = 6
@@ -430,6 +430,17 @@ def expand_documents(spark, sf):
     return rows.select("doc_id", F.concat_ws("|", "e.terms").alias("terms"), F.concat_ws("|", "e.matched").alias("matched"), F.md5("e.query").alias("digest"))
 
 
+@query
+def expand_thesaurus(spark, sf):
+    """All documents by a thesaurus table: the longer words of the benchmark's items, with those that stand beside them."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", " "), " +"), lambda w: F.length(w) >= 5)
+    pairs = read(spark, sf, "benchmark").select(F.explode(F.arrays_zip(words.alias("key"), F.slice(words, 2, 1 << 30).alias("next"))).alias("p"))
+    table = pairs.where("p.key IS NOT NULL").groupBy("p.key").agg(F.slice(F.array_sort(F.collect_set("p.next")), 1, 3).alias("terms"))
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    out = thesaurus.expand_by_table(rows, Steps(spark).cut(table), cut=Steps(spark).cut)
+    return out.select("query_id", F.concat_ws("|", "terms").alias("terms"), F.md5(F.concat_ws("|", "matched")).alias("matched"), F.md5("query").alias("digest"))
+
+
 @query
 def expand_queries(spark, sf):
     rows = inline(spark, EXPANSION_QUESTIONS).select("id", expansion.expand(F.col("text")).alias("e"))
@@ -704,6 +715,17 @@ def eval_ranking(spark, sf):
     return rows.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank", "ndcg")))
 
 
+@query
+def sweep_settings(spark, sf):
+    """Four settings of BM25 and of the fusion, with their means: one reading of the postings."""
+    kept, cut = tokens(spark, sf), Steps(spark).cut
+    asked = questions(spark, sf)
+    settings = spark.createDataFrame([(n, *v) for n, v in SETTINGS.items()], sweep.SETTING)
+    rows = cut(sparse.postings(kept, sparse.query_terms(asked)))
+    others = [("dense", cut(overlaps(spark, sf, kept=kept)))]
+    return sweep.metrics(rows, sparse.corpus_stats(kept), asked, _truth(spark, sf), settings, others, K, 6, cut)
+
+
 @query
 def eval_documents(spark, sf):
     hits = bm25(spark, sf).select("query_id", F.element_at(F.split("chunk_id", "#"), 1).alias("doc_id"), "rank")

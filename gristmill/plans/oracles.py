@@ -57,6 +57,8 @@ RAW_OUTPUTS = [
 ]
 
 
+#: name: k1, b, and the smoothing of the fusion
+SETTINGS = {"usual": (1.5, 0.75, 60), "flat": (1.2, 0.3, 60), "long": (2.0, 0.95, 20), "sharp": (0.9, 0.4, 5)}
 #: (tool, payload, ok, value, error)
 TOOL_CALLS = [
     ("calculator", "12*(3+4)+18/3", True, "90", ""),
@@ -321,6 +323,30 @@ SELECT l_orderkey, l_linenumber, k IN (1, 3, 5) AS ok, CASE k WHEN 1 THEN CAST(n
 f AS (SELECT *, {_STRIP.format("l[1]")} AS one, {_STRIP.format("array_to_string(list_concat([trim(l[1])], list_filter(list_transform(l[2:], lambda x: " + _STRIP.format('x') + "), lambda x: x <> '')), chr(10))")} AS whole FROM c)
 SELECT conv_id, turn, CASE WHEN k = 0 THEN 'search' END AS tool, CASE WHEN k = 0 THEN md5(trim(replace(l[1], ']', ')'))) END AS payload,
        CASE WHEN k = 1 THEN md5(whole) WHEN k = 2 AND one <> '' AND NOT regexp_matches(lower(one), '^(action|thought|observation):') THEN md5(one) END AS final FROM f""",
+    "sweep_settings": f"""WITH {_BM25}, {_OVERLAP}, {_TRUTH}, se AS ({_values([(n, *v) for n, v in SETTINGS.items()], 'setting, k1, b, rrf')}),
+ss AS (SELECT setting, query_id, chunk_id, round(round(sum(qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 12), 6) AS score
+       FROM p JOIN idf USING (term) JOIN qt USING (term), st, se GROUP BY ALL),
+sb AS (SELECT setting, query_id, chunk_id, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, chunk_id) AS rank FROM ss WHERE score > 0 QUALIFY rank <= 6),
+sl AS (SELECT setting, query_id, chunk_id, rank, 0 AS l FROM ov, se UNION ALL SELECT *, 1 FROM sb),
+sf AS (SELECT setting, query_id, chunk_id, round(sum(1.0::DOUBLE / (rrf + rank)), 12) AS score, min(l * 100000 + rank) AS seen FROM sl JOIN se USING (setting) GROUP BY ALL),
+sg AS (SELECT setting, query_id, chunk_id, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, seen, chunk_id) AS rank FROM sf QUALIFY rank <= 6),
+n AS (SELECT query_id, count(*) AS r FROM truth GROUP BY ALL),
+h AS (SELECT setting, sg.query_id, rank, truth.id IS NOT NULL AS hit FROM sg LEFT JOIN truth ON truth.query_id = sg.query_id AND truth.id = sg.chunk_id),
+s AS (SELECT setting, query_id, count_if(hit) AS hits, count(*) AS n_top, min(rank) FILTER (WHERE hit) AS first, sum(1 / log2(rank + 1)) FILTER (WHERE hit) AS dcg FROM h GROUP BY ALL)
+SELECT se.setting, round(avg(CASE WHEN r IS NULL THEN 1 ELSE coalesce(hits / r, 0) END), 6) AS recall, round(avg(coalesce(hits / n_top, 0)), 6) AS precision, round(avg(coalesce(1 / first, 0)), 6) AS mrr,
+       round(avg(coalesce(CASE WHEN r IS NOT NULL THEN dcg / list_sum(list_transform(range(1, least(6, r) + 1), lambda i: 1 / log2(i + 1))) END, 0)), 6) AS ndcg
+FROM se CROSS JOIN q LEFT JOIN n USING (query_id) LEFT JOIN s ON s.setting = se.setting AND s.query_id = q.query_id GROUP BY se.setting""",
+    "expand_thesaurus": """WITH w AS (SELECT list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +'), lambda w: length(w) >= 5) AS w FROM benchmark),
+pr AS (SELECT unnest(w) AS key, unnest(list_concat(w[2:], [NULL])) AS nxt FROM w),
+sy AS (SELECT key, list_sort(list_distinct(list(nxt)))[1:3] AS terms FROM pr GROUP BY key),
+h AS (SELECT doc_id, text, key, terms, row_number() OVER (PARTITION BY doc_id ORDER BY length(key) DESC, key) AS ki FROM documents JOIN sy ON contains(text, key)),
+x AS (SELECT doc_id, text, ki, unnest(terms) AS term, unnest(range(len(terms))) AS ti FROM h),
+f AS (SELECT doc_id, ki, ti, term FROM x WHERE NOT contains(lower(text), term) QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY ki, ti) = 1),
+t AS (SELECT doc_id, string_agg(term, '|' ORDER BY ki, ti) AS terms, string_agg(term, ' ' ORDER BY ki, ti) AS spaced FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ki, ti) <= 12) GROUP BY doc_id),
+c AS (SELECT doc_id, ki, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT h.doc_id, h.ki, key, coalesce(sum(n) OVER (PARTITION BY h.doc_id ORDER BY h.ki ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h LEFT JOIN c USING (doc_id, ki)),
+m AS (SELECT doc_id, string_agg(key, '|' ORDER BY ki) AS matched FROM b WHERE before < 12 GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS query_id, coalesce(terms, '') AS terms, md5(coalesce(matched, '')) AS matched, md5(coalesce(text, '') || coalesce(' ' || spaced, '')) AS digest FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "bm25_blockmax": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm",
     "upsert_bm25": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm".replace(
         "FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'revised ' || left(text, 200) ELSE text END AS text FROM documents))", 1
