@@ -141,7 +141,7 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
 
 def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The items (id, text) in blocks of about ``block_bytes`` each."""
-    rows = items.select(F.col("item_id").cast("string").alias("id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    rows = items.select(F.col("item_id").cast("string").alias("id"), "text").where("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) for b in range(n)]
@@ -154,8 +154,8 @@ def find_hits(
 
     ``items``: item_id, text. Spans are [first, end) of words, merged where they
     touch or overlap; items are sorted as strings. A null or empty text has no
-    words; items of null id, null text or no words are not looked for; items
-    that repeat count once. Columns of those three names (after ``prefix``) are
+    words; items of null text or no words are not looked for; items that repeat count
+    once. What items of null id say is hit like others', but they have no name to list. Columns of those three names (after ``prefix``) are
     replaced. ``cut``: ``text`` loses the words of its spans.
     """
     n_words, hit_spans, hit_items = (prefix + c for c in ("n_words", "hit_spans", "hit_items"))
@@ -188,7 +188,7 @@ def find_hits(
                     s, m = scan(words)
                     n.append(len(words))
                     found.append(s if first else _merge([*s0, *s]))
-                    met.append(sorted(m.union(x if isinstance(x, str) else x.decode() for x in m0)))
+                    met.append(sorted(x for x in m.union(x if isinstance(x, str) else x.decode() for x in m0) if x is not None))
                     if cut and last:
                         left.append(cut_spans(text, found[-1]))
                 return {
@@ -276,7 +276,7 @@ grams AS (
 ), words AS (
   SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id
 ), met AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  SELECT doc_id, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(met.n_items, 0) AS n_items,
