@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -38,14 +41,31 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one, set by us, only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one, set by us, only in local mode where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker that Spark keeps for other tasks gives back the memory that it doesn't use any more."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage; ``drop`` removes one that no later plan reads."""
 
@@ -108,7 +128,7 @@ def map_columns(
                 [out[made[n.lower()]] if n.lower() in made else batch.column(at[n.lower()]) for n in names], names
             )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def as_bytes(column: pa.Array) -> pa.Array:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     a, b = edges.columns
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    now = scratch.write(pairs.mapInArrow(_local, "u long, v long").distinct())
+    now = scratch.write(pairs.mapInArrow(tidy(_local), "u long, v long").distinct())
     before = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_bytes, doc_key, slices, table
+from .common import LOWER, Scratch, as_bytes, doc_key, slices, table, tidy
 from .components import components
 
 #: A sketch has at least so many buckets, and of large sets one for two to four shingles.
 BUCKETS = 256
-#: Nodes that meet in one cell, about, are twice as many: by their sketches, and by their sets.
-CELL, SET_CELL = 1024, 256
+#: What meets in one cell is twice as much, about: nodes by their sketches, and bytes of sets.
+CELL, SET_CELL = 1024, 2 << 20
 #: Of one in so many sets the shingles are counted; those of so many of these are frequent; so many at most are sent out.
 COUNTED_SHARE, FREQUENT, MOST_FREQUENT = 50, 4, 200_000
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -209,7 +209,7 @@ def members(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc", "h", "n", "node", "sketch"])
 
     rows = docs.select(doc_key().alias("doc"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc long, h long, n long, node long, sketch binary")
+    return rows.mapInArrow(tidy(run), "doc long, h long, n long, node long, sketch binary")
 
 
 def _frequent(docs: DataFrame, reps: DataFrame, words: int, scratch: Scratch) -> np.ndarray:
@@ -244,7 +244,7 @@ def _index(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> D
                     arrays = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))]
                     yield pa.RecordBatch.from_arrays(arrays, ["entry", "node"])
 
-    return docs.select("text").mapInArrow(run, "entry long, node long")
+    return docs.select("text").mapInArrow(tidy(run), "entry long, node long")
 
 
 def _stars(index: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _stars(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, hub, node)], ["entry", "hub", "node"])
 
     dealt = index.repartition(F.col("entry")).sortWithinPartitions("entry", "node")
-    return dealt.mapInArrow(run, "entry long, hub long, node long")
+    return dealt.mapInArrow(tidy(run), "entry long, hub long, node long")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
@@ -290,7 +290,7 @@ def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, words: int, scratc
                         nodes.append(node)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
 
-    return texts.select("text", "node").mapInArrow(run, "node long, h array<long>")
+    return texts.select("text", "node").mapInArrow(tidy(run), "node long, h array<long>")
 
 
 def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -308,7 +308,7 @@ def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     for name, n, drawn in (("a", "n", "c"), ("b", "m", "d")):
         own = reps.select(F.col("node").alias(name), F.col("n").alias(n), F.col("sketch").alias(drawn))
         pairs = pairs.join(own, name)
-    return pairs.select("a", "b", "shared", "n", "c", "m", "d").mapInArrow(run, "a long, b long, shared long")
+    return pairs.select("a", "b", "shared", "n", "c", "m", "d").mapInArrow(tidy(run), "a long, b long, shared long")
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -326,16 +326,16 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, pe
 
     joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
-    checked = scratch.write(joined.mapInArrow(check, "a long, b long, linked boolean"))
+    checked = scratch.write(joined.mapInArrow(tidy(check), "a long, b long, linked boolean"))
     scratch.drop(sets)
     return checked
 
 
 def _cells(rest: DataFrame, cell: int) -> DataFrame:
-    """``rest`` (entry, node, size, anything else) dealt to cells (entry, lo, hi) of two parts of an entry's nodes each, with ``part``.
+    """``rest`` (entry, node, size (of the entry, in what ``cell`` is), anything else) dealt to cells (entry, lo, hi) of two parts of an entry's nodes each, with ``part``.
 
     Each pair of parts has a cell, so each pair of nodes meets; an entry of up to
-    ``cell`` nodes is one cell.
+    ``cell`` is one cell.
     """
     parts = F.ceil(F.col("size") / cell).cast("int")
     part = F.pmod(F.xxhash64(F.lit("part"), "node"), parts).cast("int")
@@ -343,13 +343,13 @@ def _cells(rest: DataFrame, cell: int) -> DataFrame:
     return dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other")
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
-    """Rows sorted by (entry, lo, hi) as tables of whole cells, of ``least`` rows or more where there are as many."""
+def _by_cell(batches: Iterator[pa.RecordBatch], least: int, size: int = 4 << 20) -> Iterator[pa.Table]:
+    """Rows sorted by (entry, lo, hi) as tables of whole cells, of ``least`` rows or ``size`` bytes or more where there are as many."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
         rows = pa.Table.from_batches(held)
-        if rows.num_rows < least:
+        if rows.num_rows < least and rows.nbytes < size:
             continue
         keys = [rows[c].to_numpy() for c in ("entry", "lo", "hi")]
         other = np.flatnonzero(np.any([x != x[-1] for x in keys], axis=0))
@@ -425,7 +425,7 @@ def _forest(cells: DataFrame, percent: int, exact: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = cells.select(*names).repartition(F.col("entry"), F.col("lo"), F.col("hi")).sortWithinPartitions("entry", "lo", "hi", "n", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked(h: np.ndarray, g: np.ndarray, percent: int) -> bool:
@@ -480,7 +480,7 @@ def _classes(docs: DataFrame, words: int, percent: int, scratch: Scratch, cell:
         trees = components(_forest(_cells(rest, cell), percent, False), scratch).withColumnRenamed("component", "entry")
         trees = scratch.write(trees.union(trees.select("entry", "entry").distinct()))
         if trees.count():
-            sizes = trees.groupBy("entry").agg(F.count(F.lit(1)).alias("size"))
+            sizes = trees.join(reps.select("node", "n"), "node").groupBy("entry").agg((F.sum("n") * 8).alias("size"))
             sets = scratch.write(_sets(docs, reps, trees.select("node"), words, scratch).dropDuplicates(["node"]))
             rest = of(trees.join(sizes, "entry").join(drawn, "node"), "node", "component").join(sets, "node")
             third = scratch.write(_forest(_cells(rest, set_cell), percent, True))

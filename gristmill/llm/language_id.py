@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, doc_key, map_columns, slices, table
+from .common import as_bytes, doc_key, map_columns, slices, table, tidy
 
 GRAMS = (2, 3, 4)
 _BITS = 20
@@ -143,7 +143,7 @@ def _sample(labelled: DataFrame, per_language: int, most: int) -> list[tuple[lis
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "lang", "grams"])
 
     picked = keyed.join(F.broadcast(ids), ["doc", "lang", "h"], "left_semi").dropDuplicates(["doc", "lang", "h"])
-    rows = picked.select("doc", "lang", "text").mapInArrow(run, schema).collect()
+    rows = picked.select("doc", "lang", "text").mapInArrow(tidy(run), schema).collect()
     rows.sort(key=lambda r: (r.doc, r.lang, r.grams))
     return [([np.array(g, np.int64) for g in r.grams], r.lang) for r in rows]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, LOWER, Scratch, as_bytes, as_text, doc_key, map_columns, table
+from .common import BLANKS, LOWER, Scratch, as_bytes, as_text, doc_key, map_columns, table, tidy
 
 PROBES = 4
 
@@ -100,8 +100,8 @@ def _suspects(docs: DataFrame, min_chars: int, slice_slots: int) -> DataFrame:
             twice.add(new)
             yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64))], ["h"])
 
-    hashed = docs.select("text").mapInArrow(hashes, "h long, again boolean")
-    return hashed.repartition(int(parts), F.col("h")).mapInArrow(stream, "h long")
+    hashed = docs.select("text").mapInArrow(tidy(hashes), "h long, again boolean")
+    return hashed.repartition(int(parts), F.col("h")).mapInArrow(tidy(stream), "h long")
 
 
 def _merged(spark: SparkSession, suspects: DataFrame, slots: int) -> bytes:
@@ -114,7 +114,7 @@ def _merged(spark: SparkSession, suspects: DataFrame, slots: int) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([bloom.packed()], pa.binary())], ["bits"])
 
     out = np.zeros(slots // 8, np.uint8)
-    for row in suspects.coalesce(4).mapInArrow(build, "bits binary").toLocalIterator():
+    for row in suspects.coalesce(4).mapInArrow(tidy(build), "bits binary").toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return out.tobytes()
 
@@ -167,7 +167,7 @@ def dedup_lines(
             arrays = [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(h[keep].view(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, ["digest", "doc", "h"])
 
-    found = docs.select(doc_key().alias("doc"), "text").mapInArrow(candidates, "digest binary, doc long, h long")
+    found = docs.select(doc_key().alias("doc"), "text").mapInArrow(tidy(candidates), "digest binary, doc long, h long")
     if not small:
         found = found.join(suspects.distinct(), "h", "left_semi")
     found = scratch.write(found.select("digest", "doc"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.grid import Side, blocked, cells, over_cells
-from .common import Scratch, table
+from .common import Scratch, table, tidy
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,8 +198,8 @@ def _hashed(scratch: Scratch, points: DataFrame, asked: DataFrame, hashes: Hashe
                 arrays = [pa.array(np.concatenate(found)), part.column(0).take(at), part.column(1).take(at)]
                 yield pa.RecordBatch.from_arrays(arrays, ["bucket", "asked", "q"])
 
-    stored = scratch.write(points.select("point", "v").mapInArrow(index, f"bucket long, point {_POINT}, v array<double>"))
-    tried = scratch.write(asked.select("point", "v").mapInArrow(visit, f"bucket long, asked {_POINT}, q array<double>"))
+    stored = scratch.write(points.select("point", "v").mapInArrow(tidy(index), f"bucket long, point {_POINT}, v array<double>"))
+    tried = scratch.write(asked.select("point", "v").mapInArrow(tidy(visit), f"bucket long, asked {_POINT}, q array<double>"))
     counts = stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(tried.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket")
     cuts = {c: F.ceil(F.col(c) / block).cast("int").alias(f"{c}_cuts") for c in ("n", "m")}
     # Buckets larger than a block: at most as many as there are blocks of all entries.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Scratch, as_bytes, doc_key, map_columns, table
+from .common import LOWER, Scratch, as_bytes, doc_key, map_columns, table, tidy
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -61,7 +61,7 @@ def _counts(docs: DataFrame, good: DataFrame, buckets: int) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], ["bucket", "good", "n"])
 
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("good", F.lit(True))), "doc_id", "left")
-    rows = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(run, "bucket long, good long, n long")
+    rows = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(tidy(run), "bucket long, good long, n long")
     out = np.zeros((2, buckets), np.int64)
     for r in rows.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect():
         out[:, r.bucket] = r.good, r.n

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_bytes, doc_key, slices, table
+from .common import LOWER, Scratch, as_bytes, doc_key, slices, table, tidy
 
 K, GAP_COST, DROP = 4, 0.1, 12
 #: Of all runs so many tenths are seeds, and the least of so many in a row that have none.
@@ -262,7 +262,7 @@ def _seeded(docs: DataFrame) -> DataFrame:
                     made.append(beside(np.concatenate(all_), np.concatenate(at)))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], _SEEDED)
 
-    return docs.select("text_key", "text").mapInArrow(run, ", ".join(f"{c} long" for c in _SEEDED))
+    return docs.select("text_key", "text").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in _SEEDED))
 
 
 def _dense(rows: np.ndarray, step: int = 8) -> np.ndarray:
@@ -311,7 +311,7 @@ def _shared(seeded: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, keep]], _SEEDED)
 
     dealt = seeded.repartition(F.col("seed")).sortWithinPartitions("seed", "text", "at")
-    return dealt.mapInArrow(run, seeded.schema)
+    return dealt.mapInArrow(tidy(run), seeded.schema)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], part: tuple[int, float]) -> Iterator[pa.RecordBatch]:
@@ -472,7 +472,7 @@ def _chained(links: DataFrame, least: int, block: int = 16) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(made, ["x", "y", "a", "b", "xlo", "xhi", "ylo", "yhi", "few"])
 
     dealt = links.repartition(F.col("x"), F.col("y")).sortWithinPartitions("x", "y", "a", "b")
-    return dealt.mapInArrow(run, _CHAIN)
+    return dealt.mapInArrow(tidy(run), _CHAIN)
 
 
 def _with_last(batches: Iterator) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
@@ -498,7 +498,7 @@ def _pieces(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 types = [pa.int64()] * 3 + [pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["text", "lo", "hi", "words"])
 
-    return joined.mapInArrow(run, "text long, lo long, hi long, words array<int>")
+    return joined.mapInArrow(tidy(run), "text long, lo long, hi long, words array<int>")
 
 
 def _aligned(rows: DataFrame, least: int, similarity: float) -> DataFrame:
@@ -519,7 +519,7 @@ def _aligned(rows: DataFrame, least: int, similarity: float) -> DataFrame:
             made = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], ["text", "start", "end", "partner"])
 
-    return rows.mapInArrow(run, "text long, start long, end long, partner long")
+    return rows.mapInArrow(tidy(run), "text long, start long, end long, partner long")
 
 
 def _joined_up(spans: DataFrame, least: int) -> DataFrame:
@@ -546,7 +546,7 @@ def _joined_up(spans: DataFrame, least: int) -> DataFrame:
 
     dealt = spans.groupBy("text", "start", "end").agg(F.min("partner").alias("partner"))
     dealt = dealt.repartition(F.col("text")).sortWithinPartitions("text", "start", "end", "partner")
-    return dealt.mapInArrow(run, "text long, start long, end long, partner long")
+    return dealt.mapInArrow(tidy(run), "text long, start long, end long, partner long")
 
 
 def _uncovered(chains: DataFrame, spans: DataFrame) -> DataFrame:
@@ -570,7 +570,7 @@ def _uncovered(chains: DataFrame, spans: DataFrame) -> DataFrame:
     at = lambda side, places: chains.select(F.col(side).alias("text"), F.explode(places).alias("at"), F.lit(0).cast("long").alias("upto"), F.lit(True).alias("point"), chain)
     rows = spans.select("text", "start", "end", F.lit(False), none).union(at("x", "a")).union(at("y", "b")).toDF("text", "at", "upto", "point", "chain")
     dealt = rows.repartition(F.col("text")).sortWithinPartitions("text", "at", "point")
-    return dealt.mapInArrow(run, chains.schema).dropDuplicates(["x", "y", "a", "b"])
+    return dealt.mapInArrow(tidy(run), chains.schema).dropDuplicates(["x", "y", "a", "b"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, min_part: int = 20, similarity: float = 0.8) -> DataFrame:
