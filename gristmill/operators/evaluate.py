@@ -72,6 +72,11 @@ def report(per_case: DataFrame) -> DataFrame:
     )
 
 
+def deterministic_view(reports: DataFrame) -> DataFrame:
+    """``reports`` without what differs from run to run: the latencies."""
+    return reports.drop("latency_p50", "latency_p95", "latency_ms")
+
+
 def latency_summary(samples: DataFrame, last: int = 512) -> DataFrame:
     """(key, n, mean, p50, p95, max) of the ``last`` samples (key, seq, ms) of each key."""
     order = Window.partitionBy("key").orderBy(F.desc("seq"))

@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,12 @@ class Automaton:
         return out
 
 
+def _cut(n: int) -> Column:
+    """The distinct substrings of ``n`` characters of a text of as many or more."""
+    starts = F.sequence(F.lit(1), F.length("text") - n + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substr("text", i, F.lit(n))))
+
+
 def held_keys(texts: DataFrame, keys: DataFrame, most_sent: int = 8 << 20) -> DataFrame:
     """(query_id, key): the ``keys`` (key) that each of ``texts`` (query_id, text) holds. Empty and null keys are held by none.
 
@@ -73,8 +79,7 @@ def held_keys(texts: DataFrame, keys: DataFrame, most_sent: int = 8 << 20) -> Da
         lengths = [r.n for r in keys.select(F.length("key").alias("n")).distinct().collect()]  # as many as keys have lengths
         cuts = None
         for n in lengths:
-            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1))
-            rows = texts.where(F.length("text") >= n).select("query_id", F.explode(F.array_distinct(F.transform(starts, lambda i, n=n: F.substr("text", i, F.lit(n))))).alias("key"))
+            rows = texts.where(F.length("text") >= n).select("query_id", F.explode(_cut(n)).alias("key"))
             cuts = rows if cuts is None else cuts.unionByName(rows)
         return cuts.join(keys, "key", "left_semi").select("query_id", "key")
     names = sorted(r.key for r in keys.collect())

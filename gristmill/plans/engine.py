@@ -27,6 +27,8 @@ from .steps import Steps
 Encoder = Callable[[DataFrame, str], DataFrame]
 #: Questions (query_id, text) and a pool (query_id, place, chunk_id, text) to (query_id, sentence, chunk_id, score).
 Reader = Callable[[DataFrame, DataFrame], DataFrame]
+#: Questions (query_id, text) to (query_id, citations, route, support_rate), and latency_ms, if it knows.
+Runner = Callable[[DataFrame], DataFrame]
 
 
 class Engine:
@@ -308,10 +310,12 @@ class Engine:
         return self.ask(queries).select("query_id", F.posexplode(slices("answer", width)).alias("at", "piece"))
 
     # -- evaluation -----------------------------------------------------------------
-    def evaluate_cases(self, cases: DataFrame, k: int | None = None) -> DataFrame:
+    def evaluate_cases(self, cases: DataFrame, k: int | None = None, runner: Runner | None = None) -> DataFrame:
         """One row per case (query_id, question, relevant_docs, expected_route) with its metrics.
 
-        Cases are answered together; ``latency_ms`` is each one's share of the time that took.
+        ``runner`` answers the questions (query_id, text) in the place of ``ask``. Cases are
+        answered together; ``latency_ms`` is what the runner gives, or each one's share of
+        the time that took.
         """
         s = self.settings
         k = k or s.top_k
@@ -319,20 +323,20 @@ class Engine:
         docs = cases.select("query_id", F.explode("relevant_docs").alias("doc_id"))
         relevant = docs.join(self.chunks.select("doc_id", F.col("chunk_id").alias("id")), "doc_id").select("query_id", "id")
         began = time.monotonic()
-        answers = self._steps.cut(self.ask(queries))
-        spent = (time.monotonic() - began) * 1000 / max(1, answers.count())
+        answers = self._steps.cut((runner or self.ask)(queries))
+        spent = F.lit((time.monotonic() - began) * 1000 / max(1, answers.count()))
+        spent = F.col("latency_ms") if "latency_ms" in answers.columns else spent
         hits = answers.select("query_id", F.posexplode("citations").alias("at", "id"))
         hits = hits.select("query_id", "id", (F.col("at") + 1).alias("rank")).join(self.chunks.select("doc_id", F.col("chunk_id").alias("id")), "id")
         return (
             cases.select("query_id", "expected_route", (F.coalesce(F.size("relevant_docs"), F.lit(0)) > 0).alias("has_docs"))
             .join(evaluate.ranking_metrics(hits, relevant, queries, k), "query_id")
             .join(evaluate.document_metrics(hits, docs, queries, k), "query_id")
-            .join(answers.select("query_id", "route", F.col("support_rate").alias("grounded")), "query_id")
-            .withColumn("latency_ms", F.lit(spent))
+            .join(answers.select("query_id", "route", F.col("support_rate").alias("grounded"), spent.alias("latency_ms")), "query_id")
         )
 
-    def evaluate(self, cases: DataFrame, k: int | None = None) -> dict:
-        return evaluate.report(self.evaluate_cases(cases, k)).first().asDict()
+    def evaluate(self, cases: DataFrame, k: int | None = None, runner: Runner | None = None) -> dict:
+        return evaluate.report(self.evaluate_cases(cases, k, runner)).first().asDict()
 
     # -- probes ------------------------------------------------------------------------
     def guard_probe(self) -> dict:
