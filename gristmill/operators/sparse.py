@@ -6,10 +6,17 @@ terms before anything is shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .grid import best
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -64,6 +71,82 @@ def scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.
     return score_postings(postings(chunks, q), corpus_stats(chunks), q, k1, b)
 
 
+def best_of(
+    rows: DataFrame, stats: DataFrame, q: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 12, share: bool = False, most_sent: int = 500_000
+) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the ``k`` best by BM25, from all postings ``rows`` of the terms in ``q`` (query_id, term, qtf).
+
+    Postings are dealt out by chunk, about 2,048 of these a group, and each group is
+    multiplied with the queries, 256 at a time; only a query's best leave, so no pair of
+    query and chunk is shuffled. Up to ``most_sent`` rows of ``q`` are sent out for that;
+    more meet the postings in a join. ``share``: the score is the share of a query's terms
+    that a chunk holds. ``rows`` should be a table, as they are read twice.
+    """
+    one = stats.first()
+    held = q.count()
+    if held > most_sent:
+        if share:
+            sizes = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+            scored = rows.join(q, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hit")).join(sizes, "query_id")
+            scored = scored.select("query_id", "chunk_id", (F.col("hit") / F.col("n")).alias("score"))
+        else:
+            scored = score_postings(rows, stats, q, k1, b)
+        return top_k(scored.withColumn("score", F.round("score", digits)).where("score > 0"), k)
+    df = {r.term: r.df for r in term_stats(rows).collect()}  # no more rows than ``q``
+    sent = rows.sparkSession.sparkContext.broadcast(_Asked(q.collect(), df, one.n_docs, one.avgdl, k1, b, share))
+
+    def product(group: pa.Table) -> pa.Table:
+        columns = zip(*sent.value.best(group, k, digits), strict=True)
+        return pa.table([pa.concat_arrays(c) for c in columns], ["query_id", "chunk_id", "score"])
+
+    group = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-one.n_docs // 2_048))))
+    dealt = rows.select(group.alias("g"), F.col("chunk_id").cast("string").alias("chunk_id"), "term", F.col("tf").cast("double").alias("tf"), F.col("dl").cast("double").alias("dl"))
+    return top_k(dealt.groupBy("g").applyInArrow(product, "query_id string, chunk_id string, score double"), k)
+
+
+class _Asked:
+    """Queries in blocks, as sparse weights of their terms."""
+
+    def __init__(self, q: list, df: dict[str, int], n: int, avgdl: float, k1: float, b: float, share: bool, block: int = 256):
+        self.avgdl, self.k1, self.b, self.share, self.blocks = avgdl, k1, b, share, []
+        self.terms = sorted(df)
+        place = {t: i for i, t in enumerate(self.terms)}
+        sizes = Counter(r.query_id for r in q)
+        names = sorted(sizes)
+        at = {name: i for i, name in enumerate(names)}
+        known = sorted((at[r.query_id], place[r.term], r.qtf) for r in q if r.term in place)
+        query, term, qtf = (np.array(c) for c in zip(*known, strict=True)) if known else (np.empty(0, int),) * 3
+        held = np.array([df[t] for t in self.terms], float)
+        idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
+        weight = np.array([1 / sizes[names[i]] for i in query]) if share else qtf * idf[term]
+        for start in range(0, len(names), block):
+            own = slice(*np.searchsorted(query, [start, start + block]))
+            self.blocks.append((names[start : start + block], query[own] - start, *np.unique(term[own], return_inverse=True), weight[own]))
+
+    def best(self, group: pa.Table, k: int, digits: int) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """(query_ids, chunk_ids, scores) of each block's queries."""
+        ids = group["chunk_id"].combine_chunks().dictionary_encode()
+        chunk, names = ids.indices.to_numpy(), ids.dictionary
+        order = pc.sort_indices(names).to_numpy()
+        term = pc.index_in(group["term"].combine_chunks(), pa.array(self.terms, pa.string())).to_numpy()
+        tf, dl = group["tf"].to_numpy(), np.zeros(len(names))
+        dl[chunk] = group["dl"].to_numpy()
+        norm = self.k1 * (1 - self.b + self.b * dl / self.avgdl)
+        for asked, query, terms, at, weight in self.blocks:
+            local = np.full(len(self.terms) + 1, -1)
+            local[terms] = np.arange(len(terms))
+            own = local[term]
+            fits = own >= 0
+            gain = np.zeros((len(names), len(terms)))
+            t = tf[fits]
+            gain[chunk[fits], own[fits]] = 1.0 if self.share else t * (self.k1 + 1) / (t + norm[chunk[fits]])
+            wide = np.zeros((len(asked), len(terms)))
+            wide[query, at] = weight
+            scores = np.round(np.round(wide @ gain.T, 12), digits)[:, order]
+            i, j = best(scores, k, scores > 0)
+            yield pa.array([asked[x] for x in i.tolist()], pa.string()), names.take(pa.array(order[j])), pa.array(scores[i, j])
+
+
 def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
     """The ``k`` best of each query, ranked from 1: greatest score, then chunk_id."""
     order = Window.partitionBy(*(by or ("query_id",))).orderBy(F.desc("score"), "chunk_id")
@@ -71,5 +154,5 @@ def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score, rank)."""
+    """(query_id, chunk_id, score, rank), all pairs of a query and a chunk that share a term being scored."""
     return top_k(scores(chunks, queries, k1, b).where("score > 0"), k)

@@ -58,19 +58,27 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return Steps(spark).cut(sparse.tokens(chunks(spark, sf)))
 
 
-def bm25(spark: SparkSession, sf: str, k: int = K, kept: DataFrame | None = None) -> DataFrame:
+class Found:
+    """What the lists of one search share: the questions' terms, their postings, and the counts of the corpus, each made once."""
+
+    def __init__(self, spark: SparkSession, sf: str, kept: DataFrame | None = None):
+        cut = Steps(spark).cut
+        rows = sparse.tokens(chunks(spark, sf)) if kept is None else kept
+        self.terms = cut(sparse.query_terms(questions(spark, sf)))
+        self.rows = cut(sparse.postings(rows, self.terms))
+        self.stats = cut(sparse.corpus_stats(rows))
+
+
+def bm25(spark: SparkSession, sf: str, k: int = K, found: Found | None = None) -> DataFrame:
     """Scores rounded to 6 digits before ranking, so that both engines rank alike."""
-    scored = sparse.scores(tokens(spark, sf) if kept is None else kept, questions(spark, sf))
-    return Steps(spark).cut(sparse.top_k(scored.select("query_id", "chunk_id", F.round("score", 6).alias("score")).where("score > 0"), k))
+    found = found or Found(spark, sf)
+    return Steps(spark).cut(sparse.best_of(found.rows, found.stats, found.terms, k, digits=6))
 
 
-def overlaps(spark: SparkSession, sf: str, k: int = K, kept: DataFrame | None = None) -> DataFrame:
+def overlaps(spark: SparkSession, sf: str, k: int = K, found: Found | None = None) -> DataFrame:
     """A second ranked list: by the share of the question's distinct tokens that a chunk holds."""
-    q = sparse.query_terms(questions(spark, sf))
-    sizes = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = sparse.postings(chunks(spark, sf) if kept is None else kept, q).join(q, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hit"))
-    scored = rows.join(sizes, "query_id").select("query_id", "chunk_id", F.round(F.col("hit") / F.col("n"), 6).alias("score"))
-    return sparse.top_k(scored, k)
+    found = found or Found(spark, sf)
+    return sparse.best_of(found.rows, found.stats, found.terms, k, digits=6, share=True)
 
 
 # -- text ------------------------------------------------------------------------------
@@ -353,8 +361,8 @@ def memory_recall_parts(spark, sf):
 
 
 def _fused(spark: SparkSession, sf: str, weights: dict[str, float] | None = None) -> DataFrame:
-    kept = tokens(spark, sf)
-    lists = [("dense", overlaps(spark, sf, kept=kept)), ("sparse", bm25(spark, sf, kept=kept))]
+    found = Found(spark, sf)
+    lists = [("dense", overlaps(spark, sf, found=found)), ("sparse", bm25(spark, sf, found=found))]
     return Steps(spark).cut(fusion.reciprocal_rank_fusion(lists, weights=weights, top_k=2 * K))
 
 
@@ -684,14 +692,14 @@ def conversation_context(spark, sf):
 # -- metrics ---------------------------------------------------------------------------------------
 
 
-def _truth(spark: SparkSession, sf: str) -> DataFrame:
+def _truth(spark: SparkSession, sf: str, kept: DataFrame | None = None) -> DataFrame:
     """Chunks that hold an item's text as it is.
 
     A chunk that does holds every token that stands inside the item as a token of its
     own, so it is looked for among the postings of the rarest of these; items of no such
     token (under three words) go to all chunks, a block at a time.
     """
-    kept, rows = tokens(spark, sf), chunks(spark, sf)
+    kept, rows = tokens(spark, sf) if kept is None else kept, chunks(spark, sf)
     asked = questions(spark, sf).select("query_id", F.col("text").alias("item"))
     runs = text.latin_runs("item")
     inner = asked.select("query_id", F.explode(F.array_distinct(F.slice(runs, 2, F.greatest(F.lit(0), F.size(runs) - 2)))).alias("term"))
@@ -710,20 +718,20 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def eval_ranking(spark, sf):
-    hits = bm25(spark, sf).select("query_id", F.col("chunk_id").alias("id"), "rank")
-    rows = evaluate.ranking_metrics(hits, _truth(spark, sf), questions(spark, sf), K)
+    kept = tokens(spark, sf)
+    hits = bm25(spark, sf, found=Found(spark, sf, kept)).select("query_id", F.col("chunk_id").alias("id"), "rank")
+    rows = evaluate.ranking_metrics(hits, _truth(spark, sf, kept), questions(spark, sf), K)
     return rows.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank", "ndcg")))
 
 
 @query
 def sweep_settings(spark, sf):
     """Four settings of BM25 and of the fusion, with their means: one reading of the postings."""
-    kept, cut = tokens(spark, sf), Steps(spark).cut
+    found, cut = Found(spark, sf), Steps(spark).cut
     asked = questions(spark, sf)
     settings = spark.createDataFrame([(n, *v) for n, v in SETTINGS.items()], sweep.SETTING)
-    rows = cut(sparse.postings(kept, sparse.query_terms(asked)))
-    others = [("dense", cut(overlaps(spark, sf, kept=kept)))]
-    return sweep.metrics(rows, sparse.corpus_stats(kept), asked, _truth(spark, sf), settings, others, K, 6, cut)
+    others = [("dense", cut(overlaps(spark, sf, found=found)))]
+    return sweep.metrics(found.rows, found.stats, asked, _truth(spark, sf), settings, others, K, 6, cut)
 
 
 @query

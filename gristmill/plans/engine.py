@@ -207,9 +207,8 @@ class Engine:
     def keyword(self, queries: DataFrame, k: int, digits: int = 12) -> DataFrame:
         """(query_id, chunk_id, score, rank): BM25 over the postings of the queries' terms."""
         terms = self._steps.cut(sparse.query_terms(queries))
-        rows = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        scored = sparse.score_postings(rows, self.corpus_stats, terms, self.settings.k1, self.settings.b)
-        return sparse.top_k(scored.withColumn("score", F.round("score", digits)).where("score > 0"), k)
+        rows = self._steps.cut(self.postings.join(terms.select("term").distinct(), "term", "left_semi"))
+        return sparse.best_of(rows, self.corpus_stats, terms, k, self.settings.k1, self.settings.b, digits)
 
     # -- answers ------------------------------------------------------------------
     def ask(self, queries: DataFrame, k: int | None = None) -> DataFrame:
