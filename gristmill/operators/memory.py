@@ -19,6 +19,12 @@ def approx_tokens(text: str) -> int:
     return cjk + (len(text) - cjk) // 4 + 1
 
 
+def folded(summary: str, texts: list[str], budget: int) -> str:
+    """The summary with ``texts`` after it, of which the last quarter of the budget stays, in characters."""
+    keep = max(0, budget // 4)
+    return f"{summary} {' '.join(texts)}"[-keep:].strip() if keep else ""
+
+
 class Transcript:
     """Turns within a budget of approximate tokens; what falls out goes into ``summary``."""
 
@@ -38,11 +44,7 @@ class Transcript:
             self.evicted += len(gone)
             self.held -= sum(n for *_, n in gone)
             texts = [t for _, t, _ in gone]
-            keep = max(0, self.budget // 4)
-            if self.summarise:
-                self.summary = self.summarise(texts)
-            else:
-                self.summary = f"{self.summary} {' '.join(texts)}"[-keep:].strip() if keep else ""
+            self.summary = self.summarise(texts) if self.summarise else folded(self.summary, texts, self.budget)
 
 
 def compact(conversations: DataFrame, budget: int = 1024, summarise: Summariser | None = None) -> DataFrame:

@@ -689,6 +689,27 @@ def conversation_context(spark, sf):
     return rows.select("conv_id", "at", "role", F.md5("text").alias("digest"))
 
 
+@query
+def conversation_stream(spark, sf):
+    """``conversation_compaction`` as a stream with state of its own for each conversation: the last row of each."""
+    from ..streaming import STATE_STORE, conversation_state
+
+    steps, before = Steps(spark), {name: spark.conf.get(name, None) for name in STATE_STORE}
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{sf}/conversations.parque[t]")  # as a pattern it may be one file
+    try:
+        for name, value in STATE_STORE.items():
+            spark.conf.set(name, value)
+        out = conversation_state(source, 256)
+        run = out.writeStream.foreachBatch(lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{steps.root}/out/at={n}"))
+        run.outputMode("update").option("checkpointLocation", f"{steps.root}/stream").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    rows = spark.read.parquet(f"{steps.root}/out").drop("at").groupBy("conv_id").agg(F.max_by(F.struct("n_turns", "kept", "evicted", "tokens", "summary"), "batch").alias("r"))
+    return rows.select("conv_id", "r.n_turns", "r.kept", "r.evicted", "r.tokens", F.md5("r.summary").alias("summary_digest"))
+
+
 # -- metrics ---------------------------------------------------------------------------------------
 
 

@@ -258,6 +258,7 @@ FROM s x JOIN s y ON y.doc_id = x.doc_id + 1""",
 x AS (SELECT query_id, chunk_id, qt, unnest(s) AS p, unnest(range(1, len(s) + 1)) AS i FROM e)
 SELECT query_id, chunk_id, left(arg_max(p, len(list_intersect(qt, list_distinct({_tokens('p')}))) * 1000000 - i), 160) AS excerpt FROM x GROUP BY ALL""",
     "conversation_compaction": f"WITH {_COMPACT} SELECT conv_id, n AS n_turns, i - ev AS kept, ev AS evicted, CAST(tokens AS BIGINT) AS tokens, md5(summary) AS summary_digest FROM done",
+    "conversation_stream": f"WITH {_COMPACT} SELECT conv_id, n AS n_turns, i - ev AS kept, ev AS evicted, CAST(tokens AS BIGINT) AS tokens, md5(summary) AS summary_digest FROM done",
     "conversation_context": f"""WITH {_COMPACT} SELECT conv_id, -1::BIGINT AS "at", 'system' AS role, md5('Earlier conversation summary: ' || summary) AS digest FROM done WHERE summary <> ''
 UNION ALL SELECT conv_id, CAST(places[j] AS BIGINT), r[j], md5(t[j]) FROM (SELECT *, unnest(range(ev + 1, n + 1)) AS j FROM done)""",
     "tool_dispatch": _values([(i, *row[2:]) for i, row in enumerate(TOOL_CALLS)], "id, ok, value, error"),
