@@ -22,15 +22,13 @@ def named(rows: DataFrame, settings: DataFrame, *columns: str) -> DataFrame:
 def search(postings: DataFrame, stats: DataFrame, terms: DataFrame, settings: DataFrame, k: int, digits: int = 12) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the ``k`` best by BM25 under each setting, with which ``query_id`` begins.
 
-    ``postings``: chunk_id, term, tf, dl of the terms in ``terms`` (query_id, term, qtf), or of all.
+    ``postings``: of the terms in ``terms`` (query_id, term, qtf), or of all, in either form that ``sparse.best_of`` reads.
+    No pair of question and chunk is shuffled, under any setting.
     """
-    idf = sparse.term_stats(postings).join(F.broadcast(stats)).select("term", sparse.robertson_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
-    asked = named(terms, settings, "k1", "b")
-    k1, b = F.col("k1"), F.col("b")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    rows = postings.join(idf, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.round(F.sum(gain), 12), digits).alias("score"))
-    return sparse.top_k(rows.where("score > 0"), k)
+    each = {r.setting: (r.k1, r.b) for r in settings.collect()}  # the caller's list: a few rows
+    if "terms" not in postings.columns:
+        postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    return sparse.best_of(postings, stats, terms, k, digits=digits, settings=each)
 
 
 def metrics(

@@ -83,3 +83,20 @@ def test_doctor_and_verify(spark, tmp_path, capsys):
     assert cli.main(["--corpus", str(tmp_path / "*.md"), "verify", str(cases)]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["determinism"]
     assert cli.main(["--corpus", str(tmp_path / "*.md"), "verify", str(cases), "--min-recall", "1.1"]) == 1
+
+
+def test_a_sweep_shuffles_no_pairs(spark):
+    """Each chunk's counts and each setting's scores are made where the chunk lies; only a question's best go on."""
+    chunks = spark.createDataFrame([(f"c{i}", f"w{i % 7} w{i % 5} w{i % 7} common " * (1 + i % 4)) for i in range(300)] + [("none", None)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(str(i), f"common w{i % 6} w{i % 4} absent") for i in range(20)], "query_id string, text string")
+    settings = {"a": (1.5, 0.75, 60), "b": (0.5, 0.1, 5), "c": (2.0, 1.0, 5)}
+    df = spark.createDataFrame([(n, *v) for n, v in settings.items()], sweep.SETTING)
+    terms = sparse.query_terms(queries)
+    out = sweep.search(sparse.counted(chunks, terms), sparse.corpus_stats(chunks), terms, df, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r.query_id, r.chunk_id, r.score, r.rank) for r in out.collect()}
+    want = set()
+    for name, (k1, b, _) in settings.items():
+        want |= {(f"{name}\u0001{r.query_id}", r.chunk_id, r.score, r.rank) for r in sparse.search(chunks, queries, 5, k1, b).collect()}
+    assert got == want
