@@ -40,17 +40,29 @@ class InvertedFile:
     k: int = 10
 
     def train(self, vectors: DataFrame, key: str = "chunk_id") -> Quantiser:
-        """``vectors``: key, slots, weights. Learns from the ``sample`` rows of lowest hashes."""
+        """``vectors``: key, slots, weights. Learns from the ``sample`` rows of lowest hashes, in one task of a worker:
+        the driver gets the centroids only."""
         n = vectors.count()
-        rows = vectors.orderBy(F.xxhash64(F.lit(self.seed), key), key).limit(self.sample).select(*FIELDS).collect()
-        dim = 1 + max((max(r.slots, default=0) for r in rows), default=0)
-        x = np.zeros((len(rows), dim))
-        for i, r in enumerate(rows):
-            x[i, r.slots] = r.weights
-        x = unit(x)
         wanted = self.cells or min(1024, max(1, round(n**0.5)))
-        centroids = _means(x, min(wanted, len(x)), self.rounds, self.seed)
-        return Quantiser(centroids, _probes(x, centroids, self.k, self.recall))
+        k, recall, rounds, seed = self.k, self.recall, self.rounds, self.seed
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            dim = 1 + max((int(b.column(0).flatten().to_numpy().max(initial=0)) for b in held), default=0)
+            parts = [as_matrix(b.column(0), b.column(1), dim) for b in held]
+            x = unit(np.concatenate(parts) if parts else np.zeros((0, dim)))
+            del held, parts
+            centroids = _means(x, min(wanted, len(x)), rounds, seed)
+            probes = _probes(x, centroids, k, recall)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(centroids) + 1) * centroids.shape[1], pa.int32()), pa.array(centroids.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids), dtype=np.int32)), pa.array(np.full(len(centroids), probes, np.int32)), rows], ["at", "probes", "centroid"])
+
+        sample = vectors.orderBy(F.xxhash64(F.lit(seed), key), key).limit(self.sample).select(*FIELDS).coalesce(1)
+        made = sample.mapInArrow(learn, "at int, probes int, centroid array<double>").toArrow().sort_by("at")
+        if not len(made):
+            return Quantiser(np.zeros((1, 1)), 1)
+        flat = made["centroid"].combine_chunks().flatten().to_numpy()
+        return Quantiser(flat.reshape(len(made), -1), made["probes"][0].as_py())
 
 
 @dataclass(frozen=True)

@@ -163,3 +163,17 @@ def test_engine_with_a_completer(spark):
     e.ingest({"cats": "Cats sleep most of the day.", "dogs": "Dogs bark."})
     row = e.ask(spark.createDataFrame([("1", "what do they do")], "query_id string, text string")).first()
     assert row.steps == 2 and row.answer.isdigit() and row.trace[0].startswith("step 1: search[cats] -> [cats#0] Cats sleep")
+
+
+def test_the_driver_holds_centroids_only(spark):
+    import tracemalloc
+
+    v = spark.range(6_000).select(F.col("id").cast("string").alias("chunk_id"), F.sequence(F.lit(0), F.lit(31)).alias("slots"), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.rand(5) + i).alias("weights"))
+    tracemalloc.start()
+    q = ivf.InvertedFile(cells=8, sample=5_000).train(v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert q.centroids.shape == (8, 32) and q.probes >= 1 and np.allclose(np.linalg.norm(q.centroids, axis=1), 1)
+    assert peak < 3 << 20  # the sample alone has 1.3 MB as plain numbers, several times that as rows
+    none = ivf.InvertedFile().train(v.limit(0))
+    assert none.centroids.shape == (1, 1) and none.probes == 1
