@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dense import memory_vectors
-from .sparse import top_k
+from .dense import memory_units, search
 
 Summariser = Callable[[list[str]], str]
 
@@ -88,13 +87,4 @@ def context(compacted: DataFrame, turns: DataFrame) -> DataFrame:
 
 def recall(items: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, chunk_id, score, rank): remembered texts (key, text) nearest to each query (query_id, text) by cosine."""
-
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        rows = memory_vectors(df, key)
-        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-        return rows.withColumn("weight", F.col("weight") / norm)
-
-    v = unit(items, "key").withColumnRenamed("key", "chunk_id")
-    q = unit(queries, "query_id").withColumnRenamed("weight", "qw")
-    dots = v.join(q, "slot").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 12).alias("score"))
-    return top_k(dots.where("score > 0"), k)
+    return search(memory_units(items, "key").withColumnRenamed("key", "chunk_id"), memory_units(queries, "query_id"), k)

@@ -56,7 +56,7 @@ class Engine:
     ):
         self.spark, self.settings = spark, settings or Settings.from_conf(spark)
         self.rerank_with, self.tools = rerank_with, dict(tools or {})
-        self.embed_with = embed_with or (lambda texts, key: dense.hashed_vectors(texts, key, self.settings.dim))
+        self.embed_with = embed_with or (lambda texts, key: dense.hashed(texts, key, self.settings.dim))
         self.own_vectors = embed_with is None
         self.read_with = read_with or reader.best_sentences
         self.index, self.complete_with, self.most_segments = index, complete_with, most_segments
@@ -128,7 +128,7 @@ class Engine:
         own = Steps(self.spark)
         tokens = own.cut(sparse.tokens(chunks))
         made = {"lengths": store.write("lengths", sparse.lengths(tokens)), "postings": store.write("postings", sparse.postings(tokens))}
-        vectors = dense.hashed_counts(made["postings"], "chunk_id", self.settings.dim) if self.own_vectors else self.embed_with(chunks, "chunk_id")
+        vectors = self.embed_with(tokens, "chunk_id").where(F.size("slots") > 0) if self.own_vectors else self.embed_with(chunks, "chunk_id")
         vectors = dense.as_arrays(vectors)
         if self.index:
             vectors = own.cut(vectors)

@@ -132,3 +132,32 @@ def test_metrics(spark):
     samples = frame(spark, [("k", i, float(i)) for i in range(600)], "key string, seq long, ms double")
     row = evaluate.latency_summary(samples).first()
     assert (row.n, row.max, row.p50) == (512, 599.0, 343.5)
+
+
+def test_recall_sends_no_pairs_of_words_and_copies_count_once(spark):
+    """Many copies of few texts, more queries than one block: nothing but a query's best of each task is shuffled."""
+    items = spark.range(3_000).select(F.col("id").cast("string").alias("key"), F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 5), F.lit("common")).alias("text"))
+    asked = items.where("key % 2 = 0").withColumnRenamed("key", "query_id").unionByName(frame(spark, [("none", ""), ("far", "unheard")], "query_id string, text string"))
+    out = memory.recall(items, asked, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, r.score))
+    assert len(got) == 1_500
+    for q in ("0", "34", "2998"):
+        same = sorted(str(i) for i in range(3_000) if i % 35 == int(q) % 35)[:3]
+        assert [c for _, c, _ in sorted(got[q])] == same and all(s == 1.0 for *_, s in got[q])
+    grid = dense.search(dense.memory_units(items, "key").withColumnRenamed("key", "chunk_id"), dense.memory_units(asked, "query_id"), 3, most_sent=0)
+    assert {tuple(r) for r in grid.collect()} == {(q, c, s, n) for q, rows in got.items() for n, c, s in rows}
+
+
+def test_tokens_that_cancel_have_a_unit_vector_too(spark):
+    seen, pair = {}, None
+    for i in range(5_000):
+        h = dense.stable_hash(f"w{i}")
+        other = seen.setdefault((h % 512, h >> 20 & 1), f"w{i}") and seen.get((h % 512, 1 - (h >> 20 & 1)))
+        pair = pair or other and (other, f"w{i}")
+    rows = frame(spark, [("a", " ".join(pair)), ("b", "one two"), ("c", ""), ("d", None)], "id string, text string")
+    got = {r.id: sum(w * w for w in r.weights) for r in dense.hashed(rows, "id").collect()}
+    assert abs(got["a"] - 1) < 1e-9 and abs(got["b"] - 1) < 1e-9 and got["c"] == got["d"] == 0
