@@ -9,12 +9,14 @@ query. Only blocks that some query still needs are joined with their postings.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sparse import robertson_idf, top_k
+from .sparse import best_of, counts, robertson_idf, tokens
 
 #: Scores are rounded to as many digits or more before they are compared.
 SLACK = 2e-6
@@ -28,6 +30,35 @@ def blocks(postings: DataFrame, n_chunks: int, per_bucket: int = 64) -> DataFram
     )
 
 
+def index(chunks: DataFrame, per_bucket: int = 64) -> DataFrame:
+    """``blocks`` of chunks (chunk_id, text or tokens): a bucket is a stretch of chunks that lie together, so nothing is shuffled.
+
+    Write it down before it is used: buckets are numbered as tasks read them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bucket = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, batch.num_rows, per_bucket):
+                part = batch.slice(start, per_bucket)
+                row, term, tf, names = counts(part.column(1))
+                dl = part.column(2).to_numpy()[row]
+                order = np.argsort(term, kind="stable")
+                row, term, tf, dl = row[order], term[order], tf[order], dl[order]
+                held, first, n = np.unique(term, return_index=True, return_counts=True)
+                rows = pa.StructArray.from_arrays([part.column(0).take(pa.array(row)), pa.array(tf.astype(np.int64)), pa.array(dl)], ["chunk_id", "tf", "dl"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), rows)
+                most, least = (f.reduceat(x, first) if len(first) else x for f, x in ((np.maximum, tf.astype(np.int64)), (np.minimum, dl)))
+                columns = [names.take(pa.array(held)), pa.array(np.full(len(held), bucket)), pa.array(n.astype(np.int64)), pa.array(most), pa.array(least), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "bucket", "n", "max_tf", "min_dl", "rows"])
+                bucket += 1
+
+    rows = tokens(chunks).select(F.col("chunk_id").cast("string").alias("chunk_id"), "tokens", F.greatest(F.lit(1), F.size("tokens")).alias("dl"))
+    return rows.mapInArrow(run, "term string, bucket long, n long, max_tf long, min_dl int, rows array<struct<chunk_id: string, tf: long, dl: int>>")
+
+
 def _gain(qtf: Column, idf: Column, tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
     return qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
@@ -64,7 +95,13 @@ def scored(index: DataFrame, terms: DataFrame, buckets: DataFrame | None, k1: fl
 
 
 def search(index: DataFrame, stats: DataFrame, q: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 12, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """(query_id, chunk_id, score, rank): as an exhaustive search gives them, scores rounded to ``digits`` (six or more)."""
+    """(query_id, chunk_id, score, rank): as an exhaustive search gives them, scores rounded to ``digits`` (six or more).
+
+    The buckets that some query needs are opened for all: a chunk of one that a query
+    doesn't need stays below its ``k`` best.
+    """
     terms, buckets = needed(index, stats, q, k, k1, b, cut)
-    found = scored(index, terms, buckets, k1, b).withColumn("score", F.round("score", digits))
-    return top_k(found.where("score > 0"), k)
+    df = {r.term: r.df for r in terms.select("term", "df").distinct().collect()}  # no more rows than ``q``
+    opened = index.join(terms.select("term").distinct(), "term", "left_semi").join(buckets.select("bucket").distinct(), "bucket", "left_semi")
+    rows = opened.select("term", F.explode("rows").alias("p")).select("p.chunk_id", "term", "p.tf", "p.dl")
+    return best_of(rows, stats, q, k, k1, b, digits, df=df)

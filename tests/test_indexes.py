@@ -177,3 +177,14 @@ def test_the_driver_holds_centroids_only(spark):
     assert peak < 3 << 20  # the sample alone has 1.3 MB as plain numbers, several times that as rows
     none = ivf.InvertedFile().train(v.limit(0))
     assert none.centroids.shape == (1, 1) and none.probes == 1
+
+
+def test_blocks_are_made_where_chunks_lie(spark):
+    rows = spark.range(900).select(F.col("id").cast("string").alias("chunk_id"), F.concat_ws(" ", F.lit("common common"), F.concat(F.lit("w"), F.col("id") % 11), F.concat(F.lit("r"), F.floor(F.col("id") / 7))).alias("text"))
+    queries = spark.createDataFrame([(str(i), f"common w{i} r{i * 3} none") for i in range(12)], "query_id string, text string")
+    made = blockmax.index(rows, 8)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    cut = Steps(spark).cut
+    stats, q = sparse.corpus_stats(rows), sparse.query_terms(queries)
+    key = lambda df: {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in df.collect()}
+    assert key(blockmax.search(cut(made), stats, q, 5, cut=cut)) == key(sparse.search(rows, queries, 5))
