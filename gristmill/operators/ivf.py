@@ -124,9 +124,10 @@ def assigned(vectors: DataFrame, quantiser: Quantiser, key: str = "chunk_id") ->
     return vectors.select(key, *FIELDS).mapInArrow(run, f"{key} string, slots array<int>, weights array<double>, cell int, apart double")
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """``rows`` with a column ``cell`` as a table of a folder for each cell; cells of many rows get several files."""
-    rows.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+def write(rows: DataFrame, path: str, many: bool = True) -> None:
+    """``rows`` with a column ``cell`` as a table of a folder for each cell; cells of many rows get several files. Not ``many``: one cell, written as it lies."""
+    rows = rows.hint("rebalance", "cell") if many else rows
+    rows.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def radii(rows: DataFrame) -> dict[int, float]:

@@ -67,7 +67,7 @@ class Segments:
         rows = df.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
         path = self._path(name, self.last + 1)
         if name == "vectors":  # a folder for each cell of an index
-            ivf.write(rows, path)
+            ivf.write(rows, path, self.quantiser is not None)
             return self.spark.read.schema(schema).parquet(path)
         if name == "postings":  # they lie by term, so that a search reads its terms' neighbourhood only
             rows = rows.repartitionByRange(F.col("term")).sortWithinPartitions("term")
