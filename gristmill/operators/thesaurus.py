@@ -1,17 +1,18 @@
 """Query expansion by a thesaurus that is a table, of keys by the hundred thousand.
 
 All keys that a text holds are found in one pass over it, by an automaton of all keys
-(Aho and Corasick's). That is sent out up to a size; beyond it texts are cut into
-substrings of each length that keys have, which meet the keys in a join.
+(Aho and Corasick's), and the text's terms are taken in the same row. The table is sent
+out up to a size; beyond it texts are cut into substrings of each length that keys have,
+which meet the keys in a join, and come back to their text as one row.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,6 +62,40 @@ class Automaton:
         return out
 
 
+class Keys:
+    """The ``keys`` in texts. Those without white space are looked for word by word, and what a word holds is remembered: words repeat."""
+
+    def __init__(self, keys: list[str], most: int = 1 << 16, longest: int = 64):
+        parts = [i for i, k in enumerate(keys) if k.split() == [k]], [i for i, k in enumerate(keys) if k.split() != [k]]
+        self.within, self.across = ((own, Automaton([keys[i] for i in own])) for own in parts)
+        self.least = min((len(keys[i]) for i in parts[0]), default=0)
+        self.starts = {keys[i][: self.least] for i in parts[0]}  # a word that has none of them holds no key
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.most, self.longest = most, longest
+
+    def found(self, text: str) -> set[int]:
+        own, automaton = self.within
+        out: set[int] = set()
+        n, starts = self.least, self.starts
+        for word in set(text.split()) if own else ():
+            if len(word) < n:
+                continue
+            held = self.known.get(word)
+            if held is None:
+                some = not starts.isdisjoint([word[i : i + n] for i in range(len(word) - n + 1)])
+                held = tuple(own[i] for i in automaton.found(word)) if some else ()
+                if len(word) <= self.longest:
+                    if len(self.known) >= self.most:
+                        self.known.clear()
+                    self.known[word] = held
+            if held:
+                out.update(held)
+        own, automaton = self.across
+        if own:
+            out.update(own[i] for i in automaton.found(text))
+        return out
+
+
 def _cut(n: int) -> Column:
     """The distinct substrings of ``n`` characters of a text of as many or more."""
     starts = F.sequence(F.lit(1), F.length("text") - n + 1)
@@ -86,12 +121,12 @@ def held_keys(texts: DataFrame, keys: DataFrame, most_sent: int = 8 << 20) -> Da
     sent = texts.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = None
+        finder = None
         for batch in batches:
-            automaton = automaton or Automaton(sent.value)
+            finder = finder or Keys(sent.value)
             ids, found = [], []
             for query, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = sorted(automaton.found(text))
+                own = sorted(finder.found(text))
                 ids += [query] * len(own)
                 found += [sent.value[i] for i in own]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["query_id", "key"])
@@ -99,6 +134,20 @@ def held_keys(texts: DataFrame, keys: DataFrame, most_sent: int = 8 << 20) -> Da
     return texts.mapInArrow(run, "query_id string, key string")
 
 
+def _taken(low: str, entries: Iterable[tuple[str, list[str | None], list[str | None]]], most: int) -> tuple[list[str], list[str]]:
+    """(terms, matched) of a lower-cased text, from the (key, terms, lower-cased terms) that it holds, in order."""
+    terms: dict[str, None] = {}
+    matched: list[str] = []
+    for key, own, lowered in entries:
+        if len(terms) >= most:
+            break
+        matched.append(key)
+        for term, small in zip(own, lowered, strict=True):
+            if term is not None and term not in terms and small not in low:
+                terms[term] = None
+    return list(terms)[:most], matched
+
+
 def expand_by_table(
     queries: DataFrame, thesaurus: DataFrame, max_terms: int = 12, most_sent: int = 8 << 20, cut: Callable[[DataFrame], DataFrame] = lambda df: df
 ) -> DataFrame:
@@ -107,29 +156,44 @@ def expand_by_table(
     Longest keys come first, of equal lengths the first by code point; of rows that
     repeat a key the least terms count. Each term stands once, and not where the text
     (lower-cased) holds it already; ``matched`` has the keys looked at before the terms
-    were ``max_terms``.
+    were ``max_terms``. A text's row is all that its terms need: nothing is shuffled where
+    keys and terms of up to ``most_sent`` characters are sent out. With more, a text's
+    keys meet it as one row, so queries should have different ids.
     """
-    known = thesaurus.where("key <> ''").groupBy("key").agg(F.min("terms").alias("terms"))
-    texts = queries.select(F.col("query_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
-    held = cut(held_keys(texts, known, most_sent).join(known, "key"))
-    own = Window.partitionBy("query_id")
-    order = [F.desc(F.length("key")), F.col("key")]
-    held = held.withColumn("place", F.row_number().over(own.orderBy(*order)))
-    rows = held.select("query_id", "key", "place", F.posexplode_outer("terms").alias("at", "term")).join(texts, "query_id")
-    fresh = F.col("term").isNotNull() & ~F.contains(F.lower("text"), F.lower("term"))
-    first = F.row_number().over(Window.partitionBy("query_id", "new").orderBy("place", "at")) == 1
-    rows = rows.withColumn("new", F.when(fresh, F.col("term"))).withColumn("counts", first & F.col("new").isNotNull())
-    upto = own.orderBy("place", "at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("n", F.sum(F.col("counts").cast("int")).over(upto))
-    # Before a key: what the rows of earlier places have added.
-    before = F.min(F.col("n") - F.col("counts").cast("int")).over(Window.partitionBy("query_id", "place"))
-    rows = rows.withColumn("before", before)
-    listed = lambda kept, value: F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("place", "at", F.col(value).alias("v"))))), lambda x: x["v"])
-    found = rows.groupBy("query_id").agg(
-        listed(F.col("counts") & (F.col("n") <= max_terms), "term").alias("terms"),
-        F.array_distinct(listed((F.col("before") < max_terms), "key")).alias("matched"),
-    )
     none = F.array().cast("array<string>")
-    out = texts.join(found, "query_id", "left").select("query_id", "text", *(F.coalesce(c, none).alias(c) for c in ("terms", "matched")))
+    known = thesaurus.where("key <> ''").groupBy("key").agg(F.coalesce(F.min("terms"), none).alias("terms")).withColumn("lowered", F.transform("terms", F.lower))
+    plain = F.octet_length("text") == F.length("text")  # lower-cased where it is read, others as Spark has it
+    texts = queries.select(F.col("query_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("low", F.when(~plain, F.lower("text")))
+    size = known.agg(F.sum(F.length("key") + F.aggregate("terms", F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0))))).first()[0] or 0
+    sent = None
+    if size <= most_sent:
+        table = sorted(((r.key, r.terms, r.lowered) for r in known.collect()), key=lambda e: (-len(e[0]), e[0]))
+        sent = queries.sparkSession.sparkContext.broadcast(table)
+    else:
+        entry = F.struct((-F.length("key")).alias("n"), "key", "terms", "lowered")
+        held = cut(held_keys(texts, known, 0).join(known, "key").groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("entries")))
+        texts = texts.join(held, "query_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                kept, matched = [], []
+                held = [None] * part.num_rows if sent else part.column(3).to_pylist()
+                for text, low, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), held, strict=True):
+                    if sent:
+                        finder = finder or Keys([e[0] for e in sent.value])
+                        entries = (sent.value[i] for i in sorted(finder.found(text)))
+                    else:
+                        entries = ((e["key"], e["terms"], e["lowered"]) for e in own or [])
+                    terms, keys = _taken(text.lower() if low is None else low, entries, max_terms)
+                    kept.append(terms)
+                    matched.append(keys)
+                lists = [pa.array(v, pa.list_(pa.string())) for v in (kept, matched)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["query_id", "text", "terms", "matched"])
+
+    out = texts.mapInArrow(run, "query_id string, text string, terms array<string>, matched array<string>")
     widened = F.when(F.size("terms") > 0, F.concat_ws(" ", "text", F.concat_ws(" ", "terms"))).otherwise(F.col("text"))
     return out.select("query_id", widened.alias("query"), "terms", "matched")

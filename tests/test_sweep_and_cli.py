@@ -36,6 +36,35 @@ def test_table_and_expression_agree(spark, most_sent):
     assert got == want and max(len(t) for _, t, _ in got.values()) == 12
 
 
+@pytest.mark.parametrize("most_sent", [1 << 20, 0])
+def test_table_of_odd_keys(spark, most_sent):
+    """Keys with white space, terms of null, none or twice, and lower-casing as Spark has it."""
+    table = [("new york", ["NYC", None, "nyc"]), ("york", None), ("ab", []), ("b\u3000c", ["wide"]), ("ork", ["İx", "NYC"])]
+    table = spark.createDataFrame(table, "key string, terms array<string>")
+    df = spark.createDataFrame([("1", "in new york ab"), ("2", "new\nyork İX"), ("3", "b\u3000c b c"), ("4", "zab NYC york")], "query_id string, text string")
+    got = {r.query_id: (r.terms, r.matched) for r in thesaurus.expand_by_table(df, table, most_sent=most_sent).collect()}
+    assert got == {"1": (["NYC", "nyc", "İx"], ["new york", "york", "ork", "ab"]), "2": (["NYC"], ["york", "ork"]), "3": (["wide"], ["b\u3000c"]), "4": (["İx"], ["york", "ork", "ab"])}
+
+
+def test_terms_are_taken_in_the_row(spark, capsys):
+    """A text is not copied to its terms' rows, nor shuffled."""
+    table = spark.createDataFrame([(f"k{i}", [f"t{i}", f"u{i}"]) for i in range(9)], "key string, terms array<string>")
+    df = spark.createDataFrame([(str(i), f"k1 k2 k{i} " * 9) for i in range(9)], "query_id string, text string")
+    thesaurus.expand_by_table(df, table).explain()
+    plan = capsys.readouterr().out
+    assert not any(word in plan for word in ("Exchange", "Window", "Join", "Generate"))
+
+
+def test_keys_word_by_word():
+    rng = random.Random(3)
+    for _ in range(40):
+        keys = sorted({"".join(rng.choice("ab \u3000") for _ in range(rng.randint(1, 4))) for _ in range(12)})
+        finder = thesaurus.Keys(keys, most=3, longest=3)
+        for _ in range(20):
+            text = "".join(rng.choice("abc \n\u3000") for _ in range(rng.randint(0, 30)))
+            assert finder.found(text) == {i for i, k in enumerate(keys) if k in text}
+
+
 def test_settings_in_one_plan(spark):
     chunks = spark.createDataFrame([(f"c{i}", f"w{i % 7} w{i % 5} " * (1 + i % 4) + f"w{i % 3}") for i in range(80)], "chunk_id string, text string")
     queries = spark.createDataFrame([("1", "w1 w2 w4"), ("2", "w6 w3"), ("3", "none")], "query_id string, text string")
