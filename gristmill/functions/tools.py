@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,15 +128,22 @@ def shown(value: float) -> str:
     return str(round(value)) if abs(value - round(value)) < 1e-9 else f"{value:.10g}"
 
 
-@F.pandas_udf(_EVALUATED)
-def evaluated(expressions: pd.Series) -> pd.DataFrame:
-    rows = []
-    for e in expressions:
-        try:
-            rows.append((True, shown(safe_eval(e)), ""))
-        except (ToolError, RecursionError) as error:
-            rows.append((False, "", str(error)))
-    return pd.DataFrame(rows, columns=["ok", "value", "error"])
+@lru_cache(1 << 14)
+def _called(expression: str | None) -> tuple[bool, str, str]:
+    try:
+        return True, shown(safe_eval(expression)), ""
+    except (ToolError, RecursionError) as error:
+        return False, "", str(error)
+
+
+@F.arrow_udf(_EVALUATED)
+def evaluated(expressions: pa.Array) -> pa.Array:
+    """Each distinct expression of a batch is evaluated once."""
+    told = expressions.dictionary_encode()
+    rows = [_called(e) for e in (*told.dictionary.to_pylist(), None)]
+    kinds = [pa.bool_(), pa.string(), pa.string()]
+    found = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["ok", "value", "error"])
+    return found.take(told.indices.fill_null(len(rows) - 1))
 
 
 def _result(ok: Column, value: Column, error: Column) -> Column:
@@ -153,31 +162,46 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), key)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def convert_unit(value: Column, src: Column, dst: Column) -> Column:
     """Lengths, masses and temperatures; null where there is no conversion."""
-    s, d = F.lower(F.trim(src)), F.lower(F.trim(dst))
-    a, b = _lookup(SCALES, s), _lookup(SCALES, d)
-    celsius = F.when(a == "F", (value - 32.0) * 5.0 / 9.0).when(a == "K", value - 273.15).otherwise(value)
-    heat = F.when(b == "F", celsius * 9.0 / 5.0 + 32.0).when(b == "K", celsius + 273.15).otherwise(celsius)
-    length = value * _lookup(METRES, s) / _lookup(METRES, d)
-    mass = value * _lookup(KILOGRAMS, s) / _lookup(KILOGRAMS, d)
-    return F.when(a.isNotNull() & b.isNotNull(), heat).otherwise(F.coalesce(length, mass))
+    named = F.struct(value.cast("double").alias("v"), F.lower(F.trim(src)).alias("s"), F.lower(F.trim(dst)).alias("d"))
+
+    def converted(x: Column) -> Column:
+        value, s, d = x["v"], x["s"], x["d"]
+        a, b = _lookup(SCALES, s), _lookup(SCALES, d)
+        celsius = F.when(a == "F", (value - 32.0) * 5.0 / 9.0).when(a == "K", value - 273.15).otherwise(value)
+        heat = F.when(b == "F", celsius * 9.0 / 5.0 + 32.0).when(b == "K", celsius + 273.15).otherwise(celsius)
+        length = value * _lookup(METRES, s) / _lookup(METRES, d)
+        mass = value * _lookup(KILOGRAMS, s) / _lookup(KILOGRAMS, d)
+        return F.when(a.isNotNull() & b.isNotNull(), heat).otherwise(F.coalesce(length, mass))
+
+    return _bound(named, converted)
 
 
 def _parts(payload: Column) -> Column:
-    return F.filter(F.split(payload, r"\s+"), lambda x: x != "")
+    return F.regexp_extract_all(payload, F.lit(r"\S+"), F.lit(0))
 
 
 def unit_tool(payload: Column) -> Column:
-    p = _parts(payload)
-    number = F.get(p, 0).try_cast("double")
-    value = convert_unit(number, F.get(p, 1), F.get(p, 2))
-    error = (
-        F.when(F.size(p) != 3, F.lit("expected '<value> <from> <to>'"))
-        .when(number.isNull(), F.concat(F.lit("could not convert string to float: '"), F.get(p, 0), F.lit("'")))
-        .otherwise(F.concat(F.lit("no conversion from "), F.get(p, 1), F.lit(" to "), F.get(p, 2)))
-    )
-    return _result((F.size(p) == 3) & value.isNotNull(), F.concat(format_number(value), F.lit(" "), F.lower(F.get(p, 2))), error)
+    def parsed(p: Column) -> Column:
+        number = F.get(p, 0).try_cast("double")
+        return F.struct(p.alias("p"), number.alias("number"), convert_unit(number, F.get(p, 1), F.get(p, 2)).alias("value"))
+
+    def told(x: Column) -> Column:
+        p, number, value = x["p"], x["number"], x["value"]
+        error = (
+            F.when(F.size(p) != 3, F.lit("expected '<value> <from> <to>'"))
+            .when(number.isNull(), F.concat(F.lit("could not convert string to float: '"), F.get(p, 0), F.lit("'")))
+            .otherwise(F.concat(F.lit("no conversion from "), F.get(p, 1), F.lit(" to "), F.get(p, 2)))
+        )
+        return _result((F.size(p) == 3) & value.isNotNull(), F.concat(format_number(value), F.lit(" "), F.lower(F.get(p, 2))), error)
+
+    return _bound(_bound(_parts(payload), parsed), told)
 
 
 def parse_date(token: Column) -> Column:
@@ -191,18 +215,23 @@ def days_between(a: Column, b: Column) -> Column:
 
 
 def date_tool(payload: Column) -> Column:
-    p = _parts(payload)
-    days = days_between(F.get(p, 0), F.get(p, 1))
-    bad = F.when(parse_date(F.get(p, 1)).isNull(), F.get(p, 1)).otherwise(F.get(p, 0))
-    error = F.when(F.size(p) != 2, F.lit("expected '<date-a> <date-b>'")).otherwise(F.concat(F.lit("unsupported date format: "), bad))
-    return _result((F.size(p) == 2) & days.isNotNull(), F.concat(F.abs(days).cast("string"), F.lit(" 天")), error)
+    def parsed(p: Column) -> Column:
+        return F.struct(p.alias("p"), parse_date(F.get(p, 0)).alias("a"), parse_date(F.get(p, 1)).alias("b"))
+
+    def told(x: Column) -> Column:
+        p, days = x["p"], F.datediff(x["b"], x["a"])
+        bad = F.when(x["b"].isNull(), F.get(p, 1)).otherwise(F.get(p, 0))
+        error = F.when(F.size(p) != 2, F.lit("expected '<date-a> <date-b>'")).otherwise(F.concat(F.lit("unsupported date format: "), bad))
+        return _result((F.size(p) == 2) & days.isNotNull(), F.concat(F.abs(days).cast("string"), F.lit(" 天")), error)
+
+    return _bound(_bound(_parts(payload), parsed), told)
 
 
 def invoke(tool: Column, payload: Column) -> Column:
     """(ok, value, error) of the tool by that name."""
     unknown = _result(F.lit(False), F.lit(""), F.concat(F.lit("unknown tool: "), tool))
     return (
-        F.when(tool == "calculator", calculator(payload))
+        F.when(tool == "calculator", calculator(F.when(tool == "calculator", payload)))  # a UDF gets every row, so others come as null
         .when(tool == "unit_convert", unit_tool(payload))
         .when(tool == "date_diff", date_tool(payload))
         .otherwise(unknown)

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,19 @@ def test_routes(spark):
     assert [(r.r.kind, r.r.payload) for r in got] == [(k, p) for _, k, p in ROUTED]
     off = df.select(routing.route(F.col("q"), False)["kind"].alias("k")).distinct().collect()
     assert [r.k for r in off] == ["retrieve"]
+
+
+def test_only_the_calculator_s_payloads_reach_it(spark, monkeypatch):
+    """Rows of other tools go to the UDF as null, and equal expressions are evaluated once."""
+    seen = pa.array(["1+1", None, "1+1", "2/0"])
+    asked = []
+    monkeypatch.setattr(tools, "_called", lambda e: asked.append(e) or (True, "x", ""))
+    assert tools.evaluated.func(seen).field("value").to_pylist() == ["x"] * 4
+    assert sorted(map(str, asked)) == ["1+1", "2/0", "None"]
+    df = spark.createDataFrame([("date_diff", "x")], "tool string, payload string").select(tools.invoke(F.col("tool"), F.col("payload")))
+    assert "evaluated(CASE WHEN (tool" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_are_split_once(spark):
+    plan = spark.range(1).select(tools.date_tool(F.concat(F.col("id").cast("string"), F.lit(" x"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(cast(id") == 1
