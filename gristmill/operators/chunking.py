@@ -10,7 +10,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,11 +105,22 @@ def chunk(text: str, size: int = 800, overlap: int = 120) -> Iterator[tuple[int,
             n += 1
 
 
+def stretches(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch (key, text) in stretches of whole rows of about ``most`` bytes of text, so that what is made of one stays small."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
     """Chunks of ``docs`` (doc_id, text): chunk_id, doc_id, text, ordinal, heading, meta, start, end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in stretches(whole)):
             rows: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for values in chunk(text or "", size, overlap):

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,3 +37,13 @@ def test_sql_function_and_table(spark):
     table = chunking.chunk_documents(docs, 300, 50).collect()
     assert [(r.ordinal, r.start, r.end, r.heading, r.text) for r in rows] == [(r.ordinal, r.start, r.end, r.heading, r.text) for r in table]
     assert {r.heading for r in table} == {"Title"} and table[1].chunk_id == "d#1"
+
+
+def test_stretches_are_small_and_whole():
+    """What is made of a batch leaves in stretches of bounded bytes, a longer text alone."""
+    texts = ["x" * 300, None, "", "y" * 900, "é" * 100, "z" * 10] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(30))), pa.array(texts)], ["doc_id", "text"]).slice(1)
+    parts = list(chunking.stretches(batch, 500))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 5
+    for part in parts:
+        assert part.num_rows == 1 or sum(len((t or "").encode()) for t in part.column(1).to_pylist()) <= 500
