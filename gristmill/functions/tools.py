@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fixed import KILOGRAMS, METRES, SCALES
-from .text import format_number
+from .text import bound, format_number
 
 MAX_EXPONENT = 64
 
@@ -162,11 +161,6 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), key)
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def convert_unit(value: Column, src: Column, dst: Column) -> Column:
     """Lengths, masses and temperatures; null where there is no conversion."""
     named = F.struct(value.cast("double").alias("v"), F.lower(F.trim(src)).alias("s"), F.lower(F.trim(dst)).alias("d"))
@@ -180,7 +174,7 @@ def convert_unit(value: Column, src: Column, dst: Column) -> Column:
         mass = value * _lookup(KILOGRAMS, s) / _lookup(KILOGRAMS, d)
         return F.when(a.isNotNull() & b.isNotNull(), heat).otherwise(F.coalesce(length, mass))
 
-    return _bound(named, converted)
+    return bound(named, converted)
 
 
 def _parts(payload: Column) -> Column:
@@ -201,7 +195,7 @@ def unit_tool(payload: Column) -> Column:
         )
         return _result((F.size(p) == 3) & value.isNotNull(), F.concat(format_number(value), F.lit(" "), F.lower(F.get(p, 2))), error)
 
-    return _bound(_bound(_parts(payload), parsed), told)
+    return bound(bound(_parts(payload), parsed), told)
 
 
 def parse_date(token: Column) -> Column:
@@ -224,7 +218,7 @@ def date_tool(payload: Column) -> Column:
         error = F.when(F.size(p) != 2, F.lit("expected '<date-a> <date-b>'")).otherwise(F.concat(F.lit("unsupported date format: "), bad))
         return _result((F.size(p) == 2) & days.isNotNull(), F.concat(F.abs(days).cast("string"), F.lit(" 天")), error)
 
-    return _bound(_bound(_parts(payload), parsed), told)
+    return bound(bound(_parts(payload), parsed), told)
 
 
 def invoke(tool: Column, payload: Column) -> Column:

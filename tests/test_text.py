@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
+from gristmill.operators import chunking
+from gristmill.plans.catalog import queries
 
 
 def one(spark, column, **values):
@@ -69,3 +73,18 @@ def test_slices_and_excerpt(spark):
     assert one(spark, text.slices("t"), t="") == []
     assert one(spark, text.best_excerpt("q", "t"), q="blue whale", t="red fish! the blue whale? blue") == "the blue whale?"
     assert one(spark, text.approx_tokens("t"), t="线程abcd") == 4
+
+
+def test_sentences_of_odd_and_long_texts(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("ab. ;?\n。！\u3000\x85\t\x1c") for _ in range(rng.randint(0, 40))),) for _ in range(400)]
+    rows += [("word " * 50_000,), ("One two; " * 20_000,), (" ;" * 20_000,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert all(r.s == chunking.sentences(r.t) for r in df.select("t", text.sentences("t").alias("s")).collect())
+    plan = df.select(text.sentences("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan  # an array that grows by a copy for each sentence takes the square of their number
+
+
+def test_sentence_counts_of_null(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, "One two. No.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, queries()["sentence_split_counts"](spark, str(tmp_path)).collect())) == [(1, None, 0), (2, 1, 12)]
