@@ -88,3 +88,21 @@ def test_sentences_of_odd_and_long_texts(spark):
 def test_sentence_counts_of_null(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, "One two. No.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, queries()["sentence_split_counts"](spark, str(tmp_path)).collect())) == [(1, None, 0), (2, 1, 12)]
+
+
+def test_pairs_of_next_ids(spark, tmp_path):
+    """Ids with gaps, repeats and null, below zero and over the ends of blocks; each text is shuffled once and tokenised once."""
+    rng = random.Random(5)
+    ids = [None, -65, -64, -1, 0, 1, 63, 64, 64, 65, 65, 127, 128, 130, 2**40 + 63, 2**40 + 64]
+    rows = [(i, None if n == 4 else " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 6)))) for n, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries()["jaccard_pairs"](spark, str(tmp_path))
+    want = []
+    for i, a in rows:
+        for j, b in rows:
+            if i is not None and j == i + 1:
+                a_, b_ = set((a or "").split()), set((b or "").split())
+                want.append((i, round(len(a_ & b_) / len(a_ | b_), 6) if a_ | b_ else 1.0, round(len(a_ & b_) / len(a_), 6) if a_ else 0.0))
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
