@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
+from gristmill.functions.fixed import CJK
 from gristmill.operators import chunking
 from gristmill.plans.catalog import queries
 
@@ -106,3 +107,15 @@ def test_pairs_of_next_ids(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Relation") == 1
+
+
+def test_tokens_as_by_plain_patterns(spark):
+    rng = random.Random(6)
+    rows = [("".join(rng.choice("aB1_-+#. ,éÑß猫混ーかㄱ가㐀豈٣²\n☂\U00020000İ") for _ in range(rng.randint(0, 40))),) for _ in range(400)]
+    flat = F.regexp_replace(F.lower("t"), f"[{CJK}]", " ")
+    plain = F.regexp_extract_all(flat, F.lit(r"[\p{L}\p{N}_\-+#.]+"), F.lit(0))
+    runs = F.regexp_extract_all("t", F.lit(f"[{CJK}]+"), F.lit(0))
+    found = spark.createDataFrame(rows, "t string").select(text.latin_runs("t").alias("a"), plain.alias("b"), F.array_join(text.cjk_bigrams("t"), " ").alias("c"), runs.alias("d")).collect()
+    for r in found:
+        assert r.a == r.b and r.c == " ".join(run[i : i + 2] for run in r.d for i in range(max(1, len(run) - 1)))
+    assert "regexp_replace" not in spark.range(1).select(text.tokenize(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()  # one pattern over a text
