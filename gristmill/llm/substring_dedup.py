@@ -26,11 +26,12 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_bytes, doc_key, slices, table, tidy
+from .common import Scratch, doc_key, slices, table, thin_batches, tidy
 
 K, GAP_COST, DROP = 4, 0.1, 12
 #: Of all runs so many tenths are seeds, and the least of so many in a row that have none.
@@ -44,48 +45,101 @@ ALIKE = 9
 MARGIN = 64
 
 
-class WordHashes(dict):
-    """Word hashes of texts, kept from text to text within a bound."""
+def _word_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH3 (64 bits, seed 0) of the words of ``size`` bytes at ``at``, none empty; ``data`` goes on for 8 bytes beyond the last.
+
+    The three forms of up to 16 bytes, which nearly all words are of, go over arrays.
+    """
+    out = np.empty(len(at), np.uint64)
+    low, half = np.uint64(2**32 - 1), np.uint64(32)
+    four = lambda i: np.ndarray(len(data) - 3, "<u4", data, strides=(1,))[i].astype(np.uint64)
+    eight = lambda i: np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[i]
+
+    i = np.flatnonzero(size <= 3)
+    p, n = at[i], size[i]
+    first, mid, last = (data[q].astype(np.uint64) for q in (p, p + (n >> 1), p + n - 1))
+    h = (first << np.uint64(16) | mid << np.uint64(24) | last | n.astype(np.uint64) << np.uint64(8)) ^ np.uint64(0x87275A9B)
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0x165667B19E3779F9)
+    out[i] = h ^ h >> half
+
+    i = np.flatnonzero((size > 3) & (size <= 8))
+    p, n = at[i], size[i]
+    h = (four(p + n - 4) + (four(p) << half)) ^ np.uint64(0xC73AB174C5ECD5A2)
+    h ^= (h << np.uint64(49) | h >> np.uint64(15)) ^ (h << np.uint64(24) | h >> np.uint64(40))
+    h *= np.uint64(0x9FB21C651E98DF25)
+    h = (h ^ (h >> np.uint64(35)) + n.astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+    out[i] = h ^ h >> np.uint64(28)
+
+    i = np.flatnonzero((size > 8) & (size <= 16))
+    p, n = at[i], size[i]
+    x, y = eight(p) ^ np.uint64(0x6782737BEA4239B9), eight(p + n - 8) ^ np.uint64(0xAF56BC3B0996523A)
+    xl, xh, yl, yh = x & low, x >> half, y & low, y >> half  # the upper half of the product of 128 bits
+    mid = (xl * yl >> half) + xh * yl
+    upper = (mid >> half) + ((mid & low) + xl * yh >> half) + xh * yh
+    h = n.astype(np.uint64) + x.byteswap() + y + (x * y ^ upper)
+    h = (h ^ h >> np.uint64(37)) * np.uint64(0x165667919E3779F9)
+    out[i] = h ^ h >> half
+
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + size[i]])
+    return out
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        if len(self) > 400_000:
-            self.clear()
-        words = (text or b"").translate(LOWER).split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: the bytes of all their words, A-Z lower-cased; each word's place in these and size; how many words each text has."""
+    per_text = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = per_text.flatten()
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, kind)[words.offset :][: len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    size = np.diff(ends)
+    some = size > 0  # white space at an end leaves an empty one
+    number = np.diff(np.concatenate(([0], np.cumsum(some)))[np.cumsum(np.concatenate(([0], per_text.value_lengths().to_numpy())))])
+    data = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]) if len(words) and data else np.zeros(8, np.uint8)
+    return data, ends[:-1][some], size[some], number
 
 
-def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seed hashes and places: three tenths of all runs, by their hashes, and the least of each window that has none of these; every place in the text."""
-    n = len(h) - K + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def seeds(h: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of so many words, with their hashes one after another: seed hashes, whose text each is, its place there, and what stands beside it.
+
+    Seeds are three tenths of all runs, by their hashes, and the least of each window that has none of these.
+    """
+    # Texts stand apart by a gap, in which no run and no window begins.
+    begin = np.cumsum(number) - number + BESIDE * np.arange(1, len(number) + 1)
+    at = np.arange(len(h)) + np.repeat(BESIDE * np.arange(1, len(number) + 1), number)
+    left = np.repeat(begin + number, number) - at
+    apart = np.zeros(len(h) + BESIDE * (len(number) + 1), np.uint64)
+    apart[at] = h
+    n = len(apart) - K + 1
     run = np.zeros(n, np.uint64)
     for i in range(K):
-        run = run * _MULTIPLIER + h[i : n + i]
+        run = run * _MULTIPLIER + apart[i : n + i]
     run = (run ^ (run >> np.uint64(32))) * _MULTIPLIER
     run ^= run >> np.uint64(29)
+    none = np.ones(n, bool)
+    none[at[left >= K]] = False
+    run[none] = np.uint64(2**64 - 1)
     chosen = run < np.uint64((TENTHS << 64) // 10)
-    views = np.lib.stride_tricks.sliding_window_view(run, min(WINDOW, n))
     total = np.concatenate(([0], np.cumsum(chosen)))
-    bare = np.flatnonzero(total[views.shape[1] :] == total[: len(views)])
-    chosen[bare + views[bare].argmin(axis=1)] = True
+    # A text of fewer runs than a window is one.
+    start = np.concatenate([at[left >= K + WINDOW - 1], begin[(number >= K) & (number < K + WINDOW - 1)]])
+    bare = start[total[start + WINDOW] == total[start]]
+    chosen[bare + np.lib.stride_tricks.sliding_window_view(run, WINDOW)[bare].argmin(axis=1)] = True
     at = np.flatnonzero(chosen)
-    return run[at], at
+    text = np.searchsorted(begin, at, side="right") - 1
+    return run[at], text, at - begin[text], beside(apart, at)
 
 
-def beside(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def beside(apart: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Two bits of each of the BESIDE words after (upper half) and before the seeds at ``at``, the nearest first; 0 beyond the text."""
-    bits = np.zeros(len(h) + 2 * BESIDE, np.uint64)
-    bits[BESIDE:-BESIDE] = (h * _MULTIPLIER) >> np.uint64(62)
-    right, left = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for i in range(BESIDE):
-        right = right << np.uint64(2) | bits[at + BESIDE + K + i]
-        left = left << np.uint64(2) | bits[at + BESIDE - 1 - i]
-    return (right << np.uint64(32) | left).view(np.int64)
+    right = left = ((apart * _MULTIPLIER) >> np.uint64(62)).astype(np.uint32)
+    size = 1
+    while size < BESIDE:  # of twice as many words
+        right = right[:-size] << np.uint32(2 * size) | right[size:]
+        left = left[size:] << np.uint32(2 * size) | left[:-size]
+        size *= 2
+    return (right[at + K].astype(np.uint64) << np.uint64(32) | left[at - BESIDE]).view(np.int64)
 
 
 def _best_ends(a: list[int], b: list[int]) -> tuple[list[float], list[int]]:
@@ -240,53 +294,61 @@ def _seeded(docs: DataFrame) -> DataFrame:
     """(seed, text, at, beside), each text once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done, gap = WordHashes(), set(), np.zeros(BESIDE, np.uint64)
+        done = set()
         for batch in batches:
             for part in slices(batch, 512, 1 << 20):
-                out, all_, at, size = [], [], [], 0  # the texts of a part one after another, apart by a gap
-                for text, body in zip(part.column(0).to_pylist(), as_bytes(part.column(1)).to_pylist(), strict=True):
+                keys, new = part.column(0).to_numpy(), []
+                for i, text in enumerate(keys.tolist()):
                     if text in done:
                         continue
                     if len(done) > 200_000:
                         done.clear()
                     done.add(text)
-                    h = words.of(body)
-                    s, p = seeds(h)
-                    if len(s):
-                        out.append((s.view(np.int64), np.full(len(s), text, np.int64), p))
-                        all_ += [h, gap]
-                        at.append(p + size)
-                        size += len(h) + BESIDE
-                if out:
-                    made = [np.concatenate(c) for c in zip(*out, strict=True)]
-                    made.append(beside(np.concatenate(all_), np.concatenate(at)))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], _SEEDED)
+                    new.append(i)
+                if new:
+                    new = np.array(new)
+                    data, at, size, number = _split(part.column(1).take(pa.array(new)))
+                    seed, text, place, around = seeds(_word_hashes(data, at, size), number)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (seed.view(np.int64), keys[new[text]], place, around)], _SEEDED)
 
     return docs.select("text_key", "text").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in _SEEDED))
 
 
-def _dense(rows: np.ndarray, step: int = 8) -> np.ndarray:
-    """Which rows, but the first and the last, stand within a few words of others of the same seed, text and surroundings.
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc, text_key, n): how many words a text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 512, 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_split(part.column(2))[3])], ["doc", "text_key", "n"])
+
+    return docs.select("doc", "text_key", "text").mapInArrow(tidy(run), "doc long, text_key long, n long")
+
+
+def _dense(rows: np.ndarray, origin: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows, but the first and the last, stand within a few words of others of the same seed, text and surroundings; and where each row's like ones begin, those of the first at ``origin``.
 
     These come from periodic text: what is aligned from a row near by covers them too.
     """
     like = (rows[:, 1:] == rows[:, :-1])[[0, 1, 3]].all(axis=0)
     first = np.maximum.accumulate(np.where(np.concatenate(([True], ~like)), np.arange(rows.shape[1]), 0))
-    part = (rows[2] - rows[2, first]) // step
-    return like[:-1] & like[1:] & (part[1:-1] == part[:-2]) & (rows[2, 2:] - rows[2, 1:-1] <= step)
+    begin = np.where(first > 0, rows[2, first], origin)
+    part = (rows[2] - begin) // step
+    return like[:-1] & like[1:] & (part[1:-1] == part[:-2]) & (rows[2, 2:] - rows[2, 1:-1] <= step), begin
 
 
 def _shared(seeded: DataFrame) -> DataFrame:
-    """The seeds that several texts hold, less repeated and dense rows. Streams through sorted rows, of which it keeps one."""
+    """The seeds that several texts hold, less repeated and dense rows. Streams through sorted rows, of which it keeps two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_ = None, False  # the last row, and whether its seed is known to be shared
-        for batch in batches:
-            if not batch.num_rows:
+        held, open_, begin = np.empty((len(_SEEDED), 0), np.int64), False, None  # the last rows, whether their seed is known to be shared, and where their like ones begin
+        for last, batch in _with_last(batches):
+            rows = held
+            if batch is not None:
+                rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(len(_SEEDED))])], axis=1)
+            if not rows.shape[1]:
                 continue
-            rows = np.stack([batch.column(i).to_numpy() for i in range(len(_SEEDED))])
-            if held is not None:
-                rows = np.concatenate([held, rows], axis=1)
+            rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))]
             seed, text = rows[:2]
             here = np.arange(len(seed))
             new = np.concatenate(([True], seed[1:] != seed[:-1]))
@@ -295,18 +357,17 @@ def _shared(seeded: DataFrame) -> DataFrame:
             # A seed is shared if any of its rows is of another text than its first.
             group = np.cumsum(new) - 1
             shared = np.bincount(group, weights=other, minlength=group[-1] + 1) > 0
-            if open_:
-                shared[0] = True
+            shared[0] |= open_
             keep = shared[group]
-            keep[1:] &= (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-            if held is not None and open_:
-                keep[0] = False  # sent before
-            keep[1:-1] &= ~_dense(rows)
+            dense, begin = _dense(rows, rows[2, 0] if begin is None else begin[-held.shape[1]])
+            keep[1:-1] &= ~dense
+            keep[0] &= not open_  # sent before, or dense
             open_ = bool(shared[-1])
-            # Rows of a seed that isn't known to be shared yet wait: all are of one text, and the last may be shared later.
-            tail = first[-1] if not open_ else len(seed) - 1
-            keep[tail + (1 if open_ else 0) :] = False
-            held = rows[:, tail:].copy()
+            if not last:
+                # The last row waits for the next, with the one before it; all rows of a seed that isn't known to be shared yet wait, they are of one text.
+                tail = len(seed) - 1 if open_ else first[-1]
+                keep[tail:] = False
+                held = rows[:, tail - open_ :].copy()
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, keep]], _SEEDED)
 
@@ -487,16 +548,22 @@ def _pieces(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     joined = texts.join(per_text, texts.text_key == per_text.text).select(per_text.text, texts.body, "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             for part in slices(batch, 256, 1 << 20):
-                out = []
-                for key, body, ranges in zip(part.column(0).to_pylist(), as_bytes(part.column(1)).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    h = words.of(body).astype(np.uint32).view(np.int32)
-                    out += [(key, r["lo"], r["hi"], h[r["lo"] : r["hi"]]) for r in ranges]
-                cols = list(zip(*out, strict=True)) if out else [()] * 4
-                types = [pa.int64()] * 3 + [pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["text", "lo", "hi", "words"])
+                data, at, size, number = _split(part.column(1))
+                h = _word_hashes(data, at, size).astype(np.uint32).view(np.int32)
+                ranges = part.column(2)
+                owner = np.repeat(np.arange(len(number)), ranges.value_lengths().to_numpy())
+                lo, hi = (pc.struct_field(ranges.flatten(), c).to_numpy() for c in ("lo", "hi"))
+                start, end = (np.minimum(c, number[owner]) + (np.cumsum(number) - number)[owner] for c in (lo, hi))
+                upto = np.concatenate(([0], np.cumsum(end - start)))
+                i = 0
+                while i < len(owner):  # so many that their words take about 8 MB
+                    j = max(i + 1, int(np.searchsorted(upto, upto[i] + (1 << 21), side="right")) - 1)
+                    here = np.arange(upto[i], upto[j]) + np.repeat(start[i:j] - upto[i:j], end[i:j] - start[i:j])
+                    words = pa.ListArray.from_arrays(pa.array((upto[i : j + 1] - upto[i]).astype(np.int32)), pa.array(h[here]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[i:j])), pa.array(lo[i:j]), pa.array(hi[i:j]), words], ["text", "lo", "hi", "words"])
+                    i = j
 
     return joined.mapInArrow(tidy(run), "text long, lo long, hi long, words array<int>")
 
@@ -588,8 +655,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_part: int = 20,
     below all others.
     """
     scratch = Scratch(docs.sparkSession)
+    with thin_batches(docs.sparkSession):
+        return _passages(scratch, docs, min_words, min_part, similarity)
+
+
+def _passages(scratch: Scratch, docs: DataFrame, min_words: int, min_part: int, similarity: float) -> DataFrame:
     keyed = docs.where("text IS NOT NULL").select(doc_key().alias("doc"), F.xxhash64("text").alias("text_key"), "text")
-    owners = scratch.write(keyed.select("doc", "text_key", F.size(F.array_remove(F.split("text", r"[\x09-\x0D\x20]+"), "")).cast("long").alias("n")).distinct())
+    owners = scratch.write(_counted(keyed).distinct())
     firsts = scratch.write(owners.groupBy("text_key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")))
     shared = scratch.write(_shared(_seeded(keyed)))
     chained = scratch.write(_chained(_linked(shared, (min_part, similarity)), min_part))
