@@ -25,10 +25,13 @@ def blocked(rows: DataFrame, vec: str, name: str, size: int = 2 << 20, most: int
     return blocked_by(rows.withColumn("dim", F.size(vec)), ["dim"], name, per)
 
 
-def blocked_by(rows: DataFrame, by: list[str], name: str, per: Column | int) -> DataFrame:
-    """(``by``, ``name``, ``name``_rows): ``rows`` in blocks of about ``per`` with the same ``by``, of which there are few values."""
+def blocked_by(rows: DataFrame, by: list[str], name: str, per: Column | int, counts: DataFrame | None = None) -> DataFrame:
+    """(``by``, ``name``, ``name``_rows): ``rows`` in blocks of about ``per`` with the same ``by``, of which there are few values.
+
+    ``counts`` (``by``, n): how many rows these have, where that is known.
+    """
     per = F.lit(per) if isinstance(per, int) else per
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     counts = counts.select(*by, F.ceil(F.col("n") / per).cast("long").alias("n_blocks"))
     # A row for each value of ``by``: lengths of vectors, or cells of an index.
     rows = rows.join(F.broadcast(counts), by)
@@ -40,13 +43,17 @@ def blocked_by(rows: DataFrame, by: list[str], name: str, per: Column | int) ->
 
 
 def cells(points: DataFrame, queries: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(``by``, point, query, point_rows, query_rows): every block of points with every block of queries of the same ``by``."""
+    """(``by``, point, query, point_rows, query_rows): every block of points with every block of queries of the same ``by``.
+
+    The numbers of the blocks of points are sent out. The blocks are merged: Spark would send out a side whose files are small,
+    through the driver, though its rows may be many times larger where they repeat each other.
+    """
     by = by or ["dim"]
     counts = getattr(points, "_counts", None)  # blocks that are a table by now are read instead: their numbers only
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("point")
     places = points.select(*by, "point") if counts is None else counts.select(*by, numbers)
-    sent = places.join(queries, by).select(*by, "point", *(c for c in queries.columns if c not in by))
-    return points.join(sent, [*by, "point"])
+    sent = queries.join(F.broadcast(places), by).select(*by, "point", *(c for c in queries.columns if c not in by))
+    return points.join(sent.hint("merge"), [*by, "point"])
 
 
 class Side:

@@ -57,7 +57,10 @@ class InvertedFile:
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(centroids) + 1) * centroids.shape[1], pa.int32()), pa.array(centroids.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids), dtype=np.int32)), pa.array(np.full(len(centroids), probes, np.int32)), rows], ["at", "probes", "centroid"])
 
-        sample = vectors.orderBy(F.xxhash64(F.lit(seed), key), key).limit(self.sample).select(*FIELDS).coalesce(1)
+        # Hashes lie evenly: below this bound are a few more rows than wanted, so that the task that sorts them gets as many of any table.
+        hashed, few = F.xxhash64(F.lit(seed), key), self.sample + 10 * round(self.sample**0.5)
+        rows = vectors if n <= few else vectors.where(hashed < F.lit((few << 64) // n - (1 << 63)))
+        sample = rows.orderBy(hashed, key).limit(self.sample).select(*FIELDS).coalesce(1)
         made = sample.mapInArrow(learn, "at int, probes int, centroid array<double>").toArrow().sort_by("at")
         if not len(made):
             return Quantiser(np.zeros((1, 1)), 1)
@@ -135,12 +138,14 @@ def radii(rows: DataFrame) -> dict[int, float]:
     return {r.cell: r.radius for r in rows.groupBy("cell").agg(F.max("apart").alias("radius")).collect()}
 
 
-def _visits(queries: DataFrame, quantiser: Quantiser, held: dict[int, float], bounds: bool) -> DataFrame:
-    """Each query (query_id, slots, weights) with the cells that it visits: the nearest ones that have rows.
+def _visited(queries: DataFrame, quantiser: Quantiser, held: dict[int, float], bounds: bool) -> DataFrame:
+    """Each query (query_id, slots, weights) with ``cells``, the numbers of those that it visits: the nearest ones that have rows.
 
-    If ``bounds``, the others instead, as far as they may hold what is nearer than ``floor``, the query's least score so far.
+    If ``bounds``, the others instead, as far as they may hold what is nearer than ``floor``, the query's least score so far;
+    ``queries`` have the cells visited before. A row a query: its vector isn't repeated for each cell.
     """
     sent = queries.sparkSession.sparkContext.broadcast((quantiser, np.array(sorted(held)), np.array([held[c] for c in sorted(held)])))
+    columns = ["query_id", *FIELDS, "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, cell, radius = sent.value
@@ -148,32 +153,87 @@ def _visits(queries: DataFrame, quantiser: Quantiser, held: dict[int, float], bo
             for start in range(0, batch.num_rows, 1_024):
                 part = batch.slice(start, 1_024)
                 near = q.cosines(part.column(1), part.column(2))[:, cell]
-                first = np.argsort(-near, axis=1, kind="stable")[:, : q.probes]
                 visited = np.zeros(near.shape, bool)
-                np.put_along_axis(visited, first, True, axis=1)
                 if bounds:
+                    row, before = _flat(part.column(3))
+                    visited[row, np.searchsorted(cell, before)] = True
                     most = np.cos(np.maximum(0, np.arccos(near) - radius - 1e-9))
-                    visited = ~visited & (most >= part.column(3).to_numpy()[:, None] - 2e-6)
+                    visited = ~visited & (most >= part.column(4).to_numpy()[:, None] - 2e-6)
+                else:
+                    np.put_along_axis(visited, np.argsort(-near, axis=1, kind="stable")[:, : q.probes], True, axis=1)
                 i, j = np.nonzero(visited)
-                rows = [c.take(pa.array(i)) for c in part.columns[:3]]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(cell[j].astype(np.int32))], ["query_id", *FIELDS, "cell"])
+                ends = pa.array(np.searchsorted(i, np.arange(part.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(ends, pa.array(cell[j].astype(np.int32)))], columns)
+
+    rows = queries.select("query_id", *FIELDS, *(["cells", "floor"] if bounds else []))
+    return rows.mapInArrow(run, "query_id string, slots array<int>, weights array<double>, cells array<int>").where(F.size("cells") > 0)
+
+
+def _visits(queries: DataFrame, quantiser: Quantiser, held: dict[int, float], bounds: bool) -> DataFrame:
+    """(query_id, cell) of ``_visited``."""
+    return _visited(queries, quantiser, held, bounds).select("query_id", F.explode("cells").alias("cell"))
+
 
-    columns = ["query_id", *FIELDS, *(["floor"] if bounds else [])]
-    return queries.select(*columns).mapInArrow(run, "query_id string, slots array<int>, weights array<double>, cell int")
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of lists of numbers."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
 
 
-def _met(vectors: DataFrame, visits: DataFrame, k: int, digits: int) -> DataFrame:
-    """(query_id, chunk_id, score) of the vectors in the cells that queries visit. The cells visited are a filter of the scan."""
-    wanted = [r.cell for r in visits.select("cell").distinct().collect()]  # as many as the quantiser has
-    points = blocked_by(vectors.where(F.col("cell").isin(wanted)).select("chunk_id", *FIELDS, "cell"), ["cell"], "point", 2_048)
-    asked = blocked_by(visits, ["cell"], "query", 512)
+def _dealt(asked: DataFrame, cell: np.ndarray, shelf: np.ndarray) -> DataFrame:
+    """Queries with ``cells``, a row for each shelf that has some of these. ``cell``, ascending, with its ``shelf``; others have no rows."""
+    step = max(1, 16_384 // len(np.unique(shelf)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                row, number = _flat(part.column(3))
+                known = np.isin(number, cell)
+                row, number = row[known], number[known]
+                on = shelf[np.searchsorted(cell, number)]
+                _, first = np.unique(row * (1 + shelf[-1]) + on, return_index=True)
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(number))
+                rows = [c.take(pa.array(row[first])) for c in part.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*rows, cells, pa.array(on[first])], ["query_id", *FIELDS, "cells", "shelf"])
+
+    return asked.mapInArrow(run, "query_id string, slots array<int>, weights array<double>, cells array<int>, shelf long")
+
+
+def _met(vectors: DataFrame, asked: DataFrame, k: int, digits: int, size: int = 4 << 20) -> DataFrame | None:
+    """(query_id, chunk_id, score) of the vectors in the ``cells`` that queries visit; None where they visit none. The cells visited are a filter of the scan.
+
+    Cells next to each other make a shelf of about ``size`` bytes, and a query is sent to a shelf once, with its cells' numbers there.
+    """
+    wanted = [r.cell for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]  # as many as the quantiser has
+    if not wanted:
+        return None
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col("cell").isin(wanted)).select("chunk_id", *FIELDS, "cell")
+    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("slots")).alias("width")).toArrow().sort_by("cell")
+    if not len(counts):
+        return spark.createDataFrame([], SCORED)
+    cell, n, width = (c.to_numpy() for c in counts.columns)
+    per = int(np.clip(size * n.sum() // (12 * max(1, width.sum())), 256, 8_192))
+    shelf = (np.cumsum(n) - n) // per
+    some = np.unique(shelf)
+    sizes = spark.createDataFrame(pa.table({"shelf": some, "n": np.bincount(np.searchsorted(some, shelf), n).astype(np.int64)}))
+    rows = rows.join(F.broadcast(spark.createDataFrame(pa.table({"cell": cell, "shelf": shelf}))), "cell")
+    points = blocked_by(rows, ["shelf"], "point", per, sizes)
+    asked = blocked_by(_dealt(asked, cell, shelf), ["shelf"], "query", 512)
 
     def product(p: Side, q: Side) -> pa.RecordBatch:
         dim = 1 + max(int(x.field("slots").flatten().to_numpy().max(initial=0)) for x in (p, q))
         a, b = (unit(as_matrix(x.field("slots"), x.field("weights"), dim)) for x in (p, q))
-        return named_best(p, q, np.round(b @ a.T, digits), k)
+        own, (row, seen) = p.numbers("cell"), _flat(q.field("cells"))
+        by_cell, by_seen = np.argsort(own, kind="stable"), np.argsort(seen, kind="stable")
+        scores = np.zeros((len(q), len(p)))  # what a query doesn't visit stays 0, and goes
+        for c in np.unique(own):
+            j = by_cell[slice(*np.searchsorted(own, [c, c + 1], sorter=by_cell))]
+            i = row[by_seen[slice(*np.searchsorted(seen, [c, c + 1], sorter=by_seen))]]
+            scores[np.ix_(i, j)] = np.round(b[i] @ a[j].T, digits)
+        return named_best(p, q, scores, k)
 
-    return over_cells(cells(points, asked, ["cell"]), SCORED, product, None)
+    return over_cells(cells(points, asked, ["shelf"]), SCORED, product, None)
 
 
 def search(vectors: DataFrame, quantiser: Quantiser, held: dict[int, float], queries: DataFrame, k: int, exact: bool = False, digits: int = 12, cut=lambda df: df) -> DataFrame:
@@ -184,15 +244,17 @@ def search(vectors: DataFrame, quantiser: Quantiser, held: dict[int, float], que
     """
     if not held:
         return top_k(queries.sparkSession.createDataFrame([], SCORED), k)
-    queries = cut(queries.select("query_id", *FIELDS))
-    found = cut(top_k(_met(vectors, cut(_visits(queries, quantiser, held, False)), k, digits), k))
+    asked = cut(_visited(queries, quantiser, held, False))
+    first = _met(vectors, asked, k, digits)
+    if first is None:  # no queries
+        return top_k(queries.sparkSession.createDataFrame([], SCORED), k)
+    found = cut(top_k(first, k))
     least = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    rest = queries.join(least, "query_id", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0)))
+    # Merged, not sent out: sizes of files say little of the rows in them, which may be repeated ones.
+    rest = asked.join(least.hint("merge"), "query_id", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0)))
     rest = rest if exact else rest.where(F.col("floor") == -2.0)
-    more = cut(_visits(rest, quantiser, held, True))
-    if more.limit(1).count() == 0:
-        return found
-    return top_k(found.drop("rank").unionByName(_met(vectors, more, k, digits)), k)
+    more = _met(vectors, cut(_visited(rest, quantiser, held, True)), k, digits)
+    return found if more is None else top_k(found.drop("rank").unionByName(more), k)
 
 
 def from_arrays(vectors: DataFrame, key: str, column: str, to: str) -> DataFrame:

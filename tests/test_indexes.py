@@ -188,3 +188,51 @@ def test_blocks_are_made_where_chunks_lie(spark):
     stats, q = sparse.corpus_stats(rows), sparse.query_terms(queries)
     key = lambda df: {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in df.collect()}
     assert key(blockmax.search(cut(made), stats, q, 5, cut=cut)) == key(sparse.search(rows, queries, 5))
+
+
+def built_sides(df):
+    """Names of the columns of each side that a plan sends out through the driver."""
+    found, open_ = [], [df._jdf.queryExecution().sparkPlan()]
+    while open_:
+        node = open_.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        open_ += below
+        if node.nodeName().startswith("Broadcast"):
+            side = below["BuildRight" in node.buildSide().toString()].output()
+            found.append({side.apply(i).name() for i in range(side.size())})
+    return found
+
+
+def test_no_vectors_are_sent_out_through_the_driver(spark, tmp_path):
+    x = np.random.default_rng(11).normal(size=(1_500, 16))
+    x[300:600] = x[7]  # equal rows make small files
+    rows = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    vectors = ivf.from_arrays(rows, "id", "v", "chunk_id")
+    asked = list(range(0, 1_500, 10))
+    queries = ivf.from_arrays(rows.where(F.col("id").cast("int") % 10 == 0), "id", "v", "query_id")
+    index = ivf.InvertedFile(cells=30, sample=400)
+    q = index.train(vectors)
+    ivf.write(ivf.assigned(vectors, q), str(tmp_path / "cells"))
+    filed, steps, plans = spark.read.parquet(str(tmp_path / "cells")), Steps(spark), []
+
+    def cut(df):
+        plans.append(df)
+        return steps.cut(df)
+
+    for exact in (True, False):
+        out = ivf.search(filed, q, ivf.radii(filed), queries, 5, exact, 9, cut)
+        plans.append(out)
+        got = [(r.query_id, r.chunk_id) for r in out.collect()]
+        want = plain_nearest(x, asked, 5)
+        assert len(got) == len(set(got)) == len(want) and len(set(got) & want) >= (1 if exact else 0.8) * len(want)
+    sent = [side for df in plans for side in built_sides(df)]
+    assert sent and not [s for s in sent if s & {"slots", "weights", "point_rows", "query_rows"}]
+    # A query's vector stands in one row, however many cells it visits.
+    assert ivf._visited(queries, q, ivf.radii(filed), False).count() == len(asked)
+
+
+def test_one_task_sorts_the_sample_only(spark):
+    v = spark.range(4_000).select(F.col("id").cast("string").alias("chunk_id"), F.sequence(F.lit(0), F.lit(7)).alias("slots"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i)).alias("weights"))
+    index = ivf.InvertedFile(cells=5, sample=300)
+    least = v.orderBy(F.xxhash64(F.lit(index.seed), "chunk_id"), "chunk_id").limit(300).collect()
+    assert np.allclose(index.train(v).centroids, ivf._means(dense.unit(np.array([r.weights for r in least])), 5, index.rounds, index.seed))
