@@ -236,3 +236,16 @@ def test_one_task_sorts_the_sample_only(spark):
     index = ivf.InvertedFile(cells=5, sample=300)
     least = v.orderBy(F.xxhash64(F.lit(index.seed), "chunk_id"), "chunk_id").limit(300).collect()
     assert np.allclose(index.train(v).centroids, ivf._means(dense.unit(np.array([r.weights for r in least])), 5, index.rounds, index.seed))
+
+
+def test_recall_makes_one_index(spark, tmp_path, monkeypatch):
+    from gristmill.plans import catalog
+
+    x = np.random.default_rng(13).normal(size=(1_000, 12))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    trained, train = [], ivf.InvertedFile.train
+    monkeypatch.setattr(ivf.InvertedFile, "train", lambda self, *a, **b: trained.append(train(self, *a, **b)) or trained[-1])
+    out = catalog.queries()["ivf_recall"](spark, str(tmp_path))
+    assert [tuple(r) for r in out.collect()] == [(20, True)] and len(trained) == 1
+    assert not built_sides(out)
